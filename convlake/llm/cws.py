@@ -98,14 +98,16 @@ def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
 
     pairs = with_next(table(spark, sf_dir, "documents"))
     edited = "concat(left(text, length(text) - length(text) div 2), left(next_text, length(text) div 2))"
-    pairs = pairs.select("bucket", "row", "next_row", "doc_id", "text", F.expr(edited).alias("edited"))
-    both = pairs.select("bucket", "row", F.explode(F.expr("array(struct(0 AS v, text AS text), struct(1 AS v, edited AS text))")).alias("t")).select("bucket", "row", "t.v", "t.text")
-    codes = sketch(both, ["bucket", "row", "v"])
-    sides = codes.groupBy("bucket", "row").agg(F.expr("max(if(v = 0, codes, NULL))").alias("own"), F.expr("max(if(v = 1, codes, NULL))").alias("edit"))
-    sides = materialise(sides.select("row", "own", "edit"), "cws")
-    about = pairs.select("row", "next_row", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    out = about.join(sides, "row").join(sides.select(F.col("row").alias("next_row"), F.col("own").alias("next")), "next_row")
+    about = ["bucket", "row", "next_row", "doc_id", "n_chars", "edited_sha"]
+    pairs = pairs.select("bucket", "row", "next_row", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", F.expr(edited).alias("edited"))
+    pairs = pairs.withColumn("edited_sha", F.unhex(F.sha2("edited", 256)))
+    both = pairs.select(*about, F.explode(F.expr("array(struct(0 AS v, text AS text), struct(1 AS v, edited AS text))")).alias("t")).select(*about, "t.v", "t.text")
+    # All that follows keeps to the buckets the texts were dealt to: no text is shuffled again.
+    codes = sketch(both, [*about, "v"])
+    sides = codes.groupBy(*about).agg(F.expr("max(if(v = 0, codes, NULL))").alias("own"), F.expr("max(if(v = 1, codes, NULL))").alias("edit"))
+    sides = materialise(sides.drop("bucket"), "cws")
+    out = sides.join(sides.select(F.col("row").alias("next_row"), F.col("own").alias("next")), "next_row")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", as_hex("own").alias("fingerprint"), as_hex("edit").alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"), as_hex("own").alias("fingerprint"), as_hex("edit").alias("edited_fingerprint"),
         likeness("own", "edit").alias("near_edited"), likeness("own", "next").alias("near_next"),
     )
