@@ -23,6 +23,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +37,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 0
 BLOCK = 256
 CHUNK_IDS = 1 << 20
-CACHE_UNITS = 250_000
+CACHE_UNITS = 800_000
+GROUP = 512
 
 # Fixed values of the format: ids in a word, and bits of each, by selector.
 SLOTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0], dtype=np.int64)
@@ -126,13 +128,13 @@ def unpack(words: np.ndarray, block_words: np.ndarray, escapes: np.ndarray, n: i
 class Encoder:
     """A byte-level BPE of the tokenizers library over whole texts.
 
-    The pre-tokenizer of such a vocabulary always ends a piece between a letter that isn't white
-    space and white space after it, so a text's ids are those of its units `white space + the rest`;
-    units are remembered. Texts with control letters on which notions of white space differ are
-    encoded at once.
+    The pre-tokenizer of such a vocabulary always ends a piece before white space that follows
+    something else, and behind letters that anything but a letter follows. So a text's ids are those
+    of its units, cut at such places; units are remembered. Texts with control letters on which notions of
+    white space differ are encoded at once.
     """
 
-    units = re.compile(r"\s*\S+|\s+$")
+    units = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\s!-@\[-`{-~]|$)|\s*\S+|\s+$")
     odd = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
@@ -144,24 +146,18 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            raw = b""
-        elif self.odd.search(text):
-            raw = self._encode([text])[0]
-        else:
-            units, cache = self.units.findall(text), self.cache
-            try:
-                raw = b"".join([cache[u] for u in units])
-            except KeyError:
-                if len(cache) > CACHE_UNITS:
-                    cache.clear()
-                new = [u for u in dict.fromkeys(units) if u not in cache]
-                cache.update(zip(new, self._encode(new)))
-                raw = b"".join([cache[u] for u in units])
-        return np.frombuffer(raw, dtype="<u4")
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        rows = [[] if not t else [t] if self.odd.search(t) else self.units.findall(t) for t in texts]
+        known = self.cache
+        new = [u for u in set().union(*rows) if u not in known]
+        if len(known) + len(new) > CACHE_UNITS:
+            known.clear()
+            new = list(set().union(*rows))
+        known.update(zip(new, self._encode(new)))
+        return [b"".join([known[u] for u in row]) for row in rows]
 
 
 @lru_cache(maxsize=2)
@@ -195,15 +191,17 @@ def write_token_file(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, shar
             chunk, first, keys, arrays, held = chunk + 1, first + held, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-        end = np.array([end_id], dtype="<u4")
+        end = end_id.to_bytes(4, "little")
         for batch in batches:
-            for shard, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ids = np.concatenate([encode(text.as_py()), end])
-                if held and held + len(ids) > chunk_ids:
-                    yield close()
-                keys.append(key)
-                arrays.append(ids)
-                held += len(ids)
+            for a in range(0, batch.num_rows, GROUP):
+                part = batch.slice(a, GROUP)
+                for shard, key, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encode(part.column(2).to_pylist())):
+                    ids = np.frombuffer(raw + end, dtype="<u4")
+                    if held and held + len(ids) > chunk_ids:
+                        yield close()
+                    keys.append(key)
+                    arrays.append(ids)
+                    held += len(ids)
         if held:
             yield close()
 
