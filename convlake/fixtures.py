@@ -105,5 +105,7 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         add(n)
     sql = sql.strip()
+    if not order:
+        return sql
     ctes = ", ".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
     return f"WITH {ctes}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {ctes} {sql}"

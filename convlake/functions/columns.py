@@ -28,8 +28,8 @@ def subtitle_time(ms: str, mark: str = ",") -> Column:
 
 def parse_time(text: str) -> Column:
     """Seconds of the first [h:]m:ss in a text, else null."""
-    found = rf"regexp_extract({text}, '(?:([0-9]{{1,2}}):)?([0-9]{{1,2}}):([0-9]{{2}})', {{}})"
-    h, m, s = (f"cast(nullif({found.format(k)}, '') AS bigint)" for k in (1, 2, 3))
+    found = f"regexp_extract({text}, '(?:([0-9]{{1,2}}):)?([0-9]{{1,2}}):([0-9]{{2}})', "
+    h, m, s = (f"cast(nullif({found}{k}), '') AS bigint)" for k in (1, 2, 3))
     return F.expr(f"coalesce({h}, 0) * 3600 + {m} * 60 + {s}")
 
 

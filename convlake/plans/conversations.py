@@ -65,7 +65,7 @@ def m4(segments):
     return stats.longest_segment(segments)
 
 
-@query("m5_perf_ema", ("perf_fx",), """WITH RECURSIVE_ AS (SELECT 1), v AS (SELECT key, list(value::DOUBLE ORDER BY seq) AS vs FROM perf_fx GROUP BY key)
+@query("m5_perf_ema", ("perf_fx",), """WITH v AS (SELECT key, list(value::DOUBLE ORDER BY seq) AS vs FROM perf_fx GROUP BY key)
 SELECT key, round(list_reduce(list_transform(range(1, len(vs) + 1), lambda i: {'x': vs[i], 'n': i}),
   lambda s, o: {'x': s.x + CASE WHEN s.n < 3 THEN 0.5 ELSE 0.3 END * (o.x - s.x), 'n': o.n}).x, 6) AS value, len(vs)::BIGINT AS samples FROM v""")
 def m5(observations):
@@ -307,7 +307,7 @@ def s11(segments):
 
 
 @query("r2_unfinished_recordings", ("chunks_fx",), """WITH l AS (SELECT rid, max(ts) AS last, min(ts) AS first, sum(n_bytes)::BIGINT AS bytes FROM chunks_fx GROUP BY 1)
-SELECT rid, bytes, epoch(first)::BIGINT AS first_s, epoch(last)::BIGINT AS last_s FROM l WHERE last <= (SELECT max(last) FROM l) - INTERVAL 6 HOUR""")
+SELECT rid, bytes, floor(epoch(first))::BIGINT AS first_s, floor(epoch(last))::BIGINT AS last_s FROM l WHERE last <= (SELECT max(last) FROM l) - INTERVAL 6 HOUR""")
 def r2(chunks):
     now = chunks.agg(F.max("ts")).first()[0]
     return recordings.unfinished(chunks, now, "6 HOURS").selectExpr("rid", "bytes", "unix_timestamp(cast(first AS timestamp)) AS first_s", "unix_timestamp(cast(last AS timestamp)) AS last_s")
