@@ -49,7 +49,7 @@ def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", body:
 
 
 def tree(records: DataFrame, range_bytes: int = RANGE_BYTES) -> list[DataFrame]:
-    """The levels of the tree, 0 to 5; the records and their ranges are written to the shared folder."""
+    """The levels of the tree, 0 to 5, each written to the shared folder: the next is made of it, and so plans stay short."""
     leaves = records.selectExpr("file AS a", f"offset div {range_bytes} AS b", "record", "nth", "offset", "offset + size AS until", "digest")
     levels = [materialise(leaves, "fixity-records")]
     children = "struct(offset, record, nth, until, digest)"
@@ -59,7 +59,7 @@ def tree(records: DataFrame, range_bytes: int = RANGE_BYTES) -> list[DataFrame]:
         up = up.groupBy("a", "b").agg(F.expr(f"array_sort(collect_list({children}))").alias("c"), F.min("offset").alias("offset"), F.max("until").alias("until"))
         joined = "concat_ws(';', transform(c, x -> concat_ws(',', x.offset, x.until, x.digest)))"
         up = up.selectExpr("a", "b", "offset", "until", f"sha2({joined}, 256) AS digest")
-        levels.append(materialise(up, "fixity-ranges") if level == 1 else up)
+        levels.append(materialise(up, f"fixity-level{level}"))
     return levels
 
 
@@ -73,7 +73,7 @@ def audit(mine: list[DataFrame], other: list[DataFrame]) -> DataFrame:
             parents = bad.withColumnsRenamed({"a": "pa", "b": "pb"})
             left, right = (x.withColumns({"pa": F.expr(pa), "pb": F.expr(pb)}).join(parents, ["pa", "pb"], "left_semi") for x in (left, right))
         left, right = left.select(*keys, F.col("digest").alias("x")), right.select(*keys, F.col("digest").alias("y"))
-        bad = left.join(right, keys, "full").where("NOT x <=> y").select(*keys)
+        bad = materialise(left.join(right, keys, "full").where("NOT x <=> y").select(*keys), "fixity-differ")
     left, right = (x[0].join(bad, keys, "left_semi") for x in (mine, other))
     left = left.selectExpr("a AS file", "record", "nth", "offset AS oa", "digest AS x")
     right = right.selectExpr("a AS f", "record AS r", "nth AS n", "offset AS ob", "digest AS y")
