@@ -67,6 +67,15 @@ LINES_SQL = """
 SELECT doc_id AS meeting_id, pos - 1 AS idx, ls[pos] AS line
 FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
 
+ACTIONS = """
+SELECT meeting_id, idx, line AS task,
+       CASE idx % 3 WHEN 0 THEN 'Speaker 1' WHEN 1 THEN 'N/A' ELSE '' END AS owner,
+       CASE idx % 4 WHEN 0 THEN 'Friday' WHEN 1 THEN 'TBD' WHEN 2 THEN '' ELSE 'unknown' END AS due,
+       CONCAT(lpad(CAST(CAST(floor(idx * 37 / 3600) AS BIGINT) AS STRING), 2, '0'), ':',
+              lpad(CAST(CAST(floor(idx * 37 / 60) AS BIGINT) % 60 AS STRING), 2, '0'), ':', lpad(CAST(idx * 37 % 60 AS STRING), 2, '0')) AS time,
+       (meeting_id + idx) % 2 = 0 AS done, CAST(floor(n_chars / 10) AS BIGINT) AS duration_s
+FROM (SELECT * FROM note_lines_fx) l JOIN (SELECT doc_id, n_chars FROM documents) d ON d.doc_id = l.meeting_id WHERE idx % 5 = 0"""
+
 VIEWS = {
     "segments_fx": (SEGMENTS, SEGMENTS, ["conversations"]),
     "turns_fx": (TURNS, TURNS, ["segments_fx"]),
@@ -78,6 +87,7 @@ VIEWS = {
     "chunks_fx": (CHUNKS, CHUNKS, ["events"]),
     "words_fx": (WORDS, WORDS_SQL, ["segments_fx"]),
     "note_lines_fx": (LINES, LINES_SQL, ["documents"]),
+    "actions_fx": (ACTIONS, ACTIONS, ["note_lines_fx", "documents"]),
 }
 
 

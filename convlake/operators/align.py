@@ -16,7 +16,8 @@ def flatten_words(words: DataFrame) -> DataFrame:
     return rows.selectExpr("meeting_id", "cast(row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, idx, pos) AS bigint) AS n", "text", "start_ms", "end_ms")
 
 
-def _numbered_turns(turns: DataFrame) -> DataFrame:
+def numbered_turns(turns: DataFrame) -> DataFrame:
+    """Turns of a meeting with their number k in order of start, as (ts, te)."""
     return turns.selectExpr("meeting_id", "speaker", "start_ms AS ts", "end_ms AS te", "cast(row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, speaker) AS bigint) AS k")
 
 
@@ -24,7 +25,7 @@ def assign_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
     """T2 and T3. Per word the turn it overlaps most, of the last twelve that begin by its end (the later on
     ties); else the nearer of the turns around it if under two seconds from its middle (the smaller
     speaker on ties); else null. Turns are met by number, never by a comparison of times."""
-    known = _numbered_turns(turns)
+    known = numbered_turns(turns)
     rows = words.selectExpr("meeting_id", "n", "start_ms", "greatest(end_ms, start_ms + %d) AS we" % LEAST_WORD_MS)
     merged = rows.selectExpr("meeting_id", "we AS at", "1 AS word", "n", "start_ms", "we").unionByName(known.selectExpr("meeting_id", "ts AS at", "0 AS word", "cast(NULL AS bigint) AS n", "cast(NULL AS bigint) AS start_ms", "cast(NULL AS bigint) AS we"))
     counted = merged.selectExpr("*", "sum(1 - word) OVER (PARTITION BY meeting_id ORDER BY at, word ROWS UNBOUNDED PRECEDING) AS i").where("word = 1")

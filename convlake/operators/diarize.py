@@ -38,3 +38,8 @@ def waveform_peaks(samples: DataFrame, bucket: int) -> DataFrame:
     scale = peaks.groupBy("meeting_id").agg(F.expr("percentile(peak, 0.995D)").alias("scale"))
     level = "if(scale > 0, cast(bround(100 * least(1D, pow(peak / scale, 0.7D))) AS bigint), 0L)"
     return peaks.join(scale, "meeting_id").selectExpr("meeting_id", "bucket", f"{level} AS level")
+
+
+def speaking_time(active: DataFrame, frame_ms: int) -> DataFrame:
+    """D12. Milliseconds that each speaker is active, from the frames."""
+    return active.select("meeting_id", "speaker", "frame").distinct().groupBy("meeting_id", "speaker").agg((F.count("*") * frame_ms).alias("ms"))

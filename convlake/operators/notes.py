@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlake.functions.columns import clock, note_key
+from convlake.functions.columns import clock, note_key, parse_time
+
+# What stands for no owner and no date.
+PLACEHOLDERS = ["", "none", "n a", "na", "unknown", "not specified", "not mentioned", "tbd", "unassigned"]
 
 
 def transcript_lines(segments: DataFrame, names: DataFrame) -> DataFrame:
@@ -36,3 +39,30 @@ def dedupe_items(items: DataFrame) -> DataFrame:
 def summary_line(texts: DataFrame) -> DataFrame:
     """N16. The first line of a text, at most 300 characters."""
     return texts.selectExpr("meeting_id", "left(trim(split(text, '\\\\n')[0]), 300) AS summary")
+
+
+def clean_actions(actions: DataFrame) -> DataFrame:
+    """N9. Tasks (meeting_id, idx, task, owner, due, time, duration_s): of those that say the same the first, one whose
+    words hold no a-z and 0-9 too; placeholders for owner and due become empty, times over 5 s past the end null."""
+
+    def strip(name: str) -> Column:
+        return F.regexp_replace(name, r"^\s+|\s+$", "")
+
+    def filled(name: str) -> Column:
+        return F.when(F.coalesce(note_key(name), F.lit("")).isin(PLACEHOLDERS), "").otherwise(strip(name)).alias(name)
+
+    rows = actions.select("meeting_id", "idx", strip("task").alias("task"), filled("owner"), filled("due"), parse_time("time").alias("t"), "duration_s")
+    rows = rows.where("task <> ''").withColumn("t", F.expr("if(t <= duration_s + 5, t, NULL)")).withColumn("key", note_key("task"))
+    first = rows.groupBy("meeting_id", "key").agg(F.expr("min_by(struct(idx, task, owner, due, t), idx)").alias("a"))
+    return first.select("meeting_id", "a.*", F.lit(False).alias("done"))
+
+
+def action_board(actions: DataFrame, show: str = "all", owner: str = "") -> DataFrame:
+    """N18. Per meeting with a visible task: its open and done tasks, and the visible ones (all, open or done; of one
+    owner) by number."""
+    seen = {"all": F.lit(True), "open": ~F.col("done"), "done": F.col("done")}[show] & (F.lit(not owner) | (F.col("owner") == owner))
+    board = actions.groupBy("meeting_id").agg(
+        F.count_if(~F.col("done")).alias("open"), F.count_if("done").alias("done"), F.count_if(seen).alias("visible"),
+        F.array_join(F.array_sort(F.collect_list(F.when(seen, F.col("idx")))), ",").alias("items"),
+    )
+    return board.where("visible > 0")

@@ -47,3 +47,9 @@ def bm25(texts: DataFrame, terms: list[str]) -> DataFrame:
     hits = counts.where("tf > 0").join(df, ["meeting_id", "term"]).join(about, "meeting_id").withColumn("times", weight[F.col("term")])
     score = "times * ln(1 + (n - df + 0.5D) / (df + 0.5D)) * tf * 2.2D / (tf + 1.2D * (0.25D + 0.75D * len / greatest(avg, 1D)))"
     return hits.groupBy("meeting_id", "window").agg(F.sum(F.expr(score)).alias("score"))
+
+
+def recent_chat(chat: DataFrame, most: int = 8) -> DataFrame:
+    """Q11. The last `most` messages (meeting_id, id) of each meeting, numbered from 1 for the oldest of them."""
+    rows = chat.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id ORDER BY id DESC) AS back").where(f"back <= {most}")
+    return rows.withColumn("n", F.expr("cast(row_number() OVER (PARTITION BY meeting_id ORDER BY back DESC) AS bigint)")).drop("back")

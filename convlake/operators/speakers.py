@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlake.functions.columns import dot, unit
+from convlake.operators.align import numbered_turns
+
+BEFORE, AFTER = 20, 19
+MOST_TURNS = 16
+LEAST_TURN_MS, MOST_CLIP_MS = 2500, 12000
 
 
 def _sums(samples: DataFrame, model: str) -> DataFrame:
@@ -63,3 +68,31 @@ def merge_meeting_keys(meeting_speakers: DataFrame, mapping: DataFrame) -> DataF
     """L20. Talk time with keys (meeting_id, source) moved to their target."""
     rows = meeting_speakers.join(mapping.selectExpr("meeting_id", "source AS key", "target"), ["meeting_id", "key"], "left")
     return rows.groupBy("meeting_id", F.coalesce("target", "key").alias("key")).agg(F.sum("talk_ms").alias("talk_ms"))
+
+
+def turn_overlap(turns: DataFrame) -> DataFrame:
+    """L11. Per turn the milliseconds that other speakers talk over it, among the 20 turns before and 19 after.
+    Turns are met by number, so a row meets at most 39 others."""
+    known = numbered_turns(turns)
+    tried = known.withColumn("o", F.explode(F.expr(f"sequence(k - {BEFORE}, k + {AFTER})")))
+    others = known.selectExpr("meeting_id", "k AS o", "speaker AS other", "ts AS other_ts", "te AS other_te")
+    both = "if(other <> speaker, greatest(0L, least(te, other_te) - greatest(ts, other_ts)), 0L)"
+    return tried.join(others, ["meeting_id", "o"]).groupBy("meeting_id", "k", "speaker", "ts", "te").agg(F.sum(F.expr(both)).alias("overlap_ms"))
+
+
+def sample_candidates(overlaps: DataFrame, samples: DataFrame, most: int = MOST_TURNS) -> DataFrame:
+    """L12. Clips to learn a voice from: the longest turns of each speaker (the earlier on ties) that last 2.5 s, are
+    overlapped for a quarter at most and begin a second or more from any sample (meeting_id, speaker, start_ms);
+    of each its middle, 12 s at most."""
+    fit = overlaps.where(f"te - ts >= {LEAST_TURN_MS} AND overlap_ms * 4 <= te - ts")
+    fit = fit.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY te - ts DESC, k) AS place").where(f"place <= {most}")
+    have = samples.selectExpr("meeting_id AS m", "speaker AS s", "start_ms AS taken")
+    new = fit.join(have, F.expr("meeting_id = m AND speaker = s AND abs(taken - ts) < 1000"), "left_anti")
+    clip = f"least(te - ts, {MOST_CLIP_MS})"
+    return new.selectExpr("meeting_id", "speaker", "k", f"greatest(0D, (ts + te - {clip}) / 2D) AS clip_start", f"(ts + te + {clip}) / 2D AS clip_end")
+
+
+def enroll_pieces(recordings: DataFrame, piece: int, least: int) -> DataFrame:
+    """L19. Pieces of a recording (meeting_id, samples): `piece` samples each, a last one only from `least` on."""
+    rows = recordings.withColumn("start", F.explode(F.expr(f"sequence(0L, greatest(1L, samples - {least}) - 1, cast({piece} AS bigint))")))
+    return rows.selectExpr("meeting_id", "start", f"least(start + {piece}, samples) AS stop").where(f"stop - start >= {least}")

@@ -69,3 +69,16 @@ def chapter_at(chapters: DataFrame, times: DataFrame) -> DataFrame:
     rows = chapters.selectExpr("meeting_id", "start_ms AS at", "0 AS asked", "title").unionByName(times.selectExpr("meeting_id", "at_ms AS at", "1 AS asked", "cast(NULL AS string) AS title"))
     last = "last_value(title) IGNORE NULLS OVER (PARTITION BY meeting_id ORDER BY at, asked ROWS UNBOUNDED PRECEDING)"
     return rows.selectExpr("meeting_id", "at AS at_ms", "asked", f"{last} AS title").where("asked = 1").drop("asked")
+
+
+def speaker_at(segments: DataFrame, times: DataFrame) -> DataFrame:
+    """P9. Who speaks at each time (meeting_id, at_ms): of the first segment that ends at or after it, else the last one,
+    if the time is within half a second of that segment; else null."""
+    segment = "struct(start_ms, end_ms, idx, speaker)"
+    rows = segments.selectExpr("meeting_id", "end_ms AS at", "1 AS known", f"{segment} AS s")
+    rows = rows.unionByName(times.selectExpr("meeting_id", "at_ms AS at", "0 AS known"), allowMissingColumns=True)
+    order = "PARTITION BY meeting_id ORDER BY at, known, s.idx ROWS BETWEEN"
+    ahead = f"first_value(s) IGNORE NULLS OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    behind = f"last_value(s) IGNORE NULLS OVER ({order} UNBOUNDED PRECEDING AND CURRENT ROW)"
+    met = rows.selectExpr("meeting_id", "at AS at_ms", "known", f"coalesce({ahead}, {behind}) AS s").where("known = 0")
+    return met.selectExpr("meeting_id", "at_ms", "if(at_ms BETWEEN s.start_ms - 500 AND s.end_ms + 500, s.speaker, NULL) AS speaker")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from convlake.fixtures import load, with_views
 from convlake.functions.columns import note_key, parse_time, subtitle_time
 from convlake.operators import align, diarize, notes, recordings, search, speakers, stats
+from convlake.sources.names import export_name, title_from_filename
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -311,3 +312,84 @@ SELECT rid, bytes, floor(epoch(first))::BIGINT AS first_s, floor(epoch(last))::B
 def r2(chunks):
     now = chunks.agg(F.max("ts")).first()[0]
     return recordings.unfinished(chunks, now, "6 HOURS").selectExpr("rid", "bytes", "unix_timestamp(cast(first AS timestamp)) AS first_s", "unix_timestamp(cast(last AS timestamp)) AS last_s")
+
+
+@query("d12_speaking_time", ("turns_fx",), f"WITH {FRAMES} SELECT meeting_id, speaker, count(DISTINCT frame) * 100 AS ms FROM fr GROUP BY ALL")
+def d12(turns):
+    return diarize.speaking_time(_frames(turns), 100)
+
+
+OVERLAPS = """k AS (
+  SELECT meeting_id, speaker, start_ms AS ts, end_ms AS te, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, speaker) AS k FROM turns_fx
+), ov AS (
+  SELECT a.meeting_id, a.k, a.speaker, a.ts, a.te, coalesce(sum(greatest(0, least(a.te, b.te) - greatest(a.ts, b.ts))) FILTER (WHERE b.speaker <> a.speaker), 0)::BIGINT AS overlap_ms
+  FROM k a JOIN k b ON b.meeting_id = a.meeting_id AND b.k BETWEEN a.k - 20 AND a.k + 19 GROUP BY ALL
+)"""
+
+
+@query("l11_turn_overlap", ("turns_fx",), f"WITH {OVERLAPS} SELECT * FROM ov")
+def l11(turns):
+    return speakers.turn_overlap(turns)
+
+
+@query("l12_sample_candidates", ("turns_fx", "segments_fx"), f"""WITH {OVERLAPS}, fit AS (
+  SELECT *, least(te - ts, 12000) AS clip FROM ov WHERE te - ts >= 2500 AND overlap_ms * 4 <= te - ts
+  QUALIFY row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY te - ts DESC, k) <= 16
+) SELECT meeting_id, speaker, k, greatest(0.0::DOUBLE, (ts + te - clip) / 2) AS clip_start, (ts + te + clip) / 2 AS clip_end FROM fit
+WHERE NOT EXISTS (SELECT 1 FROM segments_fx s WHERE s.idx % 3 = 0 AND s.meeting_id = fit.meeting_id AND s.speaker = fit.speaker AND abs(s.start_ms - ts) < 1000)""")
+def l12(turns, segments):
+    return speakers.sample_candidates(l11(turns), segments.where("idx % 3 = 0"))
+
+
+@query("l19_enroll_pieces", ("audio_fx",), """WITH r AS (SELECT meeting_id, count(*) AS samples FROM audio_fx GROUP BY 1), p AS (
+  SELECT meeting_id, samples, unnest(range(0, greatest(1, samples - 10), 40)) AS start FROM r
+) SELECT meeting_id, start, least(start + 40, samples) AS stop FROM p WHERE least(start + 40, samples) - start >= 10""")
+def l19(audio):
+    return speakers.enroll_pieces(audio.groupBy("meeting_id").agg(F.count("*").alias("samples")), 40, 10)
+
+
+@query("p9_speaker_at", ("segments_fx", "turns_fx"), """WITH t AS (SELECT meeting_id, end_ms AS at_ms FROM turns_fx), z AS (
+  SELECT meeting_id, max(end_ms) AS z FROM segments_fx GROUP BY 1
+), e AS (SELECT t.meeting_id, at_ms, least(at_ms, z) AS key FROM t JOIN z USING (meeting_id))
+SELECT e.meeting_id, at_ms, CASE WHEN at_ms BETWEEN start_ms - 500 AND end_ms + 500 THEN speaker END AS speaker
+FROM e ASOF JOIN segments_fx s ON s.meeting_id = e.meeting_id AND e.key <= s.end_ms""")
+def p9(segments, turns):
+    return stats.speaker_at(segments, turns.selectExpr("meeting_id", "end_ms AS at_ms"))
+
+
+@query("q11_recent_chat", ("conversations",), """SELECT conv_id AS meeting_id, turn AS id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (
+  SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4)""")
+def q11(conversations):
+    return search.recent_chat(conversations.selectExpr("conv_id AS meeting_id", "turn AS id", "role"), 4)
+
+
+KEY = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("n9_clean_actions", ("actions_fx",), f"""WITH a AS (SELECT *, regexp_replace(task, '^\\s+|\\s+$', '', 'g') AS task2 FROM actions_fx)
+SELECT meeting_id, idx, task2 AS task, CASE WHEN owner = 'N/A' THEN '' ELSE owner END AS owner, CASE WHEN due = 'Friday' THEN due ELSE '' END AS due,
+  CASE WHEN idx * 37 <= duration_s + 5 THEN idx * 37 END AS t, false AS done FROM a WHERE task2 <> ''
+QUALIFY row_number() OVER (PARTITION BY meeting_id, {KEY.format(x='task2')} ORDER BY idx) = 1""")
+def n9(actions):
+    return notes.clean_actions(actions)
+
+
+@query("n18_action_board", ("actions_fx",), """SELECT meeting_id, count(*) FILTER (WHERE NOT done) AS open, count(*) FILTER (WHERE done) AS done,
+  count(*) FILTER (WHERE NOT done AND owner = 'Speaker 1') AS visible, string_agg(idx::VARCHAR, ',' ORDER BY idx) FILTER (WHERE NOT done AND owner = 'Speaker 1') AS items
+FROM actions_fx GROUP BY 1 HAVING visible > 0""")
+def n18(actions):
+    return notes.action_board(actions, "open", "Speaker 1")
+
+
+@query("s13_export_name", ("documents",), """SELECT doc_id, strftime(DATE '2024-01-01' + (doc_id % 365)::INTEGER, '%Y-%m-%d') || '_' ||
+  coalesce(nullif(left(replace(trim(regexp_replace(text, '[^\\pL\\pN_\\- ]+', '', 'g')), ' ', '_'), 60), ''), 'meeting') || '.txt' AS name FROM documents""")
+def s13(documents):
+    rows = documents.selectExpr("doc_id", "text", "date_add(DATE '2024-01-01', cast(doc_id % 365 AS int)) AS day")
+    return rows.select("doc_id", export_name("text", "day", "txt").alias("name"))
+
+
+@query("s14_title_from_filename", ("pages",), """SELECT page_id, coalesce(nullif(left(trim(regexp_replace(regexp_replace(
+  regexp_replace(left(md5(url), 8) || '-' || replace(url, '/', '_') || '.wav', '^(.+)\\.[^.]+$', '\\1'), '^[0-9a-f]{8}-', ''), '_+', ' ', 'g')), 80), ''), 'Untitled meeting') AS title FROM pages""")
+def s14(pages):
+    rows = pages.selectExpr("page_id", "concat('media/', left(md5(url), 8), '-', replace(url, '/', '_'), '.wav') AS name")
+    return rows.select("page_id", title_from_filename("name").alias("title"))
