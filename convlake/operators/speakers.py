@@ -96,3 +96,35 @@ def enroll_pieces(recordings: DataFrame, piece: int, least: int) -> DataFrame:
     """L19. Pieces of a recording (meeting_id, samples): `piece` samples each, a last one only from `least` on."""
     rows = recordings.withColumn("start", F.explode(F.expr(f"sequence(0L, greatest(1L, samples - {least}) - 1, cast({piece} AS bigint))")))
     return rows.selectExpr("meeting_id", "start", f"least(start + {piece}, samples) AS stop").where(f"stop - start >= {least}")
+
+
+def voiceprints(turn_vectors: DataFrame, most: int = 8, least_ms: int = 1500) -> DataFrame:
+    """L7. Per (meeting_id, key) the normalised sum of the vectors of its longest turns (the earlier on ties), each
+    weighted by its length, 10 s at most; turns under `least_ms` count only where a speaker has no other."""
+    rows = turn_vectors.where("embedding IS NOT NULL").selectExpr("meeting_id", "key", "start_ms", "end_ms - start_ms AS ms", "embedding")
+    who = "PARTITION BY meeting_id, key"
+    rows = rows.selectExpr("*", f"row_number() OVER ({who} ORDER BY ms DESC, start_ms) AS place", f"max(ms) OVER ({who}) AS longest")
+    rows = rows.where(f"place <= {most} AND (ms >= {least_ms} OR longest < {least_ms})")
+    parts = rows.select("meeting_id", "key", F.expr("least(ms, 10000) / 1000D").alias("weight"), F.posexplode("embedding").alias("dim", "x"))
+    sums = parts.groupBy("meeting_id", "key", "dim").agg(F.sum(F.expr("weight * x")).alias("x"))
+    total = sums.groupBy("meeting_id", "key").agg(F.expr("transform(array_sort(collect_list(struct(dim, x))), v -> v.x)").alias("total"))
+    return total.select("meeting_id", "key", unit("total").alias("voiceprint"))
+
+
+def carry_decisions(new: DataFrame, old: DataFrame, least: float = 0.85) -> DataFrame:
+    """L10. For each new voice (meeting_id, key, embedding) the old one of its meeting that a user decided on and that is
+    most alike, above `least`; the smaller old key on ties. Pairs stay within the few voices of a meeting."""
+    decided = old.where("status IN ('confirmed', 'named') AND embedding IS NOT NULL")
+    decided = decided.select("meeting_id", F.col("key").alias("old_key"), "status", unit("embedding").alias("w"))
+    met = new.select("meeting_id", "key", unit("embedding").alias("v")).join(decided, "meeting_id").withColumn("likeness", dot("v", "w")).where(F.col("likeness") > least)
+    best = met.groupBy("meeting_id", "key").agg(F.expr("min_by(struct(old_key, status, likeness), struct(-likeness, old_key))").alias("b"))
+    return best.select("meeting_id", "key", "b.*")
+
+
+def rename_speakers(people: DataFrame, changes: DataFrame) -> DataFrame:
+    """L24. Changes (id, name) with whether they hold: not where another person has the name, case aside, and of
+    changes to one name only that of the smallest id."""
+    known = people.selectExpr("id AS other", "lower(name) AS l").groupBy("l").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+    rows = changes.selectExpr("id", "trim(name) AS name", "lower(trim(name)) AS l").where("l <> ''")
+    rows = rows.selectExpr("*", "row_number() OVER (PARTITION BY l ORDER BY id) AS place").join(known, "l", "left")
+    return rows.selectExpr("id", "name", "place = 1 AND coalesce(low = id AND high = id, true) AS accepted")

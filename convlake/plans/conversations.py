@@ -393,3 +393,38 @@ def s13(documents):
 def s14(pages):
     rows = pages.selectExpr("page_id", "concat('media/', left(md5(url), 8), '-', replace(url, '/', '_'), '.wav') AS name")
     return rows.select("page_id", title_from_filename("name").alias("title"))
+
+
+@query("l7_voiceprints", ("samples_fx",), """WITH s AS (
+  SELECT meeting_id // 5 AS meeting_id, speaker_id AS key, id, end_ms - 800 * (speaker_id % 2) AS ms, embedding FROM samples_fx
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY meeting_id, key ORDER BY ms DESC, id) AS place, max(ms) OVER (PARTITION BY meeting_id, key) AS longest FROM s
+), e AS (
+  SELECT meeting_id, key, least(ms, 10000) / 1000.0 AS wt, unnest(range(1, 65)) AS dim, unnest(embedding)::DOUBLE AS x FROM r WHERE place <= 8 AND (ms >= 1500 OR longest < 1500)
+), t AS (SELECT meeting_id, key, list(x ORDER BY dim) AS v FROM (SELECT meeting_id, key, dim, sum(wt::DOUBLE * x) AS x FROM e GROUP BY ALL) GROUP BY ALL)
+SELECT meeting_id, key, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[64] / sqrt(list_dot_product(v, v)), 6) AS last FROM t""")
+def l7(samples):
+    turns = samples.selectExpr("meeting_id div 5 AS meeting_id", "speaker_id AS key", "id * 20000 AS start_ms", "id * 20000 + end_ms - 800 * (speaker_id % 2) AS end_ms", "embedding")
+    return speakers.voiceprints(turns).selectExpr("meeting_id", "key", "round(voiceprint[0], 6) AS first", "round(voiceprint[63], 6) AS last")
+
+
+@query("l10_carry_decisions", ("samples_fx",), """WITH n AS (
+  SELECT meeting_id, id AS key, embedding::DOUBLE[] AS v FROM samples_fx
+), o AS (
+  SELECT meeting_id, id + 1000000 AS old_key, CASE id % 4 WHEN 0 THEN 'named' ELSE 'confirmed' END AS status,
+         list_transform(embedding, lambda x, i: x::DOUBLE + 0.02::DOUBLE * ((i - 1 + id) % 7 - 3)) AS w FROM samples_fx WHERE id % 4 < 2
+), p AS (
+  SELECT meeting_id, key, old_key, status, list_dot_product(v, w) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(w, w)) AS likeness FROM n JOIN o USING (meeting_id)
+) SELECT meeting_id, key, old_key, status, round(likeness, 6) AS likeness FROM p WHERE likeness > 0.85
+QUALIFY row_number() OVER (PARTITION BY meeting_id, key ORDER BY likeness DESC, old_key) = 1""")
+def l10(samples):
+    status = "CASE id % 4 WHEN 0 THEN 'named' WHEN 1 THEN 'confirmed' ELSE 'auto' END AS status"
+    old = samples.selectExpr("meeting_id", "id + 1000000 AS key", status, "transform(embedding, (x, i) -> cast(x AS double) + 0.02D * ((i + id) % 7 - 3)) AS embedding")
+    return rounded(speakers.carry_decisions(samples.selectExpr("meeting_id", "id AS key", "embedding"), old), "likeness")
+
+
+@query("l24_rename_speakers", ("speakers_fx",), """WITH c AS (SELECT id, CASE id % 3 WHEN 0 THEN 'PERSON ' || (id + 1) WHEN 1 THEN ' person ' || id ELSE 'Guest' END AS name FROM speakers_fx), t AS (
+  SELECT id, trim(name) AS name, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY id) AS place FROM c
+) SELECT id, name, place = 1 AND NOT EXISTS (SELECT 1 FROM speakers_fx s WHERE lower(s.name) = lower(t.name) AND s.id <> t.id) AS accepted FROM t""")
+def l24(people):
+    return speakers.rename_speakers(people, people.selectExpr("id", "CASE id % 3 WHEN 0 THEN concat('PERSON ', id + 1) WHEN 1 THEN concat(' person ', id) ELSE 'Guest' END AS name"))
