@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def unfinished(chunks: DataFrame, now, silence: str = "30 SECONDS") -> DataFrame:
-    """R2. Recordings (rid) silent for `silence` before now, with bytes, first and last chunk."""
+    """R2. Recordings (rid) silent for `silence` before now, with bytes, first and last chunk; none where now is null."""
     rows = chunks.groupBy("rid").agg(F.sum("n_bytes").alias("bytes"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    return rows.where(F.col("last") <= F.lit(now) - F.expr(f"INTERVAL {silence}"))
+    return rows.where(F.col("last") <= F.lit(now).cast(chunks.schema["ts"].dataType) - F.expr(f"INTERVAL {silence}"))
 
 
 def assemble(chunks: DataFrame, least: int = 1000) -> DataFrame:

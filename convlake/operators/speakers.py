@@ -123,8 +123,8 @@ def carry_decisions(new: DataFrame, old: DataFrame, least: float = 0.85) -> Data
 
 def rename_speakers(people: DataFrame, changes: DataFrame) -> DataFrame:
     """L24. Changes (id, name) with whether they hold: not where another person has the name, case aside, and of
-    changes to one name only that of the smallest id."""
+    the other changes to one name only that of the smallest id."""
     known = people.selectExpr("id AS other", "lower(name) AS l").groupBy("l").agg(F.min("other").alias("low"), F.max("other").alias("high"))
     rows = changes.selectExpr("id", "trim(name) AS name", "lower(trim(name)) AS l").where("l <> ''")
-    rows = rows.selectExpr("*", "row_number() OVER (PARTITION BY l ORDER BY id) AS place").join(known, "l", "left")
-    return rows.selectExpr("id", "name", "place = 1 AND coalesce(low = id AND high = id, true) AS accepted")
+    rows = rows.join(known, "l", "left").selectExpr("id", "name", "l", "coalesce(low = id AND high = id, true) AS free")
+    return rows.selectExpr("id", "name", "free AND row_number() OVER (PARTITION BY l, free ORDER BY id) = 1 AS accepted")

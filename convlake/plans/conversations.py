@@ -424,7 +424,7 @@ def l10(samples):
 
 
 @query("l24_rename_speakers", ("speakers_fx",), """WITH c AS (SELECT id, CASE id % 3 WHEN 0 THEN 'PERSON ' || (id + 1) WHEN 1 THEN ' person ' || id ELSE 'Guest' END AS name FROM speakers_fx), t AS (
-  SELECT id, trim(name) AS name, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY id) AS place FROM c
-) SELECT id, name, place = 1 AND NOT EXISTS (SELECT 1 FROM speakers_fx s WHERE lower(s.name) = lower(t.name) AND s.id <> t.id) AS accepted FROM t""")
+  SELECT id, trim(name) AS name, NOT EXISTS (SELECT 1 FROM speakers_fx s WHERE lower(s.name) = lower(trim(c.name)) AND s.id <> c.id) AS free FROM c
+) SELECT id, name, free AND row_number() OVER (PARTITION BY lower(name), free ORDER BY id) = 1 AS accepted FROM t""")
 def l24(people):
     return speakers.rename_speakers(people, people.selectExpr("id", "CASE id % 3 WHEN 0 THEN concat('PERSON ', id + 1) WHEN 1 THEN concat(' person ', id) ELSE 'Guest' END AS name"))
