@@ -76,6 +76,20 @@ SELECT meeting_id, idx, line AS task,
        (meeting_id + idx) % 2 = 0 AS done, CAST(floor(n_chars / 10) AS BIGINT) AS duration_s
 FROM (SELECT * FROM note_lines_fx) l JOIN (SELECT doc_id, n_chars FROM documents) d ON d.doc_id = l.meeting_id WHERE idx % 5 = 0"""
 
+MEETINGS = """
+SELECT meeting_id AS id, concat('Talk ', CAST(meeting_id AS {string}), ' ', substr(text, 1, 24)) AS title, substr(text, 1, 80) AS summary,
+       CAST(1704067200 + meeting_id * 5400 AS BIGINT) AS created_s,
+       CASE WHEN meeting_id % 3 = 0 THEN NULL ELSE CAST(1704067200 - (meeting_id % 11) * 86400 AS BIGINT) END AS recorded_s,
+       CAST(10 + meeting_id * 37 % 7000 AS BIGINT) AS duration_s, meeting_id % 4 = 0 AS favorite
+FROM segments_fx WHERE idx = 0"""
+
+# Windows of 20 frames, 3 local speakers each, every 4 frames; some vectors are missing.
+WINDOWS = """
+SELECT meeting_id, q {div} 3 AS chunk, q % 3 AS local, vec_id, CASE WHEN vec_id % 7 = 3 THEN NULL ELSE embedding END AS embedding, {frames} AS frames
+FROM (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(vec_id % 10 AS BIGINT) AS meeting_id, CAST(vec_id {div} 10 AS BIGINT) AS q, embedding FROM embeddings) v"""
+WINDOWS_SPARK = WINDOWS.format(div="div", frames="transform(sequence(0, 19), f -> CAST((vec_id * 7 + f * 3) % 5 < 3 AS BIGINT))")
+WINDOWS_DUCK = WINDOWS.format(div="//", frames="list_transform(range(0, 20), lambda f: CAST((vec_id * 7 + f * 3) % 5 < 3 AS BIGINT))")
+
 VIEWS = {
     "segments_fx": (SEGMENTS, SEGMENTS, ["conversations"]),
     "turns_fx": (TURNS, TURNS, ["segments_fx"]),
@@ -87,6 +101,8 @@ VIEWS = {
     "chunks_fx": (CHUNKS, CHUNKS, ["events"]),
     "words_fx": (WORDS, WORDS_SQL, ["segments_fx"]),
     "note_lines_fx": (LINES, LINES_SQL, ["documents"]),
+    "meetings_fx": (MEETINGS.format(string="STRING"), MEETINGS.format(string="VARCHAR"), ["segments_fx"]),
+    "windows_fx": (WINDOWS_SPARK, WINDOWS_DUCK, ["embeddings"]),
     "actions_fx": (ACTIONS, ACTIONS, ["note_lines_fx", "documents"]),
 }
 
@@ -118,4 +134,6 @@ def with_views(sql: str, *names: str) -> str:
     if not order:
         return sql
     ctes = ", ".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql[15:]}"
     return f"WITH {ctes}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {ctes} {sql}"

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convlake.functions.ordered import in_order
+
 LOOK_BACK = 12
 NEAR_MS = 2000
 LEAST_WORD_MS = 20
@@ -44,3 +50,166 @@ def fill_gaps(assigned: DataFrame) -> DataFrame:
     before = "last_value(speaker) IGNORE NULLS OVER (PARTITION BY meeting_id ORDER BY n ROWS UNBOUNDED PRECEDING)"
     after = "first_value(speaker) IGNORE NULLS OVER (PARTITION BY meeting_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
     return assigned.selectExpr("meeting_id", "n", f"coalesce({before}, {after}) AS speaker")
+
+
+# What ends a sentence, and the limits of utterances and cues.
+SENTENCE_END = tuple(".?!…。？！")
+SHORT_WORDS, SHORT_MS = 2, 1000
+PAUSE_MS, LONG_PAUSE_MS, LONG_MS = 1500, 4000, 45000
+CUE_MS, CUE_CHARS = 6000, 84
+
+
+def _undo_switches(rows: Iterator[tuple]) -> Iterator[list]:
+    """Runs of one or two words under a second inside a sentence go to the speaker around them. Rows are
+    (meeting_id, n, text, start_ms, end_ms, speaker); what comes out is [row, ends a sentence, speaker]."""
+    source = ([r, (r[2] or "").strip().endswith(SENTENCE_END), r[5]] for r in rows)
+    ahead: deque = deque(islice(source, SHORT_WORDS + 1))
+    before = None
+    while ahead:
+        own = ahead[0][2]
+        run = next((k for k, w in enumerate(ahead) if w[2] != own), len(ahead))
+        if run <= SHORT_WORDS and run < len(ahead) and before is not None and own != before[2] == ahead[run][2]:
+            last = ahead[run - 1]
+            if last[0][4] - ahead[0][0][3] < SHORT_MS and not before[1] and not last[1]:
+                for k in range(run):
+                    ahead[k][2] = before[2]
+        # A run that is longer than what is seen ahead is passed on until the speaker changes.
+        left = run
+        while ahead and (left > 0 or ahead[0][2] == own == before[2]):
+            before = ahead.popleft()
+            left -= 1
+            yield list(before)
+            ahead.extend(islice(source, 1))
+
+
+def _snap_changes(words: Iterator[list]) -> Iterator[list]:
+    """Changes of speaker one or two words off the end of a sentence move there. Of the words no more than
+    three before and two behind a change are held."""
+    held: list[list] = []
+    first = 0  # the place of held[0] in the meeting
+    k = 1
+
+    def at(i: int) -> list | None:
+        """Word i, read on if need be; None past the end."""
+        while i - first >= len(held):
+            word = next(words, None)
+            if word is None:
+                return None
+            held.append(word)
+        return held[i - first]
+
+    while at(k) is not None:
+        now, prior = at(k), at(k - 1)
+        if now[2] != prior[2] and not prior[1]:
+            moved = False
+            for a in (k - 1, k - 2):  # too late: the words since the sentence's end belong to the next speaker
+                if a <= 0 or at(a)[2] != prior[2] or at(a)[1]:
+                    break
+                if at(a - 1)[1]:
+                    for m in range(a, k):
+                        at(m)[2] = now[2]
+                    moved = True
+                    break
+            for b in () if moved else (k, k + 1):  # too early: the words up to the sentence's end belong to the one before
+                if at(b + 1) is None or at(b)[2] != now[2]:
+                    break
+                if at(b)[1]:
+                    speaker = prior[2]
+                    for m in range(k, b + 1):
+                        at(m)[2] = speaker
+                    break
+        k += 1
+        while k - first > 3:
+            yield held.pop(0)
+            first += 1
+    yield from held
+    yield from words
+
+
+def _smoothed(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for row, _, speaker in _snap_changes(_undo_switches(rows)):
+        yield *row[:5], speaker
+
+
+WORDS_SCHEMA = "n long, text string, start_ms long, end_ms long, speaker string"
+
+
+def smooth_speakers(words: DataFrame) -> DataFrame:
+    """T5. Words (meeting_id, n, text, start_ms, end_ms, speaker) without switches of one or two words inside a
+    sentence, and with changes that are one or two words off the end of a sentence moved there. Later decisions see
+    earlier ones. A null text ends no sentence; words of a meeting that repeat an n are taken by start."""
+    kind = words.schema["meeting_id"].dataType.simpleString()
+    rows = words.select("meeting_id", "n", "text", "start_ms", "end_ms", "speaker")
+    return in_order(rows, ["meeting_id"], ["n", "start_ms"], _smoothed, f"meeting_id {kind}, {WORDS_SCHEMA}")
+
+
+def _utterances(rows: Iterator[tuple]) -> Iterator[tuple]:
+    number, start, until, speaker, text = 0, 0, 0, None, ""
+    for row in rows:
+        _, _, word, begins, ends, who = row
+        pause = begins - until
+        new = number == 0 or who != speaker or pause > LONG_PAUSE_MS
+        new = new or pause > PAUSE_MS and text.endswith((*SENTENCE_END, ",")) or until - start > LONG_MS and text.endswith(SENTENCE_END)
+        if new:
+            number, start, until, speaker = number + 1, begins, ends, who
+        until, text = max(until, ends), (word or "").strip()
+        yield *row, number
+
+
+def build_utterances(words: DataFrame) -> DataFrame:
+    """T6. Segments (meeting_id, idx from 0, speaker, start_ms, end_ms, text) of words with speakers: a new one where the
+    speaker changes, after a pause of 4 s, after one of 1.5 s behind a sentence or comma, and at the end of a sentence
+    once 45 s are over. Segments without text go and get no idx."""
+    kind = words.schema["meeting_id"].dataType.simpleString()
+    rows = words.select("meeting_id", "n", "text", "start_ms", "end_ms", "speaker")
+    numbered = in_order(rows, ["meeting_id"], ["n", "start_ms"], _utterances, f"meeting_id {kind}, {WORDS_SCHEMA}, utterance long")
+    parts = numbered.groupBy("meeting_id", "utterance", "speaker").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
+        F.expr("trim(array_join(transform(array_sort(collect_list(struct(n, text))), w -> w.text), ''))").alias("text"),
+    )
+    return parts.where("text <> ''").selectExpr("meeting_id", "cast(row_number() OVER (PARTITION BY meeting_id ORDER BY utterance) - 1 AS bigint) AS idx", "speaker", "start_ms", "end_ms", "text")
+
+
+def align(words: DataFrame, turns: DataFrame, alone: str = "S1") -> DataFrame:
+    """T7. Segments of words and turns. Meetings without turns have one speaker, `alone`."""
+    flat = flatten_words(words)
+    named = flat.join(fill_gaps(assign_speakers(flat, turns)), ["meeting_id", "n"]).withColumn("speaker", F.coalesce("speaker", F.lit(alone)))
+    return build_utterances(smooth_speakers(named))
+
+
+def rebuild_segments(segments: DataFrame, meeting_speakers: DataFrame) -> DataFrame:
+    """T8. meeting_speakers (meeting_id, key, label, status, talk_ms) with a row for each speaker of the segments that has
+    none: `Speaker n`, unknown, and the time of its segments."""
+    spoken = segments.where("speaker IS NOT NULL").groupBy("meeting_id", F.col("speaker").alias("key")).agg(F.sum(F.expr("end_ms - start_ms")).alias("talk_ms"))
+    new = spoken.join(meeting_speakers.select("meeting_id", "key"), ["meeting_id", "key"], "left_anti")
+    new = new.selectExpr("meeting_id", "key", "concat('Speaker ', substr(key, 2)) AS label", "'unknown' AS status", "talk_ms")
+    return meeting_speakers.select("meeting_id", "key", "label", "status", "talk_ms").unionByName(new)
+
+
+def single_speaker(meeting_speakers: DataFrame) -> DataFrame:
+    """T8. Meetings set to one speaker keep S1 alone; those that lack it get one."""
+    kept = meeting_speakers.where("key = 'S1'").select("meeting_id", "key", "label", "status")
+    lacking = meeting_speakers.select("meeting_id").distinct().join(kept.select("meeting_id"), "meeting_id", "left_anti")
+    return kept.unionByName(lacking.selectExpr("meeting_id", "'S1' AS key", "'Speaker 1' AS label", "'unknown' AS status"))
+
+
+def _cue_numbers(rows: Iterator[tuple]) -> Iterator[tuple]:
+    number, start, text = 0, None, ""
+    for row in rows:
+        word = row[3] or ""
+        if start is None or row[5] - start > CUE_MS or len(text.strip()) + len(word) > CUE_CHARS:
+            number, start, text = number + 1, row[4], ""
+        text += word
+        yield row[0], row[1], number, row[2], word, row[4], row[5]
+
+
+def cues(words: DataFrame) -> DataFrame:
+    """T9. Subtitle cues (meeting_id, idx, cue from 1, start_ms, end_ms, text) of the words (meeting_id, idx, pos, text,
+    start_ms, end_ms) of each segment, packed up to 6 s and 84 characters."""
+    kind = words.schema["meeting_id"].dataType.simpleString()
+    rows = words.select("meeting_id", "idx", "pos", "text", "start_ms", "end_ms")
+    packed = in_order(rows, ["meeting_id", "idx"], ["pos"], _cue_numbers, f"meeting_id {kind}, idx long, cue long, pos long, text string, start_ms long, end_ms long")
+    return packed.groupBy("meeting_id", "idx", "cue").agg(
+        F.expr("min_by(start_ms, pos)").alias("start_ms"), F.expr("max_by(end_ms, pos)").alias("end_ms"),
+        F.expr("trim(array_join(transform(array_sort(collect_list(struct(pos, text))), w -> w.text), ''))").alias("text"),
+    )

@@ -17,12 +17,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, views: tuple[str, ...], sql: str):
-    """Registers a function of the named views as a query, with its SQL over the same views."""
+def query(name: str, views: tuple[str, ...], sql: str | None):
+    """Registers a function of the named views as a query, with its SQL over the same views where SQL can express it."""
 
     def register(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(*[load(spark, sf_dir, v) for v in views])
-        SQL[name] = with_views(sql, *views)
+        if sql is not None:
+            SQL[name] = with_views(sql, *views)
         return fn
 
     return register
