@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convlake.functions.ordered import in_order
+
 WINDOW, STEP = 12, 6
 
 # Words that questions and passages are searched without.
@@ -53,3 +60,127 @@ def recent_chat(chat: DataFrame, most: int = 8) -> DataFrame:
     """Q11. The last `most` messages (meeting_id, id) of each meeting, numbered from 1 for the oldest of them."""
     rows = chat.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id ORDER BY id DESC) AS back").where(f"back <= {most}")
     return rows.withColumn("n", F.expr("cast(row_number() OVER (PARTITION BY meeting_id ORDER BY back DESC) AS bigint)")).drop("back")
+
+
+def fold(text: str) -> Column:
+    """Lower case without accents."""
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c)))
+
+    return plain(text)
+
+
+def token_lists(segments: DataFrame) -> DataFrame:
+    """Segments (meeting_id, idx) with their folded words in order; none for a null text."""
+    rows = segments.select("meeting_id", "idx", fold("text").alias("folded"))
+    return rows.selectExpr("meeting_id", "idx", "coalesce(regexp_extract_all(folded, '[\\\\p{L}\\\\p{N}]+', 0), array()) AS tokens")
+
+
+def build_index(segments: DataFrame) -> DataFrame:
+    """Q1. Postings (token, meeting_id, idx, len, places): where in a segment of `len` words a folded word stands. Written
+    in order of token, a search reads only the row groups that its prefixes fall into."""
+    rows = token_lists(segments).select("meeting_id", "idx", F.expr("size(tokens)").cast("long").alias("len"), F.posexplode("tokens").alias("place", "token"))
+    return rows.groupBy("token", "meeting_id", "idx", "len").agg(F.expr("array_sort(collect_list(cast(place AS bigint)))").alias("places"))
+
+
+def query_terms(q: str) -> list[list[str]]:
+    """The terms of a query: each the folded words that must stand side by side (several only around ' and _)."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", q.lower()) if not unicodedata.combining(c))
+    found = [re.findall(r"[^\W_]+", t) for t in re.findall(r"[\w']+", plain)]
+    return [t for t in found if t]
+
+
+def search_index(postings: DataFrame, segments: DataFrame, q: str, most: int = 200) -> DataFrame:
+    """Q2. The best segments (meeting_id, idx, score) that hold every term; the last word of a term matches as a prefix.
+    BM25 (k1 1.2, b 0.75) over all segments; its idf is at least a millionth. Ties in order of meeting and segment.
+    segments gives the number of segments, those without words too. An empty query finds nothing."""
+    terms = query_terms(q)
+    parts = [(k, j, w, j == len(t) - 1) for k, t in enumerate(terms) for j, w in enumerate(t)]
+    if not parts:
+        return postings.sparkSession.createDataFrame([], f"meeting_id {postings.schema['meeting_id'].dataType.simpleString()}, idx bigint, score double")
+    wanted = reduce(or_, [F.col("token").startswith(w) if last else F.col("token") == w for _, _, w, last in parts])
+    rows = postings.where(wanted)
+    met = F.array(*[F.when(F.col("token").startswith(w) if last else F.col("token") == w, F.struct(F.lit(k).alias("term"), F.lit(j).alias("part"), F.lit(len(terms[k])).alias("of"))) for k, j, w, last in parts])
+    rows = rows.select("meeting_id", "idx", "len", "places", F.explode(F.filter(met, lambda x: x.isNotNull())).alias("p")).select("meeting_id", "idx", "len", "p.*", F.explode("places").alias("place"))
+    whole = rows.groupBy("meeting_id", "idx", "len", "term", "of", (F.col("place") - F.col("part")).alias("at")).agg(F.countDistinct("part").alias("n")).where("n = of")
+    tf = whole.groupBy("meeting_id", "idx", "len", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row per term
+    sizes = postings.groupBy().agg(F.sum(F.size("places")).alias("words")).join(segments.groupBy().agg(F.count("*").alias("n")))  # one row
+    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(sizes))
+    score = "greatest(ln((n - df + 0.5D) / (df + 0.5D)), 0.000001D) * tf * 2.2D / (tf + 1.2D * (0.25D + 0.75D * len * n / words))"
+    out = scored.groupBy("meeting_id", "idx").agg(F.sum(F.expr(score)).alias("score"), F.count("*").alias("met")).where(f"met = {len(terms)}")
+    return out.select("meeting_id", "idx", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "meeting_id", "idx").limit(most)
+
+
+def snippets(hits: DataFrame, segments: DataFrame, q: str, width: int = 14) -> DataFrame:
+    """Q3. Hits with a snippet: the first stretch of `width` words of the segment with most hits, hits as [[word]], and an
+    ellipsis where words are left out."""
+    firsts = F.array(*[F.lit(t[-1]) for t in query_terms(q)] or [F.lit("")]).alias("firsts")
+    rows = segments.join(F.broadcast(hits), ["meeting_id", "idx"]).withColumn("folded", fold("text")).select("*", firsts)  # hits: at most 200
+    rows = rows.selectExpr("*", "filter(split(text, '\\\\s+'), w -> w <> '') AS ws", "filter(split(folded, '\\\\s+'), w -> w <> '') AS fs")
+    rows = rows.selectExpr("*", "transform(fs, w -> exists(regexp_extract_all(w, '[\\\\p{L}\\\\p{N}]+', 0), t -> exists(firsts, f -> startswith(t, f)))) AS marks")
+    best = f"array_max(transform(sequence(0, greatest(0, size(ws) - {width})), a -> struct(size(filter(slice(marks, a + 1, {width}), m -> m)) AS n, -a AS back)))"
+    rows = rows.selectExpr("*", f"-({best}).back AS a").selectExpr("*", f"slice(ws, a + 1, {width}) AS shown", f"slice(marks, a + 1, {width}) AS lit")
+    text = "array_join(zip_with(shown, lit, (w, m) -> if(m, concat('[[', w, ']]'), w)), ' ')"
+    return rows.selectExpr("meeting_id", "idx", "score", f"concat(if(a > 0, '…', ''), {text}, if(a + {width} < size(ws), '…', '')) AS snippet")
+
+
+def group_hits(hits: DataFrame, meetings: DataFrame, most: int = 5) -> DataFrame:
+    """Q4. Per meeting (id, title, date_s) its best hits in order, at most `most`, and its place by the best of them."""
+    ranked = hits.selectExpr("meeting_id", "idx", "row_number() OVER (ORDER BY score DESC, meeting_id, idx) AS rank")  # hits: at most 200
+    ranked = ranked.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id ORDER BY rank) AS place").where(f"place <= {most}")
+    found = ranked.groupBy("meeting_id").agg(F.min("rank").alias("rank"), F.expr("transform(array_sort(collect_list(struct(place, idx))), h -> h.idx)").alias("hits"))
+    return meetings.withColumnRenamed("id", "meeting_id").join(F.broadcast(found), "meeting_id").selectExpr("meeting_id", "title", "date_s", "cast(row_number() OVER (ORDER BY rank) AS bigint) AS place", "hits")
+
+
+def title_hits(meetings: DataFrame, q: str, hits: DataFrame) -> DataFrame:
+    """Q6. Meetings (id, title) whose title holds the text, case aside, and that have no hit yet."""
+    named = meetings.where(F.contains(F.lower("title"), F.lit(q.lower())))
+    return named.join(hits.selectExpr("meeting_id AS id"), "id", "left_anti").select("id", "title")
+
+
+def _greedy(budget: int) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    def pick(rows: Iterator[tuple]) -> Iterator[tuple]:
+        used, picked = 0, set()  # a line costs 2 or more, so the budget bounds what is picked
+        for meeting, _, score, lines in rows:
+            if score <= 0 and picked:
+                break
+            new = [line for line in lines if line["idx"] not in picked]
+            cost = sum(line["tokens"] for line in new)
+            if used + cost <= budget:
+                used += cost
+                picked.update(line["idx"] for line in new)
+        for _ in rows:
+            pass
+        for idx in sorted(picked):
+            yield meeting, idx
+
+    return pick
+
+
+def select_context(scores: DataFrame, lines: DataFrame, budget: int, window: int = WINDOW, step: int = STEP) -> DataFrame:
+    """Q9. Lines (meeting_id, idx) of each meeting's best passages under a budget of tokens: best first (the earlier on
+    ties), lines in two passages paid once, passages that don't fit skipped; passages that score nothing only as long as
+    nothing is picked. scores: meeting_id, window, score of passages with a term; lines: meeting_id, idx, line."""
+    priced = lines.selectExpr("meeting_id", "idx", "cast(length(coalesce(line, '')) * 2 div 7 + 2 AS bigint) AS tokens")
+    priced = priced.withColumn("window", F.explode(F.expr(f"sequence(greatest(0L, (idx - {window} + {step}) div {step}), idx div {step})")))
+    held = priced.groupBy("meeting_id", "window").agg(F.expr("array_sort(collect_list(struct(idx, tokens)))").alias("lines"))
+    rows = held.join(scores, ["meeting_id", "window"], "left").selectExpr("meeting_id", "window", "coalesce(score, 0D) AS score", "lines")
+    kind = lines.schema["meeting_id"].dataType.simpleString()
+    return in_order(rows, ["meeting_id"], [F.desc("score"), "window"], _greedy(budget), f"meeting_id {kind}, idx long")
+
+
+def ask_context(lines: DataFrame, picked: DataFrame, budget: int) -> DataFrame:
+    """Q10. What is sent with a question: all lines of a meeting if they fit the budget, else the picked ones with a gap
+    between them; `whole` tells which."""
+    size = lines.groupBy("meeting_id").agg(F.expr("sum(length(line) + 1) - 1").alias("chars"))
+    rows = lines.join(size, "meeting_id").join(picked.withColumn("in", F.lit(True)), ["meeting_id", "idx"], "left").withColumn("whole", F.expr(f"chars * 2 div 7 <= {budget}"))
+    kept = rows.where("whole OR in").groupBy("meeting_id", "whole").agg(F.expr("transform(array_sort(collect_list(struct(idx, line))), x -> x.line)").alias("l"))
+    return kept.selectExpr("meeting_id", "whole", "array_join(l, if(whole, '\\n', '\\n...\\n')) AS context")
+
+
+def context_budget(context: int, history_tokens: int, notes_chars: int) -> int:
+    """Q10. Tokens left for the transcript: 1200 are for the answer, 700 for the instructions; at least 800."""
+    return max(800, context - 1200 - history_tokens - int(notes_chars / 3.5) - 700)
