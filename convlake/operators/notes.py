@@ -66,3 +66,15 @@ def action_board(actions: DataFrame, show: str = "all", owner: str = "") -> Data
         F.array_join(F.array_sort(F.collect_list(F.when(seen, F.col("idx")))), ",").alias("items"),
     )
     return board.where("visible > 0")
+
+
+def rename_in_notes(texts: DataFrame, renames: DataFrame, columns: list[str]) -> DataFrame:
+    """L23. Text columns with each meeting's old names (meeting_id, old, new) as whole words replaced by the new, in order of old.
+    Names are taken letter by letter, not as patterns; null and empty old names change nothing."""
+    pairs = renames.where("old <> '' AND new IS NOT NULL AND old <> new").groupBy("meeting_id").agg(F.expr("array_sort(collect_set(struct(old, new)))").alias("_pairs"))
+    rows = texts.join(pairs, "meeting_id", "left")
+    word, quoted = r"[\\p{L}\\p{N}_]", r"concat('\\Q', replace(p.old, '\\E', '\\E\\\\E\\Q'), '\\E')"
+    new = r"regexp_replace(p.new, '([\\\\$])', '\\\\$1')"
+    swap = f"regexp_replace(t, concat('(?<!{word})', {quoted}, '(?!{word})'), {new})"
+    fold = "aggregate(coalesce(_pairs, array()), {c}, (t, p) -> %s)" % swap
+    return rows.withColumns({c: F.expr(fold.format(c=c) if "{" not in swap else fold.replace("{c}", c)) for c in columns}).drop("_pairs")

@@ -128,3 +128,15 @@ def rename_speakers(people: DataFrame, changes: DataFrame) -> DataFrame:
     rows = changes.selectExpr("id", "trim(name) AS name", "lower(trim(name)) AS l").where("l <> ''")
     rows = rows.join(known, "l", "left").selectExpr("id", "name", "l", "coalesce(low = id AND high = id, true) AS free")
     return rows.selectExpr("id", "name", "free AND row_number() OVER (PARTITION BY l, free ORDER BY id) = 1 AS accepted")
+
+
+def typical_samples(samples: DataFrame, most: int = 5, model: str = "cur") -> DataFrame:
+    """L13. Of each person's samples of the model the `most` that are most like its centroid (the smaller id on ties)."""
+    rows = samples.where(F.col("model") == model).select("speaker_id", "id", unit("embedding").alias("v")).join(profiles(samples, model).select("speaker_id", "centroid"), "speaker_id")
+    rows = rows.select("speaker_id", "id", F.round(dot("v", "centroid"), 6).alias("likeness"))
+    return rows.selectExpr("*", "row_number() OVER (PARTITION BY speaker_id ORDER BY likeness DESC, id) AS place").where(f"place <= {most}").drop("place")
+
+
+def auto_learn(matches: DataFrame, auto: float, margin: float = 0.08) -> DataFrame:
+    """L14. Automatic matches sure enough to learn from."""
+    return matches.where((F.col("status") == "auto") & (F.col("confidence") >= round(auto + margin, 6)))
