@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convlake.functions.assign import best_assignment
 from convlake.functions.columns import dot, unit
 from convlake.operators.align import numbered_turns
 
@@ -140,3 +143,109 @@ def typical_samples(samples: DataFrame, most: int = 5, model: str = "cur") -> Da
 def auto_learn(matches: DataFrame, auto: float, margin: float = 0.08) -> DataFrame:
     """L14. Automatic matches sure enough to learn from."""
     return matches.where((F.col("status") == "auto") & (F.col("confidence") >= round(auto + margin, 6)))
+
+
+BLOCK_BYTES = 64_000_000
+BY_CENTROID, BY_SAMPLES, BEST_SAMPLES = 0.6, 0.4, 3
+MOST_SAMPLES = 40
+
+
+def _people_blocks(samples: DataFrame, model: str, block_bytes: int) -> tuple[int, DataFrame]:
+    """How many blocks the library's vectors of a model make at the size, and (block, speaker_id, vectors) by person."""
+    own = samples.where(F.col("model") == model).where("embedding IS NOT NULL").selectExpr("speaker_id", "cast(embedding AS array<double>) AS v")
+    size = own.agg(F.sum(F.expr("8 * size(v) + 16"))).first()[0] or 0
+    n = -(-size // block_bytes)
+    people = own.groupBy("speaker_id").agg(F.collect_list("v").alias("vectors"))
+    return n, people.withColumn("block", F.expr(f"pmod(xxhash64(speaker_id), {max(1, n)})"))
+
+
+def match_scores(voiceprints: DataFrame, samples: DataFrame, model: str = "cur", keep: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """L8. Each voice (meeting_id, key, embedding) with the `keep` people it is most like: 0.6 of its cosine with a person's
+    centroid and 0.4 of the mean of the three best with samples. `keep` must be the voices of a meeting plus one, or two, for
+    an assignment to lose nothing. The library is taken in blocks of bounded size, each broadcast in turn and scored with
+    one product per batch; voices never meet people in a join."""
+    spark = voiceprints.sparkSession
+    n, people = _people_blocks(samples, model, block_bytes)
+    people = people.persist()
+    rows = voiceprints.where("embedding IS NOT NULL").selectExpr("meeting_id", "key", "cast(embedding AS array<double>) AS embedding")
+    person = samples.schema["speaker_id"].dataType.simpleString()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:2]) + f", speaker_id {person}, score double"
+    found = spark.createDataFrame([], schema)
+    for block in range(n):
+        held = people.where(F.col("block") == block).select("speaker_id", "vectors").collect()  # at most about block_bytes
+        sent = spark.sparkContext.broadcast(([r[0] for r in held], [_unit_rows(np.array(r[1])) for r in held]))
+        found = found.unionByName(rows.mapInPandas(_scorer(sent, keep), schema))
+    people.unpersist()
+    return found.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id, key ORDER BY score DESC, speaker_id) AS place").where(f"place <= {keep}").drop("place")
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+
+
+def _scorer(sent, keep: int):
+    def score(batches):
+        ids, vectors = sent.value
+        ids = np.array(ids)
+        for batch in batches:
+            if not len(batch) or not len(ids):
+                continue
+            probes = _unit_rows(np.vstack(batch["embedding"].to_list()))
+            made = np.empty((len(probes), len(ids)))
+            for j, own in enumerate(vectors):
+                sims = probes @ own.T
+                best = np.sort(sims, axis=1)[:, -BEST_SAMPLES:].mean(axis=1)
+                made[:, j] = BY_CENTROID * (probes @ _unit_rows(own.mean(axis=0))) + BY_SAMPLES * best
+            order = np.lexsort((np.broadcast_to(ids, made.shape), -made), axis=1)[:, :keep]
+            at = np.repeat(np.arange(len(probes)), order.shape[1])
+            yield pd.DataFrame({"meeting_id": batch["meeting_id"].to_numpy()[at], "key": batch["key"].to_numpy()[at], "speaker_id": ids[order.ravel()], "score": made[at, order.ravel()]})
+
+    return score
+
+
+def recognise(scores: DataFrame, auto: float = 0.62, suggest: float = 0.48, margin: float = 0.05) -> DataFrame:
+    """L9. Voices (meeting_id, key) with status, confidence, speaker_id and suggested_id: people are dealt one to one to the
+    voices of a meeting for the greatest total score; `auto` from auto on if `margin` above the next person, `suggested` from
+    suggest on, else unknown. A person alone in the library has margin 1. A meeting's voices are few and make one group."""
+    kinds = {f.name: f.dataType.simpleString() for f in scores.schema}
+    schema = f"meeting_id {kinds['meeting_id']}, key {kinds['key']}, status string, confidence double, speaker_id {kinds['speaker_id']}, suggested_id {kinds['speaker_id']}"
+
+    def deal(group: pd.DataFrame) -> pd.DataFrame:
+        table = group.pivot(index="key", columns="speaker_id", values="score").fillna(-9.0)
+        rows = {k: (group["meeting_id"].iloc[0], k, "unknown", 0.0, None, None) for k in table.index}
+        values = table.to_numpy()
+        for i, j in best_assignment(values):
+            score, others = values[i, j], np.delete(values[i], j)
+            person, key = table.columns[j], table.index[i]
+            if score <= -9:
+                continue
+            sure = score >= auto and (score - others.max() if len(others) else 1.0) >= margin
+            status = "auto" if sure else "suggested" if score >= suggest else "unknown"
+            rows[key] = (rows[key][0], key, status, round(float(score), 3), person if status == "auto" else None, person if status == "suggested" else None)
+        return pd.DataFrame(list(rows.values()), columns=["meeting_id", "key", "status", "confidence", "speaker_id", "suggested_id"])
+
+    return scores.groupBy("meeting_id").applyInPandas(deal, schema)
+
+
+def prune(samples: DataFrame, most: int = MOST_SAMPLES) -> DataFrame:
+    """L6. The ids of each person's samples that stay: while there are over `most`, the one most like another goes (the first
+    by id on ties). A person's samples make one group: the library holds `most` and what a meeting or merge adds; people within
+    the limit never enter a group."""
+    count = samples.groupBy("speaker_id").agg(F.count("*").alias("n"))
+    rows = samples.select("speaker_id", "id", F.expr("cast(embedding AS array<double>)").alias("v")).join(count, "speaker_id")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def lean(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", ignore_index=True)
+        x = _unit_rows(np.vstack(group["v"].to_list()))
+        sims = x @ x.T
+        np.fill_diagonal(sims, -1)
+        stays = np.ones(len(x), dtype=bool)
+        while stays.sum() > most:
+            gone = int(np.where(stays, sims.max(axis=1), -np.inf).argmax())
+            stays[gone] = False
+            sims[gone], sims[:, gone] = -1, -1
+        return group.loc[stays, ["speaker_id", "id"]]
+
+    cut = rows.where(f"n > {most}").groupBy("speaker_id").applyInPandas(lean, f"speaker_id {kinds['speaker_id']}, id {kinds['id']}")
+    return rows.where(f"n <= {most}").select("speaker_id", "id").unionByName(cut)
