@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from convlake.operators.search import build_index
+from convlake.sources.tables import discover_new_files, list_files, write_by_meeting
+
 
 def finished_recordings(chunks: DataFrame, silence: str = "30 seconds", late: str = "10 seconds") -> DataFrame:
     """R2. Recordings (rid) once they have been silent for `silence`, with bytes, first and last chunk; a session that goes
@@ -31,3 +35,43 @@ def perf_ema_stream(observations: DataFrame) -> DataFrame:
     values count in order of seq, which holds one key's values of that micro-batch in memory; nulls are left out."""
     rows = observations.where("value IS NOT NULL").selectExpr("key", "seq", "cast(value AS double) AS value")
     return rows.groupBy("key").applyInPandasWithState(_follow, "key string, value double, samples long", "value double, samples long", "update", GroupStateTimeout.NoTimeout)
+
+
+def watch_stream(spark: SparkSession, folder: str, seen: str, arrived: Callable[[DataFrame], None], checkpoint: str):
+    """R1. A query that follows a folder: with each micro-batch the whole folder is listed, and the new files that lie still (S5) go to
+    `arrived` as one DataFrame, then into the table `seen`, so a file that was too young is met again with the next batch. A batch
+    that fails half-way is repeated: files are handed over once or more, never lost."""
+
+    def step(_: DataFrame, batch: int) -> None:
+        known = spark.read.schema("key string").parquet(seen) if _exists(spark, seen) else spark.createDataFrame([], "key string")
+        new = discover_new_files(list_files(spark, folder), known, F.current_timestamp()).persist()
+        arrived(new)
+        new.select("key").write.mode("append").parquet(seen)
+        new.unpersist()
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("key string").parquet(path)
+    except AnalysisException as gone:
+        if "PATH_NOT_FOUND" in str(gone):
+            return False
+        raise
+    return True
+
+
+def index_stream(segments: DataFrame, table: str, index: str, checkpoint: str):
+    """R4. A query that keeps segments and their word index up to date: the meetings of a micro-batch replace what both tables had of
+    them. A meeting's segments must come in one micro-batch; a repeated batch gives the same tables."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        batch.persist()
+        if not batch.isEmpty():
+            write_by_meeting(batch, table)
+            write_by_meeting(build_index(batch), index)
+        batch.unpersist()
+
+    return segments.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
