@@ -3,7 +3,8 @@
 import pytest
 
 from convlake.operators import notes, search, speakers, stats
-from convlake.plans import conversations
+from convlake.plans import conversations, library, retrieval, sources, transcripts, voices  # noqa: F401
+from convlake.plans import notes as note_plans  # noqa: F401
 
 TABLES = "events documents embeddings pages conversations".split()
 
