@@ -77,12 +77,13 @@ def _meetings(meetings):
     return meetings.selectExpr("id", "title", "coalesce(recorded_s, created_s) AS date_s", "duration_s", f"{notes} AS notes")
 
 
+# DuckDB's upper gives ẞ for ß, Spark's gives SS.
 @query("s10_export_text", EXPORT_VIEWS, f"""WITH {NAMES}, sd AS (
   SELECT g.meeting_id, idx, coalesce(name, speaker) AS name, text, '[' || {CLOCK.format(t='(start_ms // 1000)')} || '] ' AS tm, end_ms - start_ms AS ms
   FROM segments_fx g LEFT JOIN nm ON nm.meeting_id = g.meeting_id AND nm.key = g.speaker
 ), sp AS (SELECT meeting_id, string_agg(name, ', ' ORDER BY ms DESC, name) AS who FROM (SELECT meeting_id, name, sum(ms) AS ms FROM sd GROUP BY ALL) GROUP BY 1
 ), tx AS (SELECT meeting_id, string_agg(tm || name || ': ' || text || chr(10), chr(10) ORDER BY idx) AS body FROM sd GROUP BY 1)
-SELECT m.id AS meeting_id, concat_ws(chr(10), upper(title), strftime(make_timestamp(coalesce(recorded_s, created_s) * 1000000), '%A %d %B %Y, %H:%M') || ' · Duration ' || {CLOCK.format(t='duration_s')} || ' · Speakers: ' || who,
+SELECT m.id AS meeting_id, concat_ws(chr(10), replace(upper(title), 'ẞ', 'SS'), strftime(make_timestamp(coalesce(recorded_s, created_s) * 1000000), '%A %d %B %Y, %H:%M') || ' · Duration ' || {CLOCK.format(t='duration_s')} || ' · Speakers: ' || who,
   repeat('=', 72), '', 'SUMMARY', summary, '', 'KEY POINTS', '  • One', '  • ' || title, '', 'ACTION ITEMS', '[ ] Call (Ann) [00:01:01]', '', 'TRANSCRIPT', repeat('-', 72), rtrim(body, chr(10))) || chr(10) AS text
 FROM meetings_fx m JOIN sp ON sp.meeting_id = m.id JOIN tx ON tx.meeting_id = m.id""")
 def s10(segments, meeting_speakers, people, meetings):
