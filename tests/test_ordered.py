@@ -90,3 +90,10 @@ def test_exports_with_notes(spark):
     assert made["txt"]["none"].startswith("MEETING\n") and "TRANSCRIPT" not in made["txt"]["none"]
     bare = exports.export_text(segments, names, meetings, "txt", notes=False, timestamps=False).where("meeting_id = 'm'").first()[1]
     assert "SUMMARY" not in bare and "\nAnn: Hi <b>\n" in bare
+
+
+def test_align_meetings_with_and_without_turns(spark):
+    words = [(m, 0, i, w, i * 500, i * 500 + 400) for m in "ab" for i, w in enumerate([" One", " two.", " Three", " four."])]
+    turns = spark.createDataFrame([("a", "S2", 0, 950), ("a", "S1", 950, 2000)], "meeting_id string, speaker string, start_ms long, end_ms long")
+    got = align.align(spark.createDataFrame(words, "meeting_id string, idx long, pos long, text string, start_ms long, end_ms long"), turns).orderBy("meeting_id", "idx").collect()
+    assert [(r["meeting_id"], r["idx"], r["speaker"], r["text"]) for r in got] == [("a", 0, "S2", "One two."), ("a", 1, "S1", "Three four."), ("b", 0, "S1", "One two. Three four.")]
