@@ -9,8 +9,8 @@ pages first, and a host's partial wrappers are folded in two rounds of groups of
 
 A slot of the wrapper is content or template. It is template inside menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments, told by tag, class, id or role; in
-pages without an article or main element also where every page of at least CONSTANT_PAGES of the
-host has the same text, and in lists of links alone. Pages are matched against the wrapper of their
+pages without an article or main element also where every page (without text apart) of at least
+CONSTANT_PAGES of the host has the same text, and in lists of links alone. Pages are matched against the wrapper of their
 host; content slots give the text. In pages with an article or main element only that counts.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed
@@ -27,8 +27,10 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import math
 import re
 from functools import lru_cache
+from operator import add
 
 import pandas as pd
 import pyarrow as pa
@@ -121,8 +123,12 @@ def parse(page: str) -> Element:
 
 
 # A wrapper's item is [label, least, most, content]: least 0 is optional, most 2 is repeated. The
-# content of a text ("#") is the hash of the text that all pages have, or None for a slot; of an
-# element, its list of items.
+# content of a text ("#") is [hash, pages that are known to hold it], or None for a slot, where
+# texts differ; of an element, its list of items.
+
+
+def _hash(text: str) -> str:
+    return hashlib.blake2b(text.encode(errors="replace"), digest_size=6).hexdigest()
 
 
 def _items(element: Element) -> list:
@@ -131,7 +137,7 @@ def _items(element: Element) -> list:
         if isinstance(child, str):
             text = " ".join(child.split())
             if text:
-                found.append(["#", 1, 1, hashlib.blake2b(text.encode(errors="replace"), digest_size=6).hexdigest()])
+                found.append(["#", 1, 1, [_hash(text), 1]])
         elif child.tag in RAW:
             found.append([child.label, 1, 1, []])
         else:
@@ -139,9 +145,13 @@ def _items(element: Element) -> list:
     return _fold(found)
 
 
-def _merge(a: list, b: list) -> list:
-    """Two occurrences of the same item as one."""
-    content = (a[3] if a[3] == b[3] else None) if a[0] == "#" else align(a[3], b[3])
+def _merge(a: list, b: list, pages=max) -> list:
+    """Two occurrences of the same item as one; pages of a text are at least the greater number where
+    both occur in the same pages, and the sum where they occur in different ones."""
+    if a[0] != "#":
+        content = align(a[3], b[3], pages)
+    else:
+        content = [a[3][0], pages(a[3][1], b[3][1])] if a[3] and b[3] and a[3][0] == b[3][0] else None
     return [a[0], min(a[1], b[1]), max(a[2], b[2]), content]
 
 
@@ -161,16 +171,19 @@ def _fold(items: list) -> list:
     return out
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, pages=add) -> list:
     """The expression that covers both sequences of items: a longest common subsequence of labels
     is merged, the rest becomes optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [_merge(x, y) for x, y in zip(a, b)]
+        return [_merge(x, y, pages) for x, y in zip(a, b)]
     if len(a) * len(b) > WIDE:  # too wide to align: an item per label, in order of first place
-        found: dict = {}
-        for x in (*a, *b):
-            found[x[0]] = [*_merge(found[x[0]], x)[:2], 2, _merge(found[x[0]], x)[3]] if x[0] in found else x
-        return [[x[0], 0, x[2], x[3]] for x in found.values()]
+        sides: list[dict] = [{}, {}]
+        for found, side in zip(sides, (a, b)):
+            for x in side:
+                found[x[0]] = [*(m := _merge(found[x[0]], x))[:2], 2, m[3]] if x[0] in found else x
+        for label, x in sides[1].items():
+            sides[0][label] = [*(m := _merge(sides[0][label], x, pages))[:2], 2, m[3]] if label in sides[0] else x
+        return [[x[0], 0, x[2], x[3]] for x in sides[0].values()]
     length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -178,7 +191,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            out.append(_merge(a[i], b[j]))
+            out.append(_merge(a[i], b[j], pages))
             i, j = i + 1, j + 1
         elif j == len(b) or i < len(a) and length[i + 1][j] >= length[i][j + 1]:
             out.append([a[i][0], 0, *a[i][2:]])
@@ -190,7 +203,7 @@ def align(a: list, b: list) -> list:
 
 
 def merge_wrappers(a: list | None, b: list) -> list:
-    """Wrappers are [pages, items]."""
+    """Wrappers are [pages that have items, items]."""
     return b if a is None else [a[0] + b[0], align(a[1], b[1])]
 
 
@@ -211,21 +224,30 @@ def _links_alone(items: list) -> bool:
 
 @lru_cache(maxsize=4096)
 def judged(wrapper: str) -> dict:
-    """The wrapper as {label: {kind, inner}}: kind of the element, and what is inside of it."""
+    """The wrapper as {label: (kind, inner)}: kind of the element, and what is inside of it; under "#" the hashes of
+    constant texts with how often each stands there."""
     pages, items = json.loads(wrapper)
 
-    def walk(items: list) -> dict:
+    def join(a: dict, b: dict) -> dict:
+        """a with what b has: items of one label are judged together, at every depth."""
+        for label, x in b.items():
+            if label == "#":
+                a["#"] = (held := a.get("#", {})) | {h: held.get(h, 0) + n for h, n in x.items()}
+            elif label in a:
+                a[label] = (x[0] if x[0] == a[label][0] else "", join(a[label][1], x[1]))
+            else:
+                a[label] = x
+        return a
+
+    def walk(items: list, again: bool = False) -> dict:
         out: dict = {}
-        for label, _, _, content in items:
+        for label, least, most, content in items:
             if label == "#":
-                constant = content is not None and pages >= CONSTANT_PAGES
-                out["#"] = out.get("#", True) and constant
+                if content and least and content[1] == pages >= CONSTANT_PAGES:
+                    join(out, {"#": {content[0]: math.inf if again or most > 1 else 1}})
                 continue
             kind = "template" if _is_template(label) else "main" if _is_main(label) else "links" if label.split(".")[0] in ("ul", "ol") and content and _links_alone(content) else ""
-            inner = walk(content)
-            if label in out:
-                inner = {**out[label][1], **inner}
-            out[label] = (kind, inner)
+            join(out, {label: (kind, walk(content, again or most > 1))})
         return out
 
     return walk(items)
@@ -265,10 +287,20 @@ def extract(page: str | None, wrapper: str | None) -> str:
         if text:
             blocks.append(text)
 
+    met: dict = {}
+
+    def constant(text: str, slots: dict | None) -> bool:
+        """Whether the text is one that all pages have here, and not a further copy of it."""
+        if not slots or "#" not in slots or not (text := " ".join(text.split())):
+            return False
+        place = id(slots), _hash(text)
+        met[place] = met.get(place, 0) + 1
+        return met[place] <= slots["#"].get(place[1], 0)
+
     def walk(element: Element, slots: dict | None, in_main: bool) -> None:
         for child in element.children:
             if isinstance(child, str):
-                if in_main or not (slots and slots.get("#")):
+                if in_main or not constant(child, slots):
                     buffer.append(child)
                 continue
             if child.tag == "br":
@@ -308,7 +340,7 @@ def infer(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
 
         for batch in batches:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("body")):
-                held[host] = merge_wrappers(held.get(host), [1, _items(parse(page.as_py() or ""))])
+                held[host] = merge_wrappers(held.get(host), [1 if (items := _items(parse(page.as_py() or ""))) else 0, items])
                 if len(held) >= HOSTS_HELD:
                     yield out()
         if held:

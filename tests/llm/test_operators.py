@@ -217,6 +217,32 @@ def test_wrappers(spark):
     assert shape[0] == ("p", 1, 2) and shape[-1] == ("i", 1, 1) and {("hr", 0, 1), ("b", 0, 1)} <= set(shape)
 
 
+def test_only_what_all_pages_have_is_constant(spark):
+    def texts(pages):
+        df = spark.createDataFrame([(k, "http://h.org/", p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+        return {r.page_id: r.text for r in wrappers.main_text(df).collect()}
+
+    # Items of one label: the last one's text is constant, the first one's is not; a further copy of the constant stays.
+    got = texts([f"<h1>T</h1><p>Text {k}</p><hr><p>Copyright X</p>" for k in range(6)] + ["<h1>T</h1><p>Copyright X</p><hr><p>Copyright X</p>", None, ""])
+    assert got == {**{k: f"Text {k}" for k in range(6)}, 6: "Copyright X", 7: "", 8: ""}
+    # The same one level deeper.
+    got = texts([f"<div><b>Text {k}</b></div><hr><div><b>Copyright X</b></div>" for k in range(6)])
+    assert got == {k: f"Text {k}" for k in range(6)}
+    # A list of links does not make another list of its label one.
+    got = texts([f"<ul><li>Text {k}</li></ul><hr><ul><li><a href='/'>Home</a></li></ul>" for k in range(6)])
+    assert got == {k: f"Text {k}" for k in range(6)}
+    # What one page alone has, and what all but one have.
+    got = texts([f"<h1>T</h1><p>Text {k}</p>" + ("<blockquote>Quoted</blockquote><h3>Alone</h3>" if k == 3 else "") + ("<h4>Most</h4>" if k else "") for k in range(7)])
+    assert got == {k: f"Text {k}" + ("\nQuoted\nAlone" if k == 3 else "") + ("\nMost" if k else "") for k in range(7)}
+    # Fewer pages than CONSTANT_PAGES, and copies within a page, which make no more pages.
+    assert texts([f"<h1>T</h1><p>Text {k}</p>" for k in range(4)])[0] == "T\nText 0"
+    assert texts([f"<p>Text {k}</p>" + ("<ul><li>x</li><li>x</li><li>x</li></ul>" if k < 3 else "") for k in range(6)])[0] == "Text 0\nx\nx\nx"
+    # Sequences too wide to align.
+    wide = "".join(f"<x{chr(97 + a)}{chr(97 + b)}>w</x{chr(97 + a)}{chr(97 + b)}>" for a in range(15) for b in range(15))
+    got = texts([wide + f"<p>Text {k}</p>" + "<i></i>" * (k % 2) + ("<h3>Alone</h3>" if k == 3 else "") for k in range(6)])
+    assert "Alone" in got[3] and all(f"Text {k}" in got[k] for k in range(6))
+
+
 # 7 --------------------------------------------------------------------------------------------
 
 def brute_fingerprint(text):
