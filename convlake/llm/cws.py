@@ -10,8 +10,8 @@ bits of a hash of (term, t).
 
 Every term is weighed, however many; minima are aggregated before they are shuffled.
 
-Edge cases: a null text counts as empty, and the empty text has one term of its own, so empty texts
-are alike; equal texts have equal fingerprints; repeated rows and ties in doc_id are ordered by a hash of the
+Edge cases: a null text counts as empty, and a text without a phrase (empty, or white space alone)
+has one term of its own, so such texts are alike; equal texts have equal fingerprints; repeated rows and ties in doc_id are ordered by a hash of the
 text; null doc_ids come first; one document alone is its own next; extra columns are left out.
 """
 
@@ -32,7 +32,7 @@ def terms(text: str) -> "F.Column":
     """The phrases of a text column, in order."""
     marked = f"array_join(transform(split(lower({text}), '\\\\s+'), w -> if(pmod(xxhash64(w), {CUT}) = 0, concat(w, '\\n'), w)), ' ')"
     found = f"filter(split({marked}, '\\n ?'), p -> p <> '')"
-    return F.expr(f"if(trim({text}) = '', array(''), {found})")
+    return F.expr(f"transform(array({found}), f -> if(size(f) = 0, array(''), f))[0]")
 
 
 def _sample(k: int) -> str:
@@ -93,10 +93,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.where("NOT ghost").select("bucket", "row", "next_row", "doc_id", "text", "next_text")
 
 
-def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
-    from convlake.llm.common import table
-
-    pairs = with_next(table(spark, sf_dir, "documents"))
+def with_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars and fingerprint of every document, with its likeness to an edit of it, half of whose text is of
+    the next document, and to the next document."""
+    pairs = with_next(docs)
     edited = "concat(left(text, length(text) - length(text) div 2), left(next_text, length(text) div 2))"
     about = ["bucket", "row", "next_row", "doc_id", "n_chars", "edited_sha"]
     pairs = pairs.select("bucket", "row", "next_row", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", F.expr(edited).alias("edited"))
@@ -106,8 +106,14 @@ def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
     codes = sketch(both, [*about, "v"])
     sides = codes.groupBy(*about).agg(F.expr("max(if(v = 0, codes, NULL))").alias("own"), F.expr("max(if(v = 1, codes, NULL))").alias("edit"))
     sides = materialise(sides.drop("bucket"), "cws")
-    out = sides.join(sides.select(F.col("row").alias("next_row"), F.col("own").alias("next")), "next_row")
+    out = sides.join(sides.select(F.col("row").alias("next_row"), F.col("own").alias("next")), "next_row", "left")
     return out.select(
         "doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"), as_hex("own").alias("fingerprint"), as_hex("edit").alias("edited_fingerprint"),
         likeness("own", "edit").alias("near_edited"), likeness("own", "next").alias("near_next"),
     )
+
+
+def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
+    from convlake.llm.common import table
+
+    return with_fingerprints(table(spark, sf_dir, "documents"))

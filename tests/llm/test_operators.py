@@ -339,6 +339,17 @@ def test_next_document_and_odd_rows(spark, odd):
     assert cws.with_next(empty(spark)).count() == 0 and cws.with_next(odd.where("doc_id = 1")).count() == 1
 
 
+def test_texts_of_white_space_keep_their_rows(spark, odd):
+    blank = [(20, "\n"), (21, " \t\n"), (22, "\r\n"), (23, " "), (24, "one two\n\n\n\n\n\n\n\n"), (25, "\n\n"), (25, "\n\n")]
+    more = spark.createDataFrame(blank, "doc_id long, text string")
+    assert all(list(r.t) == [""] for r in more.where("doc_id <> 24").select(cws.terms("text").alias("t")).collect())
+    rows = cws.with_fingerprints(odd.unionByName(more, allowMissingColumns=True)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in rows) == sorted([-1 if d is None else d for d, *_ in ODD] + [d for d, _ in blank])
+    assert all(v is not None for r in rows for v in (r.n_chars, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next))
+    alike = {r.fingerprint for r in rows if r.doc_id in (1, 2, 7, 20, 21, 22, 23, 25)}
+    assert len(alike) == 1 and alike != {r.fingerprint for r in rows if r.doc_id == 24}
+
+
 # 10 -------------------------------------------------------------------------------------------
 
 def test_licences(spark, odd):
