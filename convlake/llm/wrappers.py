@@ -58,12 +58,16 @@ BLOCK = frozenset(
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-# What marks an element as no part of the article.
+# What marks an element as no part of the article. A class, id or role does so as a whole: all its
+# parts are template words, but for NEUTRAL ones beside them. NEVER is told by its tag alone.
 TEMPLATE_TAGS = frozenset("head nav header footer aside form script style noscript template iframe button select textarea svg menu dialog canvas object title".split())
 TEMPLATE_WORDS = frozenset(
     "ad ads advert advertisement advertising banner sponsor sponsored promo promotion sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments reply replies respond disqus discussion widget toolbar pagination pager skip copyright complementary contentinfo".split()
 )
 
+NEUTRAL = frozenset("site global box bar container wrapper wrap list area unit slot links buttons block inner".split())
+NEVER = frozenset("html body main article".split())
+
 
 class Element:
     __slots__ = ("tag", "label", "children")
@@ -73,52 +77,61 @@ class Element:
 
 
 def _label(tag: str, attributes: str) -> str:
-    """The tag with its class, id and role words; digits don't count."""
-    words = {w for _, a, b, c in LABELS.findall(attributes) for w in re.split(r"[^a-z]+", (a or b or c).lower()) if w} if attributes else ()
+    """The tag with its class, id and role words, each whole, its parts joined by hyphens; digits don't count."""
+    words = {w for _, a, b, c in LABELS.findall(attributes) for t in (a or b or c).lower().split() if (w := re.sub(r"[^a-z]+", "-", t).strip("-"))} if attributes else ()
     return ".".join([tag, *sorted(words)])
 
 
 def parse(page: str) -> Element:
-    """The tree of a page; texts are str, whatever else is an Element."""
+    """The tree of a page; texts are str, whatever else is an Element.
+
+    What is open is (tag, element that takes in its content). Beyond DEPTH that is the element at DEPTH, or the
+    first main or template element beyond it, or a template element in that main one.
+    """
     root = Element("", "")
-    stack, at, n = [root], 0, len(page)
+    stack, at, n = [("", root)], 0, len(page)
+    places: dict[str, list[int]] = {}
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(k: int) -> None:
+        """Close all from place k on."""
+        if k:
+            for tag, _ in stack[k:]:
+                places[tag].pop()
+            del stack[k:]
+
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
             if page[m.start()] != "<" or m.end() - m.start() == 1:
-                stack[-1].children.append(m[0])
+                stack[-1][1].children.append(m[0])
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            cut(last((tag,)))
             continue
-        if tag in BLOCK:  # an open paragraph ends where a block begins
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-        for k in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
-            if stack[k].tag in HOLDS[tag]:
-                break
-            if stack[k].tag in CLOSES[tag]:
-                del stack[k:]
-                break
+        if tag in BLOCK:  # an open paragraph ends where a block begins; so no block is ever open inside of one
+            cut(last(("p",)))
+        if tag in CLOSES and (k := last(CLOSES[tag])) > last(HOLDS[tag]):
+            cut(k)
         attributes = m[3] if m[2] else m[6]
         element = Element(tag, _label(tag, attributes))
-        stack[-1].children.append(element)
+        into = stack[-1][1]
+        into.children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             element.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in VOID and not attributes.endswith("/") and len(stack) < DEPTH:
-            stack.append(element)
+        elif tag not in VOID and not attributes.endswith("/"):
+            template, main = _is_template(element.label), _is_main(element.label)
+            if len(stack) < DEPTH or not _is_template(into.label) and (template or main and not _is_main(into.label)):
+                into = element
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, into))
     return root
 
 
@@ -207,14 +220,23 @@ def merge_wrappers(a: list | None, b: list) -> list:
     return b if a is None else [a[0] + b[0], align(a[1], b[1])]
 
 
+@lru_cache(maxsize=65536)
 def _is_template(label: str) -> bool:
     tag, *words = label.split(".")
-    return tag in TEMPLATE_TAGS or not TEMPLATE_WORDS.isdisjoint(words)
+    return tag in TEMPLATE_TAGS or tag not in NEVER and _template_words(words)
+
+
+def _template_words(words: list[str]) -> bool:
+    """Whether one of the words is made of template words alone, NEUTRAL ones beside them."""
+    kept = [[w for w in word.split("-") if w not in NEUTRAL] for word in words]
+    return any(parts and TEMPLATE_WORDS.issuperset(parts) for parts in kept)
 
 
+@lru_cache(maxsize=65536)
 def _is_main(label: str) -> bool:
     tag, *words = label.split(".")
-    return tag in ("article", "main") or "main" in words and tag in ("div", "section") and "content" in words
+    parts = {w for word in words for w in word.split("-")}
+    return tag in ("article", "main") or "main" in parts and tag in ("div", "section") and "content" in parts
 
 
 def _links_alone(items: list) -> bool:
@@ -308,7 +330,7 @@ def extract(page: str | None, wrapper: str | None) -> str:
                 continue
             kind, inner = kind_of(child, slots)
             # An article's own header holds its headline.
-            if child.tag in RAW or kind == "template" and not (in_main and child.label == "header") or kind == "links" and not in_main:
+            if child.tag in RAW or kind == "template" and not (in_main and child.tag == "header" and not _template_words(child.label.split(".")[1:])) or kind == "links" and not in_main:
                 continue
             if child.tag in BLOCK:
                 close()

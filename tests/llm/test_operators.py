@@ -243,6 +243,22 @@ def test_only_what_all_pages_have_is_constant(spark):
     assert "Alone" in got[3] and all(f"Text {k}" in got[k] for k in range(6))
 
 
+def test_words_and_depth_hide_no_article():
+    for shell in (
+        '<body class="has-sidebar"><p>Real</p></body>', '<body class="sidebar"><p>Real</p></body>', '<html class="search"><body id="comments"><p>Real</p></body></html>',
+        '<div class="no-sidebar content"><p>Real</p></div>', '<article class="post comments-open"><p>Real</p></article>', '<article class="comments"><p>Real</p></article>',
+        '<main role="search"><p>Real</p></main>', '<article><h2 class="section-header">Real</h2></article>', '<article><div class="search-results">Real</div></article>',
+        '<article><header class="entry-header"><h1>Real</h1></header></article>',
+    ):
+        assert wrappers.extract(shell, None) == "Real", shell
+    for hidden in ('<div class="cookie-notice">x</div>', '<div class="x ad">x</div>', '<div id="comments-list">x</div>', '<div class="site-footer">x</div>', '<div role="navigation">x</div>'):
+        assert wrappers.extract(f"<body><p>Real</p>{hidden}</body>", None) == "Real", hidden
+    deep = "<div>" * 150 + "deep" + "</div>" * 150
+    assert wrappers.extract(f"<body><div><article><p>One</p>{deep}<p>Two</p></article></div><p>after</p></body>", None) == "One\ndeep\nTwo"
+    assert wrappers.extract("<div>" * 150 + "<nav><p>menu</p></nav><article><p>Real</p><nav>x<p>y</p></nav><div>more</div></article>" + "</div>" * 150 + "<p>after</p>", None).split() == ["Real", "more"]
+    assert wrappers.extract("<div>" * 150000 + "</x>" * 150000 + "<p>end" + "<b>" * 50000 + "<li></li>" * 5000, None) == "end"
+
+
 # 7 --------------------------------------------------------------------------------------------
 
 def brute_fingerprint(text):
