@@ -20,8 +20,8 @@ A shard's links leave it as a star per component, never as all pairs. Equal fing
 node from the start, so copies cost nothing.
 
 Edge cases: a null or empty text has no shingles, fingerprint zero, and is linked as any other; rows
-that repeat a doc_id each get a row, and `deduplicate` keeps or drops them together; null doc_ids
-never name a component unless it has no other; an empty table gives no rows; extra columns pass
+that repeat a doc_id each get a row; null doc_ids never name a component unless it has no other;
+`deduplicate` decides by row and keeps exactly one of each component; an empty table gives no rows; extra columns pass
 through `deduplicate`.
 """
 
@@ -254,20 +254,33 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 
+def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """fp, root and least of nodes (fp, least): root is one for all of a component."""
+    nodes = materialise(nodes, "simhash-nodes")
+    roots = components(links(nodes.select("fp"), radius))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "coalesce(root, fp) AS root", "least")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of the component) of every document."""
     fps = materialise(fingerprints(docs.select("doc_id", "text"), shingle=shingle), "simhash")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), radius))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "coalesce(root, fp) AS root", "least")
+    named = _rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), radius)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs without those whose component has a smaller doc_id."""
-    gone = near_duplicates(docs, radius, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs for each component: that of the smallest doc_id, nulls last, then by a hash of the text.
+
+    Rows are numbered once and written, so that rows which are equal in everything are told apart.
+    """
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    fps = materialise(fingerprints(rows.select("doc_id", F.xxhash64("text").alias("_th"), "_row", "text"), out="fp", shingle=shingle), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th", "_row"))
+    named = _rooted(fps.groupBy("fp").agg(first.alias("least")), radius)
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select("least._row")
+    gone = fps.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -300,6 +300,18 @@ def test_simhash_components(spark, odd, docs, texts):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_deduplicate_keeps_one_row_of_each_component(spark, odd):
+    parts = {}
+    for d, t, *_ in ODD:
+        parts.setdefault(0 if not (t or "").split() else brute_fingerprint(t), []).append((d, t))
+    parts[brute_fingerprint(LONG)] += parts.pop(brute_fingerprint(LONG + " tail"), []) if brute_fingerprint(LONG + " tail") != brute_fingerprint(LONG) else []
+    got = sorted(((r.doc_id, r.text) for r in simhash.deduplicate(odd).collect()), key=str)
+    assert len(got) == len(parts) and got.count((6, "same id")) == 1 and [t for d, t in got if d == 5] == [LONG]
+    more = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "x y z"), (None, "x y z"), (4, "x y z"), (4, "x y z"), (9, "x y z")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.deduplicate(more.repartition(3)).collect()), key=str) == [(4, "x y z"), (None, "a b c d")]
+    assert simhash.deduplicate(empty(spark)).count() == 0
+
+
 def test_vantage_point_forest_loses_no_link(spark):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**63, 12).astype(np.uint64)
