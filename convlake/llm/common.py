@@ -15,15 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of its own only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The cluster's spark.checkpoint.dir; a folder of its own only where that is unset and all runs in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (path or LOCAL_SHARED).rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Remove what `materialise` wrote, once nothing will read it any more."""
+    sc = made.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(made.written_to)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def doc_key() -> "F.Column":

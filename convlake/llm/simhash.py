@@ -1,20 +1,22 @@
-"""SimHash near-duplicates through forests of vantage-point trees.
+"""SimHash near-duplicates through vantage-point trees.
 
 Fingerprints are 64 bits: bit i is 1 if it is set in over half of the XXH64 hashes of a text's word
 shingles. Two fingerprints that differ in at most RADIUS bits are linked; a component is what links
 reach.
 
-The trees split fingerprints by Hamming distance to vantage points and leave out a branch when the
-triangle inequality shows that nothing in it can be within the radius. Over all 64 bits a tree of
-random fingerprints hardly prunes (distances crowd around 32, and most fingerprints lie within the
-radius of any boundary), so the top of the forest uses distances on parts of the bits, which are
-lower bounds of the whole distance: of BLOCKS parts, two that are linked agree on at least
-BLOCKS - RADIUS, so in one forest per choice of that many parts they have distance 0 on it. Grown
-fully, with radius 0, the branches of such a tree are the values of the chosen bits: those are the
-shards, and no boundary overlaps. Inside a shard the vantage-point trees use all bits with the true
-radius. A shard of over SHARD fingerprints is first split further by distance to a vantage point of
-its own: shells wider than the radius, each fingerprint also visiting the next shell if its ball
-reaches over the boundary, and shells over the size again into pairs of pieces. No bucket is capped.
+A vantage-point tree splits the distinct fingerprints into shards by their Hamming distance to
+vantage points: at a node what is no further than its middle goes inside, the rest outside. Vantage
+points and middles come from a sample of at most about 2 x MOST_SAMPLE fingerprints; every
+fingerprint is then routed. It has one home shard, and visits each shard across a boundary that its
+ball of RADIUS overlaps; by the triangle inequality nothing linked to it is elsewhere. Of the two
+sides of a boundary only the outer one visits the inner, so a pair meets once. In a shard the tree
+goes on in memory, with the same bounds, down to LEAF fingerprints that are compared directly. A
+shard over LARGE rows (so many fingerprints in one ball that no vantage point parts them) is cut
+into pieces, and each pair of pieces is one unit of work. Exact; no caps.
+
+Distances of unlike fingerprints crowd around 32 with a deviation of 4, so a level of the tree leaves
+about three quarters of the pairs: n fingerprints cost about n to the power 1.6 comparisons, and a
+fingerprint visits about half of 1.55 to the power of the tree's depth shards.
 
 A shard's links leave it as a star per component, never as all pairs. Equal fingerprints are one
 node from the start, so copies cost nothing.
@@ -27,22 +29,22 @@ through `deduplicate`.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convlake.llm.common import materialise
+from convlake.llm.common import discard, materialise
 
 SHINGLE = 3
 RADIUS = 3
-BLOCKS = 5
-SHARD = 1 << 16
+SHARD = 1 << 15
+LARGE = 1 << 18
 LEAF = 512
-SMALL_RUN = 8
+SAMPLE_PER_SHARD = 64
+LEAST_SAMPLE, MOST_SAMPLE = 1 << 13, 1 << 20
+CANDIDATES = 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -79,10 +81,11 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle:
 
 
 class Components:
-    """Union-find over the indices of an array, many links at a time."""
+    """Union-find over the indices of an array, many links at a time; counts the pairs compared and the branches pruned."""
 
     def __init__(self, n: int):
         self.root = np.arange(n)
+        self.compared = self.pruned = 0
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
@@ -112,12 +115,13 @@ def _all_pairs(x: np.ndarray, a: np.ndarray, b: np.ndarray, found: Components, r
         for m in range(0, len(b), LEAF):
             other = b[m : m + LEAF]
             if not found.one(part, other):
+                found.compared += len(part) * len(other)
                 i, j = np.nonzero(_distance(x[part][:, None], x[other][None, :]) <= radius)
                 found.link(part[i], other[j])
 
 
 def _across(x: np.ndarray, a: np.ndarray, b: np.ndarray, found: Components, radius: int) -> None:
-    """Link what is within the radius between two sets of indices."""
+    """Link what is within the radius between two sets of indices: b visits the sides of a that its balls overlap."""
     if not len(a) or not len(b) or found.one(a, b):
         return
     if len(a) * len(b) <= LEAF * LEAF:
@@ -127,8 +131,9 @@ def _across(x: np.ndarray, a: np.ndarray, b: np.ndarray, found: Components, radi
     middle = int(np.median(np.r_[da, db]))
     near, far = b[db <= middle + radius], b[db > middle - radius]
     inner, outer = a[da <= middle], a[da > middle]
-    if len(inner) * len(near) + len(outer) * len(far) > 0.9 * len(a) * len(b):
+    if len(inner) * len(near) + len(outer) * len(far) > 0.95 * len(a) * len(b):
         return _all_pairs(x, a, b, found, radius)
+    found.pruned += 2 * len(b) - len(near) - len(far)
     _across(x, inner, near, found, radius)
     _across(x, outer, far, found, radius)
 
@@ -147,88 +152,129 @@ def _within(x: np.ndarray, index: np.ndarray, found: Components, radius: int) ->
             inner, outer = index[d <= middle], index[d > middle]
         if not len(inner):
             continue
-        _across(x, index[(d <= middle) & (d > middle - radius)], index[(d > middle) & (d <= middle + radius)], found, radius)
+        visit = index[(d > middle) & (d <= middle + radius)]
+        found.pruned += len(outer) - len(visit)
+        _across(x, index[(d <= middle) & (d > middle - radius)], visit, found, radius)
         small, index = (inner, outer) if len(inner) < len(outer) else (outer, inner)
         _within(x, small, found, radius)
     if len(index) > 1 and not found.one(index):
         _all_pairs(x, index, index, found, radius)
 
 
-def shard_links(x: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, root) stars over the distinct fingerprints of a shard."""
+def search(homes: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, Components]:
+    """(fingerprint, root) stars of what is linked among the homes of a shard, or to one of them, and the state of the search."""
+    x = np.r_[homes, visitors]
     found = Components(len(x))
-    _within(x, np.arange(len(x)), found, radius)
+    own, other = np.arange(len(homes)), np.arange(len(homes), len(x))
+    _within(x, own, found, radius)
+    _across(x, own, other, found, radius)
     linked = np.flatnonzero(found.root != np.arange(len(x)))
-    return x[linked], x[found.root[linked]]
+    return x[linked], x[found.root[linked]], found
 
 
-def _masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(parts, blocks - radius)]
+class Tree:
+    """Vantage points, each with the middle that splits what is around it; the leaves are shards.
+
+    Fitted on a sample, for about so many shards as are wanted. Of CANDIDATES vantage points that has the
+    node whose boundary the fewest balls overlap.
+    """
+
+    def __init__(self, sample: np.ndarray, shards: int, radius: int = RADIUS):
+        self.radius, self.shards = radius, 0
+        self.nodes: list[tuple] = []  # (vantage, middle, inner, outer), or (None, shard)
+        self._grow(np.asarray(sample, dtype=np.uint64), shards)
+
+    def _split(self, x: np.ndarray) -> tuple | None:
+        best = None
+        for vantage in x[:: -(-len(x) // CANDIDATES)]:
+            d = _distance(x, vantage).astype(np.int16)
+            middle = int(np.median(d))
+            middle -= not (d > middle).any()
+            overlap = int(((d > middle - self.radius) & (d <= middle + self.radius)).sum())
+            if (d <= middle).any() and (best is None or overlap < best[0]):
+                best = overlap, vantage, middle, d <= middle
+        return best
+
+    def _grow(self, x: np.ndarray, shards: int) -> int:
+        at = len(self.nodes)
+        self.nodes.append(())
+        split = self._split(x) if shards > 1 and len(x) > 1 else None
+        if split is None:
+            self.nodes[at] = None, self.shards
+            self.shards += 1
+        else:
+            _, vantage, middle, inside = split
+            share = round(shards * inside.mean())
+            self.nodes[at] = vantage, middle, self._grow(x[inside], share), self._grow(x[~inside], shards - share)
+        return at
+
+    def route(self, x: np.ndarray):
+        """(shard, indices of x, whether it is their home) of every shard that x belongs to or visits."""
+        todo = [(0, np.arange(len(x)), np.ones(len(x), dtype=bool))]
+        while todo:
+            at, index, home = todo.pop()
+            if not len(index):
+                continue
+            vantage, *rest = self.nodes[at]
+            if vantage is None:
+                yield rest[0], index, home
+                continue
+            middle, inner, outer = rest
+            d = _distance(x[index], vantage).astype(np.int16)
+            inside, outside = d <= middle + self.radius, np.where(home, d > middle, d > middle - self.radius)
+            todo += [(inner, index[inside], home[inside] & (d[inside] <= middle)), (outer, index[outside], home[outside])]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def tree_of(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Tree:
+    """The tree over the distinct fingerprints of nodes (column fp), about `shard` of them in each leaf."""
+    n = nodes.count()
+    shards = -(-n // shard)
+    size = min(MOST_SAMPLE, max(LEAST_SAMPLE, SAMPLE_PER_SHARD * shards))
+    sample = nodes.where(F.expr(f"pmod(xxhash64(fp), {max(1, n // size)}) = 0")).select("fp").collect() if shards > 1 else []
+    return Tree(np.sort(np.array([r[0] for r in sample], dtype=np.int64)).view(np.uint64), shards, radius)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD, large: int = LARGE) -> DataFrame:
     """Stars (u, v) that connect the distinct fingerprints of nodes (column fp) as all links would."""
-    masks = F.array(*[F.struct(F.lit(j).alias("f"), F.lit(_signed(m)).cast("long").alias("m")) for j, m in enumerate(_masks(blocks, radius))])
-    keyed = nodes.select("fp", F.explode(masks).alias("k")).select("fp", F.col("k.f").alias("f"), F.expr("fp & k.m").alias("b"))
-    large = materialise(keyed.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).where(F.col("n") > shard), "simhash-large")
-    zero = F.lit(0).alias
-    rows = keyed.select("fp", "f", "b", zero("shell"), zero("i"), zero("j"))
-    if not large.isEmpty():
-        small = keyed.join(large, ["f", "b"], "left_anti")
-        width = radius + 1
-        shells = keyed.join(large, ["f", "b"]).withColumn("d", F.expr("bit_count(fp ^ vantage)"))
-        shells = shells.withColumn("shell", F.explode(F.expr(f"array_distinct(array(d div {width}, (d + {radius}) div {width}))")))
-        sizes = shells.groupBy("f", "b", "shell").agg(F.expr(f"cast(ceil(count(*) / {shard}) AS int)").alias("pieces"))
-        split = shells.join(sizes, ["f", "b", "shell"]).withColumn("p", F.expr("cast(pmod(xxhash64(fp), pieces) AS int)"))
-        split = split.withColumn("q", F.explode(F.expr("sequence(0, pieces - 1)")))
-        rows = small.select("fp", "f", "b", zero("shell"), zero("i"), zero("j")).unionByName(
-            split.select("fp", "f", "b", F.col("shell").cast("int"), F.expr("least(p, q)").alias("i"), F.expr("greatest(p, q)").alias("j"))
-        )
-    keys = ["f", "b", "shell", "i", "j"]
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "fp")
+    sent = nodes.sparkSession.sparkContext.broadcast(tree_of(nodes, radius, shard))
+
+    def route(batches):
+        for batch in batches:
+            x = batch.column(0).to_numpy().view(np.uint64)
+            for number, index, home in sent.value.route(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), number, dtype=np.int32)), pa.array(x[index].view(np.int64)), pa.array(home)], ["shard", "fp", "home"])
+
+    routed = nodes.select("fp").mapInArrow(route, "shard int, fp long, home boolean")
+    sizes = routed.groupBy("shard").agg(F.expr(f"cast(ceil(count(*) / {large}) AS int)").alias("pieces")).where("pieces > 1")  # a row per large shard
+    rows = routed.join(F.broadcast(sizes), "shard", "left").withColumn("p", F.expr("cast(pmod(xxhash64(fp), coalesce(pieces, 1)) AS int)"))
+    rows = rows.withColumn("q", F.explode(F.expr("sequence(0, coalesce(pieces, 1) - 1)")))
+    keys = ["shard", "i", "j"]
+    rows = rows.selectExpr("shard", "least(p, q) AS i", "greatest(p, q) AS j", "fp", "home").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
-        held: list[np.ndarray] = []
-
-        def out(u, v):
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-        def close(cols, upto):
-            """Links of the whole runs in the first upto rows."""
-            if not upto:
-                return
-            fp = cols[0][:upto].view(np.uint64)
-            new = np.r_[True, np.any([c[1:upto] != c[: upto - 1] for c in cols[1:]], axis=0)]
-            run_of, first = np.cumsum(new) - 1, np.flatnonzero(new)
-            size = np.diff(np.r_[first, upto])
-            for gap in range(1, SMALL_RUN):
-                a = np.flatnonzero((run_of[gap:] == run_of[:-gap]) & (size[run_of[gap:]] <= SMALL_RUN))
-                a = a[_distance(fp[a], fp[a + gap]) <= radius]
-                if len(a):
-                    yield out(fp[a + gap], fp[a])
-            for r in np.flatnonzero(size > SMALL_RUN):
-                u, v = shard_links(fp[first[r] : first[r] + size[r]], radius)
+        held: list[tuple] = []
+        at = None
+
+        def close():
+            if held:
+                fp, home = (np.concatenate(c) for c in zip(*held))
+                held.clear()
+                u, v, _ = search(fp[home], fp[~home], radius)
                 if len(u):
-                    yield out(u, v)
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", *keys)]
-            if held:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            if not len(cols[0]):
-                continue
-            last = np.all([c == c[-1] for c in cols[1:]], axis=0)
-            upto = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-            yield from close(cols, upto)
-            held = [c[upto:] for c in cols]
-        if held:
-            yield from close(held, len(held[0]))
+            where = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+            fp, home = batch.column("fp").to_numpy().view(np.uint64), batch.column("home").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(fp)]):
+                if a == b:
+                    continue
+                if at != (own := tuple(where[a].tolist())):
+                    yield from close()
+                    at = own
+                held.append((fp[a:b], home[a:b]))
+        yield from close()
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
@@ -246,7 +292,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         large = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").selectExpr("v AS u", "m AS v").unionByName(least.selectExpr("u", "m AS v"))
-        now = materialise(small.distinct(), "components")
+        last, now = now, materialise(small.distinct(), "components")
+        discard(last)
         state = tuple(now.agg(F.count("*"), F.expr("coalesce(sum(cast(xxhash64(u, v) AS decimal(38, 0))), 0)")).first())
         if state == before:
             return now.selectExpr("u AS node", "v AS root")
