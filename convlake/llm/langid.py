@@ -23,6 +23,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from convlake.llm.common import doc_key, materialise
 
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MAX_RUN = 48
 LETTERS = re.compile(r"[^\W\d_]+")
 SAMPLE_PER_LANGUAGE = 200

@@ -22,11 +22,12 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 CACHE_UNITS = 250_000
 UNITS = re.compile("\n|▁*[^▁\n]+|▁+")

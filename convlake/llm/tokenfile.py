@@ -25,15 +25,17 @@ import uuid
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlake.llm.common import shared_dir
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 BLOCK = 256
 CHUNK_IDS = 1 << 20
@@ -130,34 +132,43 @@ class Encoder:
 
     The pre-tokenizer of such a vocabulary always ends a piece before white space that follows
     something else, and behind letters that anything but a letter follows. So a text's ids are those
-    of its units, cut at such places; units are remembered. Texts with control letters on which notions of
-    white space differ are encoded at once.
+    of its units, cut at such places; units are remembered. Texts with a special token of the vocabulary, or with control
+    letters on which notions of white space differ, are encoded at once.
     """
 
     units = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\s!-@\[-`{-~]|$)|\s*\S+|\s+$")
-    odd = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join(["[\x1c-\x1f]", *special]))
         self.cache: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, units: list[str]) -> list[bytes]:
+        """The ids of units that begin and end where pieces do: all of them as one sequence."""
+        made = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
+        bounds = (4 * np.searchsorted(np.array(made.word_ids, dtype=np.int64), np.arange(len(units) + 1))).tolist()
+        raw = array("I", made.ids).tobytes()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        rows = [[] if not t else [t] if self.odd.search(t) else self.units.findall(t) for t in texts]
+        rows = [None if t and self.odd.search(t) else self.units.findall(t or "") for t in texts]
         known = self.cache
-        new = [u for u in set().union(*rows) if u not in known]
+        new = [u for u in set(chain.from_iterable(r for r in rows if r)) if u not in known]
         if len(known) + len(new) > CACHE_UNITS:
             known.clear()
-            new = list(set().union(*rows))
-        known.update(zip(new, self._encode(new)))
-        return [b"".join([known[u] for u in row]) for row in rows]
+            new = list(set(chain.from_iterable(r for r in rows if r)))
+        if new:
+            known.update(zip(new, self._encode(new)))
+        ids = known.__getitem__
+        return [self._whole(t) if row is None else b"".join(map(ids, row)) for t, row in zip(texts, rows)]
 
 
 @lru_cache(maxsize=2)
