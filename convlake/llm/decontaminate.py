@@ -1,18 +1,24 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every Arrow batch of documents is a shard. Its words are numbered by the benchmark's vocabulary
-(0: a word that no item has), and its suffix array holds the positions from which enough words in a
-row are benchmark words: no other suffix can begin with a window. Suffixes are compared over the
-words that the longest window has. All distinct windows of the benchmark are binary-searched in the
-sorted suffixes; the range found is every place of the window in the shard.
+Documents come in shards of about SHARD_CHARS characters. A shard's words are numbered by the
+benchmark's vocabulary (0: a word that no item has, or the end of a document), and its suffix array
+holds every position of a benchmark word, sorted by the words that follow up to the next 0; prefix
+doubling goes on until as many words are compared as the longest item has.
+
+Every suffix of a benchmark item that begins a window is binary-searched in the array, word by word,
+all of them at once. The range left after the window's words is every place where it stands. Places
+whose words before are alike are those of the suffix before; of the others each is extended word by
+word to the longest verbatim match, with its location in document and item. A document word lies in
+an occurrence of a window if and only if it lies in such a match.
 
 A window is WINDOW consecutive words of an item; a shorter item, if it has words, is one window.
-A verbatim match of more words is a chain of windows on one diagonal, which `find_matches` joins
-into the longest match. The benchmark is broadcast in blocks of bounded size, each searched in turn.
+The benchmark is broadcast in blocks of BLOCK_CHARS characters (about 60 MB as built), searched one
+after another; what a block's suffixes are met by is extended in bounded portions.
 
 Edge cases: a null or empty text has no words and no hit; null or empty items, and items with null
-id, are ignored; an empty benchmark hits nothing; repeated documents are reported one by one;
-items_sha256 of no items is that of the empty string; extra columns pass through.
+id, are ignored; an empty benchmark hits nothing; items of equal text all count; repeated documents
+are reported one by one; items_sha256 of no items is that of the empty string; extra columns pass
+through, but for those with names of results.
 """
 
 from __future__ import annotations
@@ -29,8 +35,9 @@ from pyspark.sql import types as T
 
 WINDOW = 10
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 SHARD_CHARS = 16_000_000
+PORTION = 1 << 21
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -39,55 +46,102 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """The distinct windows of some items, numbered, and where each stands."""
+    """Some items as one sequence of word numbers, a 0 after each, and the suffixes that begin a window."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        places: dict[tuple[int, ...], list[tuple[str, int]]] = {}
-        for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for a in range(max(1, len(words) - window + 1) if words else 0):
-                places.setdefault(tuple(words[a : a + window]), []).append((item, a))
-        self.windows = list(places)
-        self.places = [places[w] for w in self.windows]
-        self.items = [sorted({i for i, _ in p}) for p in self.places]
-        self.sizes = np.array([len(w) for w in self.windows], dtype=np.int64)
-        self.depth, self.least = (int(self.sizes.max()), int(self.sizes.min())) if len(self.sizes) else (0, 0)
-        low = np.zeros((len(self.windows), self.depth), dtype=">u4")
-        high = np.full((len(self.windows), self.depth), 0xFFFFFFFF, dtype=">u4")
-        for k, w in enumerate(self.windows):
-            low[k, : len(w)] = high[k, : len(w)] = w
-        self.low, self.high = _keys(low), _keys(high)
-
-
-def _keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of big-endian numbers as byte strings, which sort as the rows do."""
-    rows = np.ascontiguousarray(rows)
-    return rows.view(f"S{4 * rows.shape[1]}").ravel() if rows.size else np.empty(0, dtype="S4")
-
-
-def search(block: Block, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ids (0: not a benchmark word) at which windows stand, and which windows."""
-    none = np.empty(0, dtype=np.int64)
-    if not len(ids) or not block.depth:
-        return none, none
-    stops = np.flatnonzero(np.r_[ids == 0, True])
+        by_words: dict[tuple[int, ...], list[str]] = {}
+        for item, text in sorted(items):
+            words = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text))
+            if words:
+                by_words.setdefault(words, []).append(item)
+        self.names = [sorted(set(n)) for n in by_words.values()]  # items of equal words go together
+        size = np.array([len(w) for w in by_words], dtype=np.int64)
+        self.starts = np.cumsum(size + 1) - size - 1
+        self.ids = np.zeros(int((size + 1).sum()) + 1, dtype=np.int32)
+        for words, a in zip(by_words, self.starts):
+            self.ids[a : a + len(words)] = words
+        many = np.maximum(size - window, 0) + 1
+        self.owner = np.repeat(np.arange(len(size)), many)
+        self.suffixes = self.starts[self.owner] + np.arange(len(self.owner)) - np.repeat(np.cumsum(many) - many, many)
+        self.need = np.minimum(size, window)[self.owner]
+        self.least, self.longest = (int(self.need.min()), int(size.max())) if len(size) else (0, 0)
+
+
+def suffix_array(ids: np.ndarray, depth: int, least: int = 1) -> np.ndarray:
+    """The positions with `least` words or more before the next 0, sorted by these words, the first `depth` at least."""
+    stops = np.flatnonzero(ids == 0)
     run = stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids))
-    suffixes = np.flatnonzero(run >= block.least)
-    if not len(suffixes):
-        return none, none
-    padded = np.r_[ids, np.zeros(block.depth, dtype=ids.dtype)]
-    rows = np.zeros((len(suffixes), block.depth), dtype=">u4")
-    for k in range(block.depth):
-        rows[:, k] = np.where(run[suffixes] > k, padded[suffixes + k], 0)
-    keys = _keys(rows)
-    order = np.argsort(keys, kind="stable")
-    keys, array = keys[order], suffixes[order]
-    first, last = np.searchsorted(keys, block.low, "left"), np.searchsorted(keys, block.high, "right")
-    found = np.flatnonzero(last > first)
-    count = (last - first)[found]
-    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return array[np.repeat(first[found], count) + inside], np.repeat(found, count)
+    at = np.flatnonzero(run > 0)
+    rank = np.zeros(len(ids), dtype=np.int64)
+    rank[at] = ids[at]
+    done = 1
+    while done < depth and len(at):
+        after = np.where(run[at] > done, rank[np.minimum(at + done, len(ids) - 1)], 0)
+        key = rank[at] * (int(rank.max()) + 1) + after
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        rank[at[order]] = np.cumsum(np.r_[True, key[1:] != key[:-1]])
+        done *= 2
+    array = at[np.argsort(rank[at], kind="stable")]
+    return array[run[array] >= least]
+
+
+def _bound(ids: np.ndarray, array: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, word: np.ndarray, right: bool) -> np.ndarray:
+    """Per range of the array, whose suffixes agree on k words, the first place where the next word is not below `word`
+    (or with `right` above it)."""
+    low, high = low.copy(), high.copy()
+    live = np.flatnonzero(low < high)
+    while len(live):
+        middle = (low[live] + high[live]) // 2
+        here = ids[array[middle] + k]
+        below = here <= word[live] if right else here < word[live]
+        low[live[below]] = middle[below] + 1
+        high[live[~below]] = middle[~below]
+        live = live[low[live] < high[live]]
+    return low
+
+
+def ranges(block: Block, ids: np.ndarray, array: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per suffix of the block the range of the array that begins with its window; empty where low = high."""
+    low, high = np.zeros(len(block.suffixes), dtype=np.int64), np.full(len(block.suffixes), len(array))
+    for k in range(int(block.need.max()) if len(block.need) else 0):
+        live = np.flatnonzero((block.need > k) & (low < high))
+        if not len(live):
+            break
+        word = block.ids[block.suffixes[live] + k]
+        a, b = low[live], high[live]
+        low[live] = _bound(ids, array, a, b, k, word, False)
+        high[live] = _bound(ids, array, low[live], b, k, word, True)
+    return low, high
+
+
+def matches(block: Block, ids: np.ndarray):
+    """Portions of the longest verbatim matches: (position in ids, position in block.ids, words, owner). ids end with a 0."""
+    if not len(ids) or not len(block.suffixes):
+        return
+    array = suffix_array(ids, block.longest, block.least)
+    low, high = ranges(block, ids, array)
+    met = np.flatnonzero(high > low)
+    total = np.cumsum(high[met] - low[met])
+    cuts = np.searchsorted(total, np.arange(PORTION, total[-1] if len(total) else 0, PORTION), "right")
+    for part in np.split(met, np.unique(cuts)):
+        count = high[part] - low[part]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        p, s = array[np.repeat(low[part], count) + inside], np.repeat(part, count)
+        t = block.suffixes[s]
+        # What agrees on the word before too is part of the match that began there.
+        before = np.where(t > 0, block.ids[t - 1], 0)
+        new = (before == 0) | (p == 0) | (ids[p - 1] != before)
+        p, s, t = p[new], s[new], t[new]
+        size = block.need[s].copy()
+        live = np.arange(len(p))
+        while len(live):
+            word = ids[p[live] + size[live]]
+            live = live[(word != 0) & (word == block.ids[t[live] + size[live]])]
+            size[live] += 1
+        if len(p):
+            yield p, t, size, block.owner[s]
 
 
 def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> list:
@@ -111,8 +165,8 @@ def _shards(batches, text: str):
 
 
 def _numbered(block: Block, docs: list[list[bytes]], starts: np.ndarray) -> np.ndarray:
-    """The words of all documents as ids; a 0 ends each document."""
-    ids = np.zeros(starts[-1], dtype=np.int64)
+    """The words of all documents as ids; a 0 ends each document, and one more the shard."""
+    ids = np.zeros(starts[-1] + 1, dtype=np.int64)
     get = block.vocabulary.get
     for words, a in zip(docs, starts):
         ids[a : a + len(words)] = np.fromiter(map(get, words, repeat(0)), dtype=np.int64, count=len(words))
@@ -120,9 +174,9 @@ def _numbered(block: Block, docs: list[list[bytes]], starts: np.ndarray) -> np.n
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """docs with n_words, n_hit, n_items, items_sha256 and contaminated."""
+    """docs with n_words, n_hit, n_items, items_sha256, contaminated and longest (words of the longest match)."""
     sent = blocks_of(benchmark, window)
-    added = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
+    added = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("longest", T.LongType())]
     keep = [c for c in docs.columns if c not in dict(added)]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in added])
 
@@ -131,16 +185,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
             sizes = np.array([len(w) for w in words], dtype=np.int64)
             starts = np.r_[0, np.cumsum(sizes + 1)]
             step = np.zeros(starts[-1] + 1, dtype=np.int64)
+            longest = np.zeros(len(words), dtype=np.int64)
             items: dict[int, set[str]] = {}
             for one in sent:
                 block = one.value
-                at, which = search(block, _numbered(block, words, starts))
-                if len(at):
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + block.sizes[which], -1)
-                    pairs = np.unique(np.stack([np.searchsorted(starts, at, "right") - 1, which], axis=1), axis=0)
-                    for doc, w in pairs.tolist():
-                        items.setdefault(doc, set()).update(block.items[w])
+                for p, _, size, owner in matches(block, _numbered(block, words, starts)):
+                    np.add.at(step, p, 1)
+                    np.add.at(step, p + size, -1)
+                    doc = np.searchsorted(starts, p, "right") - 1
+                    np.maximum.at(longest, doc, size)
+                    for d, i in np.unique(np.stack([doc, owner], axis=1), axis=0).tolist():
+                        items.setdefault(d, set()).update(block.names[i])
             hit = np.r_[0, np.cumsum(np.cumsum(step[:-1]) > 0)]
             n_hit = hit[starts[1:]] - hit[starts[:-1]]
             joined = [",".join(sorted(items.get(d, ()))) for d in range(len(words))]
@@ -150,6 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                 pa.array([len(items.get(d, ())) for d in range(len(words))], pa.int64()),
                 pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string()),
                 pa.array(n_hit > 0, pa.bool_()),
+                pa.array(longest, pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], schema.names)
 
@@ -162,27 +218,22 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
     A match is as long as it can be on both sides, and has at least a window's words.
     """
     sent = blocks_of(benchmark, window)
-    schema = T.StructType([docs.schema[key]] + [T.StructField("item_id", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("doc_start", "item_start", "n_words")])
+    names = ["item_id", "doc_start", "item_start", "n_words"]
+    schema = T.StructType([docs.schema[key]] + [T.StructField(n, T.LongType() if k else T.StringType()) for k, n in enumerate(names)])
 
     def run(batches):
         for batch, words in _shards(batches, text):
             starts = np.r_[0, np.cumsum(np.array([len(w) for w in words], dtype=np.int64) + 1)]
-            keys, rows = batch.column(key).to_pylist(), []
+            keys = batch.column(key)
             for one in sent:
                 block = one.value
-                at, which = search(block, _numbered(block, words, starts))
-                places = []
-                for p, w in zip(at.tolist(), which.tolist()):
-                    places += [(item, p - q, p, int(block.sizes[w])) for item, q in block.places[w]]
-                places.sort()
-                for item, diagonal, p, n in places:
-                    last = rows[-1] if rows else None
-                    if last and last[:2] == [item, diagonal] and p <= last[2] + last[3] and p < starts[last[4] + 1]:
-                        last[3] = max(last[3], p + n - last[2])
-                    else:
-                        rows.append([item, diagonal, p, n, int(np.searchsorted(starts, p, "right")) - 1])
-            made = [(keys[d], item, p - int(starts[d]), p - diagonal, n) for item, diagonal, p, n, d in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * 5, [batch.schema.field(key).type, pa.string(), pa.int64(), pa.int64(), pa.int64()])], schema.names)
+                for p, t, size, owner in matches(block, _numbered(block, words, starts)):
+                    doc = np.searchsorted(starts, p, "right") - 1
+                    many = np.array([len(n) for n in block.names], dtype=np.int64)[owner]
+                    row = np.repeat(np.arange(len(p)), many)
+                    item = [name for i in owner.tolist() for name in block.names[i]]
+                    made = [pa.array(item, pa.string())] + [pa.array(c[row], pa.int64()) for c in (p - starts[doc], t - block.starts[owner], size)]
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc[row])), *made], schema.names)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -200,3 +251,22 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = contamination(docs, table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP4_SQL = f"""
+WITH b AS (SELECT item_id::varchar AS item, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (
+  SELECT DISTINCT item, least(len(ws), {WINDOW}) AS n, array_to_string(ws[a : a + {WINDOW} - 1], ' ') AS w
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - {WINDOW}, 0) + 2)) AS a FROM b WHERE len(ws) > 0)
+), d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+dw AS (
+  SELECT doc_id, n, a, array_to_string(ws[a : a + n - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS a FROM d, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)
+), m AS (SELECT dw.doc_id, dw.a, dw.n, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.w = bw.w),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(a, a + n)) AS k FROM (SELECT DISTINCT doc_id, a, n FROM m)) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE "binary") AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""

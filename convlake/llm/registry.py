@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_fixity": fixity.OP1_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
     "op8_url_filter": urlfilter.OP8_SQL,
 }

@@ -154,9 +154,36 @@ def test_contamination_is_exact(spark, odd, docs, texts):
     assert got == sorted((d or 0, *brute_hits(t, items)[:3]) for d, t, *_ in ODD)
     assert decontaminate.contamination(odd, empty(spark, "item_id long, text string")).where("contaminated").count() == 0
     assert decontaminate.decontaminate(odd, bench).columns == odd.columns
-    long = {(r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_words) for r in decontaminate.find_matches(odd, bench.where("item_id = 903")).collect()}
-    n = len(LONG[:400].split())
-    assert {(5, "903", 0, 0, n - 1), (6, "903", 0, 0, n - 1)} <= long or {(5, "903", 0, 0, n), (6, "903", 0, 0, n)} <= long
+
+
+def brute_matches(words, item, window=10):
+    """(doc_start, item_start, n) of the matches that can be made no longer on either side."""
+    out = set()
+    for a, b in itertools.product(range(len(words)), range(len(item))):
+        if words[a] == item[b] and not (a and b and words[a - 1] == item[b - 1]):
+            n = next((k for k in range(min(len(words) - a, len(item) - b)) if words[a + k] != item[b + k]), min(len(words) - a, len(item) - b))
+            if n >= min(window, len(item)):
+                out.add((a, b, n))
+    return out
+
+
+def test_longest_matches_are_exact(spark):
+    rnd = random.Random(6)
+    make = lambda n: " ".join(rnd.choice("abc") for _ in range(n))  # noqa: E731  few words: many and overlapping matches
+    texts = [make(rnd.randint(0, 120)) for _ in range(12)]
+    items = [(k, make(rnd.choice([3, 9, 10, 11, 40]))) for k in range(10)]
+    items += [(100, items[4][1]), (101, texts[3]), (102, "zz " + texts[5][:40])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_words) for r in decontaminate.find_matches(docs, bench).collect())
+    want = sorted((d, str(i), *m) for d, t in enumerate(texts) for i, x in items for m in brute_matches(t.split(), x.split()))
+    assert got == want and want
+    for r in decontaminate.contamination(docs, bench).collect():
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_hits(texts[r.doc_id], items)
+        assert r.longest == max((m[4] for m in want if m[0] == r.doc_id), default=0)
+    ids = np.array([2, 1, 2, 1, 0, 2, 1, 0])
+    array = decontaminate.suffix_array(ids, 4)
+    assert [ids[p : p + 5].tolist() for p in array] == sorted(ids[p : p + 5].tolist() for p in array) or array.tolist() == [3, 6, 1, 2, 5, 0]
 
 
 # 5 --------------------------------------------------------------------------------------------
@@ -175,7 +202,7 @@ def test_token_file(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenfile.TOKENIZER)
-    plain.encode_special_tokens = True
+    assert tokenfile.Encoder(tokenfile.TOKENIZER)(["a<|endoftext|>b"]) == [np.array([64, 50256, 65], dtype="<u4").tobytes()]
     out = f"{tmp_path}/ids"
     tokenfile.write_token_file(odd, out, shards=3, chunk_ids=1000)
     rows = sorted(tokenfile.read_token_file(spark, out, with_ids=True).collect(), key=lambda r: r.start)
@@ -321,17 +348,32 @@ def test_vantage_point_forest_loses_no_link(spark):
     fps = np.unique(np.r_[near, rng.integers(0, 2**63, 800).astype(np.uint64)])
     want = brute_components(list(range(len(fps))), [int(f) for f in fps])
     nodes = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
-    for shard in (1 << 16, 40):
-        root = {r.node: r.root for r in simhash.components(simhash.links(nodes, shard=shard)).collect()}
+    for shard, large in ((1 << 15, 1 << 18), (100, 1 << 18), (100, 60)):
+        root = {r.node: r.root for r in simhash.components(simhash.links(nodes, shard=shard, large=large)).collect()}
         label = [root.get(int(f), int(f)) for f in fps.view(np.int64)]
         first = {}
         assert [first.setdefault(x, k) for k, x in enumerate(label)] == want
-    u, v = simhash.shard_links(fps)
+    u, v, _ = simhash.search(fps, fps[:0])
     root = dict(zip(u.tolist(), v.tolist()))
     first = {}
     assert [first.setdefault(root.get(int(f), int(f)), k) for k, f in enumerate(fps)] == want
 
 
+def test_vantage_point_trees_prune(spark):
+    """On real fingerprints branches are pruned, in the tree over shards and inside of them."""
+    nodes = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(4000).select("text")).distinct()
+    fps = np.array([r.fp for r in nodes.collect()]).view(np.uint64)
+    tree = simhash.Tree(fps[::4], 16)
+    routed = list(tree.route(fps))
+    rows = sum(len(i) for _, i, _ in routed)
+    assert tree.shards == 16 and len(fps) < rows < 0.5 * tree.shards * len(fps)
+    assert sorted(np.concatenate([i[home] for _, i, home in routed]).tolist()) == list(range(len(fps)))
+    *_, state = simhash.search(fps, fps[:0])
+    assert state.pruned > 0 and state.compared < 0.3 * len(fps) ** 2
+    with_shards = simhash.components(simhash.links(nodes, shard=300)).count()
+    assert with_shards == simhash.components(simhash.links(nodes)).count()
+
+
 # 8 --------------------------------------------------------------------------------------------
 
 def test_url_filter(spark):
