@@ -6,11 +6,12 @@ segmentations into pieces (forward algorithm, in log space), a text's the produc
 Piece probabilities come from expectation-maximisation over the same segmentations.
 
 Words are the runs of letters of the lower-cased text, so no piece crosses a word, and the sum over
-all segmentations of a text is the product of the words' sums. Runs of over MAX_RUN letters are cut
-every MAX_RUN letters, which bounds the lattice.
+all segmentations of a text is the product of the words' sums. A word is summed whole, however long.
 
-Edge cases: null text, empty text or text without letters gives `und` with score 0; a table without
-labelled rows gives `und` for every row; rows with null lang are never learned from; equal scores
+Edge cases: null text, empty text or text without letters gives `und` with score 0 (numbers such as
+fractions and Roman numerals are no letters); a table without labelled rows gives `und` for every
+row; rows with null lang are never learned from, those with null doc_id are; rows that repeat a
+doc_id and text are learned from once; equal scores
 go to the first language in alphabetical order; repeated rows are scored one by one; columns other
 than those named are passed through `identify` untouched.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import public_tokenizers
@@ -32,13 +33,12 @@ from pyspark.sql import types as T
 from convlake.llm.common import doc_key, materialise
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-MAX_RUN = 48
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # and numbers that are no digits
 SAMPLE_PER_LANGUAGE = 200
 ROUNDS = 2
-CACHE_WORDS = 500_000
+CACHE_LETTERS = 8_000_000
 GROUP = 512
-BLOCK = 4096
+BLOCK_LETTERS = 100_000
 
 
 class Lattice:
@@ -76,7 +76,7 @@ class Lattice:
                 pairs += [(end, unknown) for end, letter in enumerate(word) if letter not in single]
             owner.append(len(pairs) - before)
         flat = np.fromiter(chain.from_iterable(pairs), dtype=np.int64, count=2 * len(pairs))
-        ends, ids = flat[::2].astype(np.int16), flat[1::2]
+        ends, ids = flat[::2].astype(np.int32), flat[1::2]
         owner = np.repeat(np.arange(len(words)), owner)
         order = np.argsort(ends, kind="stable")
         ends, ids, owner = ends[order].astype(np.int64) + 1, ids[order], owner[order]
@@ -97,11 +97,9 @@ class Lattice:
         return alpha, edges
 
     def log_words(self, words: list[str], logp: np.ndarray) -> np.ndarray:
-        """Log probability of each word (letters only, at most MAX_RUN) in each language."""
+        """Log probability of each word (letters only) in each language."""
         out = np.empty((len(words), logp.shape[1]))
-        by_length = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for a in range(0, len(by_length), BLOCK):
-            index = by_length[a : a + BLOCK]
+        for index in _blocks(words):
             block = ["▁" + words[i] for i in index]
             alpha, _ = self.forward(block, logp)
             out[index] = alpha[np.arange(len(block)), [len(w) for w in block]]
@@ -110,9 +108,7 @@ class Lattice:
     def expected(self, words: list[str], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language over all segmentations of counted words."""
         out = np.zeros((self.size, logp.shape[1]))
-        by_length = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for a in range(0, len(by_length), BLOCK):
-            index = by_length[a : a + BLOCK]
+        for index in _blocks(words):
             block = ["▁" + words[i] for i in index]
             alpha, (owner, starts, ends, ids) = self.forward(block, logp)
             sizes = np.array([len(w) for w in block])
@@ -134,6 +130,18 @@ class Lattice:
         return out
 
 
+def _blocks(words: list[str]):
+    """Indices of words of like length, with BLOCK_LETTERS places of a lattice in all, or one word that has more."""
+    index: list[int] = []
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if index and (len(index) + 1) * (len(words[i]) + 2) > BLOCK_LETTERS:
+            yield index
+            index = []
+        index.append(i)
+    if index:
+        yield index
+
+
 def _log_sums(groups: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of the sorted groups, and log(sum(exp(x))) over each."""
     first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
@@ -148,25 +156,26 @@ def lattice(path: str) -> Lattice:
 
 
 def words_of(text: str | None) -> list[str]:
+    """The runs of letters of the lower-cased text."""
     words = LETTERS.findall(text.lower()) if text else []
-    if any(len(w) > MAX_RUN for w in words):
-        words = [w[a : a + MAX_RUN] for w in words for a in range(0, len(w), MAX_RUN)]
+    if words and not "".join(words).isalpha():
+        words = ["".join(run) for w in words for letters, run in groupby(w, str.isalpha) if letters]
     return words
 
 
 def train(docs: DataFrame, path: str = PIECES, per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS, seen: "F.Column | None" = None) -> dict:
     """Fit piece probabilities on at most per_language labelled documents of each language.
 
-    The sample is the documents whose hashed id is smallest; `seen` restricts what may be learned
-    from. What comes to the driver is one number per piece and language.
+    The sample is the documents whose hash of id and text is smallest; `seen` restricts what may be
+    learned from. What comes to the driver is one number per piece and language.
     """
     spark = docs.sparkSession
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.where(seen) if seen is not None else known
-    ranked = known.select("lang", "doc_id", F.expr("xxhash64(coalesce(cast(doc_id AS string), ''))").alias("_h"))
-    ranked = ranked.withColumn("_r", F.expr("row_number() OVER (PARTITION BY lang ORDER BY _h, doc_id)"))
-    chosen = ranked.where(F.col("_r") <= per_language).select("lang", "doc_id").distinct()
-    sample = known.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+    known = known.select("lang", F.xxhash64(doc_key(), "text").alias("_h"), "text")
+    ranked = known.select("lang", "_h").distinct().withColumn("_r", F.expr("row_number() OVER (PARTITION BY lang ORDER BY _h)"))
+    chosen = ranked.where(F.col("_r") <= per_language).select("lang", "_h")
+    sample = known.join(F.broadcast(chosen), ["lang", "_h"], "left_semi").dropDuplicates(["lang", "_h"])
 
     def split(batches):
         for batch in batches:
@@ -215,11 +224,13 @@ class Scorer:
         self.langs, self.logp, self.path = model["langs"], model["logp"], model["path"]
         self.ids: dict[str, int] = {}
         self.rows = np.empty((1024, len(self.langs)))
+        self.letters = 0
 
     def learn(self, words: set[str]) -> None:
-        if len(self.ids) + len(words) > CACHE_WORDS:
-            self.ids = {}
         new = [w for w in words if w not in self.ids]
+        self.letters += sum(map(len, new))
+        if self.letters > CACHE_LETTERS:
+            self.ids, new, self.letters = {}, list(words), sum(map(len, words))
         if new:
             size = len(self.ids) + len(new)
             if size > len(self.rows):

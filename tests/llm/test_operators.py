@@ -77,10 +77,20 @@ def test_forward_sums_all_segmentations():
                 total += math.exp(sum(logp[ids.get(p, lat.size - 1), lang] for p in parts))
         return math.log(total)
 
-    words = ["haus", "the", "été", "ж", "学x"]
+    words = ["haus", "the", "été", "ж", "学x", "lesenlesenlese"]
     got = lat.log_words(words, logp)
     for w, row in zip(words, got):
         assert np.allclose(row, [brute("▁" + w, k) for k in range(3)])
+    # A word of any length is summed whole: by a plain forward pass, letter by letter.
+    long = "".join(random.Random(2).choice("aehinrst学") for _ in range(3000))
+    marked = "▁" + long
+    alpha = [0.0] + [-math.inf] * len(marked)
+    for end in range(1, len(marked) + 1):
+        for start in range(max(0, end - int(lat.lengths.max())), end):
+            piece = marked[start:end]
+            if piece in ids or len(piece) == 1:
+                alpha[end] = np.logaddexp(alpha[end], alpha[start] + logp[ids.get(piece, lat.size - 1), 0])
+    assert np.isclose(lat.log_words([long, "the"], logp)[0, 0], alpha[-1])
     uses = lat.expected(["the"], np.ones((1, 3)), logp)
     assert np.allclose(uses.T @ lat.lengths, 4)  # every segmentation covers the word and its mark
 
@@ -94,6 +104,25 @@ def test_language_of_held_out_and_odd_texts(spark, odd):
     assert got[1] == got[2] == got[7] == got[8] == ("und", 0.0) and got[3] == got[4] and 0 <= got[5][1] <= 1
     assert langid.identify(empty(spark), model).count() == 0
     assert {r.lang_pred for r in langid.identify(odd, langid.train(empty(spark))).collect()} == {"und"}
+    marks = spark.createDataFrame([(k, t) for k, t in enumerate(["½", "² ³", "Ⅷ", "x²", "½the½house½"])], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.identify(marks, model).orderBy("doc_id").collect()] == [True, True, True, False, False]
+    assert langid.words_of("½The½hoUse² ok_a1b") == ["the", "house", "ok", "a", "b"]
+    # Rows without an id are learned from; what repeats counts once.
+    unnamed = spark.createDataFrame([(None, "en", f"the house is here {k}") for k in range(30)] + [(None, "de", "das haus ist da")] * 90, "doc_id long, lang string, text string")
+    found = langid.train(unnamed, per_language=20)
+    assert found["langs"] == ["de", "en"]
+    assert [r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "das haus ist"), (2, "the house is")], "doc_id long, text string"), found).orderBy("doc_id").collect()] == ["de", "en"]
+
+
+def test_language_query(spark):
+    rows = {r.doc_id: r for r in registry.QUERIES["op2_language_id"](spark, SF).collect()}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert set(rows) == set(docs)
+    known = {d.lang for d in docs.values() if d.lang is not None and zlib.crc32(str(d.doc_id).encode()) % 5}
+    for k, r in rows.items():
+        assert r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in docs[k].text or ""))
+        assert r.lang_pred in known | {"und"}
 
 
 # 3 --------------------------------------------------------------------------------------------
