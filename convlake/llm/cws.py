@@ -11,12 +11,15 @@ bits of a hash of (term, t).
 Every term is weighed, however many; minima are aggregated before they are shuffled.
 
 Edge cases: a null text counts as empty, and a text without a phrase (empty, or white space alone)
-has one term of its own, so such texts are alike; equal texts have equal fingerprints; repeated rows and ties in doc_id are ordered by a hash of the
-text; null doc_ids come first; one document alone is its own next; extra columns are left out.
+has one term of its own, so such texts are alike; texts that share words but no phrase have likeness 0; equal texts have
+equal fingerprints; repeated rows and ties in doc_id are ordered by a hash of the text; null doc_ids come first; one
+document alone is its own next; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +27,7 @@ from convlake.llm.common import materialise
 
 SAMPLES = 64
 CUT = 6
-BUCKET_ROWS = 500
-MOST_BUCKETS = 2048
+BUCKET_BYTES = 8_000_000
 
 
 def terms(text: str) -> "F.Column":
@@ -72,21 +74,30 @@ def as_hex(codes: str) -> "F.Column":
 def with_next(docs: DataFrame) -> DataFrame:
     """bucket, row, next_row, doc_id, text, next_text: each document with the next in ascending doc_id, the last with the first.
 
-    Documents are dealt to ranges of doc_id; the first of each range is also sent to the range before it.
+    Documents are dealt to ranges of doc_id of about BUCKET_BYTES of text, cut in two steps of about the square root of
+    their number each; a doc_id that takes up several ranges is dealt over them by the hash of its texts. The first of
+    each range is also sent to the range before it. What is broadcast is a number per range and the heads.
     """
     key = "coalesce(cast(doc_id AS bigint), -9223372036854775808L)"
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(key).alias("k"))
-    n = docs.count()
-    buckets = min(MOST_BUCKETS, -(-n // BUCKET_ROWS)) or 1
-    cuts = docs.select(F.percentile_approx("k", [i / buckets for i in range(1, buckets)] or [0.5], 10 * MOST_BUCKETS)).first()[0] if n else None
-    cuts = sorted(set(cuts or [])) if buckets > 1 else []
-    bucket = F.expr("size(filter(cuts, c -> c <= k))")
-    dealt = docs.withColumn("cuts", F.array(*[F.lit(c).cast("long") for c in cuts]).cast("array<bigint>")).withColumn("home", bucket).drop("cuts")
-    heads = dealt.groupBy("home").agg(F.min("k").alias("head"))  # at most MOST_BUCKETS rows
+    size = docs.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
+    steps = math.isqrt(max(1, size // BUCKET_BYTES) - 1) + 1
+    cuts = F.percentile_approx("k", [i / steps for i in range(1, steps)] or [0.5], 20 * steps) if steps > 1 else F.lit(None)
+    empty = "cast(array() AS array<bigint>)"
+    coarse = docs.agg(cuts.cast("array<bigint>").alias("cuts"))
+    # How many of the ranges behind k lie before it, and of those that end at k those that its texts' hash is past.
+    place = "cast(size(filter(cuts, c -> c < k)) + floor((size(filter(cuts, c -> c = k)) + 1) * (shiftrightunsigned(th, 11) * {p})) AS int)".format(p=f"{2.0**-53!r}D")
+    keyed = docs.withColumn("th", F.xxhash64("text"))
+    first = keyed.join(F.broadcast(coarse.selectExpr(f"coalesce(cuts, {empty}) AS cuts"))).withColumn("a", F.expr(place)).drop("cuts")
+    inner = first.groupBy("a").agg(cuts.cast("array<bigint>").alias("cuts"))  # at most `steps` rows of as many numbers
+    dealt = first.join(F.broadcast(inner), "a").withColumn("cuts", F.expr(f"coalesce(cuts, {empty})"))
+    dealt = dealt.withColumn("home", F.expr(f"a * {steps} + {place}")).drop("cuts", "a")
+    heads = dealt.groupBy("home").agg(F.min(F.struct("k", "th")).alias("head"))  # a row per range
     heads = heads.selectExpr("home", "head", "coalesce(lag(home) OVER (ORDER BY home), max(home) OVER ()) AS before")
     rows = dealt.join(F.broadcast(heads), "home")
-    rows = rows.withColumn("to", F.explode(F.expr("if(k = head, array(struct(home AS bucket, false AS ghost), struct(before AS bucket, true AS ghost)), array(struct(home AS bucket, false AS ghost)))")))
-    rows = rows.select("to.bucket", "to.ghost", "home", "k", F.xxhash64("text").alias("th"), "doc_id", "text")
+    both = "array(struct(home AS bucket, false AS ghost), struct(before AS bucket, true AS ghost))"
+    rows = rows.withColumn("to", F.explode(F.expr(f"if(k = head.k AND th = head.th, {both}, array(struct(home AS bucket, false AS ghost)))")))
+    rows = rows.select("to.bucket", "to.ghost", "home", "k", "th", "doc_id", "text")
     over = "OVER (PARTITION BY bucket ORDER BY ghost, k, th)"
     rows = rows.selectExpr("*", f"shiftleft(cast(home AS bigint), 40) + if(ghost, 1, row_number() {over}) AS row")
     rows = rows.selectExpr("*", f"lead(text) {over} AS next_text", f"lead(row) {over} AS next_row")

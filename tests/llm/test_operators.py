@@ -425,10 +425,53 @@ def test_weighted_sampling_estimates_generalised_jaccard(spark):
         terms = weights[a].keys() | weights[b].keys()
         true = sum(min(weights[a].get(t, 0), weights[b].get(t, 0)) for t in terms) / sum(max(weights[a].get(t, 0), weights[b].get(t, 0)) for t in terms)
         got = sum(x == y for x, y in zip(codes[a], codes[b])) / 64
-        assert abs(got - true) < 0.25
+        assert abs(got - true) <= 3 * math.sqrt(true * (1 - true) / 64) + 0.01
     assert codes[0] == codes[3]
 
 
+def exact_likeness(weights, a, b):
+    x, y = weights[a], weights[b]
+    terms = x.keys() | y.keys()
+    return sum(min(x.get(t, 0), y.get(t, 0)) for t in terms) / sum(max(x.get(t, 0), y.get(t, 0)) for t in terms)
+
+
+def test_fingerprints_of_all_documents(spark, docs, texts, odd):
+    """n_chars, edited_sha256 and next document by brute force; likeness against the exact generalised Jaccard similarity."""
+    whole = [t or "" for _, t in texts]
+    edits = []
+    for k, t in enumerate(whole):
+        n, after = len(t) // 2, whole[(k + 1) % len(whole)]
+        edits.append(t[: len(t) - n] + after[:n])
+    rows = {r.doc_id: r for r in cws.with_fingerprints(docs).collect()}
+    assert len(rows) == len(texts)
+    every = spark.createDataFrame([(t,) for t in sorted({*whole, *edits})], "text string")
+    terms = every.select("text", F.explode(cws.terms("text")).alias("p")).groupBy("text", "p").agg(F.expr("sum(octet_length(p) + 1)").alias("n"))
+    weights = {r.text: dict(r.w) for r in terms.groupBy("text").agg(F.expr("collect_list(struct(p, n))").alias("w")).collect()}
+    off = []
+    for k, (d, _) in enumerate(texts):
+        r = rows[d]
+        assert r.n_chars == len(whole[k]) and r.edited_sha256 == hashlib.sha256(edits[k].encode()).hexdigest()
+        for got, other in ((r.near_edited, edits[k]), (r.near_next, whole[(k + 1) % len(whole)])):
+            true = exact_likeness(weights, whole[k], other)
+            # Codes of 16 bits agree by chance once in 65,536: one sample more, at most.
+            assert abs(got - true) <= 4.5 * math.sqrt(true * (1 - true) / 64) + 1 / 64
+            off.append(got - true)
+    assert abs(sum(off)) / len(off) < 0.01
+
+
+def test_next_document_in_many_ranges(spark, odd, docs, monkeypatch):
+    monkeypatch.setattr(cws, "BUCKET_BYTES", 2000)
+    rnd = random.Random(3)
+    rows = [(rnd.choice([7, 7, 7, None, k]), f"text {rnd.randint(0, 300)}") for k in range(900)]  # ids that take up several ranges
+    got = sorted(cws.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect(), key=lambda r: r.row)
+    assert len({r.bucket for r in got}) > 5 and len(got) == len(rows)
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids) and max(sum(r.bucket == b for r in got) for b in {r.bucket for r in got}) < 450
+    assert [r.next_text for r in got] == [r.text for r in got[1:] + got[:1]]
+    got = sorted(cws.with_next(docs).collect(), key=lambda r: r.row)
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got) and [r.next_text for r in got] == [r.text for r in got[1:] + got[:1]]
+
+
 def test_next_document_and_odd_rows(spark, odd):
     got = sorted((r for r in cws.with_next(odd).collect()), key=lambda r: r.row)
     assert len(got) == len(ODD) and [r.next_text for r in got] == [r.text for r in got[1:] + got[:1]]
