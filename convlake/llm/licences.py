@@ -1,18 +1,19 @@
 """Licence scans with ordered signature rules, in DataFrame expressions only.
 
 A text is reduced to its words (A-Z lower-cased; runs of 0-9, a-z and what is beyond ASCII) with one
-space between them. Rules are regular expressions over that form. A rule is tried only on texts
-that hold one of its keywords, and no rule at all on texts without one of GATE. Each match is an interval
+space between them. Rules are regular expressions over that form: signatures of notices and licence
+texts written out one by one, and names of licences put into a few patterns (`licence_rules`). A rule
+is tried only on texts that hold its keywords; these are looked for only if words that they have
+stand in the text, which one pass over its words tells. Each match is an interval
 of words with a priority: 1 a notice, 2 a name with its version, 3 a name. An interval that lies
-inside one of the same or a better priority is suppressed; of equal intervals the first rule's stays.
+inside one of the same or a better priority is suppressed; of equal intervals of the same priority the
+first rule's stays.
 The base phrases are rules of their own, counted at every place and never suppressed.
 
-Rules come from families below: every family's names and versions are put into the same patterns,
-which gives several hundred rules.
-
 Edge cases: null and empty texts have no words, no places, empty labels and score 0; repeated rows
 are judged one by one; a word that only looks like part of a phrase ("submit license") is no place;
-extra columns pass through `scan` unless they have a name of its results.
+ties between rules go to the first; extra columns pass through `scan` unless they have a name of its
+results.
 """
 
 from __future__ import annotations
@@ -22,101 +23,31 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Base phrases and their labels.
-BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
-
-# Families: label, keywords (any, as the form of words has them), pattern of the name, versions as words.
-FAMILIES = [
-    ("gpl", "general public licen| gpl ", "(?:gnu )?(?:general public licen[cs]e|gpl)", ["1 0", "2 0", "3 0", "1", "2", "3"]),
-    ("lgpl", "general public licen| lgpl ", "(?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl)", ["2 0", "2 1", "3 0", "2", "3"]),
-    ("agpl", "affero general public licen| agpl ", "(?:gnu )?(?:affero general public licen[cs]e|agpl)", ["1 0", "3 0", "1", "3"]),
-    ("gfdl", "free documentation licen| gfdl ", "(?:gnu )?(?:free documentation licen[cs]e|gfdl)", ["1 1", "1 2", "1 3"]),
-    ("apache", " apache ", "apache(?: software)?(?: licen[cs]e)?", ["1 0", "1 1", "2 0", "2"]),
-    ("mpl", " mozilla public licen| mpl ", "(?:mozilla public licen[cs]e|mpl)", ["1 0", "1 1", "2 0"]),
-    ("epl", " eclipse public licen| epl ", "(?:eclipse public licen[cs]e|epl)", ["1 0", "2 0"]),
-    ("eupl", " european union public licen| eupl ", "(?:european union public licen[cs]e|eupl)", ["1 0", "1 1", "1 2"]),
-    ("cddl", " common development and distribution licen| cddl ", "(?:common development and distribution licen[cs]e|cddl)", ["1 0", "1 1"]),
-    ("cpl", " common public licen| cpl ", "(?:common public licen[cs]e|cpl)", ["1 0"]),
-    ("artistic", " artistic licen", "artistic licen[cs]e", ["1 0", "2 0"]),
-    ("bsl", " boost software licen", "boost software licen[cs]e", ["1 0"]),
-    ("busl", " business source licen", "business source licen[cs]e", ["1 0", "1 1"]),
-    ("sspl", " server side public licen| sspl ", "(?:server side public licen[cs]e|sspl)", ["1"]),
-    ("elastic", " elastic licen", "elastic licen[cs]e", ["1 0", "2 0"]),
-    ("osl", " open software licen", "open software licen[cs]e", ["1 0", "2 0", "2 1", "3 0"]),
-    ("afl", " academic free licen", "academic free licen[cs]e", ["1 1", "1 2", "2 0", "2 1", "3 0"]),
-    ("ofl", " open font licen", "(?:sil )?open font licen[cs]e", ["1 0", "1 1"]),
-    ("odbl", " open database licen", "open database licen[cs]e", ["1 0"]),
-    ("lppl", " latex project public licen", "latex project public licen[cs]e", ["1 0", "1 1", "1 2", "1 3"]),
-    ("psf", " python ", "python(?: software foundation)? licen[cs]e", ["2", "2 0"]),
-    ("zpl", " zope public licen", "zope public licen[cs]e", ["1 1", "2 0", "2 1"]),
-    ("cc-by", " cc by | creative commons ", "(?:cc by|creative commons attribution)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-sa", " cc by sa | creative commons ", "(?:cc by sa|creative commons attribution share ?alike)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc", " cc by nc | creative commons ", "(?:cc by nc|creative commons attribution non ?commercial)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nd", " cc by nd | creative commons ", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc-sa", " cc by nc sa | creative commons ", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc-nd", " cc by nc nd | creative commons ", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc0", " cc0 | cc zero | creative commons ", "(?:cc0|cc zero|creative commons zero)", ["1 0"]),
-    ("mit", " mit licen| expat licen", "(?:mit|expat)(?: licen[cs]e)", []),
-    ("x11", " x11 licen", "x11 licen[cs]e", []),
-    ("bsd", " bsd ", "bsd(?: style)? licen[cs]e", []),
-    ("bsd-2-clause", " bsd ", "(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd)(?: licen[cs]e)?", []),
-    ("bsd-3-clause", " bsd ", "(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|revised|modified) bsd)(?: licen[cs]e)?", []),
-    ("bsd-4-clause", " bsd ", "(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: licen[cs]e)?", []),
-    ("0bsd", " 0bsd | bsd ", "(?:0bsd|bsd zero clause|zero clause bsd)(?: licen[cs]e)?", []),
-    ("isc", " isc licen", "isc licen[cs]e", []),
-    ("zlib", " zlib ", "zlib(?: libpng)? licen[cs]e", []),
-    ("unlicense", " unlicense ", "(?:the )?unlicense", []),
-    ("wtfpl", " wtfpl ", "wtfpl", []),
-    ("openssl", " openssl licen", "openssl licen[cs]e", []),
-    ("ncsa", " ncsa ", "(?:university of illinois )?ncsa(?: open source)? licen[cs]e", []),
-    ("postgresql", " postgresql licen", "postgresql licen[cs]e", []),
-    ("ms-pl", " microsoft public licen", "microsoft public licen[cs]e", []),
-    ("ms-rl", " microsoft reciprocal licen", "microsoft reciprocal licen[cs]e", []),
-    ("public-domain", " public domain ", "(?:in|into|to) the public domain", []),
-    ("all-rights-reserved", " all rights reserved ", "all rights reserved", []),
-]
+from convlake.llm.licence_rules import BASE, rules  # noqa: F401
 
-# One of these stands in every text that any rule fits.
-GATE = [" licen", " gpl ", " lgpl ", " agpl ", " gfdl ", " apache ", " mpl ", " epl ", " eupl ", " cddl ", " cpl ", " sspl ", " cc ", " cc0 ", " creative commons ", " bsd ", " 0bsd ", " unlicense ", " wtfpl ", " spdx license ", " public domain ", " all rights reserved "]
 SCORES = {1: 1.0, 2: 0.9, 3: 0.7}
 
 
-def rules() -> list[dict]:
-    """All rules in order: rank, base, prio, label, keywords and pattern."""
-    found = [("base", 3, label, f" {phrase} ", phrase) for phrase, label in BASE]
-    suffix = "(?: or(?: at your option)?(?: any)? later(?: version)?| only)?"
-    for label, keyword, name, versions in FAMILIES:
-        for v in versions:
-            spdx = f"{label}-{v.replace(' ', '.') if ' ' in v or not label.startswith(('gpl', 'lgpl', 'agpl', 'apache', 'psf')) else v + '.0'}"
-            number = f"{name}(?: licen[cs]e| international| unported| generic)*(?: version| v)? v?{v}(?! 0)"
-            found.append(("own", 2, spdx, keyword, number + suffix))
-            found.append(("own", 1, spdx, " licensed under ", f"licensed under(?: the)?(?: terms of the)? {number}{suffix}"))
-            found.append(("own", 1, spdx, " distributed under ", f"distributed under(?: the)?(?: terms of the)? {number}{suffix}"))
-        found.append(("own", 3, label, keyword, name))
-        found.append(("own", 1, label, " licensed under ", f"licensed under(?: the)?(?: terms of the)? {name}"))
-        found.append(("own", 1, label, " spdx license identifier ", f"spdx license identifier {label.replace('-', ' ')}"))
-    return [dict(rank=k, base=kind == "base", prio=prio, label=label, keywords=keyword.split("|"), pattern=f"(?<= )(?:{pattern})(?= )") for k, (kind, prio, label, keyword, pattern) in enumerate(found)]
-
-
 def words_form(text: str) -> "F.Column":
     """The words of a text column with a space before, between and after them; two spaces if there are none."""
-    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return F.expr(rf"concat(' ', trim(regexp_replace({lower}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ')), ' ')")
+    # Only the Kelvin sign becomes a letter of a-z by lower(), and İ an i with a dot above: neither makes or breaks a base phrase.
+    return F.expr(rf"concat(' ', trim(regexp_replace(lower(coalesce({text}, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ')), ' ')")
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, without the text, with n_words, n_base, first_word, last_word, base_labels, labels and score."""
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     keep = [c for c in docs.columns if c not in (text, *made)]
-    schema = "array<struct<rank:int,base:boolean,prio:int,label:string,keywords:array<string>,pattern:string>>"
-    table = F.from_json(F.lit(json.dumps(rules())), schema)
-    gate = " OR ".join(f"contains(norm, '{w}')" for w in GATE)
+    schema = "array<struct<rank:int,base:boolean,prio:int,label:string,anchors:array<string>,gates:array<array<string>>,pattern:string>>"
+    known = rules()
+    table = F.from_json(F.lit(json.dumps(known)), schema)
+    words = F.from_json(F.lit(json.dumps(sorted({w for r in known for w in r["anchors"]}))), "array<string>")
     parts = "split(regexp_replace(norm, r.pattern, '\\u0001$0\\u0002'), '[\\u0001\\u0002]')"
     spaces = "length(p) - length(replace(p, ' ', ''))"
-    hits = f"flatten(transform(filter(rules, r -> exists(r.keywords, k -> contains(norm, k))), r -> transform({parts}, (p, i) -> struct(r.rank AS rank, r.base AS base, r.prio AS prio, r.label AS label, i AS i, {spaces} AS spaces))))"
+    hits = f"flatten(transform(filter(rules, r -> arrays_overlap(r.anchors, met) AND forall(r.gates, g -> exists(g, k -> contains(norm, k)))), r -> transform({parts}, (p, i) -> struct(r.rank AS rank, r.base AS base, r.prio AS prio, r.label AS label, i AS i, {spaces} AS spaces))))"
     rows = docs.select(F.struct(*keep).alias("doc") if keep else F.lit(None).alias("doc"), words_form(text).alias("norm")).withColumn("rid", F.monotonically_increasing_id())
     rows = rows.withColumn("n_words", F.expr("if(norm = '  ', 0L, length(norm) - length(replace(norm, ' ', '')) - 1L)"))
-    gated = rows.withColumn("rules", F.when(F.expr(gate), table))
+    gated = rows.withColumn("met", F.array_intersect(F.split("norm", " "), words)).withColumn("rules", F.when(F.size("met") > 0, table))
     rows = gated.select("rid", "doc", "n_words", F.explode_outer(F.expr(hits)).alias("x")).select("rid", "doc", "n_words", "x.*")
     rows = rows.repartition("rid")
     # A part at an odd place is a match; the words before it are the spaces before it less one.

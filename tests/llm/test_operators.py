@@ -511,6 +511,73 @@ def test_licences(spark, odd):
     assert licences.scan(odd).count() == len(ODD) and licences.scan(empty(spark)).count() == 0
 
 
+LICENCE_TEXTS = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd"),
+    ("Neither the name of the Foo Company nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause"),
+    ("it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl,gpl-3.0"),
+    ("GPLv3 code", "gpl-3.0"), ("LGPLv2.1+", "lgpl-2.1"), ("AGPLv3", "agpl-3.0"), ("MPLv2", "mpl-2.0"), ("Apache2", "apache-2.0"), ("gpl v2 or later", "gpl-2.0"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"), ("SPDX-License-Identifier: MIT", "mit"),
+    ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("To the extent possible under law, the author has waived all copyright and related or neighboring rights", "cc0-1.0"),
+    ("same terms as Perl itself", ""), ("released under the same terms as Perl itself.", "perl"),
+    ("CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa-4.0"), ("Licensed under the Business Source License 1.1", "busl-1.1"), ("gplus lgplot mitlicense", ""),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", "isc"),
+    ("All rights reserved. All rights reserved. no part of this book may be reproduced", "all-rights-reserved,proprietary"),
+]
+
+
+def brute_scan(text):
+    """(labels, score) by every rule on every text, without gates: intervals of words, then suppression."""
+    norm = " " + " ".join(WORDS.findall(text.translate(LOWER))) + " "
+    found = [(norm[: m.start()].count(" ") - 1, norm[: m.end()].count(" ") - 1, r) for r in licences.rules() for m in re.finditer(r["pattern"], norm)]
+
+    def covered(x):
+        return any(
+            y is not x and not y[2]["base"] and y[0] <= x[0] and y[1] >= x[1] and y[2]["prio"] <= x[2]["prio"]
+            and (y[:2] != x[:2] or (y[2]["prio"], y[2]["rank"]) < (x[2]["prio"], x[2]["rank"])) for y in found
+        )
+
+    stay = [x for x in found if x[2]["base"] or not covered(x)]
+    return ",".join(sorted({x[2]["label"] for x in stay})), max((licences.SCORES[x[2]["prio"]] for x in stay), default=0.0)
+
+
+def test_licence_rules_and_suppression(spark):
+    rnd = random.Random(5)
+    texts = [t for t, _ in LICENCE_TEXTS]
+    mixed = [" ".join(rnd.sample(texts, 4)) for _ in range(60)] + ["MIT License " * 400]
+    words = sorted({w for t in texts for w in t.split()})
+    mixed += [" ".join(rnd.choice(words) for _ in range(80)) for _ in range(60)]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts + mixed)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts + mixed)
+    for r in rows:
+        assert (r.labels, r.score) == brute_scan((texts + mixed)[r.doc_id]), (texts + mixed)[r.doc_id]
+    got = {r.doc_id: r.labels for r in rows}
+    assert [got[k] for k in range(len(texts))] == [x for _, x in LICENCE_TEXTS]
+
+
+def test_every_text_that_a_rule_fits_passes_its_gates():
+    known = licences.rules()
+    assert len(known) > 500 and all(r["anchors"] and r["gates"] for r in known)
+    tried = 0
+    for r in known:
+        # The shortest text of a pattern, without its optional parts and with the first alternatives, and the fullest.
+        whole = r["pattern"].removeprefix("(?<= )").removesuffix("(?= )")
+        for full in (0, 1):
+            plain = whole
+            for _ in range(9):
+                plain = re.sub(r"\(\?![^()]*\)", "", plain)
+                plain = re.sub(r"\(\?:([^()]*)\)([?*]|\{[^}]*\}\??)?", lambda m: "" if m[2] and m[2] in "?*" and not full else m[1].split("|")[-full], plain)
+            plain = re.sub(r"\[([^]])([^]])?[^]]*\]", lambda m: m[2] or m[1] if full else m[1], plain)
+            text = f" {re.sub('([a-z ])[?]', lambda m: m[1] * full, plain).replace(' + ', ' x ').replace('^+ ', 'x ')} "
+            if re.search(r["pattern"], text):
+                tried += 1
+                assert all(any(g in text for g in gate) for gate in r["gates"]), (r["label"], text, r["gates"])
+                assert set(r["anchors"]) & set(text.split()), (r["label"], text, r["anchors"])
+    assert tried > 1.9 * len(known)
+
+
 # pipeline -------------------------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark, docs, texts):
