@@ -1,25 +1,29 @@
 """Main text of web pages through wrappers: union-free regular expressions inferred per host.
 
 A page is parsed into a tree of labelled elements and text slots. Same-host pages are aligned one
-after another: children that both have are merged, a child that only one has becomes optional, and
-runs of equal siblings become a repeated group; texts that differ become slots, texts that never do
-stay as the template's. What results is a wrapper: an expression over tags, slots, `?` and `+`
-without alternatives. Wrappers align with one another just as pages do, so each task folds its own
-pages first, and a host's partial wrappers are folded in two rounds of groups of bounded size.
-
-A slot of the wrapper is content or template. It is template inside menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments, told by tag, class, id or role; in
-pages without an article or main element also where every page (without text apart) of at least
-CONSTANT_PAGES of the host has the same text, and in lists of links alone. Pages are matched against the wrapper of their
-host; content slots give the text. In pages with an article or main element only that counts.
+after another: children that both have are merged (a longest common subsequence of their labels), a
+child that only one has becomes optional, and runs of equal siblings become a repeated group; texts
+that differ become slots, texts that never do stay as the template's. What results is a wrapper: an
+expression over tags, slots, `?` and `+` without alternatives. Wrappers align with one another just
+as pages do: groups of about FAN pages of a host are folded in order of their content, then FAN of
+what results, until one is left, so a wrapper doesn't depend on how pages were partitioned.
+
+A slot of the wrapper is content or template. It is template where every page (without text apart) of
+at least CONSTANT_PAGES of the host (in articles MAIN_CONSTANT_PAGES) has the same text there; where texts stand in
+links alone on every page, in a list or a box outside of articles; and inside menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and comments, told by tag, or by a class, id or role
+made of template words alone. In pages with an article or main element only that counts. Pages are
+matched against the wrapper of their host; content slots give the text. Where nothing on a host's
+pages varies, nothing counts as constant.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined by a line break in page order.
 
 Edge cases: null or empty html gives the empty text; a null url has the empty host, whose pages
-share a wrapper; an element that the wrapper lacks is judged by its own labels; deeper nesting than
-DEPTH is read as if it stood at that depth; broken markup, missing end tags and stray `<` are read
-as browsers do, roughly; repeated rows are extracted one by one; extra columns pass through.
+share a wrapper; an element that the wrapper lacks, or that lies over WRAPPER_DEPTH elements deep, is
+judged by its own labels; hosts of fewer than CONSTANT_PAGES pages have no constants; broken markup,
+missing end tags and stray `<` are read as browsers do, roughly; repeated rows are extracted one by
+one; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -32,22 +36,21 @@ import re
 from functools import lru_cache
 from operator import add
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convlake.llm.common import materialise
+from convlake.llm.common import discard, materialise
 
-DEPTH = 100
-WIDE = 40_000
-CONSTANT_PAGES = 5
-HOSTS_HELD = 2000
-GROUPS = 64
+WRAPPER_DEPTH = 100
+CONSTANT_PAGES, MAIN_CONSTANT_PAGES = 5, 20
+FAN = 256
+TABLE_CELLS = 1 << 22
 BROADCAST_BYTES = 32_000_000
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|$)|[^<]+|<""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:--!?>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|$)|[^<]+|<""", re.S)
 LABELS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # Fixed values of HTML.
@@ -56,6 +59,7 @@ RAW = frozenset("script style textarea title noscript template iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+LISTS, BOXES = frozenset({"ul", "ol"}), frozenset("div section table dl".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # What marks an element as no part of the article. A class, id or role does so as a whole: all its
@@ -83,11 +87,7 @@ def _label(tag: str, attributes: str) -> str:
 
 
 def parse(page: str) -> Element:
-    """The tree of a page; texts are str, whatever else is an Element.
-
-    What is open is (tag, element that takes in its content). Beyond DEPTH that is the element at DEPTH, or the
-    first main or template element beyond it, or a template element in that main one.
-    """
+    """The tree of a page; texts are str, whatever else is an Element."""
     root = Element("", "")
     stack, at, n = [("", root)], 0, len(page)
     places: dict[str, list[int]] = {}
@@ -120,18 +120,14 @@ def parse(page: str) -> Element:
             cut(k)
         attributes = m[3] if m[2] else m[6]
         element = Element(tag, _label(tag, attributes))
-        into = stack[-1][1]
-        into.children.append(element)
+        stack[-1][1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             element.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not attributes.endswith("/"):
-            template, main = _is_template(element.label), _is_main(element.label)
-            if len(stack) < DEPTH or not _is_template(into.label) and (template or main and not _is_main(into.label)):
-                into = element
             places.setdefault(tag, []).append(len(stack))
-            stack.append((tag, into))
+            stack.append((tag, element))
     return root
 
 
@@ -144,17 +140,17 @@ def _hash(text: str) -> str:
     return hashlib.blake2b(text.encode(errors="replace"), digest_size=6).hexdigest()
 
 
-def _items(element: Element) -> list:
+def _items(element: Element, depth: int = 0) -> list:
     found = []
     for child in element.children:
         if isinstance(child, str):
             text = " ".join(child.split())
             if text:
                 found.append(["#", 1, 1, [_hash(text), 1]])
-        elif child.tag in RAW:
+        elif child.tag in RAW or depth == WRAPPER_DEPTH:
             found.append([child.label, 1, 1, []])
         else:
-            found.append([child.label, 1, 1, _items(child)])
+            found.append([child.label, 1, 1, _items(child, depth + 1)])
     return _fold(found)
 
 
@@ -184,34 +180,61 @@ def _fold(items: list) -> list:
     return out
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequence of a and each start of b."""
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places (in a, in b) of a longest common subsequence: by a table, or for long ones by halves, in bounded memory."""
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(v, len(codes)) for v in side], dtype=np.int32) for side in (a, b))
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            found.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            found.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        if (a1 - a0) * (b1 - b0) > TABLE_CELLS:
+            half = (a0 + a1) // 2
+            split = b0 + int((_lengths(x[a0:half], y[b0:b1]) + _lengths(x[half:a1][::-1], y[b0:b1][::-1])[::-1]).argmax())
+            todo += [(a0, half, b0, split), (half, a1, split, b1)] if a1 - a0 > 1 else [(a0, a1, b0 + k, b0 + k + 1) for k in np.flatnonzero(y[b0:b1] == x[a0])[:1]]
+            continue
+        rest = np.zeros((a1 - a0 + 1, b1 - b0 + 1), dtype=np.int32)  # of what is left from each place on
+        for i in range(a1 - a0 - 1, -1, -1):
+            best = np.maximum(rest[i + 1, :-1], rest[i + 1, 1:] + (y[b0:b1] == x[a0 + i]))
+            rest[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+        i = j = 0
+        while rest[i, j]:
+            if x[a0 + i] == y[b0 + j]:
+                found.append((a0 + i, b0 + j))
+                i, j = i + 1, j + 1
+            elif rest[i + 1, j] == rest[i, j]:
+                i += 1
+            else:
+                j += 1
+    return sorted(found)
+
+
 def align(a: list, b: list, pages=add) -> list:
     """The expression that covers both sequences of items: a longest common subsequence of labels
     is merged, the rest becomes optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return [_merge(x, y, pages) for x, y in zip(a, b)]
-    if len(a) * len(b) > WIDE:  # too wide to align: an item per label, in order of first place
-        sides: list[dict] = [{}, {}]
-        for found, side in zip(sides, (a, b)):
-            for x in side:
-                found[x[0]] = [*(m := _merge(found[x[0]], x))[:2], 2, m[3]] if x[0] in found else x
-        for label, x in sides[1].items():
-            sides[0][label] = [*(m := _merge(sides[0][label], x, pages))[:2], 2, m[3]] if label in sides[0] else x
-        return [[x[0], 0, x[2], x[3]] for x in sides[0].values()]
-    length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            length[i][j] = length[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(length[i + 1][j], length[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            out.append(_merge(a[i], b[j], pages))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and length[i + 1][j] >= length[i][j + 1]:
-            out.append([a[i][0], 0, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], 0, *b[j][2:]])
-            j += 1
+    for p, q in [*common([x[0] for x in a], [x[0] for x in b]), (len(a), len(b))]:
+        out += [[x[0], 0, *x[2:]] for x in (*a[i:p], *b[j:q])]
+        out += [_merge(a[p], b[q], pages)] if p < len(a) else []
+        i, j = p + 1, q + 1
     return _fold(out)
 
 
@@ -244,32 +267,49 @@ def _links_alone(items: list) -> bool:
     return all(x[0] != "#" and (x[0].split(".")[0] == "a" or _links_alone(x[3])) for x in items)
 
 
+def _links(items: list) -> int:
+    """Links among the items; a repeated one counts as two."""
+    return sum(x[2] * (1 if x[0].split(".")[0] == "a" else min(2, _links(x[3]))) for x in items if x[0] != "#" and x[3])
+
+
+def _kind(label: str) -> str:
+    """What the labels of an element say of it."""
+    return "template" if _is_template(label) else "main" if _is_main(label) else ""
+
+
 @lru_cache(maxsize=4096)
 def judged(wrapper: str) -> dict:
     """The wrapper as {label: (kind, inner)}: kind of the element, and what is inside of it; under "#" the hashes of
     constant texts with how often each stands there."""
     pages, items = json.loads(wrapper)
 
+    def varies(items: list) -> bool:
+        return any((not x[3] or x[3][1] != pages) if x[0] == "#" else not _is_template(x[0]) and varies(x[3]) for x in items)
+
+    constants = pages >= CONSTANT_PAGES and varies(items)
+
     def join(a: dict, b: dict) -> dict:
         """a with what b has: items of one label are judged together, at every depth."""
         for label, x in b.items():
             if label == "#":
                 a["#"] = (held := a.get("#", {})) | {h: held.get(h, 0) + n for h, n in x.items()}
             elif label in a:
-                a[label] = (x[0] if x[0] == a[label][0] else "", join(a[label][1], x[1]))
+                a[label] = (x[0] if x[0] == a[label][0] else _kind(label), join(a[label][1], x[1]))
             else:
                 a[label] = x
         return a
 
-    def walk(items: list, again: bool = False) -> dict:
+    def walk(items: list, again: bool = False, in_main: bool = False) -> dict:
         out: dict = {}
         for label, least, most, content in items:
             if label == "#":
-                if content and least and content[1] == pages >= CONSTANT_PAGES:
+                if constants and content and least and content[1] == pages >= (MAIN_CONSTANT_PAGES if in_main else CONSTANT_PAGES):
                     join(out, {"#": {content[0]: math.inf if again or most > 1 else 1}})
                 continue
-            kind = "template" if _is_template(label) else "main" if _is_main(label) else "links" if label.split(".")[0] in ("ul", "ol") and content and _links_alone(content) else ""
-            join(out, {label: (kind, walk(content, again or most > 1))})
+            kind = _kind(label)
+            if not kind and content and label.split(".")[0] in LISTS | BOXES and _links_alone(content) and (label.split(".")[0] in LISTS or _links(content) > 1):
+                kind = "links"
+            join(out, {label: (kind, walk(content, again or most > 1, in_main or kind == "main"))})
         return out
 
     return walk(items)
@@ -283,23 +323,18 @@ def extract(page: str | None, wrapper: str | None) -> str:
 
     def kind_of(element: Element, slots: dict | None) -> tuple[str, dict | None]:
         known = slots.get(element.label) if slots else None
-        if known:
-            return known
-        return ("template" if _is_template(element.label) else "main" if _is_main(element.label) else ""), None
-
-    def mains(element: Element, slots: dict | None) -> list:
-        found = []
-        for child in element.children:
-            if not isinstance(child, str):
-                kind, inner = kind_of(child, slots)
-                if kind == "main":
-                    found.append((child, inner))
-                elif kind != "template":
-                    found += mains(child, inner)
-        return found
+        return known or (_kind(element.label), None)
 
     slots = judged(wrapper) if wrapper else None
-    regions = mains(root, slots)
+    regions: list[tuple[Element, dict | None]] = []
+    todo = [(c, slots) for c in reversed(root.children) if not isinstance(c, str)]
+    while todo:
+        element, around = todo.pop()
+        kind, inner = kind_of(element, around)
+        if kind == "main":
+            regions.append((element, inner))
+        elif kind != "template":
+            todo += [(c, inner) for c in reversed(element.children) if not isinstance(c, str)]
     blocks: list[str] = []
     buffer: list[str] = []
 
@@ -319,28 +354,29 @@ def extract(page: str | None, wrapper: str | None) -> str:
         met[place] = met.get(place, 0) + 1
         return met[place] <= slots["#"].get(place[1], 0)
 
-    def walk(element: Element, slots: dict | None, in_main: bool) -> None:
-        for child in element.children:
-            if isinstance(child, str):
-                if in_main or not constant(child, slots):
+    def hidden(child: Element, kind: str, in_main: bool) -> bool:
+        # An article's own header holds its headline.
+        headline = in_main and child.tag == "header" and not _template_words(child.label.split(".")[1:])
+        return child.tag in RAW or kind == "template" and not headline or kind == "links" and not in_main
+
+    for region, inner in regions or [(root, slots)]:
+        todo = [(c, inner) for c in reversed(region.children)]
+        while todo:
+            child, around = todo.pop()
+            if child is None:
+                close()
+            elif isinstance(child, str):
+                if not constant(child, around):
                     buffer.append(child)
-                continue
-            if child.tag == "br":
+            elif child.tag == "br":
                 buffer.append(" ")
-                continue
-            kind, inner = kind_of(child, slots)
-            # An article's own header holds its headline.
-            if child.tag in RAW or kind == "template" and not (in_main and child.tag == "header" and not _template_words(child.label.split(".")[1:])) or kind == "links" and not in_main:
-                continue
-            if child.tag in BLOCK:
-                close()
-                walk(child, inner, in_main)
-                close()
             else:
-                walk(child, inner, in_main)
-
-    for region, inner in regions or [(root, slots)]:
-        walk(region, inner, bool(regions))
+                kind, within = kind_of(child, around)
+                if not hidden(child, kind, bool(regions)):
+                    if child.tag in BLOCK:
+                        close()
+                        todo.append((None, None))
+                    todo += [(c, within) for c in reversed(child.children)]
         close()
     return "\n".join(blocks)
 
@@ -350,51 +386,70 @@ def host_of(url: str) -> "F.Column":
 
 
 def infer(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
-    """host and wrapper (JSON) of every host, from all of its pages."""
+    """host and wrapper (JSON) of every host, from all of its pages.
+
+    Pages of a host are dealt to parts by a hash of their structure, and each part is folded in the order of it: in
+    rounds of about FAN to a part, whatever the host's share of all pages, and without holding a part's pages.
+    """
+
+    def single(batches):
+        for batch in batches:
+            made = []
+            for page in batch.column("body"):
+                items = _items(parse(page.as_py() or ""))
+                made.append(json.dumps([1 if items else 0, items], separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.string())], ["host", "wrapper"])
 
     def fold(batches):
-        held: dict[str, list] = {}
+        at, whole = None, None
 
         def out():
-            made = pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([json.dumps(w, separators=(",", ":")) for w in held.values()], pa.string())], ["host", "wrapper"])
-            held.clear()
-            return made
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.string()), pa.array([json.dumps(whole, separators=(",", ":"))], pa.string())], ["host", "wrapper"])
 
         for batch in batches:
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("body")):
-                held[host] = merge_wrappers(held.get(host), [1 if (items := _items(parse(page.as_py() or ""))) else 0, items])
-                if len(held) >= HOSTS_HELD:
-                    yield out()
-        if held:
+            for host, part, wrapper in zip(batch.column("host").to_pylist(), batch.column("part").to_pylist(), batch.column("wrapper")):
+                if at != (host, part):
+                    if at is not None:
+                        yield out()
+                    at, whole = (host, part), None
+                whole = merge_wrappers(whole, json.loads(wrapper.as_py()))
+        if at is not None:
             yield out()
 
-    def combine(group: pd.DataFrame) -> pd.DataFrame:
-        whole = None
-        for wrapper in sorted(group["wrapper"]):
-            whole = merge_wrappers(whole, json.loads(wrapper))
-        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [json.dumps(whole, separators=(",", ":"))]})
-
-    parts = pages.select(host_of(url).alias("host"), F.col(body).alias("body")).mapInArrow(fold, "host string, wrapper string")
-    parts = parts.withColumn("part", F.expr(f"pmod(xxhash64(wrapper), {GROUPS})"))
-    some = parts.groupBy("host", "part").applyInPandas(combine, "host string, wrapper string")
-    return some.groupBy("host").applyInPandas(combine, "host string, wrapper string")
+    schema = "host string, wrapper string"
+    rows = materialise(pages.select(host_of(url).alias("host"), F.col(body).alias("body")).mapInArrow(single, schema), "wrapper-pages")
+    left, first = rows.count(), rows
+    while True:
+        left = -(-left // FAN)
+        dealt = rows.withColumn("part", F.expr(f"pmod(xxhash64(wrapper), {left}L)")).repartition("host", "part").sortWithinPartitions("host", "part", "wrapper")
+        rows = dealt.mapInArrow(fold, schema)
+        if left <= 1:
+            rows = materialise(rows, "wrappers")
+            discard(first)
+            return rows
 
 
 def main_text(pages: DataFrame, url: str = "url", body: str = "html", text: str = "text") -> DataFrame:
-    """pages, without the html, with the main text of each."""
-    wrappers = materialise(infer(pages, url, body), "wrappers")
+    """pages, without the html, with the main text of each. Wrappers of BROADCAST_BYTES at most are broadcast, others joined."""
+    wrappers = infer(pages, url, body)
     size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    wrappers = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
     keep = [c for c in pages.columns if c not in (body, text)]
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField(text, T.StringType())])
+    rows = pages.select(F.struct(*keep).alias("_row"), F.col(body).alias("_body"), host_of(url).alias("_host"))
+    known = None
+    if size <= BROADCAST_BYTES:
+        known = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})
+    else:
+        rows = rows.join(wrappers.withColumnRenamed("host", "_host"), "_host", "left").select("_row", "_body", F.col("wrapper").alias("_host"))
 
     def run(batches):
         for batch in batches:
-            made = pa.array([extract(page.as_py(), wrapper.as_py()) for page, wrapper in zip(batch.column("_body"), batch.column("wrapper"))], pa.string())
+            told = batch.column("_host").to_pylist()
+            told = [known.value.get(h) for h in told] if known else told
+            made = pa.array([extract(page.as_py(), wrapper) for page, wrapper in zip(batch.column("_body"), told)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.column("_row").flatten(), made], schema.names)
 
-    rows = pages.select(F.struct(*keep).alias("_row"), F.col(body).alias("_body"), host_of(url).alias("host"))
-    return rows.join(wrappers, "host", "left").select("_row", "_body", "wrapper").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op6_html_wrappers(spark, sf_dir: str) -> DataFrame:

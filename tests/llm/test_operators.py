@@ -299,6 +299,63 @@ def test_only_what_all_pages_have_is_constant(spark):
     assert "Alone" in got[3] and all(f"Text {k}" in got[k] for k in range(6))
 
 
+def test_common_subsequence(monkeypatch):
+    rnd = random.Random(7)
+
+    def brute(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j + 1], new[j], row[j] + (x == y)))
+            row = new
+        return row[-1]
+
+    for cells in (1 << 22, 12):
+        monkeypatch.setattr(wrappers, "TABLE_CELLS", cells)
+        for _ in range(300):
+            a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 20))] for _ in range(2))
+            got = wrappers.common(a, b)
+            assert len(got) == brute(a, b) and all(a[i] == b[j] for i, j in got)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+    shape = [[x[0], x[1]] for x in wrappers.align([[f"x{k}", 1, 1, []] for k in range(210)], [[f"x{k}", 1, 1, []] for k in range(210) if k != 99])]
+    assert [x for x in shape if x[1] == 0] == [["x99", 0]]
+
+
+def test_wrappers_decide_whatever_the_partitioning(spark, monkeypatch):
+    """Pages made of known parts: what the text must be is known from how they were made."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    line = lambda n=12: " ".join(word() for _ in range(rnd.randint(3, n)))
+    rows, want, bare = [], {}, {}
+    for host in range(4):
+        shared = [line() for _ in range(3)]
+        shell = "article" if host % 2 else "div class='story'"
+        for k in range(40):
+            blocks, parts = [], []
+            for _ in range(rnd.randint(1, 9)):
+                t = line(40)
+                blocks.append(t)
+                parts.append(rnd.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<div><p>{}</p></div>"]).format(t))
+            menu = "<ul>" + "".join(f"<li><a href='/'>{line(3)}</a></li>" for _ in range(rnd.randint(2, 5))) + "</ul>"
+            box = "<div class='r'>" + "".join(f"<a href='/'>{line(3)}</a> " for _ in range(3)) + "</div>"
+            inner = f"<p class='s'>{shared[0]}</p>" + "".join(parts) + f"<p class='t'>{shared[1]}</p>"
+            page = f"<html><body><nav>{menu}</nav><div class='x'>{shared[2]}</div>{menu}{box}<{shell}>{inner}</{shell.split()[0]}><div class='ad'>{line()}</div><footer>{line()}</footer></body></html>"
+            rows.append((len(rows), f"http://h{host}.org/{k}", page))
+            want[len(rows) - 1], bare[len(rows) - 1] = "\n".join(blocks), wrappers.extract(page, None)
+    assert all(bare[k] != want[k] for k in want)  # without the wrapper the shared lines stay
+    monkeypatch.setattr(wrappers, "FAN", 7)
+    for parts in (1, 3, 11):
+        pages = spark.createDataFrame(rnd.sample(rows, len(rows)), "page_id long, url string, html string").repartition(parts)
+        got = {r.page_id: r.text for r in wrappers.main_text(pages).collect()}
+        assert got == want
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", 0)
+    assert {r.page_id: r.text for r in wrappers.main_text(pages).collect()} == want
+    # Pages that are all alike have no constants: their text stays.
+    same = spark.createDataFrame([(k, "http://s.org/", "<article><p>Same text</p></article>") for k in range(9)], "page_id long, url string, html string")
+    assert {r.text for r in wrappers.main_text(same).collect()} == {"Same text"}
+
+
 def test_words_and_depth_hide_no_article():
     for shell in (
         '<body class="has-sidebar"><p>Real</p></body>', '<body class="sidebar"><p>Real</p></body>', '<html class="search"><body id="comments"><p>Real</p></body></html>',
@@ -311,6 +368,9 @@ def test_words_and_depth_hide_no_article():
         assert wrappers.extract(f"<body><p>Real</p>{hidden}</body>", None) == "Real", hidden
     deep = "<div>" * 150 + "deep" + "</div>" * 150
     assert wrappers.extract(f"<body><div><article><p>One</p>{deep}<p>Two</p></article></div><p>after</p></body>", None) == "One\ndeep\nTwo"
+    for n in (98, 99, 100, 150):
+        assert wrappers.extract("<div>" * n + "<nav><p>menu</p></nav><p>Real</p>" + "</div>" * n, None) == "Real"
+    assert wrappers.extract("<p>One</p><!-- x --!><p>Two</p>", None) == "One\nTwo"
     assert wrappers.extract("<div>" * 150 + "<nav><p>menu</p></nav><article><p>Real</p><nav>x<p>y</p></nav><div>more</div></article>" + "</div>" * 150 + "<p>after</p>", None).split() == ["Real", "more"]
     assert wrappers.extract("<div>" * 150000 + "</x>" * 150000 + "<p>end" + "<b>" * 50000 + "<li></li>" * 5000, None) == "end"
 
