@@ -377,11 +377,11 @@ def test_words_and_depth_hide_no_article():
 
 # 7 --------------------------------------------------------------------------------------------
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, n=3):
     import xxhash
 
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    shingles = [" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))] if words else []
     ones = [sum(xxhash.xxh64_intdigest(s.encode(), 42) >> b & 1 for s in shingles) for b in range(64)]
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
 
@@ -644,9 +644,28 @@ def test_pipeline_against_brute_force(spark, docs, texts):
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = [(d, t) for d, t in texts if re.search(r"[^\W\d_]", t or "")]
-    parts = brute_components([d for d, _ in kept], [brute_fingerprint(t) for _, t in kept])
+    parts = brute_components([d for d, _ in kept], [brute_fingerprint(t, corpus_pipeline.SHINGLE) for _, t in kept])
     kept = [(d, t) for (d, t), c in zip(kept, parts) if c == d]
     kept = [(d, t) for d, t in kept if not brute_hits(t, items)[4]]
     assert sorted(rows) == sorted(d for d, _ in kept) and all(r.round_trip for r in rows.values())
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), SF).count() == 0, name
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """Nulls, repeated rows, a very long text and columns with clashing names, stage by stage."""
+    words = "the house and the garden are here for all of them to see again"
+    more = [(None, words, "en", "a", 1), (None, words, "en", "a", 1), (30, words, "en", "a", 1), (31, "das haus und der garten sind da", "de", "a", 1), (32, None, "en", None, None)]
+    docs = odd.unionByName(spark.createDataFrame(more, DOCS)).withColumns({"score": F.lit("mine"), "n_hit": F.lit(-1), "fp": F.lit("x"), "lang_pred": F.lit(None).cast("string")})
+    told = corpus_pipeline.language(spark, docs, SF)
+    assert told.columns == docs.columns and {r.score for r in told.collect()} == {"mine"}
+    kept = {(r.doc_id, r.text) for r in told.collect()}
+    assert all(t and any(c.isalpha() for c in t) for _, t in kept) and (30, words) in kept and (5, LONG) in kept
+    single = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert single.columns == docs.columns
+    assert [r.doc_id for r in single.where(F.col("text") == words).collect()] == [30] and single.where("text = 'same id'").count() == 1
+    clean = corpus_pipeline.contamination(spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == docs.count() and {r.n_hit for r in clean.collect()} == {-1}
+    done = corpus_pipeline.tokens(spark, docs, SF)
+    assert done.count() == docs.count() and "text" not in done.columns and set(docs.columns) - {"text"} <= set(done.columns)
+    assert all(r.round_trip for r in done.collect())
