@@ -1,8 +1,12 @@
 """A corpus pipeline of four stages: language, near-duplicates, contamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one works on what was
-written of it. Null and empty texts, repeated rows and empty tables are handled as the operators'
-docstrings say.
+written of it.
+
+Edge cases: a null or empty text, or one without letters, goes at the first stage; of repeated rows, with
+or without an id, the second keeps one; long texts are read whole; empty tables pass through all stages;
+extra columns pass through, but for `ids` and the other columns that `tokens` makes, and `text`, which it
+leaves out.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from convlake.llm import decontaminate, langid, simhash, spm
 from convlake.llm.common import materialise, table
 
 LEAST_SCORE = 0.5
+SHINGLE = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (SimHash, linked at 3 bits or fewer), the document with the least doc_id."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies: SimHash of shingles of five words, linked at 3 bits or fewer."""
+    return simhash.deduplicate(docs, shingle=SHINGLE)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    return spm.encode_checked(docs.select("doc_id", "lang", "source", "n_chars", "text")).drop("text")
+    return spm.encode_checked(docs).drop("text")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("contamination", contamination), ("tokens", tokens)]
