@@ -75,57 +75,60 @@ class Linkage:
             closer = alive & (row < sq[np.arange(n), near])
             near[closer] = i
 
-    def cut(self, threshold: float, heights: list | None = None) -> np.ndarray:
-        """Clusters, numbered by their first member."""
-        heights = self.heights if heights is None else heights
-        top = np.arange(self.n + len(heights))
-        whole = np.ones(len(top), dtype=bool)
-        for k, ((a, b), h) in enumerate(zip(self.merges, heights)):
+    def cut(self, threshold: float) -> np.ndarray:
+        """Clusters at a threshold, numbered by their first member."""
+        whole = np.ones(self.n + len(self.merges), dtype=bool)
+        for k, ((a, b), h) in enumerate(zip(self.merges, self.heights)):
             whole[self.n + k] = whole[a] and whole[b] and h <= threshold
-        for k in range(len(heights) - 1, -1, -1):
-            if whole[self.n + k]:
-                top[list(self.merges[k])] = top[self.n + k]
-        return np.unique(_first_seen(top[: self.n]), return_inverse=True)[1]
+        return self._labels(whole)
 
+    def after(self, merges: int) -> np.ndarray:
+        """Clusters once so many merges are done, numbered by their first member."""
+        return self._labels(np.arange(self.n + len(self.merges)) < self.n + merges)
 
-def _first_seen(labels: np.ndarray) -> np.ndarray:
-    _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
-    return first[inverse]
+    def _labels(self, whole: np.ndarray) -> np.ndarray:
+        """Members numbered by the topmost whole node above them."""
+        top = np.arange(len(whole))
+        for k in np.flatnonzero(whole[self.n :])[::-1]:
+            top[list(self.merges[k])] = top[self.n + k]
+        _, first, inverse = np.unique(top[: self.n], return_index=True, return_inverse=True)
+        return np.unique(first[inverse], return_inverse=True)[1]
 
+    def nearest(self, wanted: int, threshold: float, least: int) -> np.ndarray:
+        """Clusters of the cut whose number of clusters of `least` members is closest to `wanted`; of equal ones the cut nearest
+        to the threshold. Cuts lie behind merges that make such a cluster; one cluster if none is closer than that."""
+        large = np.r_[np.ones(self.n, dtype=int), np.array(self.sizes, dtype=int)] >= least
+        merged = large[np.array(self.merges)].sum(axis=1)
+        off = np.abs(large[: self.n].sum() + np.cumsum(large[self.n :] - merged) - wanted)
+        order = np.lexsort((np.abs(np.array(self.heights) - threshold), off))
+        fit = order[(large[self.n :] & (off < abs(1 - wanted)))[order]]
+        return self.after(int(fit[0]) + 1 if len(fit) else len(self.merges))
 
-def clusters(x: np.ndarray, threshold: float, least: int, low: int = 1, high: int = 20, exact: int | None = None) -> np.ndarray:
-    """Clusters of unit vectors: centroid linkage cut at the threshold; if the number of clusters of `least` members (a tenth
-    of all at most) is outside low..high, or not the exact one, the cut among the merges nearest to the threshold that comes
-    closest to it. Smaller clusters join the nearest large one; with none large all are one."""
-    n = len(x)
-    if n < 2 or high < 2:
-        return np.zeros(n, dtype=int)
-    least = min(least, max(1, round(0.1 * n)))
-    tree = Linkage(x)
 
-    def large(labels: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.bincount(labels) >= least)
+def join_small(x: np.ndarray, labels: np.ndarray, least: int) -> np.ndarray:
+    """Clusters of under `least` members as part of the large one whose centre is nearest; all as one if none is large."""
+    large = np.bincount(labels) >= least
+    if not large.any():
+        return np.zeros(len(x), dtype=int)
+    centres = np.zeros((len(large), x.shape[1]))
+    np.add.at(centres, labels, x)
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    host = np.arange(len(large))
+    host[~large] = np.flatnonzero(large)[(centres[~large] @ centres[large].T).argmax(axis=1)]
+    return np.unique(host[labels], return_inverse=True)[1]
+
 
+def clusters(x: np.ndarray, threshold: float, least: int, low: int = 1, high: int = 20, exact: int | None = None) -> np.ndarray:
+    """Clusters of unit vectors: centroid linkage cut at the threshold, or, if that gives fewer than low or more than high
+    clusters of `least` members (a tenth of all at most), or not the exact number, cut where their number comes closest.
+    Smaller clusters join the nearest large one."""
+    if len(x) < 2 or high < 2:
+        return np.zeros(len(x), dtype=int)
+    least = min(least, max(1, round(0.1 * len(x))))
+    tree = Linkage(x)
     labels = tree.cut(threshold)
-    count = len(large(labels))
-    wanted = low if count < low else high if count > high else exact
-    if wanted is not None and count != wanted:
-        ranks = list(range(n - 1))
-        best, best_count = n - 1, 1
-        for k in np.argsort(np.abs(np.array(tree.heights) - threshold), kind="stable"):
-            if tree.sizes[k] < least:
-                continue
-            got = len(large(tree.cut(k, ranks)))
-            if abs(got - wanted) < abs(best_count - wanted):
-                best, best_count = k, got
-            if got == wanted:
-                break
-        labels = tree.cut(best, ranks)
-    kept = large(labels)
-    if not len(kept):
-        return np.zeros(n, dtype=int)
-    centres = np.vstack([x[labels == k].mean(axis=0) for k in range(labels.max() + 1)])
-    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    nearest = kept[(centres @ centres[kept].T).argmax(axis=1)]
-    nearest[kept] = kept
-    return np.unique(nearest[labels], return_inverse=True)[1]
+    found = int((np.bincount(labels) >= least).sum())
+    wanted = min(max(found, low), high)
+    if wanted == found and exact is not None:
+        wanted = exact
+    return join_small(x, labels if wanted == found else tree.nearest(wanted, threshold, least), least)

@@ -82,48 +82,30 @@ def _undo_switches(rows: Iterator[tuple]) -> Iterator[list]:
             ahead.extend(islice(source, 1))
 
 
+# Where a change of speaker lies beside the end of a sentence, by place from the first word of the new speaker: the word that ends
+# the sentence, a word that must follow, the words that change hands, and the word whose speaker they get. The first that fits counts.
+SNAPS = [(-2, 0, (-1,), 0), (-3, 0, (-2, -1), 0), (0, 1, (0,), -1), (1, 2, (0, 1), -1)]
+BEHIND = 3
+
+
 def _snap_changes(words: Iterator[list]) -> Iterator[list]:
-    """Changes of speaker one or two words off the end of a sentence move there. Of the words no more than
-    three before and two behind a change are held."""
-    held: list[list] = []
-    first = 0  # the place of held[0] in the meeting
-    k = 1
-
-    def at(i: int) -> list | None:
-        """Word i, read on if need be; None past the end."""
-        while i - first >= len(held):
-            word = next(words, None)
-            if word is None:
-                return None
-            held.append(word)
-        return held[i - first]
-
-    while at(k) is not None:
-        now, prior = at(k), at(k - 1)
-        if now[2] != prior[2] and not prior[1]:
-            moved = False
-            for a in (k - 1, k - 2):  # too late: the words since the sentence's end belong to the next speaker
-                if a <= 0 or at(a)[2] != prior[2] or at(a)[1]:
-                    break
-                if at(a - 1)[1]:
-                    for m in range(a, k):
-                        at(m)[2] = now[2]
-                    moved = True
-                    break
-            for b in () if moved else (k, k + 1):  # too early: the words up to the sentence's end belong to the one before
-                if at(b + 1) is None or at(b)[2] != now[2]:
-                    break
-                if at(b)[1]:
-                    speaker = prior[2]
-                    for m in range(k, b + 1):
-                        at(m)[2] = speaker
+    """Changes of speaker one or two words off the end of a sentence move there; six words around each are held."""
+    around: deque = deque([None] * BEHIND + list(islice(words, BEHIND)))
+    around.extend([None] * (2 * BEHIND - len(around)))
+    while (now := around[BEHIND]) is not None:
+        before = around[BEHIND - 1]
+        if before is not None and before[2] != now[2] and not before[1]:
+            for end, follows, moved, giver in SNAPS:
+                last, own = around[BEHIND + end], [around[BEHIND + m] for m in moved]
+                if last is not None and last[1] and around[BEHIND + follows] is not None and len({w[2] for w in own}) == 1:
+                    speaker = around[BEHIND + giver][2]
+                    for w in own:
+                        w[2] = speaker
                     break
-        k += 1
-        while k - first > 3:
-            yield held.pop(0)
-            first += 1
-    yield from held
-    yield from words
+        if (done := around.popleft()) is not None:
+            yield done
+        around.append(next(words, None))
+    yield from (w for w in around if w is not None)
 
 
 def _smoothed(rows: Iterator[tuple]) -> Iterator[tuple]:
