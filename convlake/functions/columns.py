@@ -33,6 +33,16 @@ def parse_time(text: str) -> Column:
     return F.expr(f"coalesce({h}, 0) * 3600 + {m} * 60 + {s}")
 
 
+def strip(text: str) -> str:
+    """SQL of a text without white space of any kind around it."""
+    return rf"regexp_replace({text}, '(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '')"
+
+
+def list_item(text: str) -> str:
+    """SQL of a line without white space and bullets around it."""
+    return strip(f"trim(BOTH '-•* ' FROM {strip(text)})")
+
+
 def note_key(text: str) -> Column:
     """What tells notes apart: lower case, everything but a-z and 0-9 as one space."""
     return F.expr(rf"trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' '))")

@@ -45,6 +45,12 @@ def waveform_peaks(samples: DataFrame, bucket: int) -> DataFrame:
     return peaks.join(scale, "meeting_id").selectExpr("meeting_id", "bucket", f"{level} AS level")
 
 
+def loudness(samples: DataFrame, rate: float) -> DataFrame:
+    """D13. Duration in seconds and root mean square of each recording; values beyond -1..1 count as that."""
+    level = "greatest(-1D, least(1D, cast(value AS double)))"
+    return samples.groupBy("meeting_id").agg((F.count("*") / F.lit(float(rate))).alias("duration_s"), F.sqrt(F.avg(F.expr(f"{level} * {level}"))).alias("rms"))
+
+
 def speaking_time(active: DataFrame, frame_ms: int) -> DataFrame:
     """D12. Milliseconds that each speaker is active, from the frames."""
     return active.select("meeting_id", "speaker", "frame").distinct().groupBy("meeting_id", "speaker").agg((F.count("*") * frame_ms).alias("ms"))

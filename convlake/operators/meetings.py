@@ -111,6 +111,14 @@ def apply_decisions(meeting_speakers: DataFrame, decisions: DataFrame) -> tuple[
     return done, who.join(target, ["meeting_id", "speaker_id"]).where("key <> target").selectExpr("meeting_id", "key AS source", "target")
 
 
+def confirm_all(meeting_speakers: DataFrame, meetings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """L21. What apply_decisions gives if all matches and suggestions of the meetings (meeting_id) are confirmed."""
+    rows = meeting_speakers.join(meetings.select("meeting_id").distinct(), "meeting_id", "left_semi")
+    who = "CASE WHEN status IN ('auto', 'confirmed') THEN speaker_id WHEN status = 'suggested' THEN suggested_id END"
+    told = rows.selectExpr("meeting_id", "key", "1 AS seq", "'assign' AS action", f"{who} AS speaker_id", "cast(NULL AS string) AS name").where("speaker_id IS NOT NULL")
+    return apply_decisions(meeting_speakers, told)
+
+
 def apply_segment_edits(segments: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """L22. Segments after the last edit (meeting_id, idx, seq, text, speaker) of each; the talk time (meeting_id, key, delta_ms)
     that moved; and clips to learn from: the middle 12 s of segments of 2.5 s or more that got another speaker. The speaker `new`

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlake.functions.columns import clock, note_key, parse_time
+from convlake.functions.columns import clock, list_item, note_key, parse_time, strip
 from convlake.functions.ordered import in_order
 
 # What stands for no owner and no date.
@@ -36,27 +36,24 @@ def plan_parts(tokens: DataFrame, budget: int) -> DataFrame:
 
 def dedupe_items(items: DataFrame) -> DataFrame:
     """N8. Of the lines of a meeting that say the same (in a-z and 0-9) the first; bullets go, lines that say nothing too."""
-    rows = items.select("meeting_id", "idx", F.expr("trim(trim(BOTH '-•* ' FROM trim(line)))").alias("item"))
+    rows = items.select("meeting_id", "idx", F.expr(list_item("line")).alias("item"))
     rows = rows.withColumn("key", note_key("item")).where("key <> ''")
     return rows.groupBy("meeting_id", "key").agg(F.expr("min_by(struct(idx, item), idx)").alias("s")).selectExpr("meeting_id", "s.idx", "s.item")
 
 
 def summary_line(texts: DataFrame) -> DataFrame:
-    """N16. The first line of a text, at most 300 characters."""
-    return texts.selectExpr("meeting_id", "left(trim(split(text, '\\\\n')[0]), 300) AS summary")
+    """N16. The first line of a text without white space around it, at most 300 characters."""
+    return texts.selectExpr("meeting_id", f"left(split({strip('text')}, '\\n')[0], 300) AS summary")
 
 
 def clean_actions(actions: DataFrame) -> DataFrame:
     """N9. Tasks (meeting_id, idx, task, owner, due, time, duration_s): of those that say the same the first, one whose
     words hold no a-z and 0-9 too; placeholders for owner and due become empty, times over 5 s past the end null."""
 
-    def strip(name: str) -> Column:
-        return F.regexp_replace(name, r"^\s+|\s+$", "")
-
     def filled(name: str) -> Column:
-        return F.when(F.coalesce(note_key(name), F.lit("")).isin(PLACEHOLDERS), "").otherwise(strip(name)).alias(name)
+        return F.when(F.coalesce(note_key(name), F.lit("")).isin(PLACEHOLDERS), "").otherwise(F.expr(strip(name))).alias(name)
 
-    rows = actions.select("meeting_id", "idx", strip("task").alias("task"), filled("owner"), filled("due"), parse_time("time").alias("t"), "duration_s")
+    rows = actions.select("meeting_id", "idx", F.expr(strip("task")).alias("task"), filled("owner"), filled("due"), parse_time("time").alias("t"), "duration_s")
     rows = rows.where("task <> ''").withColumn("t", F.expr("if(t <= duration_s + 5, t, NULL)")).withColumn("key", note_key("task"))
     first = rows.groupBy("meeting_id", "key").agg(F.expr("min_by(struct(idx, task, owner, due, t), idx)").alias("a"))
     return first.select("meeting_id", "a.*", F.lit(False).alias("done"))
@@ -188,7 +185,7 @@ def parse_answers(raw: DataFrame, schema: str) -> DataFrame:
 def clean_chapters(chapters: DataFrame) -> DataFrame:
     """N10. Chapters (meeting_id, idx, time, title, summary, duration_s) in order of time, without those that have no title or time
     or lie over 5 s past the end, and without those less than 5 s after, or named as, the last one kept."""
-    rows = chapters.select("meeting_id", "idx", parse_time("time").alias("t"), F.trim("title").alias("title"), F.trim(F.coalesce("summary", F.lit(""))).alias("summary"), "duration_s")
+    rows = chapters.select("meeting_id", "idx", parse_time("time").alias("t"), F.expr(strip("title")).alias("title"), F.expr(strip("coalesce(summary, '')")).alias("summary"), "duration_s")
     rows = rows.where("title <> '' AND t <= duration_s + 5").withColumn("key", note_key("title"))
     lists = rows.groupBy("meeting_id").agg(F.expr("array_sort(collect_list(struct(t, idx, title, summary, key)))").alias("c"))
     seen = "size(s) > 0 AND (x.t - element_at(s, -1).t < %d OR x.key = element_at(s, -1).key)" % CHAPTER_GAP_S
@@ -199,7 +196,7 @@ def clean_chapters(chapters: DataFrame) -> DataFrame:
 def clean_sections(items: DataFrame) -> DataFrame:
     """N12. Sections (meeting_id, section, title, items) of rows (meeting_id, section, title, idx, item): bullets and repeats go, and
     what has no title or no item left."""
-    rows = items.where("title <> ''").select("meeting_id", "section", "title", "idx", F.expr("trim(trim(BOTH '-•* ' FROM trim(item)))").alias("item"))
+    rows = items.where("title <> ''").select("meeting_id", "section", "title", "idx", F.expr(list_item("item")).alias("item"))
     rows = rows.withColumn("key", note_key("item")).where("key <> ''")
     first = rows.groupBy("meeting_id", "section", "title", "key").agg(F.expr("min_by(struct(idx, item), idx)").alias("s"))
     return first.groupBy("meeting_id", "section", "title").agg(F.expr("transform(array_sort(collect_list(s)), x -> x.item)").alias("items"))
@@ -207,13 +204,29 @@ def clean_sections(items: DataFrame) -> DataFrame:
 
 def clean_title(title: str) -> Column:
     """N12. A title without quotes around it, at most 120 characters."""
-    return F.expr(f"left(trim(trim(BOTH '\"' FROM trim(coalesce({title}, '')))), 120)")
+    bare = f"""trim(BOTH '"' FROM {strip(f"coalesce({title}, '')")})"""
+    return F.expr(f"left({strip(bare)}, 120)")
+
+
+def clean_record(records: DataFrame) -> DataFrame:
+    """N12. Whole records (meeting_id, title, summary, and the lists key_points, decisions, open_questions) cleaned: the title, the
+    summary without white space around it, and of each list the items that say something, of those that say the same the first.
+    Null lists are empty, null items are left out. Tasks, chapters and sections are cleaned by N9, N10 and N12 as rows."""
+    key = r"trim(regexp_replace(lower(x), '[^a-z0-9]+', ' '))"
+
+    def items(name: str) -> str:
+        told = f"transform(filter(coalesce({name}, array()), x -> x IS NOT NULL), x -> {list_item('x')})"
+        keyed = f"filter(transform({told}, x -> struct({key} AS k, x AS item)), y -> y.k <> '')"
+        return f"transform(map_entries(aggregate({keyed}, cast(map() AS map<string, string>), (m, y) -> if(map_contains_key(m, y.k), m, map_concat(m, map(y.k, y.item))))), e -> e.value) AS {name}"
+
+    lists = [items(c) for c in ("key_points", "decisions", "open_questions")]
+    return records.select("meeting_id", clean_title("title").alias("title"), F.expr(strip("coalesce(summary, '')")).alias("summary"), *map(F.expr, lists))
 
 
 def chapters_from_topics(topics: DataFrame) -> DataFrame:
     """N13. Of the topics (meeting_id, part, idx, time, title, most, until_s) of all parts that begin before until_s the `most` that
     are evenly spaced in order of time."""
-    rows = topics.select("meeting_id", "part", "idx", parse_time("time").alias("t"), F.trim("title").alias("title"), "most", "until_s").where("t < until_s AND title <> ''")
+    rows = topics.select("meeting_id", "part", "idx", parse_time("time").alias("t"), F.expr(strip("title")).alias("title"), "most", "until_s").where("t < until_s AND title <> ''")
     rows = rows.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id ORDER BY t, part, idx) - 1 AS place", "count(*) OVER (PARTITION BY meeting_id) AS n")
     near = "cast(round(place * (most - 1D) / greatest(1, n - 1)) AS bigint)"
     hit = f"exists(array(-1, 0, 1), o -> {near} + o BETWEEN 0 AND most - 1 AND bround(({near} + o) * (n - 1) / (most - 1D)) = place)"

@@ -47,30 +47,49 @@ def strength(stats: DataFrame, consistencies: DataFrame) -> DataFrame:
     return rows.selectExpr("speaker_id", f"{rule} AS strength")
 
 
-def sample_outliers(samples: DataFrame, model: str = "cur", least: float = 0.48) -> DataFrame:
-    """L5. Each sample's cosine with the sum of the person's others, outlier below `least`; people with 3 or more."""
-    rows = samples.where(F.col("model") == model).select("id", "speaker_id", unit("embedding").alias("v"))
-    rows = rows.join(_sums(samples, model).where("n >= 3"), "speaker_id").withColumn("rest", F.expr("zip_with(total, v, (t, x) -> t - x)"))
-    rows = rows.select("id", "speaker_id", (dot("v", "rest") / F.sqrt(dot("rest", "rest"))).alias("score"))
-    return rows.withColumn("outlier", F.col("score") < least)
+def sample_details(samples: DataFrame, meetings: DataFrame, model: str = "cur", least: float = 0.48) -> DataFrame:
+    """L5. Every sample with the title of its meeting, whether it is of the model, its cosine with the sum of the person's other
+    samples of the model, and whether that is below `least`. Samples of other models, and of people with under 3 of the model,
+    have no score and are no outliers."""
+    own = samples.where(F.col("model") == model).select("id", "speaker_id", unit("embedding").alias("v"))
+    own = own.join(_sums(samples, model).where("n >= 3"), "speaker_id").withColumn("rest", F.expr("zip_with(total, v, (t, x) -> t - x)"))
+    scores = own.select("id", (dot("v", "rest") / F.sqrt(dot("rest", "rest"))).alias("score"))
+    rows = samples.select("id", "speaker_id", "meeting_id", (F.col("model") == model).alias("active")).join(scores, "id", "left")
+    rows = rows.join(meetings.selectExpr("id AS meeting_id", "title"), "meeting_id", "left")
+    return rows.select("id", "speaker_id", "meeting_id", "title", "active", "score", F.coalesce(F.col("score") < least, F.lit(False)).alias("outlier"))
 
 
 def reembed_worklist(samples: DataFrame, model: str) -> DataFrame:
-    """L15. (speaker_id, id) of samples of another model whose person has none of this one at the same place."""
-    have = samples.where(F.col("model") == model).select("speaker_id", "meeting_id")
-    return samples.where(F.col("model") != model).join(have, ["speaker_id", "meeting_id"], "left_anti").select("speaker_id", "id").distinct()
+    """L15. (speaker_id, clip, id) of the clips of which a person has samples of other models and none of this one; the
+    smallest id of them. Samples without a clip can't be computed again."""
+    have = samples.where(F.col("model") == model).select("speaker_id", "clip")
+    other = samples.where((F.col("model") != model) & F.col("clip").isNotNull()).join(have, ["speaker_id", "clip"], "left_anti")
+    return other.groupBy("speaker_id", "clip").agg(F.min("id").alias("id"))
 
 
-def merge_speakers(samples: DataFrame, mapping: DataFrame) -> DataFrame:
-    """L18. Samples with the ids of merged people (source, target) rewritten."""
-    rows = samples.join(mapping.selectExpr("source AS speaker_id", "target"), "speaker_id", "left")
-    return rows.selectExpr("id", "coalesce(target, speaker_id) AS speaker_id")
+def merge_speakers(samples: DataFrame, meeting_speakers: DataFrame, people: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """L18. Samples, meeting_speakers and people once people (source) became others (target, none a source): ids are rewritten
+    in matches and suggestions too, and sources go. The samples of targets are pruned by L6."""
+    moved = mapping.where("source <> target").select("source", "target").distinct()
 
+    def over(rows: DataFrame, name: str) -> DataFrame:
+        to = moved.select(F.col("source").alias(name), F.col("target").alias(f"_{name}"))
+        return rows.join(to, name, "left").withColumn(name, F.coalesce(f"_{name}", name)).select(*rows.columns)
 
-def merge_meeting_keys(meeting_speakers: DataFrame, mapping: DataFrame) -> DataFrame:
-    """L20. Talk time with keys (meeting_id, source) moved to their target."""
-    rows = meeting_speakers.join(mapping.selectExpr("meeting_id", "source AS key", "target"), ["meeting_id", "key"], "left")
-    return rows.groupBy("meeting_id", F.coalesce("target", "key").alias("key")).agg(F.sum("talk_ms").alias("talk_ms"))
+    matched = over(over(meeting_speakers, "speaker_id"), "suggested_id")
+    return over(samples, "speaker_id"), matched, people.join(moved.select(F.col("source").alias("id")), "id", "left_anti").select(*people.columns)
+
+
+def merge_meeting_keys(meeting_speakers: DataFrame, segments: DataFrame, turns: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """L20. Talk times (meeting_id, key, talk_ms), segments and turns (meeting_id, speaker) with the keys of a meeting (source)
+    moved to others (target); the source's row goes."""
+    moved = mapping.where("source <> target").select("meeting_id", "source", "target").distinct()
+
+    def over(rows: DataFrame, name: str) -> DataFrame:
+        to = moved.select("meeting_id", F.col("source").alias(name), F.col("target").alias("_target"))
+        return rows.join(to, ["meeting_id", name], "left").withColumn(name, F.coalesce("_target", name)).select(*rows.columns)
+
+    return over(meeting_speakers, "key").groupBy("meeting_id", "key").agg(F.sum("talk_ms").alias("talk_ms")), over(segments, "speaker"), over(turns, "speaker")
 
 
 def turn_overlap(turns: DataFrame) -> DataFrame:
@@ -133,11 +152,27 @@ def rename_speakers(people: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.selectExpr("id", "name", "free AND row_number() OVER (PARTITION BY l, free ORDER BY id) = 1 AS accepted")
 
 
-def typical_samples(samples: DataFrame, most: int = 5, model: str = "cur") -> DataFrame:
-    """L13. Of each person's samples of the model the `most` that are most like its centroid (the smaller id on ties)."""
-    rows = samples.where(F.col("model") == model).select("speaker_id", "id", unit("embedding").alias("v")).join(profiles(samples, model).select("speaker_id", "centroid"), "speaker_id")
-    rows = rows.select("speaker_id", "id", F.round(dot("v", "centroid"), 6).alias("likeness"))
-    return rows.selectExpr("*", "row_number() OVER (PARTITION BY speaker_id ORDER BY likeness DESC, id) AS place").where(f"place <= {most}").drop("place")
+def typical_samples(candidates: DataFrame, most: int = 5) -> DataFrame:
+    """L13. Of the candidates (meeting_id, key, id, embedding) of each voice of a meeting the `most` that are most like their own
+    centroid (the smaller id on ties)."""
+    rows = candidates.where("embedding IS NOT NULL").select("meeting_id", "key", "id", unit("embedding").alias("v"))
+    sums = rows.select("meeting_id", "key", F.posexplode("v").alias("dim", "x")).groupBy("meeting_id", "key", "dim").agg(F.sum("x").alias("x"))
+    total = sums.groupBy("meeting_id", "key").agg(F.expr("transform(array_sort(collect_list(struct(dim, x))), v -> v.x)").alias("total"))
+    centre = total.select("meeting_id", "key", unit("total").alias("centre"))
+    rows = rows.join(centre, ["meeting_id", "key"]).select("meeting_id", "key", "id", F.round(dot("v", "centre"), 6).alias("likeness"))
+    return rows.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id, key ORDER BY likeness DESC, id) AS place").where(f"place <= {most}").drop("place")
+
+
+def spread_names(people: DataFrame, meeting_speakers: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """L24. People (id, name, color, notes) and meeting_speakers (.., speaker_id, label, color) after changes (id, name, color, notes):
+    a name that holds becomes the label in all meetings, a color #rrggbb theirs; notes are cut to 2000 characters. Null
+    fields leave things as they are; of several changes to one person the greatest values count."""
+    told = rename_speakers(people, changes).where("accepted").groupBy("id").agg(F.max("name").alias("_name"))
+    other = changes.groupBy("id").agg(F.max(F.expr("if(color RLIKE '^#[0-9a-fA-F]{6}$', color, NULL)")).alias("_color"), F.max(F.expr("left(notes, 2000)")).alias("_notes"))
+    new = other.join(told, "id", "left")
+    done = people.join(new, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("name", "color", "notes")}).select(*people.columns)
+    rows = meeting_speakers.join(new.withColumnRenamed("id", "speaker_id"), "speaker_id", "left")
+    return done, rows.withColumns({"label": F.coalesce("_name", "label"), "color": F.coalesce("_color", "color")}).select(*meeting_speakers.columns)
 
 
 def auto_learn(matches: DataFrame, auto: float, margin: float = 0.08) -> DataFrame:
@@ -159,15 +194,17 @@ def _people_blocks(samples: DataFrame, model: str, block_bytes: int) -> tuple[in
     return n, people.withColumn("block", F.expr(f"pmod(xxhash64(speaker_id), {max(1, n)})"))
 
 
-def match_scores(voiceprints: DataFrame, samples: DataFrame, model: str = "cur", keep: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def match_scores(voiceprints: DataFrame, samples: DataFrame, model: str = "cur", keep: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """L8. Each voice (meeting_id, key, embedding) with the `keep` people it is most like: 0.6 of its cosine with a person's
-    centroid and 0.4 of the mean of the three best with samples. `keep` must be the voices of a meeting plus one, or two, for
-    an assignment to lose nothing. The library is taken in blocks of bounded size, each broadcast in turn and scored with
+    centroid and 0.4 of the mean of the three best with samples. Without `keep` that is one more than the voices of the largest
+    meeting, and two at least, so that an assignment of people to voices and its margins lose nothing. The library is taken in blocks of bounded size, each broadcast in turn and scored with
     one product per batch; voices never meet people in a join."""
     spark = voiceprints.sparkSession
     n, people = _people_blocks(samples, model, block_bytes)
     people = people.persist()
     rows = voiceprints.where("embedding IS NOT NULL").selectExpr("meeting_id", "key", "cast(embedding AS array<double>) AS embedding")
+    if keep is None:
+        keep = 1 + (rows.groupBy("meeting_id").count().agg(F.max("count")).first()[0] or 1)
     person = samples.schema["speaker_id"].dataType.simpleString()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:2]) + f", speaker_id {person}, score double"
     found = spark.createDataFrame([], schema)

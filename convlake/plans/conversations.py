@@ -44,9 +44,10 @@ RUNS = """r AS (
 )"""
 
 
-@query("m1_speaker_stats", ("segments_fx",), f"WITH {RUNS} SELECT * FROM st")
-def m1(segments):
-    return stats.speaker_stats(segments)
+@query("m1_speaker_stats", ("segments_fx", "meeting_speakers_fx"), f"WITH {RUNS} SELECT * FROM st UNION ALL SELECT DISTINCT meeting_id, 'S9', 0, 0, 0, 0 FROM meeting_speakers_fx WHERE meeting_id % 3 = 0")
+def m1(segments, meeting_speakers):
+    silent = meeting_speakers.where("meeting_id % 3 = 0").selectExpr("meeting_id", "'S9' AS key")
+    return stats.speaker_stats(segments, meeting_speakers.select("meeting_id", "key").unionByName(silent))
 
 
 @query("m2_talk_share", ("segments_fx",), f"WITH {RUNS} SELECT meeting_id, speaker, CASE WHEN sum(talk_ms) OVER (PARTITION BY meeting_id) = 0 THEN 0 ELSE floor(100.0 * talk_ms / sum(talk_ms) OVER (PARTITION BY meeting_id) + 0.5)::BIGINT END AS share FROM st")
@@ -67,11 +68,11 @@ def m4(segments):
     return stats.longest_segment(segments)
 
 
-@query("m5_perf_ema", ("perf_fx",), """WITH v AS (SELECT key, list(value::DOUBLE ORDER BY seq) AS vs FROM perf_fx GROUP BY key)
+@query("m5_perf_ema", ("perf_fx",), """WITH v AS (SELECT key, list(value::DOUBLE ORDER BY seq) AS vs FROM perf_fx WHERE seq * 13 % 100 > 60 GROUP BY key)
 SELECT key, round(list_reduce(list_transform(range(1, len(vs) + 1), lambda i: {'x': vs[i], 'n': i}),
   lambda s, o: {'x': s.x + CASE WHEN s.n < 3 THEN 0.5 ELSE 0.3 END * (o.x - s.x), 'n': o.n}).x, 6) AS value, len(vs)::BIGINT AS samples FROM v""")
 def m5(observations):
-    return rounded(stats.perf_ema(observations), "value")
+    return rounded(stats.perf_ema(stats.observed(observations.withColumn("duration_s", F.expr("seq * 13 % 100"))), 64), "value")
 
 
 @query("m7_meeting_totals", ("segments_fx", "samples_fx"), """WITH t AS (
@@ -88,6 +89,12 @@ def p1(meeting_speakers, people):
     return stats.speaker_names(meeting_speakers, people)
 
 
+@query("p1_speaker_rows", ("meeting_speakers_fx", "speakers_fx"), """SELECT meeting_id, key, substr(key, 2)::BIGINT AS number, coalesce(nullif(s.name, ''), nullif(label, ''), key) AS name, status, g.name AS suggested_name
+  FROM meeting_speakers_fx m LEFT JOIN speakers_fx s ON s.id = m.speaker_id LEFT JOIN speakers_fx g ON g.id = talk_ms % 12""")
+def p1_rows(meeting_speakers, people):
+    return stats.speaker_rows(meeting_speakers.withColumn("suggested_id", F.expr("talk_ms % 12")), people)
+
+
 @query("p7_bookmarks", ("segments_fx", "turns_fx"), """WITH b AS (SELECT meeting_id, start_ms AS at_ms FROM turns_fx)
 SELECT b.meeting_id, b.at_ms, (SELECT min(idx) FROM segments_fx s WHERE s.meeting_id = b.meeting_id AND s.start_ms >= b.at_ms) AS idx FROM b
 WHERE EXISTS (SELECT 1 FROM segments_fx s WHERE s.meeting_id = b.meeting_id AND s.start_ms >= b.at_ms)""")
@@ -163,28 +170,48 @@ def l4(people, samples):
     return speakers.strength(speakers.library_stats(people, samples), speakers.consistency(samples))
 
 
-@query("l5_sample_outliers", ("samples_fx",), f"""WITH {SUMS}, o AS (
-  SELECT id, v.speaker_id, list_dot_product(v, total) - 1 AS dot, list_dot_product(total, total) - 2 * list_dot_product(v, total) + 1 AS rest FROM v JOIN s USING (speaker_id) WHERE n >= 3
-) SELECT id, speaker_id, round(dot / sqrt(rest), 6) AS score, dot / sqrt(rest) < 0.48 AS outlier FROM o""")
-def l5(samples):
-    return rounded(speakers.sample_outliers(samples), "score")
+@query("l5_sample_details", ("samples_fx", "meetings_fx"), f"""WITH {SUMS}, o AS (
+  SELECT v.id, list_dot_product(v, total) - 1 AS dot, list_dot_product(total, total) - 2 * list_dot_product(v, total) + 1 AS rest FROM v JOIN s USING (speaker_id) WHERE n >= 3
+) SELECT x.id, x.speaker_id, x.meeting_id, m.title, x.model = 'cur' AS active, round(dot / sqrt(rest), 6) AS score, coalesce(dot / sqrt(rest) < 0.48, false) AS outlier
+  FROM samples_fx x LEFT JOIN o ON o.id = x.id LEFT JOIN meetings_fx m ON m.id = x.meeting_id""")
+def l5(samples, meetings):
+    return rounded(speakers.sample_details(samples, meetings), "score")
 
 
-@query("l15_reembed_worklist", ("samples_fx",), """SELECT DISTINCT speaker_id, id FROM samples_fx o WHERE model <> 'cur'
-  AND NOT EXISTS (SELECT 1 FROM samples_fx c WHERE c.model = 'cur' AND c.speaker_id = o.speaker_id AND c.meeting_id = o.meeting_id)""")
+@query("l15_reembed_worklist", ("samples_fx",), """WITH c AS (SELECT id, speaker_id % 3 AS speaker_id, model, CASE WHEN id % 4 > 0 THEN 'clip' || (id // 3) END AS clip FROM samples_fx)
+SELECT speaker_id, clip, min(id) AS id FROM c o WHERE model <> 'cur' AND clip IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.model = 'cur' AND c.speaker_id = o.speaker_id AND c.clip = o.clip) GROUP BY 1, 2""")
 def l15(samples):
-    return speakers.reembed_worklist(samples, "cur")
+    return speakers.reembed_worklist(samples.selectExpr("id", "speaker_id % 3 AS speaker_id", "model", "if(id % 4 > 0, concat('clip', id div 3), NULL) AS clip"), "cur")
+
 
+@query("l18_merge_speakers", ("samples_fx", "meeting_speakers_fx", "speakers_fx"), """SELECT 'sample' AS kind, id::VARCHAR AS name, CASE WHEN speaker_id >= 5 THEN speaker_id - 5 ELSE speaker_id END AS speaker_id, NULL::BIGINT AS suggested_id FROM samples_fx
+UNION ALL SELECT 'match', meeting_id || key, CASE WHEN speaker_id >= 5 THEN speaker_id - 5 ELSE speaker_id END, CASE WHEN talk_ms % 12 BETWEEN 5 AND 9 THEN talk_ms % 12 - 5 ELSE talk_ms % 12 END FROM meeting_speakers_fx
+UNION ALL SELECT 'person', name, id, NULL FROM speakers_fx WHERE id < 5""")
+def l18(samples, meeting_speakers, people):
+    mapping = people.where("id BETWEEN 5 AND 9").selectExpr("id AS source", "id - 5 AS target")
+    own, matched, left = speakers.merge_speakers(samples, meeting_speakers.withColumn("suggested_id", F.expr("talk_ms % 12")), people, mapping)
+    none = "cast(NULL AS bigint) AS suggested_id"
+    rows = own.selectExpr("'sample' AS kind", "cast(id AS string) AS name", "speaker_id", none).unionByName(matched.selectExpr("'match' AS kind", "concat(meeting_id, key) AS name", "speaker_id", "suggested_id"))
+    return rows.unionByName(left.selectExpr("'person' AS kind", "name", "id AS speaker_id", none))
 
-@query("l18_merge_speakers", ("samples_fx",), "SELECT id, CASE WHEN speaker_id >= 5 THEN speaker_id - 5 ELSE speaker_id END AS speaker_id FROM samples_fx")
-def l18(samples):
-    mapping = samples.where("speaker_id >= 5").selectExpr("speaker_id AS source", "speaker_id - 5 AS target").distinct()
-    return speakers.merge_speakers(samples, mapping)
 
+@query("l20_merge_meeting_keys", ("meeting_speakers_fx", "segments_fx", "turns_fx"), """SELECT 'speaker' AS kind, meeting_id, CASE key WHEN 'S3' THEN 'S1' ELSE key END AS key, sum(talk_ms)::BIGINT AS at FROM meeting_speakers_fx GROUP BY ALL
+UNION ALL SELECT 'segment', meeting_id, CASE speaker WHEN 'S3' THEN 'S1' ELSE speaker END, idx FROM segments_fx
+UNION ALL SELECT 'turn', meeting_id, CASE speaker WHEN 'S3' THEN 'S1' ELSE speaker END, start_ms FROM turns_fx""")
+def l20(meeting_speakers, segments, turns):
+    mapping = meeting_speakers.where("key = 'S3'").selectExpr("meeting_id", "key AS source", "'S1' AS target")
+    talk, said, spoken = speakers.merge_meeting_keys(meeting_speakers, segments, turns, mapping)
+    rows = talk.selectExpr("'speaker' AS kind", "meeting_id", "key", "talk_ms AS at").unionByName(said.selectExpr("'segment' AS kind", "meeting_id", "speaker AS key", "idx AS at"))
+    return rows.unionByName(spoken.selectExpr("'turn' AS kind", "meeting_id", "speaker AS key", "start_ms AS at"))
 
-@query("l20_merge_meeting_keys", ("meeting_speakers_fx",), "SELECT meeting_id, CASE key WHEN 'S3' THEN 'S1' ELSE key END AS key, sum(talk_ms)::BIGINT AS talk_ms FROM meeting_speakers_fx GROUP BY ALL")
-def l20(meeting_speakers):
-    return speakers.merge_meeting_keys(meeting_speakers, meeting_speakers.where("key = 'S3'").selectExpr("meeting_id", "key AS source", "'S1' AS target"))
+
+@query("l24_spread_names", ("speakers_fx", "meeting_speakers_fx"), """SELECT 'person' AS kind, id::VARCHAR AS at, CASE WHEN id % 2 = 0 THEN 'Guest ' || id ELSE name END AS name, CASE WHEN id % 3 = 0 THEN '#00ff0' || id % 10 ELSE 'old' END AS color, 'About ' || id AS notes FROM speakers_fx
+UNION ALL SELECT 'match', meeting_id || key, CASE WHEN speaker_id % 2 = 0 THEN 'Guest ' || speaker_id ELSE label END, CASE WHEN speaker_id % 3 = 0 THEN '#00ff0' || speaker_id % 10 ELSE 'old' END, NULL FROM meeting_speakers_fx""")
+def l24_spread(people, meeting_speakers):
+    changes = people.selectExpr("id", "if(id % 2 = 0, concat(' Guest ', id), concat('PERSON ', id - 1)) AS name", "if(id % 3 = 0, concat('#00ff0', id % 10), 'green') AS color", "concat('About ', id) AS notes")
+    told, rows = speakers.spread_names(people.selectExpr("id", "name", "'old' AS color", "'' AS notes"), meeting_speakers.withColumn("color", F.lit("old")), changes)
+    out = told.selectExpr("'person' AS kind", "cast(id AS string) AS at", "name", "color", "notes")
+    return out.unionByName(rows.selectExpr("'match' AS kind", "concat(meeting_id, key) AS at", "label AS name", "color", "cast(NULL AS string) AS notes"))
 
 
 LINES = """names AS (SELECT meeting_id, key AS speaker, coalesce(nullif(name, ''), nullif(label, ''), key) AS who FROM meeting_speakers_fx m LEFT JOIN speakers_fx s ON s.id = m.speaker_id), ln AS (
@@ -211,7 +238,7 @@ def n3(segments, meeting_speakers, people):
     return notes.plan_parts(n2(segments, meeting_speakers, people), 150)
 
 
-@query("n8_dedupe_items", ("note_lines_fx",), """WITH k AS (SELECT meeting_id, idx, trim(trim(trim(line), '-•* ')) AS item FROM note_lines_fx)
+@query("n8_dedupe_items", ("note_lines_fx",), """WITH k AS (SELECT meeting_id, idx, regexp_replace(trim(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '-•* '), '^\\s+|\\s+$', '', 'g') AS item FROM note_lines_fx)
 SELECT meeting_id, idx, item FROM k WHERE trim(regexp_replace(lower(item), '[^a-z0-9]+', ' ', 'g')) <> ''
 QUALIFY row_number() OVER (PARTITION BY meeting_id, trim(regexp_replace(lower(item), '[^a-z0-9]+', ' ', 'g')) ORDER BY idx) = 1""")
 def n8(lines):
@@ -223,7 +250,7 @@ def n11(segments, meeting_speakers, people):
     return n1(segments, meeting_speakers, people).select("meeting_id", "idx", parse_time("line").alias("seconds"))
 
 
-@query("n16_summary_line", ("documents",), "SELECT doc_id AS meeting_id, left(trim((string_split(text, chr(10)))[1]), 300) AS summary FROM documents")
+@query("n16_summary_line", ("documents",), "SELECT doc_id AS meeting_id, left((string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)))[1], 300) AS summary FROM documents")
 def n16(documents):
     return notes.summary_line(documents.selectExpr("doc_id AS meeting_id", "text"))
 
@@ -265,6 +292,11 @@ def d13(audio):
     return diarize.waveform_peaks(audio, 10)
 
 
+@query("d13_loudness", ("audio_fx",), "SELECT meeting_id, count(*) / 10.0::DOUBLE AS duration_s, round(sqrt(avg(pow(greatest(-1, least(1, value / 100)), 2))), 6) AS rms FROM audio_fx GROUP BY 1")
+def d13_loudness(audio):
+    return rounded(diarize.loudness(audio.withColumn("value", F.expr("value / 100")), 10), "rms")
+
+
 @query("q5_search_like", ("segments_fx",), "SELECT meeting_id, idx FROM segments_fx WHERE contains(lower(text), 'that') ORDER BY 1, 2 LIMIT 200")
 def q5(segments):
     return search.search_like(segments, "That")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from convlake.operators import meetings as ops
 from convlake.operators import notes, speakers
-from convlake.plans.conversations import SUMS, query
+from convlake.plans.conversations import query
 
 DATED = "coalesce(recorded_s, created_s) AS date_s"
 
@@ -52,10 +52,14 @@ def m6(observations):
     return ops.expected_time(models, observations.where("length(key) > 4").groupBy("key").agg(F.avg("value").alias("value")), 16).withColumn("minutes", F.round("minutes", 6))
 
 
-@query("l13_typical_samples", ("samples_fx",), f"""WITH {SUMS}, c AS (SELECT id, v.speaker_id, round(list_dot_product(v, total) / sqrt(list_dot_product(total, total)), 6) AS likeness FROM v JOIN s USING (speaker_id))
-SELECT speaker_id, id, likeness FROM c QUALIFY row_number() OVER (PARTITION BY speaker_id ORDER BY likeness DESC, id) <= 5""")
+@query("l13_typical_samples", ("samples_fx",), """WITH v AS (
+  SELECT meeting_id // 5 AS meeting_id, speaker_id AS key, id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM samples_fx
+), e AS (SELECT meeting_id, key, unnest(range(1, len(v) + 1)) AS dim, unnest(v) AS x FROM v), s AS (
+  SELECT meeting_id, key, list(x ORDER BY dim) AS total FROM (SELECT meeting_id, key, dim, sum(x) AS x FROM e GROUP BY ALL) GROUP BY 1, 2
+), c AS (SELECT meeting_id, key, id, round(list_dot_product(v, total) / sqrt(list_dot_product(total, total)), 6) AS likeness FROM v JOIN s USING (meeting_id, key))
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY meeting_id, key ORDER BY likeness DESC, id) <= 2""")
 def l13(samples):
-    return speakers.typical_samples(samples, 5)
+    return speakers.typical_samples(samples.selectExpr("meeting_id div 5 AS meeting_id", "speaker_id AS key", "id", "embedding"), 2)
 
 
 @query("l14_auto_learn", ("meeting_speakers_fx",), "SELECT meeting_id, key FROM meeting_speakers_fx WHERE status = 'auto' AND talk_ms % 100 >= 70")
@@ -96,6 +100,14 @@ def l21(meeting_speakers):
     return done.join(merges.withColumnRenamed("source", "key"), ["meeting_id", "key"], "left")
 
 
+@query("l21_confirm_all", ("meeting_speakers_fx",), """WITH d AS (SELECT *, talk_ms % 10 AS suggested_id FROM meeting_speakers_fx), t AS (
+  SELECT *, CASE WHEN meeting_id % 2 = 0 THEN CASE WHEN status IN ('auto', 'confirmed') THEN speaker_id WHEN status = 'suggested' THEN suggested_id END END AS who FROM d
+) SELECT meeting_id, key, label, coalesce(who, speaker_id) AS speaker_id, CASE WHEN who IS NOT NULL THEN 'confirmed' ELSE status END AS status, CASE WHEN who IS NULL THEN suggested_id END AS suggested_id FROM t""")
+def l21_all(meeting_speakers):
+    rows = meeting_speakers.withColumn("suggested_id", F.expr("talk_ms % 10"))
+    return ops.confirm_all(rows, rows.where("meeting_id % 2 = 0"))[0]
+
+
 @query("l22_segment_edits", ("segments_fx", "meeting_speakers_fx"), """WITH x AS (
   SELECT *, CASE WHEN idx % 3 = 0 THEN CASE WHEN idx % 2 = 0 THEN 'S' || (max(substr(speaker, 2)::BIGINT) OVER (PARTITION BY meeting_id) + 1) ELSE 'S1' END END AS told FROM segments_fx
 ), v AS (SELECT *, coalesce(told <> speaker, false) AS moved FROM x), dl AS (

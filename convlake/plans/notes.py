@@ -32,7 +32,7 @@ def n5(segments):
 
 
 # Chapters derived from lines: a time that repeats, titles that repeat, some without.
-CHAPTERS = """ch AS (SELECT l.meeting_id, idx, idx // 2 * 4 AS t, trim(CASE WHEN idx % 5 = 4 THEN '' ELSE left(line, 6) END) AS title, n_chars // 10 AS duration_s FROM note_lines_fx l JOIN documents d ON d.doc_id = l.meeting_id)"""
+CHAPTERS = """ch AS (SELECT l.meeting_id, idx, idx // 2 * 4 AS t, regexp_replace(CASE WHEN idx % 5 = 4 THEN '' ELSE left(line, 6) END, '^\\s+|\\s+$', '', 'g') AS title, n_chars // 10 AS duration_s FROM note_lines_fx l JOIN documents d ON d.doc_id = l.meeting_id)"""
 
 
 def _chapters(lines, documents):
@@ -53,7 +53,7 @@ def n10(lines, documents):
     return notes.clean_chapters(_chapters(lines, documents))
 
 
-@query("n12_clean_sections", ("note_lines_fx",), f"""WITH k AS (SELECT meeting_id, idx % 4 AS section, idx, trim(trim(trim(line), '-•* ')) AS item FROM note_lines_fx WHERE idx % 4 <> 3), f AS (
+@query("n12_clean_sections", ("note_lines_fx",), f"""WITH k AS (SELECT meeting_id, idx % 4 AS section, idx, regexp_replace(trim(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '-•* '), '^\\s+|\\s+$', '', 'g') AS item FROM note_lines_fx WHERE idx % 4 <> 3), f AS (
   SELECT * FROM k WHERE {KEY.format(x='item')} <> '' QUALIFY row_number() OVER (PARTITION BY meeting_id, section, {KEY.format(x='item')} ORDER BY idx) = 1
 ) SELECT meeting_id, section, 'Part ' || section AS title, string_agg(item, '|' ORDER BY idx) AS items FROM f GROUP BY 1, 2""")
 def n12(lines):
@@ -61,6 +61,20 @@ def n12(lines):
     return notes.clean_sections(rows).withColumn("items", F.array_join("items", "|"))
 
 
+@query("n12_clean_record", ("note_lines_fx",), f"""WITH k AS (SELECT meeting_id, idx % 3 AS kind, idx, regexp_replace(trim(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '-•* '), '^\\s+|\\s+$', '', 'g') AS item FROM note_lines_fx), f AS (
+  SELECT * FROM k WHERE {KEY.format(x='item')} <> '' QUALIFY row_number() OVER (PARTITION BY meeting_id, kind, {KEY.format(x='item')} ORDER BY idx) = 1
+), t AS (SELECT meeting_id, coalesce(arg_min(line, idx), '') AS line FROM note_lines_fx GROUP BY 1)
+SELECT t.meeting_id, left(regexp_replace(trim('"' || any_value(line) || '"', '"'), '^\\s+|\\s+$', '', 'g'), 120) AS title, regexp_replace(any_value(line), '^\\s+|\\s+$', '', 'g') AS summary,
+  coalesce(string_agg(item, '|' ORDER BY idx) FILTER (WHERE kind = 0), '') AS key_points, coalesce(string_agg(item, '|' ORDER BY idx) FILTER (WHERE kind = 1), '') AS decisions, coalesce(string_agg(item, '|' ORDER BY idx) FILTER (WHERE kind = 2), '') AS open_questions
+FROM t LEFT JOIN f USING (meeting_id) GROUP BY 1""")
+def n12_record(lines):
+    told = [F.expr(f"transform(array_sort(collect_list(if(idx % 3 = {k}, struct(idx, line), NULL))), x -> x.line)").alias(n) for k, n in enumerate(("key_points", "decisions", "open_questions"))]
+    rows = lines.groupBy("meeting_id").agg(F.expr("min_by(line, idx)").alias("line"), *told)
+    rows = rows.selectExpr("meeting_id", "concat(' \"', line, '\" ') AS title", "concat(line, ' \t') AS summary", "key_points", "decisions", "open_questions")
+    made = notes.clean_record(rows)
+    return made.withColumns({n: F.array_join(n, "|") for n in ("key_points", "decisions", "open_questions")})
+
+
 PICKS = "n <= 4 OR place IN (SELECT round_even(i * (n - 1) / 3.0::DOUBLE, 0) FROM range(0, 4) r(i))"
 TOPICS = f"""{CHAPTERS}, tp AS (
   SELECT meeting_id, t, title, duration_s, row_number() OVER (PARTITION BY meeting_id ORDER BY t, idx) - 1 AS place, count(*) OVER (PARTITION BY meeting_id) AS n FROM ch WHERE title <> '' AND t < duration_s - 60

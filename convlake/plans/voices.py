@@ -99,7 +99,7 @@ def _probes(samples):
 
 @query("l8_match_scores", ("samples_fx",), f"WITH {PROBES} SELECT meeting_id, key, speaker_id, round(score, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY meeting_id, key ORDER BY score DESC, speaker_id) <= 8")
 def l8(samples):
-    return rounded(speakers.match_scores(_probes(samples), samples), "score")
+    return rounded(speakers.match_scores(_probes(samples), samples, keep=8), "score")
 
 
 @query("l9_recognise", ("samples_fx",), None)

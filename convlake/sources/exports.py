@@ -106,12 +106,14 @@ def export_subtitles(cues: DataFrame, fmt: str = "srt", speakers: bool = True) -
 
 
 def export_json(segments: DataFrame, names: DataFrame, meetings: DataFrame) -> DataFrame:
-    """S12. A JSON document of each meeting: id, title, date, speakers that spoke (by talk time) and segments in order."""
+    """S12. A JSON document of each meeting (id, title, date_s, duration_s, and notes, NOTES, if it has them): title, date, speakers
+    that spoke (by talk time), segments in order, and notes."""
     known = names.withColumnRenamed("key", "speaker")
     said = segments.join(known, ["meeting_id", "speaker"], "left").withColumn("name", F.coalesce("name", "speaker", F.lit("")))
     lines = said.groupBy("meeting_id").agg(F.expr("array_sort(collect_list(struct(idx, start_ms, end_ms, speaker, name, text)))").alias("segments"))
     spoke = said.groupBy("meeting_id", "speaker", "name").agg(F.sum(F.expr("end_ms - start_ms")).alias("talk_ms"))
     spoke = spoke.groupBy("meeting_id").agg(F.expr("transform(array_sort(collect_list(struct(-talk_ms AS place, speaker, name, talk_ms))), s -> struct(s.speaker AS key, s.name, s.talk_ms))").alias("speakers"))
     rows = meetings.withColumnRenamed("id", "meeting_id").join(lines, "meeting_id", "left").join(spoke, "meeting_id", "left")
-    return rows.select("meeting_id", F.to_json(F.expr("struct(meeting_id AS id, title, date_s, duration_s, coalesce(speakers, array()) AS speakers, coalesce(segments, array()) AS segments)")).alias("text"))
+    notes = ", notes" if "notes" in meetings.columns else ""
+    return rows.select("meeting_id", F.to_json(F.expr(f"struct(meeting_id AS id, title, date_s, duration_s{notes}, coalesce(speakers, array()) AS speakers, coalesce(segments, array()) AS segments)")).alias("text"))
 
