@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convlake.functions.assign import best_assignment, clusters
 from convlake.functions.columns import unit
+from convlake.functions.written import written
 
 JOIN_FRAMES = 5
 LEAST_FRAMES = 6
@@ -143,8 +144,9 @@ def reconstruct(windows: DataFrame, assigned: DataFrame, step: int, frames: Data
 
 def fold_minor_speakers(windows: DataFrame, cents: DataFrame, step: int, frame_ms: float, low: int = 1, rounds: int = 3) -> DataFrame:
     """D10. Centroids without those of speakers that talk under 3 % of all, or a minute if that is less; what they had is dealt
-    again, up to three times, never below `low` speakers."""
+    again, up to three times, never below `low` speakers. Each round's centroids are written, so that the next reads them."""
     for _ in range(rounds):
+        cents = written(cents, "centroids")
         active = reconstruct(windows, assign_windows(windows, cents), step)
         talk = active.groupBy("meeting_id", F.col("speaker").alias("cluster")).agg((F.count("*") * frame_ms).alias("ms"))
         rows = cents.join(talk, ["meeting_id", "cluster"], "left").selectExpr("*", "coalesce(ms, 0D) AS talk")

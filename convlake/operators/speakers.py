@@ -180,64 +180,56 @@ def auto_learn(matches: DataFrame, auto: float, margin: float = 0.08) -> DataFra
     return matches.where((F.col("status") == "auto") & (F.col("confidence") >= round(auto + margin, 6)))
 
 
-BLOCK_BYTES = 64_000_000
+BLOCK_BYTES, PIECE_VOICES, PROBES_AT_ONCE = 64_000_000, 20_000, 256
 BY_CENTROID, BY_SAMPLES, BEST_SAMPLES = 0.6, 0.4, 3
 MOST_SAMPLES = 40
 
 
-def _people_blocks(samples: DataFrame, model: str, block_bytes: int) -> tuple[int, DataFrame]:
-    """How many blocks the library's vectors of a model make at the size, and (block, speaker_id, vectors) by person."""
-    own = samples.where(F.col("model") == model).where("embedding IS NOT NULL").selectExpr("speaker_id", "cast(embedding AS array<double>) AS v")
-    size = own.agg(F.sum(F.expr("8 * size(v) + 16"))).first()[0] or 0
-    n = -(-size // block_bytes)
-    people = own.groupBy("speaker_id").agg(F.collect_list("v").alias("vectors"))
-    return n, people.withColumn("block", F.expr(f"pmod(xxhash64(speaker_id), {max(1, n)})"))
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def match_scores(voiceprints: DataFrame, samples: DataFrame, model: str = "cur", keep: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def match_scores(voiceprints: DataFrame, samples: DataFrame, model: str = "cur", keep: int | None = None, block_bytes: int = BLOCK_BYTES, piece: int = PIECE_VOICES) -> DataFrame:
     """L8. Each voice (meeting_id, key, embedding) with the `keep` people it is most like: 0.6 of its cosine with a person's
     centroid and 0.4 of the mean of the three best with samples. Without `keep` that is one more than the voices of the largest
-    meeting, and two at least, so that an assignment of people to voices and its margins lose nothing. The library is taken in blocks of bounded size, each broadcast in turn and scored with
-    one product per batch; voices never meet people in a join."""
-    spark = voiceprints.sparkSession
-    n, people = _people_blocks(samples, model, block_bytes)
-    people = people.persist()
+    meeting, and two at least, so that an assignment of people to voices and its margins lose nothing.
+
+    People are dealt to blocks of about block_bytes of vectors, voices to pieces; each block meets each piece in a task of its own,
+    with a product of matrices, and only the best of a block leave it. A person is never cut, so a block is larger where a
+    person is; L6 keeps MOST_SAMPLES of each."""
+    own = samples.where(F.col("model") == model).where("embedding IS NOT NULL").selectExpr("speaker_id", "cast(embedding AS array<double>) AS v")
     rows = voiceprints.where("embedding IS NOT NULL").selectExpr("meeting_id", "key", "cast(embedding AS array<double>) AS embedding")
-    if keep is None:
-        keep = 1 + (rows.groupBy("meeting_id").count().agg(F.max("count")).first()[0] or 1)
+    size = own.agg(F.sum(F.expr("8 * size(v) + 16"))).first()[0] or 0
+    voices, most = rows.groupBy("meeting_id").count().agg(F.sum("count"), F.max("count")).first()
+    keep = 1 + (most or 1) if keep is None else keep
+    blocks, pieces = max(1, -(-size // block_bytes)), max(1, -(-(voices or 0) // piece))
+    people = own.withColumn("i", F.expr(f"pmod(xxhash64(speaker_id), {blocks})")).withColumn("j", F.explode(F.expr(f"sequence(0L, {pieces - 1}L)")))
+    asked = rows.withColumn("j", F.expr(f"pmod(xxhash64(meeting_id, key), {pieces})")).withColumn("i", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
     person = samples.schema["speaker_id"].dataType.simpleString()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:2]) + f", speaker_id {person}, score double"
-    found = spark.createDataFrame([], schema)
-    for block in range(n):
-        held = people.where(F.col("block") == block).select("speaker_id", "vectors").collect()  # at most about block_bytes
-        sent = spark.sparkContext.broadcast(([r[0] for r in held], [_unit_rows(np.array(r[1])) for r in held]))
-        found = found.unionByName(rows.mapInPandas(_scorer(sent, keep), schema))
-    people.unpersist()
-    return found.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id, key ORDER BY score DESC, speaker_id) AS place").where(f"place <= {keep}").drop("place")
 
-
-def _unit_rows(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
-
-
-def _scorer(sent, keep: int):
-    def score(batches):
-        ids, vectors = sent.value
-        ids = np.array(ids)
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            probes = _unit_rows(np.vstack(batch["embedding"].to_list()))
-            made = np.empty((len(probes), len(ids)))
-            for j, own in enumerate(vectors):
-                sims = probes @ own.T
-                best = np.sort(sims, axis=1)[:, -BEST_SAMPLES:].mean(axis=1)
-                made[:, j] = BY_CENTROID * (probes @ _unit_rows(own.mean(axis=0))) + BY_SAMPLES * best
-            order = np.lexsort((np.broadcast_to(ids, made.shape), -made), axis=1)[:, :keep]
-            at = np.repeat(np.arange(len(probes)), order.shape[1])
-            yield pd.DataFrame({"meeting_id": batch["meeting_id"].to_numpy()[at], "key": batch["key"].to_numpy()[at], "speaker_id": ids[order.ravel()], "score": made[at, order.ravel()]})
-
-    return score
+    def score(probes: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if probes.empty or known.empty:
+            return pd.DataFrame({c: [] for c in ("meeting_id", "key", "speaker_id", "score")})
+        known = known.sort_values("speaker_id", ignore_index=True)
+        ids, first = np.unique(known["speaker_id"].to_numpy(), return_index=True)
+        vectors = _unit_rows(np.vstack(known["v"].to_list()))
+        spans = list(zip(first, [*first[1:], len(vectors)]))
+        centres = _unit_rows(np.vstack([vectors[a:b].mean(axis=0) for a, b in spans]))
+        whole, parts = _unit_rows(np.vstack(probes["embedding"].to_list())), []
+        for at in range(0, len(whole), PROBES_AT_ONCE):
+            x = whole[at : at + PROBES_AT_ONCE]
+            sims = x @ vectors.T
+            best = np.stack([np.sort(sims[:, a:b], axis=1)[:, -BEST_SAMPLES:].mean(axis=1) for a, b in spans], axis=1)
+            made = BY_CENTROID * (x @ centres.T) + BY_SAMPLES * best
+            order = np.lexsort((np.broadcast_to(np.arange(len(ids)), made.shape), -made), axis=1)[:, :keep]
+            row = np.repeat(np.arange(len(x)), order.shape[1])
+            parts.append((at + row, ids[order.ravel()], made[row, order.ravel()]))
+        row, who, score = (np.concatenate(c) for c in zip(*parts))
+        return pd.DataFrame({"meeting_id": probes["meeting_id"].to_numpy()[row], "key": probes["key"].to_numpy()[row], "speaker_id": who, "score": score})
+
+    found = asked.groupBy("i", "j").cogroup(people.groupBy("i", "j")).applyInPandas(score, schema)
+    return found.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id, key ORDER BY score DESC, speaker_id) AS place").where(f"place <= {keep}").drop("place")
 
 
 def recognise(scores: DataFrame, auto: float = 0.62, suggest: float = 0.48, margin: float = 0.05) -> DataFrame:

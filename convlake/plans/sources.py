@@ -1,10 +1,11 @@
-"""Registered queries of sources."""
+"""Registered queries of sources (S1-S5, S7-S9) and of answers to parts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convlake.operators import recordings
+from convlake.functions.written import shared_path
+from convlake.operators import notes, recordings
 from convlake.plans.conversations import query
 from convlake.sources import tables
 
@@ -35,3 +36,61 @@ SELECT rid, strlen(body) AS n_bytes, md5(body) AS digest FROM r WHERE strlen(bod
 def s7(events):
     chunks = events.selectExpr("user_id AS rid", "-event_id AS seq", "cast(props AS binary) AS bytes")
     return recordings.assemble(chunks, 100).selectExpr("rid", "cast(octet_length(bytes) AS bigint) AS n_bytes", "md5(bytes) AS digest")
+
+
+@query("s1_read_transcripts", ("words_fx",), "SELECT meeting_id::VARCHAR AS meeting_id, idx, CASE WHEN idx % 4 = 3 THEN 0 ELSE pos END AS pos, CASE WHEN idx % 4 = 3 THEN 'whole ' || idx ELSE text END AS text, start_ms, end_ms, CASE WHEN idx % 4 = 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS prob FROM words_fx WHERE idx % 4 <> 3 OR pos = 0")
+def s1(words):
+    """Transcripts as they are kept, a JSON file of each meeting, written and read."""
+    path = shared_path(words.sparkSession, "transcripts")
+    word = "array(cast(start_ms / 1000D AS string), cast(end_ms / 1000D AS string), text, '0.5')"
+    segments = words.where("idx % 4 <> 3 OR pos = 0").groupBy("meeting_id", "idx").agg(
+        F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.expr(f"transform(array_sort(collect_list(struct(pos, {word} AS w))), x -> x.w)").alias("w")
+    )
+    segment = "struct(s / 1000D AS start, e / 1000D AS end, if(idx % 4 = 3, concat('whole ', idx), '') AS text, if(idx % 4 = 3, slice(w, 1, 0), w) AS words)"
+    # Segments without any word keep their place as nulls.
+    lists = segments.groupBy("meeting_id").agg(F.expr(f"map_from_entries(collect_list(struct(idx, {segment})))").alias("m"), F.max("idx").alias("last"))
+    docs = lists.selectExpr("meeting_id", "to_json(struct(cast(meeting_id AS string) AS meeting_id, 'xx' AS language, transform(sequence(0L, last), i -> m[i]) AS segments)) AS text")
+    docs.repartition("meeting_id").write.partitionBy("meeting_id").text(path)
+    return tables.read_transcripts(words.sparkSession, path)
+
+
+@query("s2_read_turns", ("turns_fx",), "SELECT meeting_id::VARCHAR AS meeting_id, CASE speaker WHEN 'S3' THEN 'S3' WHEN 'S1' THEN 'S2' ELSE 'S1' END AS speaker, start_ms, end_ms FROM turns_fx")
+def s2(turns):
+    """Turns as they are kept, a JSON file of each meeting, written and read: speaker numbers through an order of two keys."""
+    path = shared_path(turns.sparkSession, "turns")
+    turn = "struct(start_ms / 1000D AS start, end_ms / 1000D AS end, cast(substr(speaker, 2) AS int) - 1 AS speaker)"
+    docs = turns.groupBy("meeting_id").agg(F.expr(f"collect_list({turn})").alias("turns"))
+    docs = docs.selectExpr("meeting_id", "to_json(struct(cast(meeting_id AS string) AS meeting_id, array('S2', 'S1') AS `order`, turns)) AS text")
+    docs.repartition("meeting_id").write.partitionBy("meeting_id").text(path)
+    return tables.read_turns(turns.sparkSession, path)
+
+
+@query("s9_write_by_meeting", ("segments_fx",), "SELECT meeting_id, idx, CASE WHEN meeting_id % 3 = 0 THEN 'new ' || speaker ELSE speaker END AS speaker FROM segments_fx WHERE meeting_id % 3 <> 0 OR idx % 2 = 0")
+def s9(segments):
+    """A table by meeting in which a third of the meetings is replaced, read back."""
+    path = shared_path(segments.sparkSession, "by-meeting")
+    rows = segments.select("meeting_id", "idx", "speaker")
+    tables.write_by_meeting(rows, path, 16)
+    tables.write_by_meeting(rows.where("meeting_id % 3 = 0 AND idx % 2 = 0").withColumn("speaker", F.concat(F.lit("new "), "speaker")), path, 16)
+    return tables.read_by_meeting(segments.sparkSession, path, rows.schema).select("meeting_id", "idx", "speaker")
+
+
+def _shout(prompts: list[str]) -> list[str]:
+    return [f"{len(p)}:{p[:20]}" for p in prompts]
+
+
+@query("n6_map_parts", ("segments_fx",), "SELECT meeting_id, idx AS part, md5(text) AS key, CASE WHEN idx % 5 <> 4 THEN length(text) || ':' || left(text, 20) END AS answer FROM segments_fx")
+def n6(segments):
+    return notes.map_parts(segments.selectExpr("meeting_id", "idx AS part", "md5(text) AS key", "if(idx % 5 = 4, NULL, text) AS prompt"), _shout)
+
+
+@query("n7_parse_answers", ("segments_fx",), """SELECT meeting_id, idx, CASE WHEN idx % 4 = 2 THEN 'repaired' WHEN idx % 4 = 3 THEN 'bad' ELSE 'ok' END AS outcome,
+  CASE WHEN idx % 4 < 3 THEN length(text) END AS n, CASE WHEN idx % 4 < 2 THEN 'a,b' WHEN idx % 4 = 2 THEN 'a' END AS points FROM segments_fx""")
+def n7(segments):
+    """Answers of four kinds: plain, in a fence after reasoning and with a trailing comma, cut off inside a string, and none."""
+    body = "concat('{~n~: ', length(text), ', ~points~: [~a~')"
+    fenced = f"concat('<think>so</think>```json ', {body}, ', ~b~,]}}```')"
+    text = f"CASE idx % 4 WHEN 0 THEN concat({body}, ', ~b~]}}') WHEN 1 THEN {fenced} WHEN 2 THEN concat({body}, ', ~b') ELSE 'no answer' END"
+    told = segments.select("meeting_id", "idx", F.translate(F.expr(text), "~", '"').alias("text"))
+    rows = notes.parse_answers(told, "struct<n:bigint,points:array<string>>")
+    return rows.selectExpr("meeting_id", "idx", "outcome", "answer.n", "array_join(answer.points, ',') AS points")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TRANSCRIPT = "meeting_id string, language string, duration double, segments array<struct<start:double,end:double,text:string,words:array<array<string>>>>"
 TURNS = "meeting_id string, `order` array<string>, turns array<struct<start:double,end:double,speaker:int>>"
@@ -81,7 +84,7 @@ def write_by_meeting(rows: DataFrame, path: str, buckets: int = 256) -> None:
     spark = rows.sparkSession
     new = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(meeting_id), {buckets})"))
     try:
-        old = spark.read.parquet(path)
+        old = spark.read.schema(new.schema).parquet(path)
     except AnalysisException as gone:  # no table yet
         if "PATH_NOT_FOUND" not in str(gone):
             raise
@@ -89,11 +92,11 @@ def write_by_meeting(rows: DataFrame, path: str, buckets: int = 256) -> None:
         return
     touched, meetings = new.select("bucket").distinct(), new.select("meeting_id").distinct()
     kept = old.join(touched, "bucket", "left_semi").join(meetings, "meeting_id", "left_anti")
-    staged = f"{path.rstrip('/')}.staged"
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
     kept.select(*new.columns).unionByName(new).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
     spark.read.schema(old.schema).parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def read_by_meeting(spark: SparkSession, path: str) -> DataFrame:
-    """S8. A table of windows, vectors or segments as write_by_meeting keeps it."""
-    return spark.read.parquet(path).drop("bucket")
+def read_by_meeting(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """S8. A table of windows, vectors or segments as write_by_meeting keeps it; a table that may be without rows needs its schema."""
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path).drop("bucket")
