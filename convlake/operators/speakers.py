@@ -210,7 +210,7 @@ def match_scores(voiceprints: DataFrame, samples: DataFrame, model: str = "cur",
 
     def score(probes: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if probes.empty or known.empty:
-            return pd.DataFrame({c: [] for c in ("meeting_id", "key", "speaker_id", "score")})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("meeting_id", "key", "speaker_id", "score")})
         known = known.sort_values("speaker_id", ignore_index=True)
         ids, first = np.unique(known["speaker_id"].to_numpy(), return_index=True)
         vectors = _unit_rows(np.vstack(known["v"].to_list()))
@@ -226,7 +226,8 @@ def match_scores(voiceprints: DataFrame, samples: DataFrame, model: str = "cur",
             row = np.repeat(np.arange(len(x)), order.shape[1])
             parts.append((at + row, ids[order.ravel()], made[row, order.ravel()]))
         row, who, score = (np.concatenate(c) for c in zip(*parts))
-        return pd.DataFrame({"meeting_id": probes["meeting_id"].to_numpy()[row], "key": probes["key"].to_numpy()[row], "speaker_id": who, "score": score})
+        names = {c: pd.Series(probes[c].to_list(), dtype=object).iloc[row].reset_index(drop=True) for c in ("meeting_id", "key")}
+        return pd.DataFrame({**names, "speaker_id": who, "score": score})
 
     found = asked.groupBy("i", "j").cogroup(people.groupBy("i", "j")).applyInPandas(score, schema)
     return found.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id, key ORDER BY score DESC, speaker_id) AS place").where(f"place <= {keep}").drop("place")
