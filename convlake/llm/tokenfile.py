@@ -39,6 +39,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 BLOCK = 256
 CHUNK_IDS = 1 << 20
+SHARD_BYTES = 16_000_000
 CACHE_UNITS = 800_000
 GROUP = 512
 
@@ -182,10 +183,12 @@ FILE_SCHEMA = "shard int, chunk int, first_id long, n_ids long, doc_ids array<bi
 def write_token_file(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, shards: int | None = None, end_id: int = END_ID, chunk_ids: int = CHUNK_IDS) -> None:
     """Encode every whole text and write the ids in ascending doc_id order to the Parquet folder out.
 
-    Shards are ranges of (doc_id, hash of the text), so neither a hot doc_id nor a hot text meets in one task.
+    Shards are ranges of (doc_id, hash of the text), about SHARD_BYTES of text each, so neither a hot doc_id nor a hot text
+    meets in one task; rows that repeat both do.
     """
     spark = docs.sparkSession
-    shards = shards or max(spark.sparkContext.defaultParallelism * 4, docs.rdd.getNumPartitions())
+    size = 0 if shards else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = shards or max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
     rows = rows.repartitionByRange(shards, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
     rows = rows.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
