@@ -1,14 +1,16 @@
 """WARC fixity audit with Merkle trees over records and ordered offset ranges.
 
 An archive is files of records at byte offsets. Level 0 of the tree has a digest per record, level 1
-one per range of RANGE_BYTES bytes of a file, level 2 one per FANOUT ranges, level 3 one per file, level 4
-one per FILES files, level 5 the root. A node's digest is taken over its children in order of offset,
-with their bounds; no node has more children than fit its range, so nothing unbounded meets in a row.
+one per range of RANGE_BYTES bytes of a file, level 2 one per FANOUT ranges, level 3 one per file, levels 4,
+5 and 6 one per FILES nodes of the level below, level 7 the root. A node's digest is taken over its children in
+order of offset, with their bounds; no node has more children than fit its range, and the root FILES at most for
+4 billion files, so nothing unbounded meets in a row.
 
 Two replicas are compared from the root down: the children of nodes that differ are joined, and only
 they, until the records of the ranges that differ are compared one by one.
 
-Edge cases: null urls and bodies count as empty; null ids stand first in a file of their own; repeated records
+Edge cases: null urls and bodies count as empty; records with null ids stand in NULL_FILES files before the others, by a
+hash of the url (all of them with null url in one); repeated records
 are told apart by the order in which they stand; two empty archives have equal roots and the audit
 is empty; a record that only moved, because what stands before it changed size, isn't corrupt.
 """
@@ -24,8 +26,10 @@ RANGE_BYTES = 1 << 18
 FANOUT = 64
 FILES = 256
 RECORDS_PER_FILE = 512
+NULL_FILES = 1024
+LEVELS = 7
 # (expression of the parent's a, of its b) for the nodes of each level; a: files, b: ranges.
-PARENTS = {1: ("a", f"b div {FANOUT}"), 2: ("a", "0L"), 3: (f"a div {FILES}", "0L"), 4: ("0L", "0L")}
+PARENTS = {1: ("a", f"b div {FANOUT}"), 2: ("a", "0L"), **{level: (f"a div {FILES}", "0L") for level in (3, 4, 5)}, 6: ("0L", "0L")}
 
 
 def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", per_file: int = RECORDS_PER_FILE) -> DataFrame:
@@ -38,7 +42,7 @@ def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", body:
         F.lit("\r\nContent-Length: "), F.octet_length(F.coalesce(body, F.lit(""))).cast("string"),
         F.lit("\r\n\r\n"), F.coalesce(body, F.lit("")), F.lit("\r\n\r\n"),
     )
-    raw = pages.select(F.expr(f"coalesce(cast(`{key}` AS bigint) div {per_file}, -1)").alias("file"), F.col(key).cast("long").alias("record"), text.alias("t"))
+    raw = pages.select(F.expr(f"coalesce(cast(`{key}` AS bigint) div {per_file}, -1 - pmod(xxhash64(coalesce(`{url}`, '')), {NULL_FILES}))").alias("file"), F.col(key).cast("long").alias("record"), text.alias("t"))
     hashed = raw.select("file", "record", F.octet_length("t").cast("long").alias("size"), F.sha2("t", 256).alias("digest"))
     order = "PARTITION BY file ORDER BY record, digest"
     return hashed.selectExpr(
@@ -49,11 +53,11 @@ def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", body:
 
 
 def tree(records: DataFrame, range_bytes: int = RANGE_BYTES) -> list[DataFrame]:
-    """The levels of the tree, 0 to 5, each written to the shared folder: the next is made of it, and so plans stay short."""
+    """The levels of the tree, 0 to LEVELS, each written to the shared folder: the next is made of it, and so plans stay short."""
     leaves = records.selectExpr("file AS a", f"offset div {range_bytes} AS b", "record", "nth", "offset", "offset + size AS until", "digest")
     levels = [materialise(leaves, "fixity-records")]
     children = "struct(offset, record, nth, until, digest)"
-    for level in range(1, 6):
+    for level in range(1, LEVELS + 1):
         a, b = PARENTS.get(level - 1, ("a", "b"))
         up = levels[-1].selectExpr(f"{a} AS a", f"{b} AS b", "offset", "until", "digest", "record" if level == 1 else "a AS record", "nth" if level == 1 else "b AS nth")
         up = up.groupBy("a", "b").agg(F.expr(f"array_sort(collect_list({children}))").alias("c"), F.min("offset").alias("offset"), F.max("until").alias("until"))
@@ -66,7 +70,7 @@ def tree(records: DataFrame, range_bytes: int = RANGE_BYTES) -> list[DataFrame]:
 def audit(mine: list[DataFrame], other: list[DataFrame]) -> DataFrame:
     """file, record, offset and status (altered, missing or extra in the other replica) of what differs."""
     keys, bad = ["a", "b"], None
-    for level in range(5, 0, -1):
+    for level in range(LEVELS, 0, -1):
         left, right = mine[level], other[level]
         if bad is not None:
             pa, pb = PARENTS[level]

@@ -53,6 +53,10 @@ def test_fixity_finds_what_differs(spark):
     a, b = fixity.tree(fixity.warc_records(pages)), fixity.tree(fixity.warc_records(other))
     assert sorted((r.record, r.status) for r in fixity.audit(a, b).collect()) == [(1234, "missing"), (2222, "altered"), (9000, "extra")]
     assert fixity.audit(a, a).count() == 0
+    assert len(a) == fixity.LEVELS + 1 and a[-1].count() == 1
+    unnamed = spark.createDataFrame([(None, f"u{k}", "y" * k) for k in range(300)] + [(None, None, None)] * 2, "page_id long, url string, html string")
+    c, d = (fixity.tree(fixity.warc_records(x)) for x in (unnamed, unnamed.withColumn("html", F.expr("if(url = 'u17', 'rot', html)"))))
+    assert [(r.record, r.status) for r in fixity.audit(c, d).collect()] == [(None, "altered")] and c[3].count() > 100
     none = fixity.tree(fixity.warc_records(empty(spark, "page_id long, url string, html string")))
     assert fixity.audit(none, none).count() == 0
 
