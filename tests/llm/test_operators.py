@@ -432,6 +432,82 @@ def test_deduplicate_keeps_one_row_of_each_component(spark, odd):
     assert simhash.deduplicate(empty(spark)).count() == 0
 
 
+def brute_sketch(text, n=5):
+    """The bits of a wide fingerprint as one number, and its keys."""
+    import xxhash
+
+    full = (1 << 64) - 1
+
+    def mix(h, f):
+        h = h * f & full
+        h = (h ^ h >> 29) * f & full
+        return h ^ h >> 32
+
+    def odd_numbers(kind, k):
+        return [xxhash.xxh64_intdigest(f"{kind}{i}") | 1 for i in range(k)]
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + n]).encode(), 42) for k in range(max(1, len(words) - n + 1))] if words else []
+    bits = 0
+    for factor in [None, *odd_numbers("bits", 3)]:
+        own = [mix(h, factor) if factor else h for h in hashes]
+        bits = bits << 64 | sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
+    least = [min((h * f & full for h in hashes), default=0) for f in odd_numbers("order", 12)]
+    return bits, {mix(mix(b + least[b] & full, 0x9E3779B97F4A7C15) + least[6 + b] & full, 0x9E3779B97F4A7C15) for b in range(6)} if hashes else {0}
+
+
+def brute_similar(rows, radius):
+    """The smallest id of each row's group."""
+    made, root = [brute_sketch(t) for _, t in rows], list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if made[a][1] & made[b][1] and (made[a][0] ^ made[b][0]).bit_count() <= radius:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return [rows[find(k)][0] for k in range(len(rows))]
+
+
+def edited(words, n, rnd):
+    """Words of which n, spread evenly, are replaced."""
+    words = list(words)
+    for k in range(n):
+        words[k * len(words) // n + len(words) // (2 * n)] = f"new{rnd.random()}"
+    return " ".join(words)
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    rnd = random.Random(11)
+    bases = [[f"v{rnd.randrange(5000)}" for _ in range(240)] for _ in range(80)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(bases)]
+    rows += [(100 + k, edited(w, 3, rnd)) for k, w in enumerate(bases)]  # similarity 0.88
+    rows += [(200 + k, edited(w, 24, rnd)) for k, w in enumerate(bases)]  # similarity 0.35
+    rows += [(300 + k, edited(bases[0], 1, rnd)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.deduplicate_similar(docs.repartition(5)).collect())
+    groups = brute_similar(rows, simhash.radius_of(0.8))
+    assert kept == sorted(set(groups))
+    assert set(range(80)) <= set(kept) and set(range(200, 280)) <= set(kept) and not any(k >= 300 for k in kept)
+    assert sum(100 <= k < 200 for k in kept) <= 4
+    # A shard over the limit is met piece by piece, with the same groups.
+    nodes = simhash.sketches(docs, 5).select("fp", F.array(*[f"k{k}" for k in range(simhash.BANDS)]).alias("keys")).dropDuplicates(["fp"])
+    whole, cut = (simhash.components(simhash.similar_links(nodes, simhash.radius_of(0.8), large)) for large in (1 << 18, 40))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+
+
+def test_similar_on_odd_rows(spark, odd):
+    kept = simhash.deduplicate_similar(odd)
+    assert kept.columns == odd.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((r.doc_id, r.text) for r in simhash.deduplicate(odd, shingle=5).collect()), key=str)
+    more = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "x y z"), (4, "x y z"), (4, "x y z"), (9, "x y z"), (8, None), (None, "")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.deduplicate_similar(more.repartition(3)).collect()), key=str) == [(4, "x y z"), (8, None), (None, "a b c d")]
+    assert simhash.deduplicate_similar(empty(spark)).count() == 0
+
+
 def test_vantage_point_forest_loses_no_link(spark):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**63, 12).astype(np.uint64)
@@ -648,7 +724,7 @@ def test_pipeline_against_brute_force(spark, docs, texts):
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = [(d, t) for d, t in texts if re.search(r"[^\W\d_]", t or "")]
-    parts = brute_components([d for d, _ in kept], [brute_fingerprint(t, corpus_pipeline.SHINGLE) for _, t in kept])
+    parts = brute_similar(kept, simhash.radius_of(corpus_pipeline.SIMILARITY))
     kept = [(d, t) for (d, t), c in zip(kept, parts) if c == d]
     kept = [(d, t) for d, t in kept if not brute_hits(t, items)[4]]
     assert sorted(rows) == sorted(d for d, _ in kept) and all(r.round_trip for r in rows.values())
