@@ -18,7 +18,7 @@ from convlake.llm import decontaminate, langid, simhash, spm
 from convlake.llm.common import materialise, table
 
 LEAST_SCORE = 0.5
-SHINGLE = 5
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: SimHash of shingles of five words, linked at 3 bits or fewer."""
-    return simhash.deduplicate(docs, shingle=SHINGLE)
+    """One document of each group of near copies: SimHash of shingles of five words, linked at a similarity of 0.8 or more."""
+    return simhash.deduplicate_similar(docs, SIMILARITY, SHINGLE)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
