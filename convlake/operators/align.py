@@ -27,29 +27,40 @@ def numbered_turns(turns: DataFrame) -> DataFrame:
     return turns.selectExpr("meeting_id", "speaker", "start_ms AS ts", "end_ms AS te", "cast(row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, end_ms, speaker) AS bigint) AS k")
 
 
+def _with_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
+    """Words with the `speaker` of T2. Each turn carries the turns around it, and a word takes those of the last turn that
+    begins by its end: words and turns of a meeting are sorted once, and no word meets a turn in a join."""
+    around = f"collect_list(struct(k, ts, te, speaker)) OVER (PARTITION BY meeting_id ORDER BY k ROWS BETWEEN {LOOK_BACK - 1} PRECEDING AND 1 FOLLOWING)"
+    known = numbered_turns(turns).selectExpr("meeting_id", "ts AS at", "k", f"{around} AS around", "struct(k, ts, te, speaker) AS turn")
+    ends = F.expr(f"greatest(end_ms, start_ms + {LEAST_WORD_MS})")
+    rows = words.select("meeting_id", ends.alias("at"), "start_ms", F.struct(*words.columns).alias("word"))
+    met = rows.unionByName(known, allowMissingColumns=True)
+    before = "OVER (PARTITION BY meeting_id ORDER BY at, k NULLS LAST ROWS UNBOUNDED PRECEDING)"
+    first = "min(if(k = 1, turn, NULL)) OVER (PARTITION BY meeting_id)"
+    met = met.selectExpr("word", "at AS we", "start_ms", f"coalesce(last_value(k) IGNORE NULLS {before}, 0L) AS i", f"coalesce(last_value(around) IGNORE NULLS {before}, array({first})) AS around")
+    met = met.where("word IS NOT NULL").selectExpr("word", "we", "start_ms", "i", "filter(around, t -> t IS NOT NULL) AS around", "(start_ms + we) / 2D AS middle")
+    over = "transform(filter(around, t -> t.k <= i), t -> struct(least(we, t.te) - greatest(start_ms, t.ts) AS overlap, t.k AS k, t.speaker AS speaker))"
+    near = "transform(filter(around, t -> t.k >= i AND t.speaker IS NOT NULL), t -> struct(if(t.k = i, abs(middle - t.te), abs(t.ts - middle)) AS distance, t.speaker AS speaker))"
+    speaker = f"coalesce(array_max(filter({over}, t -> t.overlap > 0)).speaker, array_min(filter({near}, t -> t.distance < {NEAR_MS})).speaker) AS speaker"
+    return met.selectExpr("word.*", speaker)
+
+
 def assign_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
     """T2 and T3. Per word the turn it overlaps most, of the last twelve that begin by its end (the later on
     ties); else the nearer of the turns around it if under two seconds from its middle (the smaller
     speaker on ties); else null. Turns are met by number, never by a comparison of times."""
-    known = numbered_turns(turns)
-    rows = words.selectExpr("meeting_id", "n", "start_ms", "greatest(end_ms, start_ms + %d) AS we" % LEAST_WORD_MS)
-    merged = rows.selectExpr("meeting_id", "we AS at", "1 AS word", "n", "start_ms", "we").unionByName(known.selectExpr("meeting_id", "ts AS at", "0 AS word", "cast(NULL AS bigint) AS n", "cast(NULL AS bigint) AS start_ms", "cast(NULL AS bigint) AS we"))
-    counted = merged.selectExpr("*", "sum(1 - word) OVER (PARTITION BY meeting_id ORDER BY at, word ROWS UNBOUNDED PRECEDING) AS i").where("word = 1")
-    tried = counted.withColumn("k", F.explode(F.expr(f"sequence(greatest(1, i - {LOOK_BACK - 1}), i + 1)")))
-    met = tried.join(known, ["meeting_id", "k"], "left").selectExpr("*", "if(k <= i, least(we, te) - greatest(start_ms, ts), 0) AS overlap", "(start_ms + we) / 2D AS middle")
-    met = met.selectExpr("*", "if(k >= i AND speaker IS NOT NULL, if(k = i, abs(middle - te), abs(ts - middle)), NULL) AS distance")
-    best = met.groupBy("meeting_id", "n").agg(
-        F.expr("max_by(speaker, struct(overlap, k)) FILTER (WHERE overlap > 0)").alias("over"),
-        F.expr(f"min(struct(distance, speaker)) FILTER (WHERE distance < {NEAR_MS})").alias("near"),
-    )
-    return best.selectExpr("meeting_id", "n", "coalesce(over, near.speaker) AS speaker")
+    return _with_speakers(words.select("meeting_id", "n", "start_ms", "end_ms"), turns).select("meeting_id", "n", "speaker")
 
 
-def fill_gaps(assigned: DataFrame) -> DataFrame:
-    """T4. Unknown speakers take the one before, else the one after."""
+def _filled(assigned: DataFrame) -> DataFrame:
     before = "last_value(speaker) IGNORE NULLS OVER (PARTITION BY meeting_id ORDER BY n ROWS UNBOUNDED PRECEDING)"
-    after = "first_value(speaker) IGNORE NULLS OVER (PARTITION BY meeting_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-    return assigned.selectExpr("meeting_id", "n", f"coalesce({before}, {after}) AS speaker")
+    first = "(min(if(speaker IS NULL, NULL, struct(n, speaker))) OVER (PARTITION BY meeting_id)).speaker"
+    return assigned.withColumn("speaker", F.expr(f"coalesce({before}, {first})"))
+
+
+def fill_gaps(assigned: DataFrame) -> DataFrame:
+    """T4. Unknown speakers take the one before, else the one after, which is the meeting's first."""
+    return _filled(assigned).select("meeting_id", "n", "speaker")
 
 
 # What ends a sentence, and the limits of utterances and cues.
@@ -138,13 +149,13 @@ def _utterances(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield *row, number
 
 
-def build_utterances(words: DataFrame) -> DataFrame:
-    """T6. Segments (meeting_id, idx from 0, speaker, start_ms, end_ms, text) of words with speakers: a new one where the
-    speaker changes, after a pause of 4 s, after one of 1.5 s behind a sentence or comma, and at the end of a sentence
-    once 45 s are over. Segments without text go and get no idx."""
+def _numbered(words: DataFrame, step) -> DataFrame:
     kind = words.schema["meeting_id"].dataType.simpleString()
     rows = words.select("meeting_id", "n", "text", "start_ms", "end_ms", "speaker")
-    numbered = in_order(rows, ["meeting_id"], ["n", "start_ms"], _utterances, f"meeting_id {kind}, {WORDS_SCHEMA}, utterance long")
+    return in_order(rows, ["meeting_id"], ["n", "start_ms"], step, f"meeting_id {kind}, {WORDS_SCHEMA}, utterance long")
+
+
+def _segments(numbered: DataFrame) -> DataFrame:
     parts = numbered.groupBy("meeting_id", "utterance", "speaker").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.expr("trim(array_join(transform(array_sort(collect_list(struct(n, text))), w -> w.text), ''))").alias("text"),
@@ -152,11 +163,18 @@ def build_utterances(words: DataFrame) -> DataFrame:
     return parts.where("text <> ''").selectExpr("meeting_id", "cast(row_number() OVER (PARTITION BY meeting_id ORDER BY utterance) - 1 AS bigint) AS idx", "speaker", "start_ms", "end_ms", "text")
 
 
+def build_utterances(words: DataFrame) -> DataFrame:
+    """T6. Segments (meeting_id, idx from 0, speaker, start_ms, end_ms, text) of words with speakers: a new one where the
+    speaker changes, after a pause of 4 s, after one of 1.5 s behind a sentence or comma, and at the end of a sentence
+    once 45 s are over. Segments without text go and get no idx."""
+    return _segments(_numbered(words, _utterances))
+
+
 def align(words: DataFrame, turns: DataFrame, alone: str = "S1") -> DataFrame:
-    """T7. Segments of words and turns. Meetings without turns have one speaker, `alone`."""
-    flat = flatten_words(words)
-    named = flat.join(fill_gaps(assign_speakers(flat, turns)), ["meeting_id", "n"]).withColumn("speaker", F.coalesce("speaker", F.lit(alone)))
-    return build_utterances(smooth_speakers(named))
+    """T7. Segments of words and turns. Meetings without turns have one speaker, `alone`. Changes are smoothed and
+    utterances numbered in one pass."""
+    named = _filled(_with_speakers(flatten_words(words), turns)).withColumn("speaker", F.coalesce("speaker", F.lit(alone)))
+    return _segments(_numbered(named, lambda rows: _utterances(_smoothed(rows))))
 
 
 def rebuild_segments(segments: DataFrame, meeting_speakers: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def speaker_rows(meeting_speakers: DataFrame, speakers: DataFrame) -> DataFrame:
 def place_bookmarks(segments: DataFrame, bookmarks: DataFrame) -> DataFrame:
     """P7. Each bookmark (meeting_id, at_ms) stands before the first segment that starts at or after it; later ones vanish."""
     rows = segments.selectExpr("meeting_id", "start_ms AS at", "0 AS mark", "idx").unionByName(bookmarks.selectExpr("meeting_id", "at_ms AS at", "1 AS mark", "cast(NULL AS bigint) AS idx"))
-    ahead = "first_value(idx) IGNORE NULLS OVER (PARTITION BY meeting_id ORDER BY at, mark DESC, idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    ahead = "last_value(idx) IGNORE NULLS OVER (PARTITION BY meeting_id ORDER BY at DESC, mark, idx DESC ROWS UNBOUNDED PRECEDING)"
     return rows.selectExpr("meeting_id", "at AS at_ms", "mark", f"{ahead} AS idx").where("mark = 1 AND idx IS NOT NULL").drop("mark")
 
 
@@ -108,8 +108,7 @@ def speaker_at(segments: DataFrame, times: DataFrame) -> DataFrame:
     segment = "struct(start_ms, end_ms, idx, speaker)"
     rows = segments.selectExpr("meeting_id", "end_ms AS at", "1 AS known", f"{segment} AS s")
     rows = rows.unionByName(times.selectExpr("meeting_id", "at_ms AS at", "0 AS known"), allowMissingColumns=True)
-    order = "PARTITION BY meeting_id ORDER BY at, known, s.idx ROWS BETWEEN"
-    ahead = f"first_value(s) IGNORE NULLS OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING)"
-    behind = f"last_value(s) IGNORE NULLS OVER ({order} UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ahead = "last_value(s) IGNORE NULLS OVER (PARTITION BY meeting_id ORDER BY at DESC, known DESC, s.idx DESC ROWS UNBOUNDED PRECEDING)"
+    behind = "last_value(s) IGNORE NULLS OVER (PARTITION BY meeting_id ORDER BY at, known, s.idx ROWS UNBOUNDED PRECEDING)"
     met = rows.selectExpr("meeting_id", "at AS at_ms", "known", f"coalesce({ahead}, {behind}) AS s").where("known = 0")
     return met.selectExpr("meeting_id", "at_ms", "if(at_ms BETWEEN s.start_ms - 500 AND s.end_ms + 500, s.speaker, NULL) AS speaker")
