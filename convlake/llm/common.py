@@ -41,3 +41,19 @@ def discard(made: DataFrame) -> None:
 def doc_key() -> "F.Column":
     """doc_id as text, empty for null: what hashes of a document's id are taken of."""
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of their group; `groups` has a row for each key, and the number of its rows in `size`.
+
+    Groups of more than a thousandth of all rows are under a thousand: these are broadcast, so that
+    their rows stay where they are. No other group is large; they meet in a shuffle.
+    Both sides are read more than once and should be written tables.
+    """
+    least = F.lit((groups.agg(F.sum(size)).first()[0] or 0) / HOT_GROUPS)
+    hot = F.broadcast(groups.where(F.col(size) > least))
+    cold = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(size) <= least), key)
+    return rows.join(hot, key).unionByName(cold)

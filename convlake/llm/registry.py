@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convlake.llm import cws, decontaminate, fixity, langid, licences, simhash, spm, tokenfile, urlfilter, wrappers
+from convlake.llm import cws, decontaminate, exactdup, fixity, langid, licences, simhash, spm, tokenfile, urlfilter, wrappers
 
 QUERIES = {
     "op1_fixity": fixity.op1_fixity,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_fingerprints": cws.op9_fingerprints,
     "op10_licences": licences.op10_licences,
+    "op12_exact_dedup": exactdup.op12_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op1_fixity": fixity.OP1_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op8_url_filter": urlfilter.OP8_SQL,
+    "op12_exact_dedup": exactdup.OP12_SQL,
 }
