@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convlake.llm import cws, decontaminate, exactdup, fixity, langid, licences, simhash, spm, tokenfile, urlfilter, wrappers
+from convlake.llm import cws, decontaminate, exactdup, fixity, langid, licences, simhash, spm, tokenfile, urlfilter, vectorcode, wrappers
 
 QUERIES = {
     "op1_fixity": fixity.op1_fixity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_fingerprints": cws.op9_fingerprints,
     "op10_licences": licences.op10_licences,
+    "op11_vector_codes": vectorcode.op11_vector_codes,
     "op12_exact_dedup": exactdup.op12_exact_dedup,
 }
 
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op1_fixity": fixity.OP1_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op8_url_filter": urlfilter.OP8_SQL,
+    "op11_vector_codes": vectorcode.OP11_SQL,
     "op12_exact_dedup": exactdup.OP12_SQL,
 }
