@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convlake.llm import cws, decontaminate, exactdup, fixity, langid, licences, simhash, spm, tokenfile, urlfilter, vectorcode, wrappers
+from convlake.llm import cws, decontaminate, exactdup, fixity, langid, licences, simhash, spm, tokenalign, tokenfile, urlfilter, vectorcode, wrappers
 
 QUERIES = {
     "op1_fixity": fixity.op1_fixity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_licences": licences.op10_licences,
     "op11_vector_codes": vectorcode.op11_vector_codes,
     "op12_exact_dedup": exactdup.op12_exact_dedup,
+    "op13_token_alignment": tokenalign.op13_token_alignment,
 }
 
 ORACLE_SQL = {
