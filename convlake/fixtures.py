@@ -36,6 +36,24 @@ SELECT meeting_id, speaker AS key, CONCAT('Speaker ', substr(speaker, 2)) AS lab
        CAST(SUM(end_ms - start_ms) AS BIGINT) AS talk_ms
 FROM segments_fx GROUP BY meeting_id, speaker"""
 
+# Three decisions on each speaker: by id (two of twelve are nobody's), by name known or new, to learn or not.
+DECISIONS = """
+SELECT meeting_id, (j * 3 + (n + meeting_id) % 3) * 10 + n AS seq, key,
+       CASE a WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' WHEN 2 THEN 'unlink' ELSE 'assign' END AS action,
+       CASE WHEN a = 3 THEN (meeting_id + j) % 12 END AS speaker_id,
+       CASE WHEN a = 4 THEN CONCAT(' person ', CAST((meeting_id + n) % 10 AS {string})) WHEN a > 4 THEN CONCAT('Guest ', CAST((meeting_id * 3 + j + n) % 5 AS {string}), ' ') END AS name,
+       a <> 6 AS learn, CAST(NULL AS {string}) AS target
+FROM (SELECT meeting_id, key, n, CAST(j AS BIGINT) AS j, (meeting_id * 5 + n * 3 + j * 2) % 7 AS a
+      FROM (SELECT meeting_id, key, CAST(substr(key, 2) AS BIGINT) AS n FROM meeting_speakers_fx) m CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2) js) x"""
+
+# Up to three edits of every second segment: texts, keys known and not, new speakers.
+EDITS = """
+SELECT meeting_id, idx, j * 100000 + (idx * 7) % 1000 * 100 + idx % 100 AS seq,
+       CASE (idx + j) % 3 WHEN 0 THEN CONCAT(' Said ', CAST(idx AS {string}), ' ') WHEN 1 THEN ' ' END AS text,
+       CASE (meeting_id + idx + j) % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'S1' WHEN 2 THEN 'S4' WHEN 3 THEN 'S77' ELSE '' END AS speaker,
+       (idx + j) % 2 = 0 AS learn
+FROM segments_fx CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2) js WHERE idx % 2 = 0 AND (idx + meeting_id) % 4 >= j"""
+
 SPEAKERS = "SELECT DISTINCT CAST(label AS BIGINT) AS id, CONCAT('Person ', CAST(label AS {string})) AS name FROM embeddings"
 
 PERF = """
@@ -96,6 +114,8 @@ VIEWS = {
     "samples_fx": (SAMPLES, SAMPLES, ["embeddings"]),
     "meeting_speakers_fx": (MEETING_SPEAKERS, MEETING_SPEAKERS, ["segments_fx"]),
     "speakers_fx": (SPEAKERS.format(string="STRING"), SPEAKERS.format(string="VARCHAR"), ["embeddings"]),
+    "decisions_fx": (DECISIONS.format(string="STRING"), DECISIONS.format(string="VARCHAR"), ["meeting_speakers_fx"]),
+    "edits_fx": (EDITS.format(string="STRING"), EDITS.format(string="VARCHAR"), ["segments_fx"]),
     "perf_fx": (PERF, PERF, ["events"]),
     "audio_fx": (AUDIO, AUDIO, ["events"]),
     "chunks_fx": (CHUNKS, CHUNKS, ["events"]),

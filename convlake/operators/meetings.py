@@ -9,7 +9,6 @@ from convlake.functions.columns import note_key
 
 VOCABULARY_NAMES, VOCABULARY_CHARS = 30, 600
 TITLE_CHARS, TAG_CHARS, MOST_TAGS = 200, 40, 20
-LEARN_MS, CLIP_MS = 2500, 12000
 
 
 def list_meetings(meetings: DataFrame, meeting_speakers: DataFrame, q: str = "", favorites: bool = False) -> DataFrame:
@@ -89,59 +88,6 @@ def delete_meetings(gone: DataFrame, **tables: DataFrame) -> dict[str, DataFrame
     return {name: rows.join(gone.select("meeting_id"), "meeting_id", "left_anti") for name, rows in tables.items()}
 
 
-def apply_decisions(meeting_speakers: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """L21. meeting_speakers (meeting_id, key, label, speaker_id, status, suggested_id) after the last decision (meeting_id, key,
-    seq, action, speaker_id, name) on each, and the merges (meeting_id, source, target) that follow where a person was assigned
-    twice in a meeting: into the key with the smallest number.
-
-    confirm takes the suggestion or match; reject clears both; unlink keeps the label alone; name gives a label without a
-    person; assign gives a person. Other actions, and confirm with nothing to confirm, change nothing.
-    """
-    last = decisions.groupBy("meeting_id", "key").agg(F.expr("max_by(struct(action, speaker_id AS who, name), seq)").alias("d"))
-    rows = meeting_speakers.join(last, ["meeting_id", "key"], "left").withColumn("a", F.coalesce("d.action", F.lit("")))
-    rows = rows.withColumn("found", F.expr("CASE a WHEN 'confirm' THEN coalesce(speaker_id, suggested_id) WHEN 'assign' THEN d.who END"))
-    done = rows.selectExpr(
-        "meeting_id", "key", "if(a = 'name' AND trim(d.name) <> '', trim(d.name), label) AS label",
-        "CASE WHEN found IS NOT NULL THEN found WHEN a IN ('reject', 'unlink', 'name') THEN NULL ELSE speaker_id END AS speaker_id",
-        "CASE WHEN found IS NOT NULL THEN 'confirmed' WHEN a IN ('reject', 'unlink') THEN 'unknown' WHEN a = 'name' THEN 'named' ELSE status END AS status",
-        "if(found IS NOT NULL OR a IN ('reject', 'unlink', 'name'), NULL, suggested_id) AS suggested_id",
-    )
-    who = done.where("speaker_id IS NOT NULL AND status = 'confirmed'").selectExpr("meeting_id", "speaker_id", "key", "coalesce(try_cast(substr(key, 2) AS bigint), 99) AS number")
-    target = who.groupBy("meeting_id", "speaker_id").agg(F.expr("min_by(key, struct(number, key))").alias("target"))
-    return done, who.join(target, ["meeting_id", "speaker_id"]).where("key <> target").selectExpr("meeting_id", "key AS source", "target")
-
-
-def confirm_all(meeting_speakers: DataFrame, meetings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """L21. What apply_decisions gives if all matches and suggestions of the meetings (meeting_id) are confirmed."""
-    rows = meeting_speakers.join(meetings.select("meeting_id").distinct(), "meeting_id", "left_semi")
-    who = "CASE WHEN status IN ('auto', 'confirmed') THEN speaker_id WHEN status = 'suggested' THEN suggested_id END"
-    told = rows.selectExpr("meeting_id", "key", "1 AS seq", "'assign' AS action", f"{who} AS speaker_id", "cast(NULL AS string) AS name").where("speaker_id IS NOT NULL")
-    return apply_decisions(meeting_speakers, told)
-
-
-def apply_segment_edits(segments: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """L22. Segments after the last edit (meeting_id, idx, seq, text, speaker) of each; the talk time (meeting_id, key, delta_ms)
-    that moved; and clips to learn from: the middle 12 s of segments of 2.5 s or more that got another speaker. The speaker `new`
-    stands for a key one above the meeting's largest, one new key per meeting. Empty texts change nothing."""
-    last = edits.groupBy("meeting_id", "idx").agg(F.expr("max_by(struct(text AS t, speaker AS s), seq)").alias("e"))
-    top = segments.groupBy("meeting_id").agg(F.expr("concat('S', coalesce(max(try_cast(substr(speaker, 2) AS bigint)), 0) + 1)").alias("fresh"))
-    rows = segments.join(last, ["meeting_id", "idx"], "left").join(top, "meeting_id")
-    rows = rows.withColumn("told", F.expr("if(e.s = 'new', fresh, nullif(e.s, ''))")).withColumn("said", F.expr("nullif(trim(e.t), '')"))
-    rows = rows.withColumn("moved", F.expr("coalesce(told <> coalesce(speaker, ''), false)"))
-    done = rows.selectExpr("meeting_id", "idx", "coalesce(told, speaker) AS speaker", "coalesce(said, text) AS text", "start_ms", "end_ms", "moved OR coalesce(said <> text, false) AS edited")
-    moves = rows.where("moved").selectExpr("meeting_id", "explode(array(struct(speaker AS key, start_ms - end_ms AS d), struct(told AS key, end_ms - start_ms AS d))) AS m").where("m.key IS NOT NULL")
-    deltas = moves.groupBy("meeting_id", F.col("m.key").alias("key")).agg(F.sum("m.d").alias("delta_ms"))
-    clip = f"least(end_ms - start_ms, {CLIP_MS})"
-    clips = rows.where(f"moved AND end_ms - start_ms >= {LEARN_MS}").selectExpr("meeting_id", "told AS key", f"(start_ms + end_ms - {clip}) / 2D AS clip_start", f"(start_ms + end_ms + {clip}) / 2D AS clip_end")
-    return done, deltas, clips
-
-
-def shift_talk(meeting_speakers: DataFrame, deltas: DataFrame) -> DataFrame:
-    """L22. Talk times with what moved; never below 0, and a key that is new gets a row."""
-    rows = meeting_speakers.select("meeting_id", "key", "talk_ms").join(deltas, ["meeting_id", "key"], "full")
-    return rows.selectExpr("meeting_id", "key", "greatest(0L, coalesce(talk_ms, 0L) + coalesce(delta_ms, 0L)) AS talk_ms")
-
-
 def action_items(meetings: DataFrame) -> DataFrame:
     """N17. The tasks of all meetings (id, title, date_s, action_items) with their number, the newest meeting first. A null list has none."""
     rows = meetings.select(F.col("id").alias("meeting_id"), "title", "date_s", F.posexplode("action_items").alias("number", "a"))

@@ -82,42 +82,6 @@ def l17(meeting_speakers, people):
     return ops.delete_speakers(meeting_speakers.withColumn("suggested_id", F.expr("talk_ms % 10")), people, people.where("id IN (2, 5)"))
 
 
-DECIDED = """d AS (
-  SELECT *, talk_ms % 10 AS suggested_id, CASE meeting_id % 6 WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' WHEN 2 THEN 'unlink' WHEN 3 THEN 'name' WHEN 4 THEN 'assign' ELSE '' END AS a FROM meeting_speakers_fx
-), t AS (SELECT *, CASE a WHEN 'confirm' THEN coalesce(speaker_id, suggested_id) WHEN 'assign' THEN 7 END AS found FROM d)"""
-
-
-@query("l21_apply_decisions", ("meeting_speakers_fx",), f"""WITH {DECIDED}, o AS (SELECT meeting_id, key, CASE WHEN a = 'name' THEN 'New ' || key ELSE label END AS label,
-  CASE WHEN found IS NOT NULL THEN found WHEN a IN ('reject', 'unlink', 'name') THEN NULL ELSE speaker_id END AS speaker_id,
-  CASE WHEN found IS NOT NULL THEN 'confirmed' WHEN a IN ('reject', 'unlink') THEN 'unknown' WHEN a = 'name' THEN 'named' ELSE status END AS status,
-  CASE WHEN a = '' THEN suggested_id END AS suggested_id FROM t
-) SELECT o.*, CASE WHEN status = 'confirmed' AND speaker_id IS NOT NULL THEN nullif(min(key) FILTER (WHERE status = 'confirmed') OVER (PARTITION BY meeting_id, speaker_id), key) END AS target FROM o""")
-def l21(meeting_speakers):
-    rows = meeting_speakers.withColumn("suggested_id", F.expr("talk_ms % 10"))
-    action = "CASE meeting_id % 6 WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' WHEN 2 THEN 'unlink' WHEN 3 THEN 'name' WHEN 4 THEN 'assign' END"
-    decided = rows.where("meeting_id % 6 < 5").selectExpr("meeting_id", "key", "explode(array(1, 2)) AS seq").selectExpr("meeting_id", "key", "seq", f"if(seq = 1, 'reject', {action}) AS action", "7L AS speaker_id", "concat(' New ', key) AS name")
-    done, merges = ops.apply_decisions(rows, decided)
-    return done.join(merges.withColumnRenamed("source", "key"), ["meeting_id", "key"], "left")
-
-
-@query("l21_confirm_all", ("meeting_speakers_fx",), """WITH d AS (SELECT *, talk_ms % 10 AS suggested_id FROM meeting_speakers_fx), t AS (
-  SELECT *, CASE WHEN meeting_id % 2 = 0 THEN CASE WHEN status IN ('auto', 'confirmed') THEN speaker_id WHEN status = 'suggested' THEN suggested_id END END AS who FROM d
-) SELECT meeting_id, key, label, coalesce(who, speaker_id) AS speaker_id, CASE WHEN who IS NOT NULL THEN 'confirmed' ELSE status END AS status, CASE WHEN who IS NULL THEN suggested_id END AS suggested_id FROM t""")
-def l21_all(meeting_speakers):
-    rows = meeting_speakers.withColumn("suggested_id", F.expr("talk_ms % 10"))
-    return ops.confirm_all(rows, rows.where("meeting_id % 2 = 0"))[0]
-
-
-@query("l22_segment_edits", ("segments_fx", "meeting_speakers_fx"), """WITH x AS (
-  SELECT *, CASE WHEN idx % 3 = 0 THEN CASE WHEN idx % 2 = 0 THEN 'S' || (max(substr(speaker, 2)::BIGINT) OVER (PARTITION BY meeting_id) + 1) ELSE 'S1' END END AS told FROM segments_fx
-), v AS (SELECT *, coalesce(told <> speaker, false) AS moved FROM x), dl AS (
-  SELECT meeting_id, key, sum(d)::BIGINT AS d FROM (SELECT meeting_id, speaker AS key, start_ms - end_ms AS d FROM v WHERE moved UNION ALL SELECT meeting_id, told, end_ms - start_ms FROM v WHERE moved) GROUP BY 1, 2
-) SELECT meeting_id, coalesce(m.key, dl.key) AS key, greatest(0, coalesce(talk_ms, 0) + coalesce(d, 0)) AS talk_ms FROM meeting_speakers_fx m FULL JOIN dl USING (meeting_id, key)""")
-def l22(segments, meeting_speakers):
-    edits = segments.where("idx % 3 = 0").selectExpr("meeting_id", "idx", "1 AS seq", "'Said' AS text", "if(idx % 2 = 0, 'new', 'S1') AS speaker")
-    return ops.shift_talk(meeting_speakers, ops.apply_segment_edits(segments, edits)[1])
-
-
 WHOLE = "'(^|[^\\pL\\pN_])la($|[^\\pL\\pN_])', '\\1[L$1.]\\2', 'g')"
 
 

@@ -10,26 +10,6 @@ def test_rename_takes_names_letter_by_letter(spark):
     assert got == {"m": ("C$1\\ and AxB, C$1\\.", None), "n": ("A.B", "x"), "o": (None, "")}
 
 
-def test_segment_edits(spark):
-    segments = spark.createDataFrame([("m", 0, "S1", "a", 0, 20000), ("m", 1, "S10", "b", 20000, 21000), ("m", 2, None, None, 21000, 22000)], "meeting_id string, idx long, speaker string, text string, start_ms long, end_ms long")
-    edits = spark.createDataFrame([("m", 0, 1, "x", "S2"), ("m", 0, 2, " ", "new"), ("m", 1, 1, " B ", None), ("m", 2, 1, None, "S1"), ("m", 9, 1, "lost", "S1")], "meeting_id string, idx long, seq long, text string, speaker string")
-    done, deltas, clips = meetings.apply_segment_edits(segments, edits)
-    assert [tuple(r)[1:4] + (r["edited"],) for r in done.orderBy("idx").collect()] == [(0, "S11", "a", True), (1, "S10", "B", True), (2, "S1", None, True)]
-    assert {(r["key"], r["delta_ms"]) for r in deltas.collect()} == {("S1", -19000), ("S11", 20000)}
-    assert [(r["key"], r["clip_start"], r["clip_end"]) for r in clips.collect()] == [("S11", 4000.0, 16000.0)]
-
-
-def test_decisions(spark):
-    rows = [("m", "S2", "Speaker 2", None, "suggested", 7), ("m", "S10", "Speaker 10", 7, "auto", None), ("m", "S3", "Speaker 3", None, "unknown", None)]
-    told = [("m", "S2", 1, "confirm", None, None), ("m", "S10", 1, "confirm", None, None), ("m", "S3", 1, "reject", None, None), ("m", "S3", 2, "confirm", None, None)]
-    done, merges = meetings.apply_decisions(
-        spark.createDataFrame(rows, "meeting_id string, key string, label string, speaker_id long, status string, suggested_id long"),
-        spark.createDataFrame(told, "meeting_id string, key string, seq long, action string, speaker_id long, name string"),
-    )
-    assert {(r["key"], r["status"], r["speaker_id"]) for r in done.collect()} == {("S2", "confirmed", 7), ("S10", "confirmed", 7), ("S3", "unknown", None)}
-    assert [tuple(r) for r in merges.collect()] == [("m", "S10", "S2")]
-
-
 def test_delete_meetings(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "meeting_id string, x long")
     left = meetings.delete_meetings(spark.createDataFrame([("a",)], "meeting_id string"), chat=rows, segments=rows)
