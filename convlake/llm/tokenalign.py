@@ -38,6 +38,7 @@ from convlake.llm.common import join_groups, materialise, table
 SIDE_A, SIDE_B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 SHIFT = 24  # a pair is the id of A, shifted, and the id of B
+PAIR_BITS = 48  # of a pair; above them a text's place in a group
 CHUNK_BYTES = 32_768
 FAN = 8
 GROUP = 256  # documents whose rows are held at once
@@ -116,9 +117,9 @@ class Aligner:
     def forget(self) -> None:
         """Units: number by text, and of each its counts, its text, and its links."""
         self.number: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int, int]] = []  # tokens of A and B, groups, links
-        self.texts: list[str | None] = []  # None: not given back
-        self.links: list[np.ndarray] = []
+        self.counts = np.empty((0, 5), np.int64)  # tokens of A and B, groups, links, and 1 if not given back
+        self.texts: list[str] = []
+        self.links, self.link_at = NONE, NONE
         self.letters = 0
 
     # The two encoders -----------------------------------------------------------------------
@@ -140,23 +141,31 @@ class Aligner:
     def ends(self, o: Open) -> tuple[np.ndarray, np.ndarray]:
         return o.a_from + np.cumsum(self.size_a[o.a]), o.b_from + np.cumsum(self.size_b[o.b])
 
-    def close(self, o: Open) -> Closed:
-        """The groups of tokens whose last ends are common."""
+    def groups(self, o: Open) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of tokens whose last ends are common: the texts of their groups and where these end, and all links as pairs, with the ends of A."""
         ends_a, ends_b = self.ends(o)
-        if not len(ends_a):
-            return Closed()
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         stop_a, stop_b = (np.searchsorted(e, common).tolist() for e in (ends_a, ends_b))
         names_a, names_b = list(map(str, o.a.tolist())), list(map(str, o.b.tolist()))
         texts, i, j = [], 0, 0
         for s, t in zip(stop_a, stop_b):
-            texts.append(f"{','.join(names_a[i : s + 1])}|{','.join(names_b[j : t + 1])}")
+            if s == i and t == j:
+                texts.append(f"{names_a[i]}|{names_b[j]}")
+            else:
+                texts.append(f"{','.join(names_a[i : s + 1])}|{','.join(names_b[j : t + 1])}")
             i, j = s + 1, t + 1
         first = np.searchsorted(ends_b, ends_a - self.size_a[o.a], "right")
         many = np.searchsorted(ends_b, ends_a) - first + 1
         of_b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-        pairs, times = np.unique((np.repeat(o.a, many) << SHIFT) | o.b[of_b], return_counts=True)
-        return Closed(";".join(texts), len(common), int(many.sum()), pairs, times.astype(np.int64))
+        return texts, common, (np.repeat(o.a, many) << SHIFT) | o.b[of_b], np.repeat(ends_a, many)
+
+    def close(self, o: Open) -> Closed:
+        """The groups of tokens whose last ends are common."""
+        if not len(o.a):
+            return Closed()
+        texts, _, links, _ = self.groups(o)
+        pairs, times = np.unique(links, return_counts=True)
+        return Closed(";".join(texts), len(texts), len(links), pairs, times.astype(np.int64))
 
     def split(self, o: Open) -> tuple[Open, Closed, Open] | None:
         """(tokens up to the first common end, groups up to the last one, tokens behind it); None without a common end."""
@@ -200,23 +209,36 @@ class Aligner:
     # Texts ----------------------------------------------------------------------------------
 
     def learn(self, units: list[str]) -> None:
-        """Remember units, each of which is a closed fragment."""
+        """Remember units, each of which is a closed fragment: all are closed as one sequence and taken apart again."""
         if not units:
             return
         made = self.tok_a.encode(units, is_pretokenized=True, add_special_tokens=False)
         bounds = np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(units) + 1)).tolist()
-        flat = np.array(made.ids, np.int64)
-        for unit, b, lo, hi in zip(units, self.encode_b(units), bounds, bounds[1:]):
-            a = flat[lo:hi]
-            raw, ids = unit.encode(), a.tolist()
-            ok = b"".join(map(self.bytes_a.__getitem__, ids)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            closed = self.close(Open(a, np.array(b, np.int64))) if ok else Closed()
-            self.number[unit] = len(self.texts)
-            self.counts.append((len(ids), len(b), closed.groups, closed.links))
-            self.texts.append(closed.text if ok else None)
-            self.links.append(np.repeat(closed.pairs, closed.times))
-
-    def units(self, texts: list[list[str]]) -> list[np.ndarray]:
+        flat = made.ids
+        ids_a, ids_b = [flat[lo:hi] for lo, hi in zip(bounds, bounds[1:])], self.encode_b(units)
+        raw = [u.encode() for u in units]
+        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        bad = [b"".join(map(of_a, a)) != r or b"".join(map(of_b, b)) != r for a, b, r in zip(ids_a, ids_b, raw)]
+        good = [k for k, x in enumerate(bad) if not x]
+        counts = np.zeros((len(units), 5), np.int64)
+        counts[:, 0], counts[:, 1], counts[:, 4] = list(map(len, ids_a)), list(map(len, ids_b)), bad
+        texts, links, sizes = [""] * len(units), NONE, np.zeros(len(units), np.int64)
+        if good:
+            whole = Open(np.array([i for k in good for i in ids_a[k]], np.int64), np.array([i for k in good for i in ids_b[k]], np.int64))
+            parts, ends, links, link_ends = self.groups(whole)
+            borders = np.cumsum([len(raw[k]) for k in good])
+            stops = np.searchsorted(ends, borders, "right")
+            counts[good, 2] = np.diff(stops, prepend=0)
+            counts[good, 3] = sizes[good] = np.diff(np.searchsorted(link_ends, borders, "right"), prepend=0)
+            for k, lo, hi in zip(good, [0, *stops.tolist()], stops.tolist()):
+                texts[k] = ";".join(parts[lo:hi])
+        self.number.update(zip(units, range(len(self.texts), len(self.texts) + len(units))))
+        self.link_at = np.concatenate([self.link_at, len(self.links) + np.cumsum(sizes) - sizes])
+        self.links = np.concatenate([self.links, links])
+        self.counts = np.concatenate([self.counts, counts])
+        self.texts += texts
+
+    def units(self, texts: list[list[str]]) -> list[list[int]]:
         """The numbers of the units of each text."""
         new = {u for t in texts for u in t if u not in self.number}
         if len(self.number) + len(new) > CACHE_UNITS or self.letters > CACHE_LETTERS:
@@ -224,23 +246,27 @@ class Aligner:
             new = {u for t in texts for u in t}
         self.letters += sum(map(len, new))
         self.learn(sorted(new))
-        return [np.array([self.number[u] for u in t], np.int64) for t in texts]
-
-    def closed(self, numbers: np.ndarray) -> tuple[Closed, int, int] | None:
-        """(groups, tokens of A, tokens of B) of units one behind the other; None if one wasn't given back."""
-        texts = list(map(self.texts.__getitem__, numbers.tolist()))
-        if None in texts:
-            return None
-        own, often = np.unique(numbers, return_counts=True)
-        own = own.tolist()
-        n_a, n_b, groups, links = (np.array([self.counts[u] for u in own], np.int64).reshape(-1, 4) * often[:, None]).sum(axis=0).tolist()
-        found = [self.links[u] for u in own]
-        pairs, times = summed(np.concatenate([NONE, *found]), np.repeat(often, [len(x) for x in found]))
-        return Closed(";".join(texts), groups, links, pairs, times), n_a, n_b
+        return [list(map(self.number.__getitem__, t)) for t in texts]
+
+    def closed(self, texts: list[list[int]]) -> list[tuple[Closed, int, int] | None]:
+        """(groups, tokens of A, tokens of B) of each text, as numbers of units one behind the other; None without units, or if one wasn't given back."""
+        owner = np.repeat(np.arange(len(texts)), list(map(len, texts)))
+        numbers = np.array([u for t in texts for u in t], np.int64)
+        total = np.zeros((len(texts), 5), np.int64)
+        np.add.at(total, owner, self.counts[numbers])
+        sizes = self.counts[numbers, 3]
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.link_at[numbers], sizes)
+        keys, times = np.unique((np.repeat(owner, sizes) << PAIR_BITS) | self.links[at], return_counts=True)
+        stops = np.searchsorted(keys >> PAIR_BITS, np.arange(len(texts) + 1))
+        pairs, times = keys & ((1 << PAIR_BITS) - 1), times.astype(np.int64)
+        out: list[tuple[Closed, int, int] | None] = []
+        for k, (t, (n_a, n_b, groups, links, bad)) in enumerate(zip(texts, total.tolist())):
+            here = slice(stops[k], stops[k + 1])
+            out.append((Closed(";".join(map(self.texts.__getitem__, t)), groups, links, pairs[here], times[here]), n_a, n_b) if t and not bad else None)
+        return out
 
     def documents(self, texts: list[str | None]) -> list[tuple[Closed, int, int] | None]:
-        cut = [UNITS.findall(" " + t) if t and MARK not in t else [] for t in texts]
-        return [self.closed(n) if len(n) else None for n in self.units(cut)]
+        return self.closed(self.units([UNITS.findall(" " + t) if t and MARK not in t else [] for t in texts]))
 
     def ranged(self, raw: bytes, at: int, a_from: int, a_to: int, b_from: int, b_to: int) -> Fragment:
         """The fragment of the tokens of A and B in their byte ranges; raw begins at byte `at`."""
@@ -255,8 +281,7 @@ class Aligner:
         body = inner[cuts[0] : last]
         first = low + len(inner[: cuts[0]].encode())
         behind = first + len(body.encode())
-        units = self.units([UNITS.findall(body)])[0]
-        found = self.closed(units)
+        found = self.closed(self.units([UNITS.findall(body)]))[0]
         head = self.fragment(*spans(a_from, first, b_from, first))
         middle = Fragment(Open(), found[0], Open(), True, found[1], found[2]) if found else Fragment(Open(), ok=False, cut=True)
         tail = self.fragment(*spans(behind, a_to, behind, b_to))
