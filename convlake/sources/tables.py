@@ -64,12 +64,18 @@ def parse_json_column(column: str, schema: str, default: Column) -> Column:
     return F.coalesce(F.from_json(F.nullif(F.trim(column), F.lit("")), schema), default)
 
 
-def discover_new_files(listing: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
-    """S5. Of a listing (path, length, modificationTime) the files with sound, hidden ones left out, that lie still for 20 s and whose
-    key (name, size, whole second of change) is not in seen (key); the oldest first."""
+def sound_files(listing: DataFrame) -> DataFrame:
+    """Of a listing (path, length, modificationTime) the files with sound, hidden ones left out, with name, mtime and key (name, size, whole
+    second of change)."""
     rows = listing.withColumn("name", F.regexp_extract("path", "([^/]*)$", 1)).withColumn("mtime", F.unix_timestamp("modificationTime"))
     rows = rows.where(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin(SUFFIXES) & ~F.col("name").startswith("."))
-    rows = rows.withColumn("key", F.concat_ws("|", "name", "length", "mtime")).where(F.col("mtime") <= F.unix_timestamp(now) - SETTLE_S)
+    return rows.withColumn("key", F.concat_ws("|", "name", "length", "mtime"))
+
+
+def discover_new_files(listing: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
+    """S5. Of a listing (path, length, modificationTime) the files with sound that lie still for 20 s and whose key is not in seen (key);
+    the oldest first."""
+    rows = sound_files(listing).where(F.col("mtime") <= F.unix_timestamp(now) - SETTLE_S)
     return rows.join(seen.select("key"), "key", "left_anti").select("path", "key", "mtime").orderBy("mtime", "path")
 
 

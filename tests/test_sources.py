@@ -1,14 +1,9 @@
 """Files read and written, answers parsed, and the streams that feed tables."""
 
 import json
-import os
-import time
-
-from pyspark.sql import functions as F
 
 from convlake.operators import notes, search
 from convlake.sources import tables
-from convlake.streaming import jobs
 
 
 def test_transcripts_and_turns(spark, tmp_path):
@@ -60,29 +55,3 @@ def test_phrases_in_the_index(spark):
     assert {r["idx"] for r in search.search_index(index, rows, "l'ét").collect()} == {0, 1}
     assert {r["idx"] for r in search.search_index(index, rows, "ete l").collect()} == {0, 1, 2}
     assert search.search_index(index, rows, " ?").collect() == [] and search.search_index(index, rows, "zz").collect() == []
-
-
-def test_watch_stream(spark, tmp_path):
-    folder, got = tmp_path / "in", []
-    folder.mkdir()
-    for name, age in (("a.WAV", 60), ("b.txt", 60), (".c.mp3", 60), ("young.mp3", 0)):
-        (folder / name).write_text("x")
-        os.utime(folder / name, (time.time() - age,) * 2)
-    query = jobs.watch_stream(spark, str(folder), str(tmp_path / "seen"), lambda new: got.extend(r["path"] for r in new.collect()), str(tmp_path / "ck")).trigger(processingTime="1 second").start()
-    until = time.time() + 25
-    while time.time() < until and query.lastProgress is None or len(query.recentProgress) < 3:
-        time.sleep(0.5)
-        query.exception()
-    query.stop()
-    assert [p.rsplit("/", 1)[1] for p in got] == ["a.WAV"]
-
-
-def test_index_stream(spark, tmp_path):
-    schema = "meeting_id string, idx long, text string"
-    for rows in ([("a", 0, "old words"), ("b", 0, "kept")], [("a", 0, "new text")]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    jobs.index_stream(stream, str(tmp_path / "segments"), str(tmp_path / "index"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    found = tables.read_by_meeting(spark, str(tmp_path / "index"))
-    assert {(r["meeting_id"], r["token"]) for r in found.collect()} == {("a", "new"), ("a", "text"), ("b", "kept")}
-    assert tables.read_by_meeting(spark, str(tmp_path / "segments")).where(F.col("meeting_id") == "a").first()["text"] == "new text"
