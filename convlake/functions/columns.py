@@ -13,7 +13,7 @@ def dot(a: str, b: str) -> Column:
 
 def unit(a: str) -> Column:
     """The array scaled to length 1."""
-    return F.expr(f"transform({a}, x -> x / sqrt(aggregate({a}, 0D, (s, y) -> s + cast(y AS double) * y)))")
+    return F.expr(f"transform({a}, x -> x / greatest(1e-12D, sqrt(aggregate({a}, 0D, (s, y) -> s + cast(y AS double) * y))))")
 
 
 def clock(seconds: str) -> Column:

@@ -13,11 +13,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ROWS_OUT = 10_000
 
 
-def in_order(df: DataFrame, keys: list[str], order: list, step: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+def in_order(df: DataFrame, keys: list[str], order: list, step: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, rows_out: int = ROWS_OUT) -> DataFrame:
     """What `step` makes of the rows of each key, in order; keys must be the first columns of df.
 
     Partitions are sorted, and rows go through one at a time: a key's rows are never held together,
-    so a long meeting costs time but no memory. `step` keeps what state it needs.
+    so a long meeting costs time but no memory. `step` keeps what state it needs; rows_out of what it makes are held at once.
     """
     names, made = df.columns, T._parse_datatype_string(schema)
     rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
@@ -35,7 +35,7 @@ def in_order(df: DataFrame, keys: list[str], order: list, step: Callable[[Iterat
         for _, group in groupby(tuples(), key=lambda row: row[:width]):
             for row in step(group):
                 held.append(row)
-                if len(held) >= ROWS_OUT:
+                if len(held) >= rows_out:
                     yield flush(held)
                     held = []
         if held:

@@ -177,13 +177,16 @@ def align(words: DataFrame, turns: DataFrame, alone: str = "S1") -> DataFrame:
     return _segments(_numbered(named, lambda rows: _utterances(_smoothed(rows))))
 
 
-def rebuild_segments(segments: DataFrame, meeting_speakers: DataFrame) -> DataFrame:
+def rebuild_segments(segments: DataFrame, meeting_speakers: DataFrame, turns: DataFrame) -> DataFrame:
     """T8. meeting_speakers (meeting_id, key, label, status, talk_ms) with a row for each speaker of the segments that has
-    none: `Speaker n`, unknown, and the time of its segments."""
-    spoken = segments.where("speaker IS NOT NULL").groupBy("meeting_id", F.col("speaker").alias("key")).agg(F.sum(F.expr("end_ms - start_ms")).alias("talk_ms"))
+    none: `Speaker n`, unknown, no talk time. In meetings without turns (meeting_id) the talk time of S1 is that of all segments."""
+    spoken = segments.where("speaker IS NOT NULL").select("meeting_id", F.col("speaker").alias("key")).distinct()
     new = spoken.join(meeting_speakers.select("meeting_id", "key"), ["meeting_id", "key"], "left_anti")
-    new = new.selectExpr("meeting_id", "key", "concat('Speaker ', substr(key, 2)) AS label", "'unknown' AS status", "talk_ms")
-    return meeting_speakers.select("meeting_id", "key", "label", "status", "talk_ms").unionByName(new)
+    new = new.selectExpr("meeting_id", "key", "concat('Speaker ', substr(key, 2)) AS label", "'unknown' AS status", "0L AS talk_ms")
+    rows = meeting_speakers.select("meeting_id", "key", "label", "status", "talk_ms").unionByName(new)
+    alone = segments.groupBy("meeting_id").agg(F.sum(F.expr("end_ms - start_ms")).alias("_all")).join(turns.select("meeting_id").distinct(), "meeting_id", "left_anti")
+    rows = rows.join(alone.withColumn("key", F.lit("S1")), ["meeting_id", "key"], "left")
+    return rows.selectExpr("meeting_id", "key", "label", "status", "coalesce(_all, talk_ms) AS talk_ms")
 
 
 def single_speaker(meeting_speakers: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from convlake.functions.assign import best_assignment, clusters
 from convlake.functions.columns import unit
 from convlake.functions.written import written
 
+# Samples from frame to frame, those that a frame sees, and a second's.
+FRAME_STEP, FRAME_SIZE, RATE = 270, 991, 16000
 JOIN_FRAMES = 5
 LEAST_FRAMES = 6
 
@@ -24,12 +26,15 @@ def sliding_windows(recordings: DataFrame, size: int, step: int) -> DataFrame:
 
 
 def frames_to_turns(active: DataFrame, join: int = JOIN_FRAMES, least: int = LEAST_FRAMES) -> DataFrame:
-    """D9. Spans of active frames of a speaker: gaps of at most `join` frames are closed, then spans under `least` frames go."""
+    """D9. Spans of active frames of a speaker: gaps of at most `join` frames are closed, then spans under `least` frames go. First and
+    last frame, and start_s and end_s in seconds: from the middle between a frame's centre and the one before it, never below 0, rounded to ms."""
     rows = active.select("meeting_id", "speaker", "frame").distinct()
     rows = rows.selectExpr("*", f"coalesce(frame - lag(frame) OVER (PARTITION BY meeting_id, speaker ORDER BY frame) - 1 > {join}, true) AS starts")
     rows = rows.selectExpr("*", "sum(cast(starts AS bigint)) OVER (PARTITION BY meeting_id, speaker ORDER BY frame ROWS UNBOUNDED PRECEDING) AS span")
     spans = rows.groupBy("meeting_id", "speaker", "span").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
-    return spans.where(f"last - first + 1 >= {least}").select("meeting_id", "speaker", "first", "last")
+    spans = spans.where(f"last - first + 1 >= {least}")
+    at = lambda frame: f"({frame}) * {FRAME_STEP}D / {RATE} + {FRAME_SIZE}D / {2 * RATE} - {FRAME_STEP}D / {2 * RATE}"
+    return spans.selectExpr("meeting_id", "speaker", "first", "last", f"round(greatest(0D, {at('first')}), 3) AS start_s", f"round({at('last + 1')}, 3) AS end_s")
 
 
 def order_speakers(turns: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlake.functions.columns import note_key
+from convlake.functions.columns import note_key, strip
 
 VOCABULARY_NAMES, VOCABULARY_CHARS = 30, 600
 TITLE_CHARS, TAG_CHARS, MOST_TAGS = 200, 40, 20
@@ -32,7 +32,7 @@ def speaker_meetings(meetings: DataFrame, meeting_speakers: DataFrame, speaker_i
 def find_by_name(people: DataFrame, names: DataFrame) -> DataFrame:
     """P4. For each asked name the person (the smallest id) of that name, case and outer spaces aside; unknown names are left out."""
     known = people.groupBy(F.expr("lower(trim(name))").alias("l")).agg(F.min("id").alias("id"))
-    return names.select("name", F.expr("lower(trim(name))").alias("l")).distinct().join(known, "l").select("name", "id")
+    return names.select("name", F.lower(F.expr(strip("name"))).alias("l")).distinct().join(known, "l").select("name", "id")
 
 
 def vocabulary(options: DataFrame, people: DataFrame) -> DataFrame:
@@ -40,20 +40,21 @@ def vocabulary(options: DataFrame, people: DataFrame) -> DataFrame:
     last (id, name, updated), 30 of them; of words that differ in case the first, 600 characters in all."""
     recent = people.where("name IS NOT NULL").orderBy(F.desc("updated"), "id").limit(VOCABULARY_NAMES)
     names = recent.groupBy().agg(F.expr("transform(array_sort(collect_list(struct(-updated AS u, id, name))), n -> n.name)").alias("names"))  # one row
-    rows = options.join(F.broadcast(names)).select("meeting_id", F.posexplode(F.expr("concat(filter(transform(split(coalesce(vocabulary, ''), '[,\\n;]+'), w -> trim(w)), w -> w <> ''), names)")).alias("pos", "word"))
+    rows = options.join(F.broadcast(names)).select("meeting_id", F.posexplode(F.expr(f"concat(filter(transform(split(coalesce(vocabulary, ''), '[,\\n;]+'), w -> {strip('w')}), w -> w <> ''), names)")).alias("pos", "word"))
     first = rows.groupBy("meeting_id", F.lower("word").alias("l")).agg(F.expr("min_by(struct(pos, word), pos)").alias("w"))
     out = first.groupBy("meeting_id").agg(F.expr("left(array_join(transform(array_sort(collect_list(w)), x -> x.word), ', '), %d)" % VOCABULARY_CHARS).alias("words"))
     return options.select("meeting_id").join(out, "meeting_id", "left").selectExpr("meeting_id", "coalesce(words, '') AS words")
 
 
 def apply_meeting_edits(meetings: DataFrame, edits: DataFrame) -> DataFrame:
-    """P10. Meetings (id, title, favorite, tags, locked) after the last edit (id, seq, title, favorite, tags) of each; null fields
-    leave things as they are. A title is trimmed and cut to 200 characters, and locks; an empty one counts as none. Of tags 20 of
-    40 characters are kept."""
-    last = edits.groupBy("id").agg(F.expr("max_by(struct(title AS t, favorite AS f, tags AS g), seq)").alias("e"))
-    rows = meetings.join(last, "id", "left").withColumn("named", F.expr(f"nullif(left(trim(e.t), {TITLE_CHARS}), '')"))
-    tags = f"slice(filter(transform(e.g, x -> left(trim(x), {TAG_CHARS})), x -> x <> ''), 1, {MOST_TAGS})"
-    return rows.selectExpr("id", "coalesce(named, title) AS title", "coalesce(e.f, favorite) AS favorite", f"coalesce({tags}, tags) AS tags", "locked OR named IS NOT NULL AS locked")
+    """P10. Meetings (id, title, favorite, tags, locked) after edits (id, seq, title, favorite, tags) in order; null fields leave things as they
+    are. A title is stripped and cut to 200 characters, and locks; a blank one counts as none. Of tags the first 20 are kept, of each
+    40 characters, as they stand."""
+    named = edits.withColumn("named", F.expr(f"left(nullif({strip('title')}, ''), {TITLE_CHARS})"))
+    last = named.groupBy("id").agg(*[F.expr(f"max_by({c}, seq) FILTER (WHERE {c} IS NOT NULL)").alias(a) for c, a in (("named", "named"), ("favorite", "f"), ("tags", "g"))])
+    rows = meetings.join(last, "id", "left")
+    tags = f"transform(slice(g, 1, {MOST_TAGS}), x -> left(x, {TAG_CHARS}))"
+    return rows.selectExpr("id", "coalesce(named, title) AS title", "coalesce(f, favorite) AS favorite", f"coalesce({tags}, tags) AS tags", "locked OR named IS NOT NULL AS locked")
 
 
 def expected_time(models: DataFrame, measured: DataFrame, threads: int, gpu: bool = False) -> DataFrame:

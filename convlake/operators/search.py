@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from convlake.functions.ordered import in_order
 
 WINDOW, STEP = 12, 6
+MOST_HITS = 200  # of a search
 
 # Words that questions and passages are searched without.
 STOP_WORDS = """a an the and or but if of to in on at for with from by is are was were be been being it this that
@@ -85,6 +86,12 @@ def build_index(segments: DataFrame) -> DataFrame:
     return rows.groupBy("token", "meeting_id", "idx", "len").agg(F.expr("array_sort(collect_list(cast(place AS bigint)))").alias("places"))
 
 
+def index_statistics(segments: DataFrame) -> DataFrame:
+    """Q1. What a search must know of all segments: one row of their number, those without words too, and of their words. Kept beside the
+    postings, so that no search counts again."""
+    return token_lists(segments).groupBy().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("long").alias("words"))
+
+
 def query_terms(q: str) -> list[list[str]]:
     """The terms of a query: each the folded words that must stand side by side (several only around ' and _)."""
     plain = "".join(c for c in unicodedata.normalize("NFD", q.lower()) if not unicodedata.combining(c))
@@ -92,10 +99,10 @@ def query_terms(q: str) -> list[list[str]]:
     return [t for t in found if t]
 
 
-def search_index(postings: DataFrame, segments: DataFrame, q: str, most: int = 200) -> DataFrame:
+def search_index(postings: DataFrame, statistics: DataFrame, q: str, most: int = MOST_HITS) -> DataFrame:
     """Q2. The best segments (meeting_id, idx, score) that hold every term; the last word of a term matches as a prefix.
     BM25 (k1 1.2, b 0.75) over all segments; its idf is at least a millionth. Ties in order of meeting and segment.
-    segments gives the number of segments, those without words too. An empty query finds nothing."""
+    Statistics are those of index_statistics; of the postings only the tokens of the query are read, once. An empty query finds nothing."""
     terms = query_terms(q)
     parts = [(k, j, w, j == len(t) - 1) for k, t in enumerate(terms) for j, w in enumerate(t)]
     if not parts:
@@ -106,11 +113,14 @@ def search_index(postings: DataFrame, segments: DataFrame, q: str, most: int = 2
     rows = rows.select("meeting_id", "idx", "len", "places", F.explode(F.filter(met, lambda x: x.isNotNull())).alias("p")).select("meeting_id", "idx", "len", "p.*", F.explode("places").alias("place"))
     whole = rows.groupBy("meeting_id", "idx", "len", "term", "of", (F.col("place") - F.col("part")).alias("at")).agg(F.countDistinct("part").alias("n")).where("n = of")
     tf = whole.groupBy("meeting_id", "idx", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row per term
-    sizes = postings.groupBy().agg(F.sum(F.size("places")).alias("words")).join(segments.groupBy().agg(F.count("*").alias("n")))  # one row
-    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(sizes))
+    # The terms of a segment as one row: those that lack one go before anything is counted of them.
+    held = tf.groupBy("meeting_id", "idx", "len").agg(F.expr("collect_list(struct(term, tf))").alias("terms"))
+    df = F.map_from_entries(F.collect_list(F.struct("term", "df")))
+    known = tf.groupBy("term").agg(F.count("*").alias("df")).groupBy().agg(df.alias("dfs"))  # one row, an entry per term
+    scored = held.where(F.size("terms") == len(terms)).join(F.broadcast(known)).join(F.broadcast(statistics.limit(1)))
+    scored = scored.select("meeting_id", "idx", "len", "n", "words", "dfs", F.explode("terms").alias("t")).selectExpr("meeting_id", "idx", "len", "n", "words", "dfs[t.term] AS df", "t.tf AS tf")
     score = "greatest(ln((n - df + 0.5D) / (df + 0.5D)), 0.000001D) * tf * 2.2D / (tf + 1.2D * (0.25D + 0.75D * len * n / words))"
-    out = scored.groupBy("meeting_id", "idx").agg(F.sum(F.expr(score)).alias("score"), F.count("*").alias("met")).where(f"met = {len(terms)}")
+    out = scored.groupBy("meeting_id", "idx").agg(F.sum(F.expr(score)).alias("score"))
     return out.select("meeting_id", "idx", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "meeting_id", "idx").limit(most)
 
 
@@ -118,7 +128,7 @@ def snippets(hits: DataFrame, segments: DataFrame, q: str, width: int = 14) -> D
     """Q3. Hits with a snippet: the first stretch of `width` words of the segment with most hits, hits as [[word]], and an
     ellipsis where words are left out."""
     firsts = F.array(*[F.lit(t[-1]) for t in query_terms(q)] or [F.lit("")]).alias("firsts")
-    rows = segments.join(F.broadcast(hits), ["meeting_id", "idx"]).withColumn("folded", fold("text")).select("*", firsts)  # hits: at most 200
+    rows = segments.join(F.broadcast(hits.limit(MOST_HITS)), ["meeting_id", "idx"]).withColumn("folded", fold("text")).select("*", firsts)
     rows = rows.selectExpr("*", "filter(split(text, '\\\\s+'), w -> w <> '') AS ws", "filter(split(folded, '\\\\s+'), w -> w <> '') AS fs")
     rows = rows.selectExpr("*", "transform(fs, w -> exists(regexp_extract_all(w, '[\\\\p{L}\\\\p{N}]+', 0), t -> exists(firsts, f -> startswith(t, f)))) AS marks")
     best = f"array_max(transform(sequence(0, greatest(0, size(ws) - {width})), a -> struct(size(filter(slice(marks, a + 1, {width}), m -> m)) AS n, -a AS back)))"
@@ -129,7 +139,8 @@ def snippets(hits: DataFrame, segments: DataFrame, q: str, width: int = 14) -> D
 
 def group_hits(hits: DataFrame, meetings: DataFrame, most: int = 5) -> DataFrame:
     """Q4. Per meeting (id, title, date_s) its best hits in order, at most `most`, and its place by the best of them."""
-    ranked = hits.selectExpr("meeting_id", "idx", "row_number() OVER (ORDER BY score DESC, meeting_id, idx) AS rank")  # hits: at most 200
+    shown = hits.orderBy(F.desc("score"), "meeting_id", "idx").limit(MOST_HITS)
+    ranked = shown.selectExpr("meeting_id", "idx", "row_number() OVER (ORDER BY score DESC, meeting_id, idx) AS rank")
     ranked = ranked.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id ORDER BY rank) AS place").where(f"place <= {most}")
     found = ranked.groupBy("meeting_id").agg(F.min("rank").alias("rank"), F.expr("transform(array_sort(collect_list(struct(place, idx))), h -> h.idx)").alias("hits"))
     return meetings.withColumnRenamed("id", "meeting_id").join(F.broadcast(found), "meeting_id").selectExpr("meeting_id", "title", "date_s", "cast(row_number() OVER (ORDER BY rank) AS bigint) AS place", "hits")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from convlake.functions.assign import best_assignment
 from convlake.functions.columns import dot, unit
+from convlake.functions.written import written
 from convlake.operators.align import numbered_turns
 
 BEFORE, AFTER = 20, 19
@@ -28,10 +31,11 @@ def profiles(samples: DataFrame, model: str = "cur") -> DataFrame:
     return _sums(samples, model).select("speaker_id", "n", unit("total").alias("centroid"))
 
 
-def library_stats(speakers: DataFrame, samples: DataFrame, model: str = "cur") -> DataFrame:
-    """L2. Samples, their time, those of the current model, and distinct meetings of each person."""
-    own = samples.groupBy("speaker_id").agg(F.count("*").alias("samples"), F.sum(F.expr("end_ms - start_ms")).alias("ms"), F.count_if(F.col("model") == model).alias("current"), F.countDistinct("meeting_id").alias("meetings"))
-    rows = speakers.withColumnRenamed("id", "speaker_id").join(own, "speaker_id", "left")
+def library_stats(speakers: DataFrame, samples: DataFrame, meeting_speakers: DataFrame, model: str = "cur") -> DataFrame:
+    """L2. Samples, their time, those of the current model, and the distinct meetings in which meeting_speakers has each person."""
+    own = samples.groupBy("speaker_id").agg(F.count("*").alias("samples"), F.sum(F.expr("end_ms - start_ms")).alias("ms"), F.count_if(F.col("model") == model).alias("current"))
+    heard = meeting_speakers.where("speaker_id IS NOT NULL").select("speaker_id", "meeting_id").distinct().groupBy("speaker_id").agg(F.count("meeting_id").alias("meetings"))
+    rows = speakers.withColumnRenamed("id", "speaker_id").join(own, "speaker_id", "left").join(heard, "speaker_id", "left")
     return rows.selectExpr("speaker_id", "name", *[f"coalesce({c}, 0L) AS {c}" for c in ("samples", "ms", "current", "meetings")])
 
 
@@ -122,11 +126,11 @@ def enroll_pieces(recordings: DataFrame, piece: int, least: int) -> DataFrame:
 
 def voiceprints(turn_vectors: DataFrame, most: int = 8, least_ms: int = 1500) -> DataFrame:
     """L7. Per (meeting_id, key) the normalised sum of the vectors of its longest turns (the earlier on ties), each
-    weighted by its length, 10 s at most; turns under `least_ms` count only where a speaker has no other."""
-    rows = turn_vectors.where("embedding IS NOT NULL").selectExpr("meeting_id", "key", "start_ms", "end_ms - start_ms AS ms", "embedding")
+    weighted by its length, 10 s at most; a turn without a vector takes its place all the same; turns under `least_ms` count only where a speaker has no other."""
+    rows = turn_vectors.selectExpr("meeting_id", "key", "start_ms", "end_ms - start_ms AS ms", "embedding")
     who = "PARTITION BY meeting_id, key"
     rows = rows.selectExpr("*", f"row_number() OVER ({who} ORDER BY ms DESC, start_ms) AS place", f"max(ms) OVER ({who}) AS longest")
-    rows = rows.where(f"place <= {most} AND (ms >= {least_ms} OR longest < {least_ms})")
+    rows = rows.where(f"embedding IS NOT NULL AND place <= {most} AND (ms >= {least_ms} OR longest < {least_ms})")
     parts = rows.select("meeting_id", "key", F.expr("least(ms, 10000) / 1000D").alias("weight"), F.posexplode("embedding").alias("dim", "x"))
     sums = parts.groupBy("meeting_id", "key", "dim").agg(F.sum(F.expr("weight * x")).alias("x"))
     total = sums.groupBy("meeting_id", "key").agg(F.expr("transform(array_sort(collect_list(struct(dim, x))), v -> v.x)").alias("total"))
@@ -180,48 +184,90 @@ def auto_learn(matches: DataFrame, auto: float, margin: float = 0.08) -> DataFra
     return matches.where((F.col("status") == "auto") & (F.col("confidence") >= round(auto + margin, 6)))
 
 
-BLOCK_BYTES, PIECE_VOICES, PROBES_AT_ONCE = 64_000_000, 20_000, 256
+BLOCK_BYTES, PIECE_VISITS, PROBES_AT_ONCE = 64_000_000, 20_000, 256
+MOST_BLOCKS = 4096
 BY_CENTROID, BY_SAMPLES, BEST_SAMPLES = 0.6, 0.4, 3
 MOST_SAMPLES = 40
+SLACK = 1e-9  # of bounds, for rounding
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def match_scores(voiceprints: DataFrame, samples: DataFrame, model: str = "cur", keep: int | None = None, block_bytes: int = BLOCK_BYTES, piece: int = PIECE_VOICES) -> DataFrame:
-    """L8. Each voice (meeting_id, key, embedding) with the `keep` people it is most like: 0.6 of its cosine with a person's
-    centroid and 0.4 of the mean of the three best with samples. Without `keep` that is one more than the voices of the largest
-    meeting, and two at least, so that an assignment of people to voices and its margins lose nothing.
-
-    People are dealt to blocks of about block_bytes of vectors, voices to pieces; each block meets each piece in a task of its own,
-    with a product of matrices, and only the best of a block leave it. A person is never cut, so a block is larger where a
-    person is; L6 keeps MOST_SAMPLES of each."""
-    own = samples.where(F.col("model") == model).where("embedding IS NOT NULL").selectExpr("speaker_id", "cast(embedding AS array<double>) AS v")
-    rows = voiceprints.where("embedding IS NOT NULL").selectExpr("meeting_id", "key", "cast(embedding AS array<double>) AS embedding")
-    size = own.agg(F.sum(F.expr("8 * size(v) + 16"))).first()[0] or 0
-    voices, most = rows.groupBy("meeting_id").count().agg(F.sum("count"), F.max("count")).first()
-    keep = 1 + (most or 1) if keep is None else keep
-    blocks, pieces = max(1, -(-size // block_bytes)), max(1, -(-(voices or 0) // piece))
-    people = own.withColumn("i", F.expr(f"pmod(xxhash64(speaker_id), {blocks})")).withColumn("j", F.explode(F.expr(f"sequence(0L, {pieces - 1}L)")))
-    asked = rows.withColumn("j", F.expr(f"pmod(xxhash64(meeting_id, key), {pieces})")).withColumn("i", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    person = samples.schema["speaker_id"].dataType.simpleString()
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:2]) + f", speaker_id {person}, score double"
-
-    def score(probes: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if probes.empty or known.empty:
+def _angle(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
+
+
+def _best_mean(sims: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each row the mean of the three best of each run of columns; runs of one size are taken together."""
+    out = np.empty((len(sims), len(first)))
+    for n in np.unique(size):
+        own = np.flatnonzero(size == n)
+        runs = sims[:, (first[own][:, None] + np.arange(n)).ravel()].reshape(len(sims), len(own), n)
+        out[:, own] = (np.partition(runs, n - BEST_SAMPLES, axis=2)[:, :, -BEST_SAMPLES:] if n > BEST_SAMPLES else runs).mean(axis=2)
+    return out
+
+
+def voice_blocks(samples: DataFrame, model: str = "cur", blocks: int | None = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, pd.DataFrame, np.ndarray]:
+    """People by block: (a written table of speaker_id, block, v; of each block its pivot, people, and the widest angles from the pivot to
+    their centroids and to their samples; the pivots). Pivots are centroids of people drawn by hash, twice the root of their number (MOST_BLOCKS at
+    most); a person is in the block of the nearest pivot, blocks of over block_bytes are cut by hash."""
+    own = samples.where((F.col("model") == model) & F.col("embedding").isNotNull()).select("speaker_id", unit("embedding").alias("v"))
+    known = written(profiles(samples.where("embedding IS NOT NULL"), model).select("speaker_id", "n", "centroid"), "voice-profiles")
+    people = known.count()
+    wanted = blocks or max(1, min(MOST_BLOCKS, int(np.ceil(2 * np.sqrt(people)))))
+    drawn = known.orderBy(F.xxhash64("speaker_id"), "speaker_id").limit(wanted).collect()  # MOST_BLOCKS at most
+    pivots = np.array([r["centroid"] for r in drawn], dtype=np.float64).reshape(len(drawn), len(drawn[0]["centroid"]) if drawn else 0)
+    kind = samples.schema["speaker_id"].dataType.simpleString()
+
+    def nearest(parts):
+        for part in parts:
+            x = _unit_rows(np.vstack(part["centroid"].to_list()))
+            cosines = x @ pivots.T
+            block = cosines.argmax(axis=1)
+            yield pd.DataFrame({"speaker_id": part["speaker_id"], "pivot": block, "n": part["n"], "wide": _angle(cosines[np.arange(len(x)), block])})
+
+    def angles(parts):
+        for part in parts:
+            x = np.vstack(part["v"].to_list())
+            yield part.assign(wide_s=_angle((x * pivots[part["pivot"].to_numpy()]).sum(axis=1)))
+
+    placed = written(known.mapInPandas(nearest, f"speaker_id {kind}, pivot long, n long, wide double"), "voice-places")
+    size = 16 + 8 * (pivots.shape[1] if len(drawn) else 0)
+    parts = placed.groupBy("pivot").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") * size / block_bytes)).cast("long").alias("parts"))
+    placed = placed.join(F.broadcast(parts), "pivot").withColumn("block", F.expr(f"pivot + {max(1, len(drawn))}L * pmod(xxhash64(speaker_id), parts)"))
+    met = own.join(placed.select("speaker_id", "pivot", "block", "wide"), "speaker_id")
+    table = written(met.select("speaker_id", "pivot", "block", "wide", "v").mapInPandas(angles, f"speaker_id {kind}, pivot long, block long, wide double, v array<double>, wide_s double"), "voice-blocks")
+    about = table.groupBy("block").agg(F.first("pivot").alias("pivot"), F.countDistinct("speaker_id").alias("people"), F.max("wide").alias("wide"), F.max("wide_s").alias("wide_s"))
+    return table.select("speaker_id", "block", "v"), about.orderBy("block").toPandas(), pivots  # a row for each block
+
+
+def _bounds(x: np.ndarray, about: pd.DataFrame, pivots: np.ndarray) -> np.ndarray:
+    """The greatest score that anybody in each block can have with each voice, by the triangle inequality of angles."""
+    angle = _angle(x @ pivots.T)[:, about["pivot"].to_numpy()]
+    least = lambda wide: np.cos(np.maximum(0.0, angle - about[wide].to_numpy()))
+    return BY_CENTROID * least("wide") + BY_SAMPLES * least("wide_s") + SLACK
+
+
+def _scored(visits: DataFrame, people: DataFrame, keep: int, schema: str, piece: int) -> DataFrame:
+    """The best `keep` people of each block for the voices that visit it; a task is a block and a piece of its visits."""
+    pieces = visits.groupBy("block").agg(F.expr(f"count(*) div {piece} + 1").alias("pieces"))
+    asked = visits.join(pieces, "block").select("meeting_id", "key", "block", "embedding", F.expr("pmod(xxhash64(meeting_id, key), pieces)").alias("j"))
+    shares = pieces.select(F.col("block").alias("of"), F.col("pieces").alias("shares"))
+    known = people.join(shares, F.col("block") == F.col("of")).select("speaker_id", "v", F.col("of").alias("block"), F.explode(F.expr("sequence(0L, shares - 1L)")).alias("j"))
+
+    def score(probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if probes.empty or held.empty:
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("meeting_id", "key", "speaker_id", "score")})
-        known = known.sort_values("speaker_id", ignore_index=True)
-        ids, first = np.unique(known["speaker_id"].to_numpy(), return_index=True)
-        vectors = _unit_rows(np.vstack(known["v"].to_list()))
-        spans = list(zip(first, [*first[1:], len(vectors)]))
-        centres = _unit_rows(np.vstack([vectors[a:b].mean(axis=0) for a, b in spans]))
+        held = held.sort_values("speaker_id", ignore_index=True)
+        ids, first, size = np.unique(held["speaker_id"].to_numpy(), return_index=True, return_counts=True)
+        vectors = _unit_rows(np.vstack(held["v"].to_list()))
+        centres = _unit_rows(np.add.reduceat(vectors, first, axis=0))
         whole, parts = _unit_rows(np.vstack(probes["embedding"].to_list())), []
         for at in range(0, len(whole), PROBES_AT_ONCE):
             x = whole[at : at + PROBES_AT_ONCE]
-            sims = x @ vectors.T
-            best = np.stack([np.sort(sims[:, a:b], axis=1)[:, -BEST_SAMPLES:].mean(axis=1) for a, b in spans], axis=1)
-            made = BY_CENTROID * (x @ centres.T) + BY_SAMPLES * best
+            made = BY_CENTROID * (x @ centres.T) + BY_SAMPLES * _best_mean(x @ vectors.T, first, size)
             order = np.lexsort((np.broadcast_to(np.arange(len(ids)), made.shape), -made), axis=1)[:, :keep]
             row = np.repeat(np.arange(len(x)), order.shape[1])
             parts.append((at + row, ids[order.ravel()], made[row, order.ravel()]))
@@ -229,7 +275,52 @@ def match_scores(voiceprints: DataFrame, samples: DataFrame, model: str = "cur",
         names = {c: pd.Series(probes[c].to_list(), dtype=object).iloc[row].reset_index(drop=True) for c in ("meeting_id", "key")}
         return pd.DataFrame({**names, "speaker_id": who, "score": score})
 
-    found = asked.groupBy("i", "j").cogroup(people.groupBy("i", "j")).applyInPandas(score, schema)
+    return asked.groupBy("block", "j").cogroup(known.groupBy("block", "j")).applyInPandas(score, schema)
+
+
+def match_scores(voiceprints: DataFrame, samples: DataFrame, model: str = "cur", keep: int | None = None, blocks: int | None = None, block_bytes: int = BLOCK_BYTES, piece: int = PIECE_VISITS, counted: list | None = None) -> DataFrame:
+    """L8. Each voice (meeting_id, key, embedding) with the `keep` people it is most like: 0.6 of its cosine with a person's
+    centroid and 0.4 of the mean of the three best with samples. Without `keep` that is one more than the voices of the largest
+    meeting, and two at least, so that an assignment of people to voices and its margins lose nothing.
+
+    A similarity join that skips what can't count: a voice first visits the blocks of people (voice_blocks) that promise most, as many as
+    hold `keep` people; its score of place `keep` there is what any other has to beat. Then it visits the blocks whose bound is no
+    lower, and no others. Exact: a bound is never below a score. counted: gets (pairs compared, all pairs)."""
+    rows = voiceprints.where("embedding IS NOT NULL").selectExpr("meeting_id", "key", "cast(embedding AS array<double>) AS embedding")
+    if keep is None:
+        keep = 1 + (rows.groupBy("meeting_id").count().agg(F.max("count")).first()[0] or 1)
+    people, about, pivots = voice_blocks(samples, model, blocks, block_bytes)
+    person = samples.schema["speaker_id"].dataType.simpleString()
+    voice = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:2])
+    schema, visit = f"{voice}, speaker_id {person}, score double", f"{voice}, block long, embedding array<double>"
+    if about.empty:
+        return rows.sparkSession.createDataFrame([], schema)
+    numbers, sizes = about["block"].to_numpy(), about["people"].to_numpy()
+
+    def visits(first: bool):
+        def run(parts):
+            for part in parts:
+                bounds = _bounds(_unit_rows(np.vstack(part["embedding"].to_list())), about, pivots)
+                order = np.argsort(-bounds, axis=1, kind="stable")
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                early = np.zeros(bounds.shape, dtype=bool)
+                np.put_along_axis(early, order, before < keep, axis=1)
+                go = early if first else ~early & (bounds >= part["least"].to_numpy(dtype=float)[:, None])
+                row, block = np.nonzero(go)
+                yield pd.DataFrame({"meeting_id": part["meeting_id"].to_numpy()[row], "key": part["key"].to_numpy()[row], "block": numbers[block], "embedding": part["embedding"].to_numpy()[row]})
+
+        return run
+
+    early = written(rows.mapInPandas(visits(True), visit), "voice-visits")
+    found = written(_scored(early, people, keep, schema, piece), "voice-scores")
+    # Fewer than `keep` people in all: nobody may be skipped.
+    least = found.groupBy("meeting_id", "key").agg(F.expr(f"coalesce(get(sort_array(collect_list(score), false), {keep - 1}), -2D)").alias("least"))
+    late = written(rows.join(least, ["meeting_id", "key"]).mapInPandas(visits(False), visit), "voice-visits")
+    if counted is not None:
+        inside = early.select("block").unionByName(late.select("block")).groupBy("block").count().collect()
+        of = dict(zip(numbers.tolist(), sizes.tolist()))
+        counted += [sum(of[r["block"]] * r["count"] for r in inside), int(sizes.sum()) * rows.count()]
+    found = found.unionByName(_scored(late, people, keep, schema, piece))
     return found.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id, key ORDER BY score DESC, speaker_id) AS place").where(f"place <= {keep}").drop("place")
 
 
@@ -257,25 +348,83 @@ def recognise(scores: DataFrame, auto: float = 0.62, suggest: float = 0.48, marg
     return scores.groupBy("meeting_id").applyInPandas(deal, schema)
 
 
-def prune(samples: DataFrame, most: int = MOST_SAMPLES) -> DataFrame:
-    """L6. The ids of each person's samples that stay: while there are over `most`, the one most like another goes (the first
-    by id on ties). A person's samples make one group: the library holds `most` and what a meeting or merge adds; people within
-    the limit never enter a group."""
-    count = samples.groupBy("speaker_id").agg(F.count("*").alias("n"))
-    rows = samples.select("speaker_id", "id", F.expr("cast(embedding AS array<double>)").alias("v")).join(count, "speaker_id")
+PRUNE_BLOCK = 4096
+
+
+def _later_best(rows: np.ndarray, places: np.ndarray, others: np.ndarray, other_places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cosine, place) of what is most like each row among the others of a later place; -2 and the row's own place without any."""
+    best, at = np.full(len(rows), -2.0), places.copy()
+    for a in range(0, len(rows), PROBES_AT_ONCE):
+        sims = rows[a : a + PROBES_AT_ONCE] @ others.T
+        sims[other_places[None, :] <= places[a : a + PROBES_AT_ONCE, None]] = -2.0
+        k = sims.argmax(axis=1) if len(others) else np.empty(0, int)
+        top = sims[np.arange(len(sims)), k]
+        best[a : a + PROBES_AT_ONCE] = top
+        at[a : a + PROBES_AT_ONCE] = np.where(top > -2.0, other_places[k], places[a : a + PROBES_AT_ONCE])
+    return best, at
+
+
+def _thinned(x: np.ndarray, best: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """Places that stay. The closest pair of what is left loses its earlier member, until `most` are left. A heap holds each place's
+    best later partner; it is looked up anew only when the place comes up and the partner is gone."""
+    n = len(x)
+    stays = np.ones(n, dtype=bool)
+    heap = [(-b, i) for i, b in enumerate(best.tolist()) if b > -2.0]
+    heapq.heapify(heap)
+    left, live, vectors = n, np.arange(n), x
+    while left > most and heap:
+        _, i = heapq.heappop(heap)
+        if stays[at[i]]:
+            stays[i] = False
+            left -= 1
+            if 2 * left < len(live):
+                live = live[stays[live]]
+                vectors = x[live]
+            continue
+        k = np.searchsorted(live, i, "right")
+        later = live[k:]
+        sims = np.where(stays[later], vectors[k:] @ x[i], -2.0)
+        if len(sims) and (top := int(sims.argmax())) >= 0 and sims[top] > -2.0:
+            at[i] = later[top]
+            heapq.heappush(heap, (-float(sims[top]), i))
+    return np.flatnonzero(stays)
+
+
+def prune(samples: DataFrame, most: int = MOST_SAMPLES, model: str = "cur", block: int = PRUNE_BLOCK) -> DataFrame:
+    """L6. The ids of each person's samples of the current model that stay: while there are over `most`, the one most like another
+    goes (the first by id on ties). Samples of other models stay and don't count.
+
+    That rule takes the closest pairs one after another and drops the earlier member of each, so all it needs is the best later partner
+    of each sample. These are found in blocks of samples, a task for each pair of blocks of a person, without a matrix of a whole
+    person; what is left to one task is a person's vectors and a heap. People within the limit never enter a group."""
+    now = samples.where((F.col("model") == model) & F.col("embedding").isNotNull())
+    count = now.groupBy("speaker_id").agg(F.count("*").alias("n"))
+    rows = now.select("speaker_id", "id", unit("embedding").alias("v")).join(count.where(f"n > {most}"), "speaker_id")
+    rows = written(rows.selectExpr("speaker_id", "id", "v", f"n div {block} + 1 AS blocks", f"pmod(xxhash64(id), n div {block} + 1) AS own"), "prune-samples")
+    dealt = rows.withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1L)"))).withColumns({"a": F.least("own", "o"), "b": F.greatest("own", "o")})
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
+    def partners(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", ignore_index=True)
+        x, places = np.vstack(group["v"].to_list()), np.arange(len(group))
+        sides = [np.flatnonzero((group["own"] == group[c]).to_numpy()) for c in ("a", "b")]
+        met = [(sides[0], sides[1])] + ([(sides[1], sides[0])] if (group["a"] != group["b"]).any() else [])
+        out = []
+        for own, other in met:
+            best, at = _later_best(x[own], places[own], x[other], places[other])
+            out.append(pd.DataFrame({"speaker_id": group["speaker_id"].iloc[own], "id": group["id"].iloc[own], "best": best, "partner": group["id"].to_numpy()[at]}))
+        return pd.concat(out)
+
+    found = dealt.groupBy("speaker_id", "a", "b").applyInPandas(partners, f"speaker_id {kinds['speaker_id']}, id {kinds['id']}, best double, partner {kinds['id']}")
+    found = found.groupBy("speaker_id", "id").agg(F.expr("max_by(struct(best, partner), best)").alias("p")).select("speaker_id", "id", "p.*")
+
     def lean(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
-        x = _unit_rows(np.vstack(group["v"].to_list()))
-        sims = x @ x.T
-        np.fill_diagonal(sims, -1)
-        stays = np.ones(len(x), dtype=bool)
-        while stays.sum() > most:
-            gone = int(np.where(stays, sims.max(axis=1), -np.inf).argmax())
-            stays[gone] = False
-            sims[gone], sims[:, gone] = -1, -1
-        return group.loc[stays, ["speaker_id", "id"]]
-
-    cut = rows.where(f"n > {most}").groupBy("speaker_id").applyInPandas(lean, f"speaker_id {kinds['speaker_id']}, id {kinds['id']}")
-    return rows.where(f"n <= {most}").select("speaker_id", "id").unionByName(cut)
+        at = np.searchsorted(group["id"].to_numpy(), group["partner"].to_numpy())
+        stay = _thinned(np.vstack(group["v"].to_list()), group["best"].to_numpy(), at, most)
+        return group.loc[stay, ["speaker_id", "id"]]
+
+    cut = rows.select("speaker_id", "id", "v").join(found, ["speaker_id", "id"]).groupBy("speaker_id").applyInPandas(lean, f"speaker_id {kinds['speaker_id']}, id {kinds['id']}")
+    within = samples.join(count.where(f"n > {most}").select("speaker_id"), "speaker_id", "left_anti").select("speaker_id", "id")
+    others = samples.where((F.col("model") != model) | F.col("model").isNull() | F.col("embedding").isNull()).join(count.where(f"n > {most}").select("speaker_id"), "speaker_id", "left_semi").select("speaker_id", "id")
+    return within.unionByName(others).unionByName(cut)

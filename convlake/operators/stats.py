@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def speaker_stats(segments: DataFrame, meeting_speakers: DataFrame | None = None) -> DataFrame:
-    """M1. Per meeting and speaker: turns (runs of one speaker), words, talk_ms, longest_ms (longest run); zeros for those of
+    """M1. Per meeting and speaker: turns (runs of one speaker), words, talk_ms, longest_ms (longest run, from
+    the start of its first segment to the end of its last); zeros for those of
     meeting_speakers (meeting_id, key) that say nothing."""
     words = "size(filter(split(text, '\\\\s+'), w -> w <> ''))"
     rows = segments.selectExpr("meeting_id", "idx", "speaker", "start_ms", "end_ms", f"cast({words} AS bigint) AS words")
     rows = rows.selectExpr("*", "coalesce(speaker <> lag(speaker) OVER (PARTITION BY meeting_id ORDER BY idx), true) AS change")
     rows = rows.selectExpr("*", "sum(cast(change AS bigint)) OVER (PARTITION BY meeting_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run")
-    runs = rows.groupBy("meeting_id", "speaker", "run").agg(F.sum("words").alias("words"), F.sum(F.expr("end_ms - start_ms")).alias("talk"), F.expr("max(end_ms) - min(start_ms)").alias("long"))
+    runs = rows.groupBy("meeting_id", "speaker", "run").agg(F.sum("words").alias("words"), F.sum(F.expr("end_ms - start_ms")).alias("talk"), F.expr("max_by(end_ms, idx) - min_by(start_ms, idx)").alias("long"))
     made = runs.groupBy("meeting_id", "speaker").agg(F.count("*").alias("turns"), F.sum("words").alias("words"), F.sum("talk").alias("talk_ms"), F.max("long").alias("longest_ms"))
     if meeting_speakers is None:
         return made

@@ -38,7 +38,7 @@ RUNS = """r AS (
     SELECT *, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words,
            CASE WHEN speaker = lag(speaker) OVER (PARTITION BY meeting_id ORDER BY idx) THEN 0 ELSE 1 END AS change FROM segments_fx)
 ), u AS (
-  SELECT meeting_id, speaker, run, sum(words) AS words, sum(end_ms - start_ms) AS talk, max(end_ms) - min(start_ms) AS long FROM r GROUP BY ALL
+  SELECT meeting_id, speaker, run, sum(words) AS words, sum(end_ms - start_ms) AS talk, arg_max(end_ms, idx) - arg_min(start_ms, idx) AS long FROM r GROUP BY ALL
 ), st AS (
   SELECT meeting_id, speaker, count(*) AS turns, sum(words)::BIGINT AS words, sum(talk)::BIGINT AS talk_ms, max(long) AS longest_ms FROM u GROUP BY ALL
 )"""
@@ -152,10 +152,10 @@ def l1(samples):
     return speakers.profiles(samples).selectExpr("speaker_id", "n", "round(centroid[0], 6) AS first", "round(centroid[63], 6) AS last")
 
 
-@query("l2_library_stats", ("speakers_fx", "samples_fx"), """SELECT s.id AS speaker_id, name, count(x.id) AS samples, coalesce(sum(end_ms - start_ms), 0)::BIGINT AS ms,
-  count(*) FILTER (WHERE model = 'cur') AS "current", count(DISTINCT meeting_id) AS meetings FROM speakers_fx s LEFT JOIN samples_fx x ON x.speaker_id = s.id GROUP BY 1, 2""")
-def l2(people, samples):
-    return speakers.library_stats(people, samples)
+@query("l2_library_stats", ("speakers_fx", "samples_fx", "meeting_speakers_fx"), """SELECT s.id AS speaker_id, name, count(x.id) AS samples, coalesce(sum(end_ms - start_ms), 0)::BIGINT AS ms,
+  count(*) FILTER (WHERE model = 'cur') AS "current", (SELECT count(DISTINCT meeting_id) FROM meeting_speakers_fx m WHERE m.speaker_id = s.id) AS meetings FROM speakers_fx s LEFT JOIN samples_fx x ON x.speaker_id = s.id GROUP BY 1, 2""")
+def l2(people, samples, meeting_speakers):
+    return speakers.library_stats(people, samples, meeting_speakers)
 
 
 @query("l3_consistency", ("samples_fx",), f"WITH {SUMS} SELECT speaker_id, CASE WHEN n >= 2 THEN round((list_dot_product(total, total) - n) / (n * (n - 1)), 6) END AS consistency FROM s")
@@ -163,11 +163,11 @@ def l3(samples):
     return rounded(speakers.consistency(samples), "consistency")
 
 
-@query("l4_strength", ("speakers_fx", "samples_fx"), f"""WITH {SUMS}, c AS (SELECT speaker_id, CASE WHEN n >= 2 THEN (list_dot_product(total, total) - n) / (n * (n - 1)) END AS c FROM s), t AS (
+@query("l4_strength", ("speakers_fx", "samples_fx", "meeting_speakers_fx"), f"""WITH {SUMS}, c AS (SELECT speaker_id, CASE WHEN n >= 2 THEN (list_dot_product(total, total) - n) / (n * (n - 1)) END AS c FROM s), t AS (
   SELECT p.id AS speaker_id, coalesce(sum(end_ms - start_ms), 0) AS ms, count(*) FILTER (WHERE model = 'cur') AS cur FROM speakers_fx p LEFT JOIN samples_fx x ON x.speaker_id = p.id GROUP BY 1
 ) SELECT t.speaker_id, CASE WHEN cur = 0 THEN 'none' WHEN cur < 3 OR ms < 15000 THEN 'weak' WHEN cur >= 8 AND ms >= 60000 AND (c IS NULL OR c > 0.45) THEN 'strong' ELSE 'good' END AS strength FROM t LEFT JOIN c USING (speaker_id)""")
-def l4(people, samples):
-    return speakers.strength(speakers.library_stats(people, samples), speakers.consistency(samples))
+def l4(people, samples, meeting_speakers):
+    return speakers.strength(speakers.library_stats(people, samples, meeting_speakers), speakers.consistency(samples))
 
 
 @query("l5_sample_details", ("samples_fx", "meetings_fx"), f"""WITH {SUMS}, o AS (
@@ -275,7 +275,7 @@ def _frames(turns):
     return turns.where("end_ms >= start_ms").selectExpr("meeting_id", "speaker", "explode(sequence(start_ms div 100, end_ms div 100)) AS frame")
 
 
-@query("d9_frames_to_turns", ("turns_fx",), f"WITH {TURNS9} SELECT * FROM tu")
+@query("d9_frames_to_turns", ("turns_fx",), f"WITH {TURNS9} SELECT *, round(greatest(0, first * 270 / 16000::DOUBLE + 991 / 32000::DOUBLE - 270 / 32000::DOUBLE), 3) AS start_s, round((last + 1) * 270 / 16000::DOUBLE + 991 / 32000::DOUBLE - 270 / 32000::DOUBLE, 3) AS end_s FROM tu")
 def d9(turns):
     return diarize.frames_to_turns(_frames(turns))
 
@@ -429,15 +429,15 @@ def s14(pages):
 
 
 @query("l7_voiceprints", ("samples_fx",), """WITH s AS (
-  SELECT meeting_id // 5 AS meeting_id, speaker_id AS key, id, end_ms - 800 * (speaker_id % 2) AS ms, embedding FROM samples_fx
+  SELECT meeting_id // 5 AS meeting_id, speaker_id AS key, id, end_ms - 800 * (speaker_id % 2) AS ms, CASE WHEN id % 11 <> 3 THEN embedding END AS embedding FROM samples_fx
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY meeting_id, key ORDER BY ms DESC, id) AS place, max(ms) OVER (PARTITION BY meeting_id, key) AS longest FROM s
 ), e AS (
-  SELECT meeting_id, key, least(ms, 10000) / 1000.0 AS wt, unnest(range(1, 65)) AS dim, unnest(embedding)::DOUBLE AS x FROM r WHERE place <= 8 AND (ms >= 1500 OR longest < 1500)
+  SELECT meeting_id, key, least(ms, 10000) / 1000.0 AS wt, unnest(range(1, 65)) AS dim, unnest(embedding)::DOUBLE AS x FROM r WHERE embedding IS NOT NULL AND place <= 8 AND (ms >= 1500 OR longest < 1500)
 ), t AS (SELECT meeting_id, key, list(x ORDER BY dim) AS v FROM (SELECT meeting_id, key, dim, sum(wt::DOUBLE * x) AS x FROM e GROUP BY ALL) GROUP BY ALL)
 SELECT meeting_id, key, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[64] / sqrt(list_dot_product(v, v)), 6) AS last FROM t""")
 def l7(samples):
-    turns = samples.selectExpr("meeting_id div 5 AS meeting_id", "speaker_id AS key", "id * 20000 AS start_ms", "id * 20000 + end_ms - 800 * (speaker_id % 2) AS end_ms", "embedding")
+    turns = samples.selectExpr("meeting_id div 5 AS meeting_id", "speaker_id AS key", "id * 20000 AS start_ms", "id * 20000 + end_ms - 800 * (speaker_id % 2) AS end_ms", "if(id % 11 = 3, NULL, embedding) AS embedding")
     return speakers.voiceprints(turns).selectExpr("meeting_id", "key", "round(voiceprint[0], 6) AS first", "round(voiceprint[63], 6) AS last")
 
 

@@ -29,19 +29,22 @@ def p4(people, segments):
 
 
 @query("p6_vocabulary", ("meetings_fx", "speakers_fx"), """WITH n AS (SELECT id, name FROM speakers_fx ORDER BY id % 4 DESC, id LIMIT 30), w AS (
-  SELECT id AS meeting_id, trim(string_split_regex(v, '[,\\n;]+')[p]) AS word, p FROM (SELECT *, unnest(range(1, len(string_split_regex(v, '[,\\n;]+')) + 1)) AS p FROM (SELECT id, summary || ';person 3' AS v FROM meetings_fx))
+  SELECT id AS meeting_id, regexp_replace(string_split_regex(v, '[,\\n;]+')[p], '^\\s+|\\s+$', '', 'g') AS word, p FROM (SELECT *, unnest(range(1, len(string_split_regex(v, '[,\\n;]+')) + 1)) AS p FROM (SELECT id, summary || ';person 3' || chr(9) AS v FROM meetings_fx))
   UNION ALL SELECT m.id, n.name, 1000 + row_number() OVER (PARTITION BY m.id ORDER BY n.id % 4 DESC, n.id) FROM meetings_fx m, n
 ), f AS (SELECT meeting_id, arg_min(word, p) AS word, min(p) AS p FROM w WHERE word <> '' GROUP BY meeting_id, lower(word))
 SELECT meeting_id, left(string_agg(word, ', ' ORDER BY p), 600) AS words FROM f GROUP BY 1""")
 def p6(meetings, people):
-    return ops.vocabulary(meetings.selectExpr("id AS meeting_id", "concat(summary, ';person 3') AS vocabulary"), people.selectExpr("id", "name", "id % 4 AS updated"))
+    return ops.vocabulary(meetings.selectExpr("id AS meeting_id", "concat(summary, ';person 3\t') AS vocabulary"), people.selectExpr("id", "name", "id % 4 AS updated"))
 
 
-@query("p10_meeting_edits", ("meetings_fx", "segments_fx"), """WITH e AS (SELECT meeting_id AS id, arg_max(CASE WHEN idx % 2 = 0 THEN '' ELSE ' ' || text END, idx) AS t, arg_max(speaker = 'S1', idx) AS f, max(idx) AS x FROM segments_fx WHERE meeting_id % 2 = 0 GROUP BY 1)
-SELECT id, coalesce(nullif(left(trim(t), 200), ''), title) AS title, coalesce(f, favorite) AS favorite, CASE WHEN x IS NULL THEN 'old' ELSE 'tag ' || x END AS tags, coalesce(nullif(trim(t), '') IS NOT NULL, false) AS locked
+@query("p10_meeting_edits", ("meetings_fx", "segments_fx"), """WITH e AS (
+  SELECT meeting_id AS id, arg_max(left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 200), idx) FILTER (WHERE idx % 2 = 1 AND regexp_matches(text, '\\S')) AS t,
+    arg_max(speaker = 'S1', idx) FILTER (WHERE idx % 3 = 0) AS f, max(idx) AS x FROM segments_fx WHERE meeting_id % 2 = 0 GROUP BY 1)
+SELECT id, coalesce(t, title) AS title, coalesce(f, favorite) AS favorite,
+  CASE WHEN x IS NULL THEN 'old' ELSE array_to_string(list_concat([left('tag ' || x || ' with a long name of more than forty', 40), ' '], list_transform(range(3, 21), lambda i: ' ' || i)), ',') END AS tags, t IS NOT NULL AS locked
 FROM meetings_fx LEFT JOIN e USING (id)""")
 def p10(meetings, segments):
-    edits = segments.where("meeting_id % 2 = 0").selectExpr("meeting_id AS id", "idx AS seq", "if(idx % 2 = 0, '', concat(' ', text)) AS title", "speaker = 'S1' AS favorite", "array(concat('tag ', idx), ' ') AS tags")
+    edits = segments.where("meeting_id % 2 = 0").selectExpr("meeting_id AS id", "idx AS seq", "if(idx % 2 = 0, ' ', concat('\t', text)) AS title", "if(idx % 3 = 0, speaker = 'S1', NULL) AS favorite", "concat(array(concat('tag ', idx, ' with a long name of more than forty'), ' '), transform(sequence(3, 30), i -> concat(' ', i))) AS tags")
     return ops.apply_meeting_edits(meetings.selectExpr("id", "title", "favorite", "array('old') AS tags", "false AS locked"), edits).withColumn("tags", F.array_join("tags", ","))
 
 

@@ -26,7 +26,7 @@ SCORED = f"""{TOKENS}, q(term) AS (VALUES ('que'), ('en'), ('un')), tf AS (
 
 
 def _hits(segments):
-    return search.search_index(search.build_index(segments), segments, Q)
+    return search.search_index(search.build_index(segments), search.index_statistics(segments), Q)
 
 
 @query("q2_search_index", ("segments_fx",), f"WITH {SCORED} SELECT * FROM hi")

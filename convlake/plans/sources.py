@@ -35,10 +35,11 @@ def s5(chunks):
 SELECT rid, strlen(body) AS n_bytes, md5(body) AS digest FROM r WHERE strlen(body) >= 100""")
 def s7(events):
     chunks = events.selectExpr("user_id AS rid", "-event_id AS seq", "cast(props AS binary) AS bytes")
-    return recordings.assemble(chunks, 100).selectExpr("rid", "cast(octet_length(bytes) AS bigint) AS n_bytes", "md5(bytes) AS digest")
+    whole = recordings.assemble(chunks, 100, 1500).groupBy("rid").agg(F.expr("array_join(transform(array_sort(collect_list(struct(part, cast(bytes AS string) AS t))), p -> p.t), '')").alias("body"))
+    return whole.selectExpr("rid", "cast(octet_length(body) AS bigint) AS n_bytes", "md5(cast(body AS binary)) AS digest")
 
 
-@query("s1_read_transcripts", ("words_fx",), "SELECT meeting_id::VARCHAR AS meeting_id, idx, CASE WHEN idx % 4 = 3 THEN 0 ELSE pos END AS pos, CASE WHEN idx % 4 = 3 THEN 'whole ' || idx ELSE text END AS text, start_ms, end_ms, CASE WHEN idx % 4 = 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS prob FROM words_fx WHERE idx % 4 <> 3 OR pos = 0")
+@query("s1_read_transcripts", ("words_fx",), "SELECT meeting_id::VARCHAR AS meeting_id, idx, CASE WHEN idx % 4 = 3 THEN 0 ELSE pos END AS pos, CASE WHEN idx % 4 = 3 THEN ' whole ' || idx ELSE text END AS text, start_ms, end_ms, CASE WHEN idx % 4 = 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS prob FROM words_fx WHERE idx % 4 <> 3 OR (pos = 0 AND idx % 8 <> 7)")
 def s1(words):
     """Transcripts as they are kept, a JSON file of each meeting, written and read."""
     path = shared_path(words.sparkSession, "transcripts")
@@ -46,7 +47,7 @@ def s1(words):
     segments = words.where("idx % 4 <> 3 OR pos = 0").groupBy("meeting_id", "idx").agg(
         F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.expr(f"transform(array_sort(collect_list(struct(pos, {word} AS w))), x -> x.w)").alias("w")
     )
-    segment = "struct(s / 1000D AS start, e / 1000D AS end, if(idx % 4 = 3, concat('whole ', idx), '') AS text, if(idx % 4 = 3, slice(w, 1, 0), w) AS words)"
+    segment = "struct(s / 1000D AS start, e / 1000D AS end, if(idx % 8 = 7, '', if(idx % 4 = 3, concat('\t whole ', idx, ' \n'), '')) AS text, if(idx % 4 = 3, slice(w, 1, 0), w) AS words)"
     # Segments without any word keep their place as nulls.
     lists = segments.groupBy("meeting_id").agg(F.expr(f"map_from_entries(collect_list(struct(idx, {segment})))").alias("m"), F.max("idx").alias("last"))
     docs = lists.selectExpr("meeting_id", "to_json(struct(cast(meeting_id AS string) AS meeting_id, 'xx' AS language, transform(sequence(0L, last), i -> m[i]) AS segments)) AS text")

@@ -44,11 +44,12 @@ def t7(words, turns):
     return align.align(words, turns)
 
 
-@query("t8_rebuild_segments", ("segments_fx", "meeting_speakers_fx"), """WITH k AS (SELECT meeting_id, key, label, status, talk_ms FROM meeting_speakers_fx WHERE meeting_id % 2 = 0 OR key <> 'S2')
-SELECT * FROM k UNION ALL SELECT meeting_id, speaker, 'Speaker ' || substr(speaker, 2), 'unknown', sum(end_ms - start_ms)::BIGINT FROM segments_fx s
-WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.meeting_id = s.meeting_id AND k.key = s.speaker) GROUP BY 1, 2""")
-def t8(segments, meeting_speakers):
-    return align.rebuild_segments(segments, meeting_speakers.where("meeting_id % 2 = 0 OR key <> 'S2'"))
+@query("t8_rebuild_segments", ("segments_fx", "meeting_speakers_fx", "turns_fx"), """WITH k AS (SELECT meeting_id, key, label, status, talk_ms FROM meeting_speakers_fx WHERE meeting_id % 2 = 0 OR key <> 'S' || (1 + meeting_id % 3)),
+n AS (SELECT * FROM k UNION ALL SELECT DISTINCT meeting_id, speaker, 'Speaker ' || substr(speaker, 2), 'unknown', 0 FROM segments_fx s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.meeting_id = s.meeting_id AND k.key = s.speaker))
+SELECT meeting_id, key, label, status, CASE WHEN key = 'S1' AND (meeting_id % 3 = 1 OR NOT EXISTS (SELECT 1 FROM turns_fx t WHERE t.meeting_id = n.meeting_id))
+  THEN (SELECT sum(end_ms - start_ms)::BIGINT FROM segments_fx s WHERE s.meeting_id = n.meeting_id) ELSE talk_ms END AS talk_ms FROM n""")
+def t8(segments, meeting_speakers, turns):
+    return align.rebuild_segments(segments, meeting_speakers.where("meeting_id % 2 = 0 OR key <> concat('S', 1 + meeting_id % 3)"), turns.where("meeting_id % 3 <> 1"))
 
 
 CUES = """cw AS MATERIALIZED (SELECT * FROM words_fx), cu AS (

@@ -77,7 +77,14 @@ def d10(windows):
     return kept.selectExpr("meeting_id", "cluster", "round(centroid[0], 6) AS first")
 
 
-@query("l6_prune_samples", ("samples_fx",), None)
+@query("l6_prune_samples", ("samples_fx",), """WITH RECURSIVE v AS (SELECT id, speaker_id, embedding::DOUBLE[] AS e FROM samples_fx WHERE model = 'cur'), pr AS MATERIALIZED (
+  SELECT a.speaker_id, a.id AS i, b.id AS j, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS sim FROM v a JOIN v b ON a.speaker_id = b.speaker_id AND a.id <> b.id
+), st AS (
+  SELECT speaker_id, list(id) AS alive FROM v GROUP BY 1
+  UNION ALL
+  SELECT speaker_id, list_filter(a, lambda x: x <> g) FROM (SELECT st.speaker_id, any_value(alive) AS a, arg_min(i, {'s': -round(sim, 12), 'i': i}) AS g FROM st JOIN pr ON pr.speaker_id = st.speaker_id AND list_contains(alive, i) AND list_contains(alive, j) WHERE len(alive) > 8 GROUP BY st.speaker_id, len(alive))
+), en AS (SELECT speaker_id, arg_min(alive, len(alive)) AS alive FROM st GROUP BY 1)
+SELECT speaker_id, unnest(alive) AS id FROM en UNION ALL SELECT speaker_id, id FROM samples_fx WHERE model <> 'cur'""")
 def l6(samples):
     return speakers.prune(samples, 8)
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convlake.functions.columns import strip
+
 TRANSCRIPT = "meeting_id string, language string, duration double, segments array<struct<start:double,end:double,text:string,words:array<array<string>>>>"
 TURNS = "meeting_id string, `order` array<string>, turns array<struct<start:double,end:double,speaker:int>>"
 # The endings of files with sound.
@@ -24,10 +26,11 @@ def _ms(column: str) -> str:
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """S1. Words (meeting_id, idx, pos, text, start_ms, end_ms, prob) of transcript documents (JSON, one or many lines a file). A
-    word is an array [start, end, text, probability] of mixed types; a segment without words is one word of probability 1."""
+    word is an array [start, end, text, probability] of mixed types; a segment without words is one word of probability 1, a space and the
+    stripped text; one without words and text is none."""
     docs = spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path)
     rows = docs.select("meeting_id", F.posexplode("segments").alias("idx", "s"))
-    whole = "array(array(cast(s.start AS string), cast(s.end AS string), s.text, '1'))"
+    whole = f"if(s.text <> '', array(array(cast(s.start AS string), cast(s.end AS string), concat(' ', {strip('s.text')}), '1')), NULL)"
     rows = rows.select("meeting_id", F.col("idx").cast("long"), F.posexplode(F.expr(f"if(coalesce(size(s.words), 0) > 0, s.words, {whole})")).alias("pos", "w"))
     return rows.selectExpr("meeting_id", "idx", "cast(pos AS bigint) AS pos", "w[2] AS text", f"{_ms('cast(w[0] AS double)')} AS start_ms", f"{_ms('cast(w[1] AS double)')} AS end_ms", "cast(get(w, 3) AS double) AS prob")
 

@@ -51,7 +51,7 @@ def test_map_parts_and_condense(spark):
 
 def test_phrases_in_the_index(spark):
     rows = spark.createDataFrame([("m", 0, "L'été d'or"), ("m", 1, "l ete"), ("m", 2, "ete l"), ("m", 3, None)], "meeting_id string, idx long, text string")
-    index = search.build_index(rows)
-    assert {r["idx"] for r in search.search_index(index, rows, "l'ét").collect()} == {0, 1}
-    assert {r["idx"] for r in search.search_index(index, rows, "ete l").collect()} == {0, 1, 2}
-    assert search.search_index(index, rows, " ?").collect() == [] and search.search_index(index, rows, "zz").collect() == []
+    index, about = search.build_index(rows), search.index_statistics(rows)
+    assert {r["idx"] for r in search.search_index(index, about, "l'ét").collect()} == {0, 1}
+    assert {r["idx"] for r in search.search_index(index, about, "ete l").collect()} == {0, 1, 2}
+    assert search.search_index(index, about, " ?").collect() == [] and search.search_index(index, about, "zz").collect() == []

@@ -2,6 +2,8 @@
 
 from itertools import permutations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -94,15 +96,82 @@ def test_recognise(spark):
     assert speakers.match_scores(spark.createDataFrame(voices, "meeting_id string, key string, embedding array<double>"), samples.limit(0)).count() == 0
 
 
-def test_prune(spark):
+def brute_scores(voices, people, keep):
+    """Every voice with every person: (meeting, key) -> [(person, score)], the best first."""
+    out = {}
+    for m, k, v in voices:
+        x = np.array(v) / np.linalg.norm(v)
+        scored = []
+        for p, rows in people.items():
+            own = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+            centre = own.sum(axis=0) / np.linalg.norm(own.sum(axis=0))
+            scored.append((p, 0.6 * float(x @ centre) + 0.4 * float(np.sort(own @ x)[-3:].mean())))
+        out[m, k] = sorted(scored, key=lambda s: (-s[1], s[0]))[:keep]
+    return out
+
+
+@pytest.mark.parametrize("keep, blocks, block_bytes", [(3, None, 10**7), (1, 40, 10**7), (500, 6, 10**7), (4, 5, 20_000)])
+def test_voices_meet_only_blocks_that_can_count(spark, keep, blocks, block_bytes):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16))
+    people = {p: (centres[p % 12] + 0.15 * rng.normal(size=16) + 0.08 * rng.normal(size=(1 + p % 5, 16))).tolist() for p in range(240)}
+    samples = spark.createDataFrame([(100 * p + k, p, "cur", v) for p, rows in people.items() for k, v in enumerate(rows)], SAMPLES)
+    voices = [(f"m{k % 9}", f"S{k}", (centres[k % 12] + 0.2 * rng.normal(size=16)).tolist()) for k in range(90)]
+    counted = []
+    got = {}
+    found = speakers.match_scores(spark.createDataFrame(voices, "meeting_id string, key string, embedding array<double>"), samples, keep=keep, blocks=blocks, block_bytes=block_bytes, counted=counted)
+    for r in found.collect():
+        got.setdefault((r[0], r[1]), []).append((r["speaker_id"], r["score"]))
+    want = brute_scores(voices, people, keep)
+    for voice, scored in want.items():
+        mine = sorted(got[voice], key=lambda s: (-s[1], s[0]))
+        assert [p for p, _ in mine] == [p for p, _ in scored] and np.allclose([s for _, s in mine], [s for _, s in scored])
+    assert counted[1] == 240 * 90
+    if keep < 4:
+        assert counted[0] < 0.3 * counted[1]
+
+
+def greedy(left, most):
+    while len(left) > most:
+        del left[max(left, key=lambda i: (max(left[i] @ left[j] for j in left if j != i).round(12), -i))]
+    return set(left)
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_prune(spark, block):
     rng = np.random.default_rng(2)
     rows = [(i, i % 3 if i < 60 else 9, "cur", rng.normal(size=4).tolist()) for i in range(65)]
+    rows += [(100 + i, 0, "old", rows[0][3]) for i in range(4)] + [(200 + i, 0, "cur", rows[30][3]) for i in range(3)] + [(300, 0, "cur", None)]
     got = {}
-    for r in speakers.prune(spark.createDataFrame(rows, SAMPLES), 8).collect():
+    for r in speakers.prune(spark.createDataFrame(rows, SAMPLES), 8, block=block).collect():
         got.setdefault(r["speaker_id"], set()).add(r["id"])
     assert got[9] == {60, 61, 62, 63, 64}
     for p in range(3):
-        left = {i: np.array(v) / np.linalg.norm(v) for i, s, _, v in rows if s == p}
-        while len(left) > 8:
-            del left[max(left, key=lambda i: (max(left[i] @ left[j] for j in left if j != i).round(12), -i))]
-        assert got[p] == set(left)
+        want = greedy({i: np.array(v) / np.linalg.norm(v) for i, s, m, v in rows if s == p and m == "cur" and v}, 8)
+        assert got[p] == want | ({100, 101, 102, 103, 300} if p == 0 else set())
+
+
+def test_thinning_holds_no_matrix():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    places = np.arange(len(x))
+    best, at = speakers._later_best(x, places, x, places)
+    small = speakers._later_best(x[:150], places[:150], x[:150], places[:150])
+    assert set(speakers._thinned(x[:150], *small, 20).tolist()) == greedy(dict(enumerate(x[:150])), 20)
+    tracemalloc.start()
+    left = speakers._thinned(x, best, at, 15_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(left) == 15_000 and peak < 8 * x.nbytes
+
+
+def test_library_meetings_and_voiceprints(spark):
+    people = spark.createDataFrame([(1, "A"), (2, "B")], "id long, name string")
+    samples = spark.createDataFrame([(1, 1, "cur", 0, 1000, "m1"), (2, 1, "old", 0, 500, "m9")], "id long, speaker_id long, model string, start_ms long, end_ms long, meeting_id string")
+    heard = spark.createDataFrame([("m1", 1), ("m2", 1), ("m2", 1), ("m3", 2), ("m4", None)], "meeting_id string, speaker_id long")
+    got = {r["speaker_id"]: tuple(r)[2:] for r in speakers.library_stats(people, samples, heard).collect()}
+    assert got == {1: (2, 1500, 1, 2), 2: (0, 0, 0, 1)}
+    turns = [("m", "S1", 0, 9000, None)] + [("m", "S1", 10000 * k, 10000 * k + 8000 - k, [1.0, 0.0]) for k in range(1, 8)] + [("m", "S1", 90000, 92000, [0.0, 1.0])]
+    print_ = speakers.voiceprints(spark.createDataFrame(turns, "meeting_id string, key string, start_ms long, end_ms long, embedding array<double>")).first()["voiceprint"]
+    assert print_ == [1.0, 0.0]  # the longest turn has no vector, and still one of the eight places
