@@ -119,62 +119,95 @@ def _snap_changes(words: Iterator[list]) -> Iterator[list]:
     yield from (w for w in around if w is not None)
 
 
+CHUNK_WORDS, AROUND = 4096, 8
+ORDER = "PARTITION BY meeting_id ORDER BY n, start_ms"
+
+
+def _chunks(words: DataFrame, cut: str, size: int) -> DataFrame:
+    """Words with their place r in the meeting and a `chunk`: a new one begins at the first word of each `size` words where `cut` holds,
+    not in the last 2 * AROUND of them, so that two borders lie as far apart."""
+    rows = words.selectExpr("*", f"row_number() OVER ({ORDER}) AS r", f"coalesce({cut}, false) AS cut")
+    rows = rows.withColumn("cut", F.expr(f"cut AND r % {size} < {max(1, size - 2 * AROUND)}"))
+    rows = rows.withColumn("border", F.expr(f"cut AND count_if(cut) OVER (PARTITION BY meeting_id, r div {size} ORDER BY r ROWS UNBOUNDED PRECEDING) = 1"))
+    return rows.withColumn("chunk", F.expr("count_if(border) OVER (PARTITION BY meeting_id ORDER BY r ROWS UNBOUNDED PRECEDING)"))
+
+
 def _smoothed(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for row, _, speaker in _snap_changes(_undo_switches(rows)):
-        yield *row[:5], speaker
+    """Rows are (meeting_id, chunk, r, n, text, start_ms, end_ms, speaker, own)."""
+    words = ((m, n, text, start, end, speaker, own) for m, _, _, n, text, start, end, speaker, own in rows)
+    for row, _, speaker in _snap_changes(_undo_switches(words)):
+        if row[6]:
+            yield *row[:5], speaker
 
 
 WORDS_SCHEMA = "n long, text string, start_ms long, end_ms long, speaker string"
 
 
-def smooth_speakers(words: DataFrame) -> DataFrame:
+def smooth_speakers(words: DataFrame, size: int = CHUNK_WORDS) -> DataFrame:
     """T5. Words (meeting_id, n, text, start_ms, end_ms, speaker) without switches of one or two words inside a
     sentence, and with changes that are one or two words off the end of a sentence moved there. Later decisions see
-    earlier ones. A null text ends no sentence; words of a meeting that repeat an n are taken by start."""
+    earlier ones. A null text ends no sentence; words of a meeting that repeat an n are taken by start.
+
+    A long meeting is cut into chunks of about `size` words, each a task's work: inside runs of 16 words of one speaker, across which no
+    decision is felt, as switches have two words and changes move by two. Chunks see 8 words of their neighbours. Without such a run a
+    chunk goes on."""
     kind = words.schema["meeting_id"].dataType.simpleString()
     rows = words.select("meeting_id", "n", "text", "start_ms", "end_ms", "speaker")
-    return in_order(rows, ["meeting_id"], ["n", "start_ms"], _smoothed, f"meeting_id {kind}, {WORDS_SCHEMA}")
+    near = f"OVER ({ORDER} ROWS BETWEEN {AROUND} PRECEDING AND {AROUND - 1} FOLLOWING)"
+    same = f"count(*) {near} = {2 * AROUND} AND count(speaker) {near} = {2 * AROUND} AND min(speaker) {near} = max(speaker) {near}"
+    rows = _chunks(rows, same, max(size, 3 * AROUND))
+    by = "OVER (PARTITION BY meeting_id ORDER BY r ROWS BETWEEN {} AND {})"
+    ahead = f"max(if(border, chunk, NULL)) {by.format('1 FOLLOWING', f'{AROUND} FOLLOWING')}"
+    behind = f"max(if(border, chunk, NULL)) {by.format(f'{AROUND - 1} PRECEDING', 'CURRENT ROW')} - 1"
+    rows = rows.selectExpr("*", f"filter(array(struct(chunk AS c, true AS own), struct({ahead} AS c, false AS own), struct({behind} AS c, false AS own)), x -> x.c IS NOT NULL) AS seen")
+    rows = rows.selectExpr("meeting_id", "r", "n", "text", "start_ms", "end_ms", "speaker", "explode(seen) AS x")
+    rows = rows.selectExpr("meeting_id", "x.c AS chunk", "r", "n", "text", "start_ms", "end_ms", "speaker", "x.own AS own")
+    return in_order(rows, ["meeting_id", "chunk"], ["r"], _smoothed, f"meeting_id {kind}, {WORDS_SCHEMA}")
 
 
 def _utterances(rows: Iterator[tuple]) -> Iterator[tuple]:
     number, start, until, speaker, text = 0, 0, 0, None, ""
-    for row in rows:
-        _, _, word, begins, ends, who = row
+    for meeting, chunk, _, *row in rows:
+        n, word, begins, ends, who = row
         pause = begins - until
         new = number == 0 or who != speaker or pause > LONG_PAUSE_MS
         new = new or pause > PAUSE_MS and text.endswith((*SENTENCE_END, ",")) or until - start > LONG_MS and text.endswith(SENTENCE_END)
         if new:
             number, start, until, speaker = number + 1, begins, ends, who
         until, text = max(until, ends), (word or "").strip()
-        yield *row, number
+        yield meeting, *row, chunk, number
 
 
-def _numbered(words: DataFrame, step) -> DataFrame:
+def _numbered(words: DataFrame, size: int) -> DataFrame:
+    """Words with their utterance, as chunk and number in it. Where the speaker changes, or all that was said before is over for 4 s, a
+    new utterance begins whatever came before: there chunks of about `size` words are cut."""
     kind = words.schema["meeting_id"].dataType.simpleString()
     rows = words.select("meeting_id", "n", "text", "start_ms", "end_ms", "speaker")
-    return in_order(rows, ["meeting_id"], ["n", "start_ms"], step, f"meeting_id {kind}, {WORDS_SCHEMA}, utterance long")
+    cut = f"NOT speaker <=> lag(speaker) OVER ({ORDER}) OR start_ms - max(end_ms) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {LONG_PAUSE_MS}"
+    rows = _chunks(rows, cut, max(size, 3 * AROUND)).select("meeting_id", "chunk", "r", "n", "text", "start_ms", "end_ms", "speaker")
+    return in_order(rows, ["meeting_id", "chunk"], ["r"], _utterances, f"meeting_id {kind}, {WORDS_SCHEMA}, chunk long, utterance long")
 
 
 def _segments(numbered: DataFrame) -> DataFrame:
-    parts = numbered.groupBy("meeting_id", "utterance", "speaker").agg(
+    parts = numbered.groupBy("meeting_id", "chunk", "utterance", "speaker").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.expr("trim(array_join(transform(array_sort(collect_list(struct(n, text))), w -> w.text), ''))").alias("text"),
     )
-    return parts.where("text <> ''").selectExpr("meeting_id", "cast(row_number() OVER (PARTITION BY meeting_id ORDER BY utterance) - 1 AS bigint) AS idx", "speaker", "start_ms", "end_ms", "text")
+    return parts.where("text <> ''").selectExpr("meeting_id", "cast(row_number() OVER (PARTITION BY meeting_id ORDER BY chunk, utterance) - 1 AS bigint) AS idx", "speaker", "start_ms", "end_ms", "text")
 
 
-def build_utterances(words: DataFrame) -> DataFrame:
+def build_utterances(words: DataFrame, size: int = CHUNK_WORDS) -> DataFrame:
     """T6. Segments (meeting_id, idx from 0, speaker, start_ms, end_ms, text) of words with speakers: a new one where the
     speaker changes, after a pause of 4 s, after one of 1.5 s behind a sentence or comma, and at the end of a sentence
     once 45 s are over. Segments without text go and get no idx."""
-    return _segments(_numbered(words, _utterances))
+    return _segments(_numbered(words, size))
 
 
-def align(words: DataFrame, turns: DataFrame, alone: str = "S1") -> DataFrame:
+def align(words: DataFrame, turns: DataFrame, alone: str = "S1", size: int = CHUNK_WORDS) -> DataFrame:
     """T7. Segments of words and turns. Meetings without turns have one speaker, `alone`. Changes are smoothed and
-    utterances numbered in one pass."""
+    utterances numbered in chunks of about `size` words."""
     named = _filled(_with_speakers(flatten_words(words), turns)).withColumn("speaker", F.coalesce("speaker", F.lit(alone)))
-    return _segments(_numbered(named, lambda rows: _utterances(_smoothed(rows))))
+    return _segments(_numbered(smooth_speakers(named, size), size))
 
 
 def rebuild_segments(segments: DataFrame, meeting_speakers: DataFrame, turns: DataFrame) -> DataFrame:

@@ -97,3 +97,27 @@ def test_align_meetings_with_and_without_turns(spark):
     turns = spark.createDataFrame([("a", "S2", 0, 950), ("a", "S1", 950, 2000)], "meeting_id string, speaker string, start_ms long, end_ms long")
     got = align.align(spark.createDataFrame(words, "meeting_id string, idx long, pos long, text string, start_ms long, end_ms long"), turns).orderBy("meeting_id", "idx").collect()
     assert [(r["meeting_id"], r["idx"], r["speaker"], r["text"]) for r in got] == [("a", 0, "S2", "One two."), ("a", 1, "S1", "Three four."), ("b", 0, "S1", "One two. Three four.")]
+
+
+def test_a_long_meeting_in_chunks_of_any_size(spark):
+    rng, rows, at = random.Random(11), [], 0
+    for m in ("long", "monologue"):
+        n = 0
+        while n < 2500:
+            speaker = rng.choice("AABC") if m == "long" else "A"
+            for _ in range(rng.choice([1, 1, 2, 2, 3, 6, 30, 70])):
+                at += rng.choice([0, 100, 300, 300, 1700]) + (rng.random() < 0.01) * 5000
+                rows.append((m, n, rng.choice([" a", " b.", " c,", " d?", " e", " f", None]), at, at + rng.choice([50, 300, 900]), speaker))
+                n += 1
+    words = spark.createDataFrame(rows, WORD).repartition(3)
+    smooth = {m: plain_smooth([list(r[2:]) for r in rows if r[0] == m]) for m in ("long", "monologue")}
+    want = {(m, i): s for m, speakers in smooth.items() for i, s in enumerate(speakers)}
+    utterances = None
+    for size in (1, 50, 333, 5000):
+        done = align.smooth_speakers(words, size)
+        assert {(r["meeting_id"], r["n"]): r["speaker"] for r in done.collect()} == want
+        found = sorted(tuple(r) for r in align.build_utterances(done, size).collect())
+        utterances = utterances or found
+        assert found == utterances
+    cut = align._chunks(words, "n % 2 = 0", 50).groupBy("meeting_id", "chunk").count()
+    assert cut.count() > 90
