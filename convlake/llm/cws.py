@@ -78,22 +78,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     their number each; a doc_id that takes up several ranges is dealt over them by the hash of its texts. The first of
     each range is also sent to the range before it. What is broadcast is a number per range and the heads.
     """
-    key = "coalesce(cast(doc_id AS bigint), -9223372036854775808L)"
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(key).alias("k"))
-    size = docs.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
+    key = "coalesce(try_cast(doc_id AS bigint), -9223372036854775808L)"
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(key).alias("k")).withColumn("th", F.xxhash64("text"))
+    # Cuts are taken from a thin table and written: a task that runs again deals its documents as before.
+    thin = materialise(docs.select("k", "th", F.octet_length("text").alias("n")), "cws-keys")
+    size = thin.agg(F.sum(F.col("n") + F.lit(64))).first()[0] or 0
     steps = math.isqrt(max(1, size // BUCKET_BYTES) - 1) + 1
     cuts = F.percentile_approx("k", [i / steps for i in range(1, steps)] or [0.5], 20 * steps) if steps > 1 else F.lit(None)
-    empty = "cast(array() AS array<bigint>)"
-    coarse = docs.agg(cuts.cast("array<bigint>").alias("cuts"))
+    cuts = F.coalesce(cuts.cast("array<bigint>"), F.expr("cast(array() AS array<bigint>)")).alias("cuts")
     # How many of the ranges behind k lie before it, and of those that end at k those that its texts' hash is past.
     place = "cast(size(filter(cuts, c -> c < k)) + floor((size(filter(cuts, c -> c = k)) + 1) * (shiftrightunsigned(th, 11) * {p})) AS int)".format(p=f"{2.0**-53!r}D")
-    keyed = docs.withColumn("th", F.xxhash64("text"))
-    first = keyed.join(F.broadcast(coarse.selectExpr(f"coalesce(cuts, {empty}) AS cuts"))).withColumn("a", F.expr(place)).drop("cuts")
-    inner = first.groupBy("a").agg(cuts.cast("array<bigint>").alias("cuts"))  # at most `steps` rows of as many numbers
-    dealt = first.join(F.broadcast(inner), "a").withColumn("cuts", F.expr(f"coalesce(cuts, {empty})"))
-    dealt = dealt.withColumn("home", F.expr(f"a * {steps} + {place}")).drop("cuts", "a")
-    heads = dealt.groupBy("home").agg(F.min(F.struct("k", "th")).alias("head"))  # a row per range
-    heads = heads.selectExpr("home", "head", "coalesce(lag(home) OVER (ORDER BY home), max(home) OVER ()) AS before")
+    coarse = materialise(thin.agg(cuts), "cws-cuts")
+    half = lambda rows: rows.join(F.broadcast(coarse)).withColumn("a", F.expr(place)).drop("cuts")
+    inner = materialise(half(thin).groupBy("a").agg(cuts), "cws-cuts")  # at most `steps` rows of as many numbers
+    whole = lambda rows: half(rows).join(F.broadcast(inner), "a").withColumn("home", F.expr(f"a * {steps} + {place}")).drop("cuts", "a")
+    heads = whole(thin).groupBy("home").agg(F.min(F.struct("k", "th")).alias("head"))  # a row per range
+    heads = materialise(heads.selectExpr("home", "head", "coalesce(lag(home) OVER (ORDER BY home), max(home) OVER ()) AS before"), "cws-heads")
+    dealt = whole(docs)
     rows = dealt.join(F.broadcast(heads), "home")
     both = "array(struct(home AS bucket, false AS ghost), struct(before AS bucket, true AS ghost))"
     rows = rows.withColumn("to", F.explode(F.expr(f"if(k = head.k AND th = head.th, {both}, array(struct(home AS bucket, false AS ghost)))")))
