@@ -10,9 +10,9 @@ Two replicas are compared from the root down: the children of nodes that differ
 they, until the records of the ranges that differ are compared one by one.
 
 Edge cases: null urls and bodies count as empty; records with null ids stand in NULL_FILES files before the others, by a
-hash of the url (all of them with null url in one); repeated records
-are told apart by the order in which they stand; two empty archives have equal roots and the audit
-is empty; a record that only moved, because what stands before it changed size, isn't corrupt.
+hash of the url, and without one by a hash of the body, so that an altered one counts as missing and extra; of records that
+repeat an id those with equal digests are paired first, and what is left of them by the order in which they stand, so one altered
+record is one line; two empty archives have equal roots and the audit is empty; a record that only moved, because what stands before it changed size, isn't corrupt.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", body:
         F.lit("\r\nContent-Length: "), F.octet_length(F.coalesce(body, F.lit(""))).cast("string"),
         F.lit("\r\n\r\n"), F.coalesce(body, F.lit("")), F.lit("\r\n\r\n"),
     )
-    raw = pages.select(F.expr(f"coalesce(cast(`{key}` AS bigint) div {per_file}, -1 - pmod(xxhash64(coalesce(`{url}`, '')), {NULL_FILES}))").alias("file"), F.col(key).cast("long").alias("record"), text.alias("t"))
+    raw = pages.select(F.expr(f"coalesce(cast(`{key}` AS bigint) div {per_file}, -1 - pmod(xxhash64(coalesce(`{url}`, `{body}`, '')), {NULL_FILES}))").alias("file"), F.col(key).cast("long").alias("record"), text.alias("t"))
     hashed = raw.select("file", "record", F.octet_length("t").cast("long").alias("size"), F.sha2("t", 256).alias("digest"))
     order = "PARTITION BY file ORDER BY record, digest"
     return hashed.selectExpr(
@@ -79,9 +79,13 @@ def audit(mine: list[DataFrame], other: list[DataFrame]) -> DataFrame:
         left, right = left.select(*keys, F.col("digest").alias("x")), right.select(*keys, F.col("digest").alias("y"))
         bad = materialise(left.join(right, keys, "full").where("NOT x <=> y").select(*keys), "fixity-differ")
     left, right = (x[0].join(bad, keys, "left_semi") for x in (mine, other))
-    left = left.selectExpr("a AS file", "record", "nth", "offset AS oa", "digest AS x")
-    right = right.selectExpr("a AS f", "record AS r", "nth AS n", "offset AS ob", "digest AS y")
-    both = left.join(right, F.expr("file = f AND record <=> r AND nth = n"), "full").where("NOT x <=> y")
+    twins = "row_number() OVER (PARTITION BY a, record, digest ORDER BY offset)"
+    left = left.selectExpr("a AS file", "record", "offset AS oa", "digest AS x", f"{twins} AS ta")
+    right = right.selectExpr("a AS f", "record AS r", "offset AS ob", "digest AS y", f"{twins} AS tb")
+    equal = F.expr("file = f AND record <=> r AND x = y AND ta = tb")
+    only_left = left.join(right, equal, "left_anti").selectExpr("*", "row_number() OVER (PARTITION BY file, record ORDER BY oa) AS nth")
+    only_right = right.join(left, equal, "left_anti").selectExpr("*", "row_number() OVER (PARTITION BY f, r ORDER BY ob) AS n")
+    both = only_left.join(only_right, F.expr("file = f AND record <=> r AND nth = n"), "full")
     status = "CASE WHEN y IS NULL THEN 'missing' WHEN x IS NULL THEN 'extra' ELSE 'altered' END AS status"
     return both.selectExpr("coalesce(file, f) AS file", "coalesce(record, r) AS record", "coalesce(oa, ob) AS offset", status)
 
