@@ -10,7 +10,7 @@ all segmentations of a text is the product of the words' sums. A word is summed
 
 Edge cases: null text, empty text or text without letters gives `und` with score 0 (numbers such as
 fractions and Roman numerals are no letters); a table without labelled rows gives `und` for every
-row; rows with null lang are never learned from, those with null doc_id are; rows that repeat a
+row; rows with null lang are never learned from, and those with null doc_id are held out by `held_out`; rows that repeat a
 doc_id and text are learned from once; equal scores
 go to the first language in alphabetical order; repeated rows are scored one by one; columns other
 than those named are passed through `identify` untouched.

@@ -63,7 +63,7 @@ def _hashes(text: str | None, shingle: int) -> np.ndarray:
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
-    return np.array([hashed(whole[a:b], 42) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())], dtype=np.uint64)
+    return np.array([hashed(whole[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], dtype=np.uint64)
 
 
 def _majority(parts, n: int) -> bytes:
