@@ -57,10 +57,30 @@ def test_fixity_finds_what_differs(spark):
     unnamed = spark.createDataFrame([(None, f"u{k}", "y" * k) for k in range(300)] + [(None, None, None)] * 2, "page_id long, url string, html string")
     c, d = (fixity.tree(fixity.warc_records(x)) for x in (unnamed, unnamed.withColumn("html", F.expr("if(url = 'u17', 'rot', html)"))))
     assert [(r.record, r.status) for r in fixity.audit(c, d).collect()] == [(None, "altered")] and c[3].count() > 100
+    bare = spark.createDataFrame([(None, None, f"body {k}") for k in range(300)], "page_id long, url string, html string")
+    e, f = (fixity.tree(fixity.warc_records(x)) for x in (bare, bare.withColumn("html", F.expr("if(html = 'body 7', 'rot', html)"))))
+    assert sorted(r.status for r in fixity.audit(e, f).collect()) == ["extra", "missing"] and e[0].select("a").distinct().count() > 100
     none = fixity.tree(fixity.warc_records(empty(spark, "page_id long, url string, html string")))
     assert fixity.audit(none, none).count() == 0
 
 
+@pytest.mark.parametrize("change", ["altered", "missing", "extra"])
+def test_fixity_of_records_that_repeat_an_id(spark, change):
+    """Whatever an altered record hashes to, it alone is reported, however large the archive of its equals."""
+    schema = "page_id long, url string, html string"
+    rows = [(5, "u", f"body {k} " * 200) for k in range(400)] + [(5, "u", "twin")] * 3 + [(k, f"u{k}", "x" * k) for k in range(6, 60)]
+    for k in (0, 133, 399, 401):
+        other = list(rows)
+        if change == "altered":
+            other[k] = (5, "u", f"rot {k}")
+        elif change == "missing":
+            del other[k]
+        else:
+            other.append(rows[k])
+        a, b = (fixity.tree(fixity.warc_records(spark.createDataFrame(x, schema)), 1 << 14) for x in (rows, other))
+        assert [(r.record, r.status) for r in fixity.audit(a, b).collect()] == [(5, change)]
+
+
 # 2 --------------------------------------------------------------------------------------------
 
 def test_forward_sums_all_segmentations():
@@ -632,6 +652,20 @@ def test_texts_of_white_space_keep_their_rows(spark, odd):
     assert len(alike) == 1 and alike != {r.fingerprint for r in rows if r.doc_id == 24}
 
 
+def test_neighbours_stay_the_same_however_often_tasks_run(spark, docs, monkeypatch):
+    """Cuts are written once: the plan of the texts reads the documents once and takes no percentile, and runs again with equal rows."""
+    monkeypatch.setattr(cws, "BUCKET_BYTES", 20_000)
+    found = cws.with_next(docs.repartition(5))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "approx" not in plan
+    pick = lambda df: sorted((r.bucket, r.row, r.next_row, r.doc_id) for r in df.select("bucket", "row", "next_row", "doc_id").collect())
+    first = pick(found)
+    assert len({r[0] for r in first}) > 3 and len(first) == docs.count()
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    assert pick(found.repartition(2)) == first
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 # 10 -------------------------------------------------------------------------------------------
 
 def test_licences(spark, odd):
