@@ -9,7 +9,7 @@ as pages do: groups of about FAN pages of a host are folded in order of their co
 what results, until one is left, so a wrapper doesn't depend on how pages were partitioned.
 
 A slot of the wrapper is content or template. It is template where every page (without text apart) of
-at least CONSTANT_PAGES of the host (in articles MAIN_CONSTANT_PAGES) has the same text there; where texts stand in
+at least CONSTANT_PAGES of the host has the same text there, outside of articles; where texts stand in
 links alone on every page, in a list or a box outside of articles; and inside menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments, told by tag, or by a class, id or role
 made of template words alone. In pages with an article or main element only that counts. Pages are
@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from convlake.llm.common import discard, materialise
 
 WRAPPER_DEPTH = 100
-CONSTANT_PAGES, MAIN_CONSTANT_PAGES = 5, 20
+CONSTANT_PAGES = 5
 FAN = 256
 TABLE_CELLS = 1 << 22
 BROADCAST_BYTES = 32_000_000
@@ -303,7 +303,7 @@ def judged(wrapper: str) -> dict:
         out: dict = {}
         for label, least, most, content in items:
             if label == "#":
-                if constants and content and least and content[1] == pages >= (MAIN_CONSTANT_PAGES if in_main else CONSTANT_PAGES):
+                if constants and not in_main and content and least and content[1] == pages:
                     join(out, {"#": {content[0]: math.inf if again or most > 1 else 1}})
                 continue
             kind = _kind(label)

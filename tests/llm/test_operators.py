@@ -297,6 +297,14 @@ def test_wrappers(spark):
     assert shape[0] == ("p", 1, 2) and shape[-1] == ("i", 1, 1) and {("hr", 0, 1), ("b", 0, 1)} <= set(shape)
 
 
+@pytest.mark.parametrize("n", [3, 19, 25, 60])
+def test_articles_keep_what_all_of_them_say(spark, n):
+    page = "<body><p>Site</p><article><h1>T{k}</h1><h2>Summary</h2><p>Text {k} of it</p></article><p>Site</p></body>"
+    rows = spark.createDataFrame([(k, f"http://h.org/{k}", page.format(k=k)) for k in range(n)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(rows).collect()}
+    assert got == {k: f"T{k}\nSummary\nText {k} of it" for k in range(n)}
+
+
 def test_only_what_all_pages_have_is_constant(spark):
     def texts(pages):
         df = spark.createDataFrame([(k, "http://h.org/", p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
@@ -366,8 +374,10 @@ def test_wrappers_decide_whatever_the_partitioning(spark, monkeypatch):
             inner = f"<p class='s'>{shared[0]}</p>" + "".join(parts) + f"<p class='t'>{shared[1]}</p>"
             page = f"<html><body><nav>{menu}</nav><div class='x'>{shared[2]}</div>{menu}{box}<{shell}>{inner}</{shell.split()[0]}><div class='ad'>{line()}</div><footer>{line()}</footer></body></html>"
             rows.append((len(rows), f"http://h{host}.org/{k}", page))
-            want[len(rows) - 1], bare[len(rows) - 1] = "\n".join(blocks), wrappers.extract(page, None)
-    assert all(bare[k] != want[k] for k in want)  # without the wrapper the shared lines stay
+            # What all pages say is template outside of articles, and article inside.
+            said = [shared[0], *blocks, shared[1]] if host % 2 else blocks
+            want[len(rows) - 1], bare[len(rows) - 1] = "\n".join(said), wrappers.extract(page, None)
+    assert all((bare[k] != want[k]) == (k < 40 or 80 <= k < 120) for k in want)  # without the wrapper the shared lines stay
     monkeypatch.setattr(wrappers, "FAN", 7)
     for parts in (1, 3, 11):
         pages = spark.createDataFrame(rnd.sample(rows, len(rows)), "page_id long, url string, html string").repartition(parts)
