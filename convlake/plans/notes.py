@@ -99,6 +99,14 @@ def n14(lines, documents):
     return notes.meeting_chapters(final, _topics(lines, documents))
 
 
-@query("n15_condense_groups", ("segments_fx",), None)
+@query("n15_condense_groups", ("segments_fx",), """WITH RECURSIVE st AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY meeting_id) AS whole, count(*) OVER (PARTITION BY meeting_id) AS n, row_number() OVER (PARTITION BY meeting_id ORDER BY part) AS k
+  FROM (SELECT meeting_id, idx AS part, length(text) // 4 AS tokens FROM segments_fx)
+), big AS MATERIALIZED (SELECT * FROM st WHERE whole > 400 AND n > 1), pk AS (
+  SELECT meeting_id, part, k, 0::BIGINT AS g, tokens AS used FROM big WHERE k = 1
+  UNION ALL
+  SELECT b.meeting_id, b.part, b.k, CASE WHEN used + b.tokens > 320 THEN g + 1 ELSE g END, CASE WHEN used + b.tokens > 320 THEN b.tokens ELSE used + b.tokens END
+  FROM pk JOIN big b ON b.meeting_id = pk.meeting_id AND b.k = pk.k + 1
+) SELECT meeting_id, part, CASE WHEN max(g) OVER (PARTITION BY meeting_id) + 1 = count(*) OVER (PARTITION BY meeting_id) THEN (k - 1) // 2 ELSE g END AS "group" FROM pk""")
 def n15(segments):
     return notes.condense_groups(segments.selectExpr("meeting_id", "idx AS part", "cast(length(text) div 4 AS bigint) AS tokens"), 400)

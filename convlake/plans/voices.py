@@ -109,6 +109,17 @@ def l8(samples):
     return rounded(speakers.match_scores(_probes(samples), samples, keep=8), "score")
 
 
-@query("l9_recognise", ("samples_fx",), None)
+# Every way to deal people to the voices of a meeting; the one with the greatest total counts.
+@query("l9_recognise", ("samples_fx",), f"""WITH RECURSIVE {PROBES}, vo AS (
+  SELECT meeting_id, key, row_number() OVER (PARTITION BY meeting_id ORDER BY key) AS i, count(*) OVER (PARTITION BY meeting_id) AS m FROM (SELECT DISTINCT meeting_id, key FROM sc)
+), p AS MATERIALIZED (SELECT meeting_id, key, i, m, speaker_id, score FROM vo JOIN sc USING (meeting_id, key)), cb AS (
+  SELECT meeting_id, i, m, [speaker_id] AS who, score AS total FROM p WHERE i = 1
+  UNION ALL
+  SELECT cb.meeting_id, p.i, cb.m, list_append(who, p.speaker_id), total + p.score FROM cb JOIN p ON p.meeting_id = cb.meeting_id AND p.i = cb.i + 1 AND NOT list_contains(who, p.speaker_id)
+), be AS (SELECT meeting_id, arg_max(who, total) AS who FROM cb WHERE i = m GROUP BY 1), r AS (
+  SELECT p.meeting_id, p.key, p.speaker_id AS person, p.score, (SELECT max(q.score) FROM p q WHERE q.meeting_id = p.meeting_id AND q.i = p.i AND q.speaker_id <> p.speaker_id) AS next
+  FROM p JOIN be ON be.meeting_id = p.meeting_id AND be.who[p.i] = p.speaker_id
+), s2 AS (SELECT *, CASE WHEN score >= 0.62 AND score - next >= 0.05 THEN 'auto' WHEN score >= 0.48 THEN 'suggested' ELSE 'unknown' END AS status FROM r)
+SELECT meeting_id, key, status, round(score, 3) AS confidence, CASE WHEN status = 'auto' THEN person END AS speaker_id, CASE WHEN status = 'suggested' THEN person END AS suggested_id FROM s2""")
 def l9(samples):
     return speakers.recognise(speakers.match_scores(_probes(samples), samples)).withColumn("confidence", F.round("confidence", 3))
