@@ -17,29 +17,55 @@ def _named(words, turns):
     return flat.join(align.fill_gaps(align.assign_speakers(flat, turns)), ["meeting_id", "n"]).selectExpr("meeting_id", "n", "text", "start_ms", "end_ms", "coalesce(speaker, 'S1') AS speaker")
 
 
-@query("t5_smooth_speakers", ("words_fx", "turns_fx"), None)
+ENDS = "right(trim({t}), 1) IN ('.', '?', '!', '…', '。', '？', '！')"
+
+# Runs in order, each seeing what became of the one before; then words in order, with the four words around a change as state.
+SMOOTHED = f"""{FILLED}, we AS (SELECT *, {ENDS.format(t="text")} AS e FROM nw), rw AS (
+  SELECT *, sum(c) OVER (PARTITION BY meeting_id ORDER BY n) AS r FROM (SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY meeting_id ORDER BY n) THEN 0 ELSE 1 END AS c FROM we)
+), ru AS MATERIALIZED (
+  SELECT *, lag(e_last) OVER (PARTITION BY meeting_id ORDER BY r) AS e_before, lead(speaker) OVER (PARTITION BY meeting_id ORDER BY r) AS after FROM (
+    SELECT meeting_id, r, speaker, count(*) AS words, arg_max(end_ms, n) - arg_min(start_ms, n) AS ms, arg_max(e, n) AS e_last FROM rw GROUP BY 1, 2, 3)
+), un AS (
+  SELECT meeting_id, r, speaker AS now FROM ru WHERE r = 1
+  UNION ALL
+  SELECT ru.meeting_id, ru.r, CASE WHEN words <= 2 AND ms < 1000 AND after = now AND now <> speaker AND NOT e_before AND NOT e_last THEN now ELSE speaker END FROM un JOIN ru ON ru.meeting_id = un.meeting_id AND ru.r = un.r + 1
+), x AS MATERIALIZED (
+  SELECT meeting_id, n AS k, now, e, lag(e, 1) OVER w AS e1, lag(e, 2) OVER w AS e2, lag(e, 3) OVER w AS e3, lead(e) OVER w AS f1, lead(now) OVER w AS w1, count(*) OVER (PARTITION BY meeting_id) AS last
+  FROM rw JOIN un USING (meeting_id, r) WINDOW w AS (PARTITION BY meeting_id ORDER BY n)
+), sn AS (
+  SELECT meeting_id, k, last, NULL::VARCHAR AS a, NULL::VARCHAR AS b, now AS c, w1 AS d FROM x WHERE k = 1
+  UNION ALL
+  SELECT meeting_id, k, last, CASE WHEN how = 2 THEN c ELSE a END, CASE WHEN how IN (1, 2) THEN c ELSE b END, CASE WHEN how IN (3, 4) THEN b ELSE c END, CASE WHEN how = 4 THEN b ELSE d END FROM (
+    SELECT *, CASE WHEN c = b OR e1 THEN 0 WHEN k > 2 AND e2 THEN 1 WHEN k > 3 AND a = b AND e3 AND NOT e2 THEN 2 WHEN k < last AND e THEN 3 WHEN k + 1 < last AND c = d AND f1 AND NOT e THEN 4 ELSE 0 END AS how
+    FROM (SELECT x.meeting_id, x.k, x.last, sn.b AS a, sn.c AS b, sn.d AS c, x.w1 AS d, e, e1, e2, e3, f1 FROM sn JOIN x ON x.meeting_id = sn.meeting_id AND x.k = sn.k + 1))
+), sm AS MATERIALIZED (
+  SELECT meeting_id, k - 2 AS n, a AS speaker FROM sn WHERE k > 2 UNION ALL SELECT meeting_id, k - 1, b FROM sn WHERE k = last AND k > 1 UNION ALL SELECT meeting_id, k, c FROM sn WHERE k = last)"""
+
+
+@query("t5_smooth_speakers", ("words_fx", "turns_fx"), f"WITH RECURSIVE {SMOOTHED} SELECT * FROM sm")
 def t5(words, turns):
     return align.smooth_speakers(_named(words, turns)).select("meeting_id", "n", "speaker")
 
 
-ENDS = "right(trim({t}), 1) IN ('.', '?', '!', '…', '。', '？', '！')"
-
 
-@query("t6_build_utterances", ("words_fx", "turns_fx"), f"""WITH RECURSIVE {FILLED}, ut AS (
-  SELECT meeting_id, n, speaker, text, start_ms AS us, end_ms AS ue, 1 AS u FROM nw WHERE n = 1
+UTTERANCES = f"""ut AS (
+  SELECT meeting_id, n, speaker, text, start_ms AS us, end_ms AS ue, 1 AS u FROM sw WHERE n = 1
   UNION ALL
   SELECT meeting_id, n, speaker, text, CASE WHEN new THEN start_ms ELSE us END, CASE WHEN new THEN end_ms ELSE greatest(ue, end_ms) END, CASE WHEN new THEN u + 1 ELSE u END FROM (
     SELECT w.*, us, ue, u, w.speaker <> ut.speaker OR start_ms - ue > 4000 OR (start_ms - ue > 1500 AND ({ENDS.format(t='ut.text')} OR right(trim(ut.text), 1) = ','))
            OR (ue - us > 45000 AND {ENDS.format(t='ut.text')}) AS new
-    FROM ut JOIN nw w ON w.meeting_id = ut.meeting_id AND w.n = ut.n + 1)
+    FROM ut JOIN sw w ON w.meeting_id = ut.meeting_id AND w.n = ut.n + 1)
 ), jo AS (
   SELECT meeting_id, u, speaker, min(us) AS start_ms, max(ue) AS end_ms, trim(string_agg(text, '' ORDER BY n)) AS text FROM ut GROUP BY ALL
-) SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY u) - 1 AS idx, speaker, start_ms, end_ms, text FROM jo WHERE text <> ''""")
+) SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY u) - 1 AS idx, speaker, start_ms, end_ms, text FROM jo WHERE text <> ''"""
+
+
+@query("t6_build_utterances", ("words_fx", "turns_fx"), f"WITH RECURSIVE {FILLED}, sw AS (SELECT * FROM nw), {UTTERANCES}")
 def t6(words, turns):
     return align.build_utterances(_named(words, turns))
 
 
-@query("t7_align", ("words_fx", "turns_fx"), None)
+@query("t7_align", ("words_fx", "turns_fx"), f"WITH RECURSIVE {SMOOTHED}, sw AS MATERIALIZED (SELECT nw.* REPLACE (sm.speaker AS speaker) FROM nw JOIN sm USING (meeting_id, n)), {UTTERANCES}")
 def t7(words, turns):
     return align.align(words, turns)
 
