@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,25 +84,80 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime")
 
 
-def write_by_meeting(rows: DataFrame, path: str, buckets: int = 256) -> None:
-    """S9. Replaces the given meetings' rows in a table kept in buckets of meeting_id and leaves all other meetings as they are. The
-    buckets that change are written beside the old ones, then swapped in: a table is never read and overwritten in one job."""
-    spark = rows.sparkSession
-    new = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(meeting_id), {buckets})"))
-    try:
-        old = spark.read.schema(new.schema).parquet(path)
-    except AnalysisException as gone:  # no table yet
-        if "PATH_NOT_FOUND" not in str(gone):
-            raise
-        new.repartition("bucket").write.partitionBy("bucket").parquet(path)
-        return
-    touched, meetings = new.select("bucket").distinct(), new.select("meeting_id").distinct()
-    kept = old.join(touched, "bucket", "left_semi").join(meetings, "meeting_id", "left_anti")
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    kept.select(*new.columns).unionByName(new).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
-    spark.read.schema(old.schema).parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+BUCKET_ROWS = 1_000_000
+STATES = "bucket int, version long, buckets int"
+
+
+def _children(spark: SparkSession, folder: str) -> list[int]:
+    """The numbered folders in a folder that a job finished writing."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [f.getPath() for f in fs.listStatus(path)]
+    return sorted(int(f.getName()) for f in found if f.getName().isdigit() and fs.exists(sc._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+
+def _state(spark: SparkSession, path: str, version: int) -> list:
+    """(bucket, version, buckets) of a state of the table: which version of each bucket holds. A row per bucket."""
+    return spark.read.schema(STATES).parquet(f"{path}/states/{version}").collect()
 
 
-def read_by_meeting(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """S8. A table of windows, vectors or segments as write_by_meeting keeps it; a table that may be without rows needs its schema."""
-    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path).drop("bucket")
+def _folders(path: str, state: list, buckets: set[int] | None = None) -> list[str]:
+    return [f"{path}/rows/{r['version']}/bucket={r['bucket']}" for r in state if r["version"] is not None and (buckets is None or r["bucket"] in buckets)]
+
+
+def _bucket(buckets: int):
+    return F.expr(f"cast(pmod(xxhash64(meeting_id), {buckets}) AS int)")
+
+
+def write_by_meeting(rows: DataFrame, path: str, buckets: int | None = None) -> None:
+    """S9. Replaces the given meetings' rows in a table kept in buckets of meeting_id and leaves all other meetings as they are.
+
+    Buckets that change are written once, into folders of a new version; then the new state of the table, which says what version of each
+    bucket holds, is written as one more folder. Readers take the last finished state, so they see all of a change or nothing, and a
+    job that dies leaves the table as it was. Two writers at once: the second fails. `clear_states` removes what no reader needs.
+    The first rows set the number of buckets, four for each BUCKET_ROWS of them, unless it is given. No rows change nothing."""
+    spark, path = rows.sparkSession, path.rstrip("/")
+    known = _children(spark, f"{path}/states")
+    state = _state(spark, path, known[-1]) if known else []
+    version = known[-1] + 1 if known else 0
+    count = state[0]["buckets"] if state else buckets or 4 * max(1, -(-rows.count() // BUCKET_ROWS))
+    new = rows.withColumn("bucket", _bucket(count))
+    touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}
+    if known and not touched:
+        return
+    old = _folders(path, state, touched)
+    whole = new
+    if old:
+        kept = spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(*old).join(rows.select("meeting_id").distinct(), "meeting_id", "left_anti")
+        whole = kept.select(*rows.columns).withColumn("bucket", _bucket(count)).unionByName(new)
+    whole.repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/rows/{version}")
+    held = {b: None for b in range(count)} | {r["bucket"]: r["version"] for r in state} | {b: version for b in touched}
+    spark.createDataFrame([(b, v, count) for b, v in held.items()], STATES).coalesce(1).write.parquet(f"{path}/states/{version}")
+
+
+def read_by_meeting(spark: SparkSession, path: str, schema: T.StructType, meetings: list | None = None) -> DataFrame:
+    """S8. A table of windows, vectors or segments as write_by_meeting keeps it; of `meetings` alone, only their buckets are read."""
+    path = path.rstrip("/")
+    known = _children(spark, f"{path}/states")
+    state = _state(spark, path, known[-1]) if known else []
+    only = None
+    if meetings is not None and state:
+        asked = spark.createDataFrame([(m,) for m in meetings], T.StructType([schema["meeting_id"]]))
+        only = {r["b"] for r in asked.select(_bucket(state[0]["buckets"]).alias("b")).distinct().collect()}
+    folders = _folders(path, state, only)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    return rows if meetings is None else rows.where(F.col("meeting_id").isin(meetings))
+
+
+def clear_states(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """S9. Removes all states but the last `keep`, and the rows that only those removed had: readers of older states must be done."""
+    path, sc = path.rstrip("/"), spark.sparkContext
+    known = _children(spark, f"{path}/states")
+    needed = {folder for v in known[-keep:] for folder in _folders(path, _state(spark, path, v))}
+    gone = {folder for v in known[:-keep] for folder in _folders(path, _state(spark, path, v))} - needed
+    for folder in [*(f"{path}/states/{v}" for v in known[:-keep]), *sorted(gone)]:
+        at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

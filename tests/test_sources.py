@@ -16,10 +16,24 @@ def test_transcripts_and_turns(spark, tmp_path):
 
 
 def test_write_by_meeting(spark, tmp_path):
-    path, schema = str(tmp_path / "table"), "meeting_id string, x long"
-    tables.write_by_meeting(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], schema), path, 2)
-    tables.write_by_meeting(spark.createDataFrame([("a", 9), ("d", 5)], schema), path, 2)
-    assert sorted((r["meeting_id"], r["x"]) for r in tables.read_by_meeting(spark, path).collect()) == [("a", 9), ("b", 3), ("c", 4), ("d", 5)]
+    path, rows = str(tmp_path / "t"), spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "meeting_id string, x long")
+    held = lambda **k: sorted((r["meeting_id"], r["x"]) for r in tables.read_by_meeting(spark, path, rows.schema, **k).collect())
+    assert held() == []
+    tables.write_by_meeting(rows, path, 2)
+    before = tables.read_by_meeting(spark, path, rows.schema)
+    tables.write_by_meeting(spark.createDataFrame([("a", 9), ("d", 5)], rows.schema), path)
+    tables.write_by_meeting(rows.limit(0), path)
+    assert held() == [("a", 9), ("b", 3), ("c", 4), ("d", 5)] and held(meetings=["a", "zz"]) == [("a", 9)]
+    assert before.count() == 4  # who read before the change still sees what was
+    # A writer that died: rows without a state, and a state that was not finished.
+    spark.createDataFrame([("a", 0, 0)], "meeting_id string, x long, bucket int").write.partitionBy("bucket").parquet(f"{path}/rows/2")
+    (tmp_path / "t" / "states" / "2").mkdir()
+    assert held() == [("a", 9), ("b", 3), ("c", 4), ("d", 5)]
+    (tmp_path / "t" / "states" / "2").rmdir()
+    tables.write_by_meeting(spark.createDataFrame([("a", 8)], rows.schema), path)
+    assert held() == [("a", 8), ("b", 3), ("c", 4), ("d", 5)]
+    tables.clear_states(spark, path, 1)
+    assert held() == [("a", 8), ("b", 3), ("c", 4), ("d", 5)] and [p.name for p in (tmp_path / "t" / "states").iterdir()] == ["2"]
 
 
 def test_codec_nulls(spark):
