@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlake.functions.ordered import in_order
+from convlake.functions.written import written
 
 LOOK_BACK = 12
 NEAR_MS = 2000
@@ -127,14 +128,16 @@ def _chunks(words: DataFrame, cut: str, size: int) -> DataFrame:
     """Words with their place r in the meeting and a `chunk`: a new one begins at the first word of each `size` words where `cut` holds,
     not in the last 2 * AROUND of them, so that two borders lie as far apart."""
     rows = words.selectExpr("*", f"row_number() OVER ({ORDER}) AS r", f"coalesce({cut}, false) AS cut")
-    rows = rows.withColumn("cut", F.expr(f"cut AND r % {size} < {max(1, size - 2 * AROUND)}"))
-    rows = rows.withColumn("border", F.expr(f"cut AND count_if(cut) OVER (PARTITION BY meeting_id, r div {size} ORDER BY r ROWS UNBOUNDED PRECEDING) = 1"))
-    return rows.withColumn("chunk", F.expr("count_if(border) OVER (PARTITION BY meeting_id ORDER BY r ROWS UNBOUNDED PRECEDING)"))
+    rows = rows.withColumn("cut", F.expr(f"cut AND r >= {size} AND r % {size} < {max(1, size - 2 * AROUND)}"))
+    # All windows have one order, so the words of a meeting are sorted once.
+    last = f"max(if(cut, r div {size}, 0)) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    rows = rows.withColumn("border", F.expr(f"cut AND coalesce({last}, 0) < r div {size}"))
+    return rows.withColumn("chunk", F.expr(f"count_if(border) OVER ({ORDER} ROWS UNBOUNDED PRECEDING)"))
 
 
 def _smoothed(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows are (meeting_id, chunk, r, n, text, start_ms, end_ms, speaker, own)."""
-    words = ((m, n, text, start, end, speaker, own) for m, _, _, n, text, start, end, speaker, own in rows)
+    """Rows are (meeting_id, chunk, r, n, text, start_ms, end_ms, speaker, own, ..)."""
+    words = ((m, n, text, start, end, speaker, own) for m, _, _, n, text, start, end, speaker, own, *_ in rows)
     for row, _, speaker in _snap_changes(_undo_switches(words)):
         if row[6]:
             yield *row[:5], speaker
@@ -143,6 +146,22 @@ def _smoothed(rows: Iterator[tuple]) -> Iterator[tuple]:
 WORDS_SCHEMA = "n long, text string, start_ms long, end_ms long, speaker string"
 
 
+def _overlapping(words: DataFrame, size: int) -> DataFrame:
+    """Words by chunk (meeting_id, chunk, r, n, text, start_ms, end_ms, speaker, own, whole), with those of its neighbours that a chunk sees (not
+    its own). `whole` tells that the meeting is one chunk."""
+    rows = words.select("meeting_id", "n", "text", "start_ms", "end_ms", "speaker")
+    near = f"OVER ({ORDER} ROWS BETWEEN {AROUND} PRECEDING AND {AROUND - 1} FOLLOWING)"
+    same = f"count(*) {near} = {2 * AROUND} AND count(speaker) {near} = {2 * AROUND} AND min(speaker) {near} = max(speaker) {near}"
+    rows = _chunks(rows, same, max(size, 3 * AROUND))
+    by = f"OVER ({ORDER} ROWS BETWEEN {{}} AND {{}})"
+    ahead = f"max(if(border, chunk, NULL)) {by.format('1 FOLLOWING', f'{AROUND} FOLLOWING')}"
+    behind = f"max(if(border, chunk, NULL)) {by.format(f'{AROUND - 1} PRECEDING', 'CURRENT ROW')} - 1"
+    seen = f"filter(array(struct(chunk AS c, true AS own), struct({ahead} AS c, false AS own), struct({behind} AS c, false AS own)), x -> x.c IS NOT NULL)"
+    rows = rows.selectExpr("*", f"{seen} AS seen", "NOT bool_or(border) OVER (PARTITION BY meeting_id) AS whole")
+    rows = rows.selectExpr("meeting_id", "r", "n", "text", "start_ms", "end_ms", "speaker", "whole", "explode(seen) AS x")
+    return rows.selectExpr("meeting_id", "x.c AS chunk", "r", "n", "text", "start_ms", "end_ms", "speaker", "x.own AS own", "whole")
+
+
 def smooth_speakers(words: DataFrame, size: int = CHUNK_WORDS) -> DataFrame:
     """T5. Words (meeting_id, n, text, start_ms, end_ms, speaker) without switches of one or two words inside a
     sentence, and with changes that are one or two words off the end of a sentence moved there. Later decisions see
@@ -152,17 +171,7 @@ def smooth_speakers(words: DataFrame, size: int = CHUNK_WORDS) -> DataFrame:
     decision is felt, as switches have two words and changes move by two. Chunks see 8 words of their neighbours. Without such a run a
     chunk goes on."""
     kind = words.schema["meeting_id"].dataType.simpleString()
-    rows = words.select("meeting_id", "n", "text", "start_ms", "end_ms", "speaker")
-    near = f"OVER ({ORDER} ROWS BETWEEN {AROUND} PRECEDING AND {AROUND - 1} FOLLOWING)"
-    same = f"count(*) {near} = {2 * AROUND} AND count(speaker) {near} = {2 * AROUND} AND min(speaker) {near} = max(speaker) {near}"
-    rows = _chunks(rows, same, max(size, 3 * AROUND))
-    by = "OVER (PARTITION BY meeting_id ORDER BY r ROWS BETWEEN {} AND {})"
-    ahead = f"max(if(border, chunk, NULL)) {by.format('1 FOLLOWING', f'{AROUND} FOLLOWING')}"
-    behind = f"max(if(border, chunk, NULL)) {by.format(f'{AROUND - 1} PRECEDING', 'CURRENT ROW')} - 1"
-    rows = rows.selectExpr("*", f"filter(array(struct(chunk AS c, true AS own), struct({ahead} AS c, false AS own), struct({behind} AS c, false AS own)), x -> x.c IS NOT NULL) AS seen")
-    rows = rows.selectExpr("meeting_id", "r", "n", "text", "start_ms", "end_ms", "speaker", "explode(seen) AS x")
-    rows = rows.selectExpr("meeting_id", "x.c AS chunk", "r", "n", "text", "start_ms", "end_ms", "speaker", "x.own AS own")
-    return in_order(rows, ["meeting_id", "chunk"], ["r"], _smoothed, f"meeting_id {kind}, {WORDS_SCHEMA}")
+    return in_order(_overlapping(words, size), ["meeting_id", "chunk"], ["r"], _smoothed, f"meeting_id {kind}, {WORDS_SCHEMA}")
 
 
 def _utterances(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -178,6 +187,15 @@ def _utterances(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield meeting, *row, chunk, number
 
 
+def _smoothed_and_numbered(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Smoothed words, with utterances where the chunk is a whole meeting."""
+    first = next(rows)
+    smooth = _smoothed(chain([first], rows))
+    if first[9]:
+        return _utterances((row[0], 0, 0, *row[1:]) for row in smooth)
+    return ((*row, None, None) for row in smooth)
+
+
 def _numbered(words: DataFrame, size: int) -> DataFrame:
     """Words with their utterance, as chunk and number in it. Where the speaker changes, or all that was said before is over for 4 s, a
     new utterance begins whatever came before: there chunks of about `size` words are cut."""
@@ -204,10 +222,13 @@ def build_utterances(words: DataFrame, size: int = CHUNK_WORDS) -> DataFrame:
 
 
 def align(words: DataFrame, turns: DataFrame, alone: str = "S1", size: int = CHUNK_WORDS) -> DataFrame:
-    """T7. Segments of words and turns. Meetings without turns have one speaker, `alone`. Changes are smoothed and
-    utterances numbered in chunks of about `size` words."""
+    """T7. Segments of words and turns. Meetings without turns have one speaker, `alone`. Changes are smoothed in chunks of about `size`
+    words; a meeting of one chunk gets its utterances in the same pass, a longer one in a second, with chunks of its own."""
     named = _filled(_with_speakers(flatten_words(words), turns)).withColumn("speaker", F.coalesce("speaker", F.lit(alone)))
-    return _segments(_numbered(smooth_speakers(named, size), size))
+    kind, schema = words.schema["meeting_id"].dataType.simpleString(), f"{WORDS_SCHEMA}, chunk long, utterance long"
+    done = written(in_order(_overlapping(named, size), ["meeting_id", "chunk"], ["r"], _smoothed_and_numbered, f"meeting_id {kind}, {schema}"), "smoothed-words")
+    long = _numbered(done.where("utterance IS NULL"), size)
+    return _segments(done.where("utterance IS NOT NULL").unionByName(long))
 
 
 def rebuild_segments(segments: DataFrame, meeting_speakers: DataFrame, turns: DataFrame) -> DataFrame:

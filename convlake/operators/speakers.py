@@ -185,7 +185,7 @@ def auto_learn(matches: DataFrame, auto: float, margin: float = 0.08) -> DataFra
 
 
 BLOCK_BYTES, PIECE_VISITS, PROBES_AT_ONCE = 64_000_000, 20_000, 256
-MOST_BLOCKS = 4096
+MOST_BLOCKS, FEW_PEOPLE = 4096, 100
 BY_CENTROID, BY_SAMPLES, BEST_SAMPLES = 0.6, 0.4, 3
 MOST_SAMPLES = 40
 SLACK = 1e-9  # of bounds, for rounding
@@ -212,11 +212,12 @@ def _best_mean(sims: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndar
 def voice_blocks(samples: DataFrame, model: str = "cur", blocks: int | None = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, pd.DataFrame, np.ndarray]:
     """People by block: (a written table of speaker_id, block, v; of each block its pivot, people, and the widest angles from the pivot to
     their centroids and to their samples; the pivots). Pivots are centroids of people drawn by hash, twice the root of their number (MOST_BLOCKS at
-    most); a person is in the block of the nearest pivot, blocks of over block_bytes are cut by hash."""
+    most; up to FEW_PEOPLE are one block, as nothing is won there); a person is in the block of the nearest pivot, blocks of over block_bytes
+    are cut by hash."""
     own = samples.where((F.col("model") == model) & F.col("embedding").isNotNull()).select("speaker_id", unit("embedding").alias("v"))
     known = written(profiles(samples.where("embedding IS NOT NULL"), model).select("speaker_id", "n", "centroid"), "voice-profiles")
     people = known.count()
-    wanted = blocks or max(1, min(MOST_BLOCKS, int(np.ceil(2 * np.sqrt(people)))))
+    wanted = blocks or (1 if people <= FEW_PEOPLE else min(MOST_BLOCKS, int(np.ceil(2 * np.sqrt(people)))))
     drawn = known.orderBy(F.xxhash64("speaker_id"), "speaker_id").limit(wanted).collect()  # MOST_BLOCKS at most
     pivots = np.array([r["centroid"] for r in drawn], dtype=np.float64).reshape(len(drawn), len(drawn[0]["centroid"]) if drawn else 0)
     kind = samples.schema["speaker_id"].dataType.simpleString()
@@ -313,6 +314,9 @@ def match_scores(voiceprints: DataFrame, samples: DataFrame, model: str = "cur",
 
     early = written(rows.mapInPandas(visits(True), visit), "voice-visits")
     found = written(_scored(early, people, keep, schema, piece), "voice-scores")
+    if len(about) == 1:
+        counted is not None and counted.extend([int(sizes.sum()) * rows.count()] * 2)
+        return found
     # Fewer than `keep` people in all: nobody may be skipped.
     least = found.groupBy("meeting_id", "key").agg(F.expr(f"coalesce(get(sort_array(collect_list(score), false), {keep - 1}), -2D)").alias("least"))
     late = written(rows.join(least, ["meeting_id", "key"]).mapInPandas(visits(False), visit), "voice-visits")

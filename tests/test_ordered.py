@@ -2,6 +2,7 @@
 
 import random
 
+from convlake.fixtures import load
 from convlake.operators import align
 from convlake.sources import exports
 
@@ -121,3 +122,10 @@ def test_a_long_meeting_in_chunks_of_any_size(spark):
         assert found == utterances
     cut = align._chunks(words, "n % 2 = 0", 50).groupBy("meeting_id", "chunk").count()
     assert cut.count() > 90
+
+
+def test_meetings_of_one_chunk_and_of_many_align_alike(spark):
+    words, turns = (load(spark, "/root/testdata/sf0.001", name) for name in ("words_fx", "turns_fx"))
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    want = rows(align.align(words, turns))
+    assert rows(align.align(words, turns, size=50)) == want and len(want) > 100
