@@ -41,8 +41,8 @@ SHIFT = 24  # a pair is the id of A, shifted, and the id of B
 PAIR_BITS = 48  # of a pair; above them a text's place in a group
 CHUNK_BYTES = 32_768
 FAN = 8
-GROUP = 256  # documents whose rows are held at once
-CACHE_UNITS, CACHE_LETTERS = 400_000, 20_000_000
+GROUP = 128  # documents whose rows are held at once
+CACHE_UNITS, CACHE_LETTERS, LEARN_UNITS = 250_000, 10_000_000, 20_000
 BROADCAST_PAIRS = 1_000_000
 NONE = np.empty(0, np.int64)
 
@@ -245,7 +245,9 @@ class Aligner:
             self.forget()
             new = {u for t in texts for u in t}
         self.letters += sum(map(len, new))
-        self.learn(sorted(new))
+        order = sorted(new)
+        for k in range(0, len(order), LEARN_UNITS):
+            self.learn(order[k : k + LEARN_UNITS])
         return [list(map(self.number.__getitem__, t)) for t in texts]
 
     def closed(self, texts: list[list[int]]) -> list[tuple[Closed, int, int] | None]:
@@ -376,29 +378,31 @@ def align(df: DataFrame, id: str = "doc_id", text: str = "text", side_a: str = S
                 f = Fragment(Open(), ok=False, cut=True) if MARK.encode() in r["raw"] else made.ranged(*(r[c] for c in ("raw", "at", "a_from", "a_to", "b_from", "b_to")))
                 yield _batch([_row(r["uid"], r["doc_id"], r["no"], r["chunks"], f)], FRAGMENTS)
 
-    def joined(few: pa.Table) -> pa.Table:
+    def joined(few: pa.Table, last: bool) -> pa.Table:
+        """One fragment of up to FAN neighbours; in the last round the document's row."""
         made = aligner(side_a, side_b)
         found = sorted(few.to_pylist(), key=lambda r: r["no"])
-        f = reduce(made.compose, map(_unrow, found))
-        return pa.Table.from_batches([_batch([_row(found[0]["uid"], found[0]["doc_id"], found[0]["no"] // FAN, -(-found[0]["chunks"] // FAN), f)], FRAGMENTS)])
+        first, f = found[0], reduce(made.compose, map(_unrow, found))
+        if last:
+            closed = made.finish(f)
+            return pa.Table.from_batches([_batch([_judged(first["uid"], first["doc_id"], closed and (closed, f.n_a, f.n_b), with_groups)], schema)])
+        return pa.Table.from_batches([_batch([_row(first["uid"], first["doc_id"], first["no"] // FAN, -(-first["chunks"] // FAN), f)], FRAGMENTS)])
 
-    def ended(batches):
-        made = aligner(side_a, side_b)
-        for batch in batches:
-            for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-                f = _unrow(r)
-                closed = made.finish(f)
-                yield _batch([_judged(r["uid"], r["doc_id"], closed and (closed, f.n_a, f.n_b), with_groups)], schema)
+    def step(last: bool):
+        return lambda few: joined(few, last)
 
     chunks = materialise(rows.where(long).mapInArrow(cut, CHUNKS), "align-chunks")
     size = chunks.agg(F.max("chunks"), F.sum(F.octet_length("raw"))).first()
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, (size[1] or 0) // 4_000_000)
     pieces = chunks.repartition(tasks, "uid", "no").mapInArrow(fragments, FRAGMENTS)
-    left = size[0] or 1
+    short = rows.where(~long).mapInArrow(whole, schema)
+    if not size[0]:
+        return materialise(short, "aligned")
+    left = size[0]
     while left > 1:
-        pieces = pieces.groupBy("uid", F.expr(f"no div {FAN}").alias("node")).applyInArrow(lambda few: joined(few), FRAGMENTS)
-        left = -(-left // FAN)
-    return materialise(rows.where(~long).mapInArrow(whole, schema).unionByName(pieces.mapInArrow(ended, schema)), "aligned")
+        last, left = left <= FAN, -(-left // FAN)
+        pieces = pieces.groupBy("uid", F.expr(f"no div {FAN}").alias("node")).applyInArrow(step(last), schema if last else FRAGMENTS)
+    return materialise(short.unionByName(pieces), "aligned")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
