@@ -125,9 +125,9 @@ ORDER = "PARTITION BY meeting_id ORDER BY n, start_ms"
 
 
 def _chunks(words: DataFrame, cut: str, size: int) -> DataFrame:
-    """Words with their place r in the meeting and a `chunk`: a new one begins at the first word of each `size` words where `cut` holds,
+    """Words, with their place r in the meeting, and a `chunk`: a new one begins at the first word of each `size` words where `cut` holds,
     not in the last 2 * AROUND of them, so that two borders lie as far apart."""
-    rows = words.selectExpr("*", f"row_number() OVER ({ORDER}) AS r", f"coalesce({cut}, false) AS cut")
+    rows = words.selectExpr("*", f"coalesce({cut}, false) AS cut")
     rows = rows.withColumn("cut", F.expr(f"cut AND r >= {size} AND r % {size} < {max(1, size - 2 * AROUND)}"))
     # All windows have one order, so the words of a meeting are sorted once.
     last = f"max(if(cut, r div {size}, 0)) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -150,12 +150,12 @@ def _overlapping(words: DataFrame, size: int) -> DataFrame:
     """Words by chunk (meeting_id, chunk, r, n, text, start_ms, end_ms, speaker, own, whole), with those of its neighbours that a chunk sees (not
     its own). `whole` tells that the meeting is one chunk."""
     rows = words.select("meeting_id", "n", "text", "start_ms", "end_ms", "speaker")
-    near = f"OVER ({ORDER} ROWS BETWEEN {AROUND} PRECEDING AND {AROUND - 1} FOLLOWING)"
-    same = f"count(*) {near} = {2 * AROUND} AND count(speaker) {near} = {2 * AROUND} AND min(speaker) {near} = max(speaker) {near}"
+    rows = rows.selectExpr("*", f"row_number() OVER ({ORDER}) AS r", f"NOT speaker <=> lag(speaker) OVER ({ORDER}) AS change")
+    rows = rows.withColumn("run", F.expr(f"max(if(change, r, 0)) OVER ({ORDER} ROWS UNBOUNDED PRECEDING)"))
+    same = f"speaker IS NOT NULL AND r - run >= {AROUND} AND lead(run, {AROUND - 1}) OVER ({ORDER}) = run"
     rows = _chunks(rows, same, max(size, 3 * AROUND))
-    by = f"OVER ({ORDER} ROWS BETWEEN {{}} AND {{}})"
-    ahead = f"max(if(border, chunk, NULL)) {by.format('1 FOLLOWING', f'{AROUND} FOLLOWING')}"
-    behind = f"max(if(border, chunk, NULL)) {by.format(f'{AROUND - 1} PRECEDING', 'CURRENT ROW')} - 1"
+    ahead = f"if(lead(chunk, {AROUND}) OVER ({ORDER}) > chunk, chunk + 1, NULL)"
+    behind = f"if(lag(chunk, {AROUND}) OVER ({ORDER}) < chunk, chunk - 1, NULL)"
     seen = f"filter(array(struct(chunk AS c, true AS own), struct({ahead} AS c, false AS own), struct({behind} AS c, false AS own)), x -> x.c IS NOT NULL)"
     rows = rows.selectExpr("*", f"{seen} AS seen", "NOT bool_or(border) OVER (PARTITION BY meeting_id) AS whole")
     rows = rows.selectExpr("meeting_id", "r", "n", "text", "start_ms", "end_ms", "speaker", "whole", "explode(seen) AS x")
@@ -202,6 +202,7 @@ def _numbered(words: DataFrame, size: int) -> DataFrame:
     kind = words.schema["meeting_id"].dataType.simpleString()
     rows = words.select("meeting_id", "n", "text", "start_ms", "end_ms", "speaker")
     cut = f"NOT speaker <=> lag(speaker) OVER ({ORDER}) OR start_ms - max(end_ms) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {LONG_PAUSE_MS}"
+    rows = rows.withColumn("r", F.expr(f"row_number() OVER ({ORDER})"))
     rows = _chunks(rows, cut, max(size, 3 * AROUND)).select("meeting_id", "chunk", "r", "n", "text", "start_ms", "end_ms", "speaker")
     return in_order(rows, ["meeting_id", "chunk"], ["r"], _utterances, f"meeting_id {kind}, {WORDS_SCHEMA}, chunk long, utterance long")
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from convlake.fixtures import load
 from convlake.operators import align
 from convlake.sources import exports
@@ -120,7 +122,7 @@ def test_a_long_meeting_in_chunks_of_any_size(spark):
         found = sorted(tuple(r) for r in align.build_utterances(done, size).collect())
         utterances = utterances or found
         assert found == utterances
-    cut = align._chunks(words, "n % 2 = 0", 50).groupBy("meeting_id", "chunk").count()
+    cut = align._chunks(words.withColumn("r", F.expr(f"row_number() OVER ({align.ORDER})")), "n % 2 = 0", 50).groupBy("meeting_id", "chunk").count()
     assert cut.count() > 90
 
 
