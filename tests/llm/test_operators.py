@@ -573,6 +573,16 @@ def test_vantage_point_trees_prune(spark):
     assert with_shards == simhash.components(simhash.links(nodes)).count()
 
 
+def test_fingerprints_of_single_words():
+    import xxhash
+
+    for text, shingle in (("One two\tthree two", 1), ("a b c d e", 2), ("a", 1), ("", 1)):
+        words = text.lower().split()
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + shingle]), 42) for k in range(max(1, len(words) - shingle + 1))] if words else []
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text, shingle) == want
+
+
 # 8 --------------------------------------------------------------------------------------------
 
 def test_url_filter(spark):
