@@ -23,13 +23,13 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +41,8 @@ BLOCK = 256
 CHUNK_IDS = 1 << 20
 SHARD_BYTES = 16_000_000
 CACHE_UNITS = 800_000
-GROUP = 512
+GROUP_BYTES = 8_000_000
+CUT = "\x1f"  # texts that have it aren't cut
 
 # Fixed values of the format: ids in a word, and bits of each, by selector.
 SLOTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0], dtype=np.int64)
@@ -49,6 +50,13 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 40], dtype=
 REPEAT, LEAST_REPEAT = 15, 61
 
 
+def _shifts(sel: np.ndarray, first: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """By how many bits each of n ids is moved within its word; words begin at `first` and have `count` ids."""
+    kind = np.int32 if n < 1 << 31 else np.int64
+    bits = np.where(sel == REPEAT, 0, BITS[sel]).astype(kind)
+    return ((np.arange(n, dtype=kind) - np.repeat(first.astype(kind), count)) * np.repeat(bits, count)).astype(np.uint64)
+
+
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of each block, escapes) of non-negative ids; all blocks step together."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
@@ -57,52 +65,53 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
     # A row per block, with zeros behind it: what lies beyond a block's end always fits.
-    padded = np.zeros((blocks, block), dtype=np.uint64)
-    padded.ravel()[:n] = ids
+    padded = np.zeros(blocks * block, dtype=np.uint64)
+    padded[:n] = ids
     rows = np.zeros((blocks, wide), dtype=np.uint64)
-    rows[:, :block] = padded
-    widths = np.zeros(blocks * wide + 64, dtype=np.uint8)
-    widths[: blocks * wide] = np.frexp(rows.ravel().astype(np.float64))[1]
+    rows[:, :block] = padded.reshape(blocks, block)
+    flat, places = rows.ravel(), blocks * wide
+    widths = np.zeros(places + 64, dtype=np.uint8)
+    widths[:places] = np.maximum((flat.astype(np.float64).view(np.int64) >> 52) - 1022, 0)  # the exponent; nought has none
     most = {1: widths}  # the widest of so many ids from each position
     for size in (2, 4, 8, 16, 32):
         half = most[size // 2]
-        most[size] = np.maximum(half, np.r_[half[size // 2 :], half[: size // 2]])
-    choice = np.zeros(len(widths), dtype=np.uint8)
-    for s in range(14, 0, -1):
+        most[size] = np.maximum(half[: -size // 2], half[size // 2 :])
+    # What fits a selector fits the next, which has fewer ids and more bits.
+    choice = np.full(places, 15, dtype=np.uint8)
+    for s in range(1, 15):
         size = 1 << (int(SLOTS[s]).bit_length() - 1)
         back = int(SLOTS[s]) - size
-        fits = np.maximum(most[size], np.r_[most[size][back:], most[size][:back]]) <= BITS[s]
-        np.copyto(choice, s, where=fits)
-    stops = np.full((blocks, wide), False)
-    stops[:, :-1] = rows[:, 1:] != rows[:, :-1]
-    stops[:, block - 1 :] = True
-    place = np.arange(blocks * wide)
-    same = np.minimum.accumulate(np.where(stops.ravel(), place, blocks * wide)[::-1])[::-1] + 1 - place
-    np.copyto(choice[: blocks * wide], REPEAT, where=(same >= LEAST_REPEAT) & (rows.ravel() < np.uint64(1 << 40)))
+        choice -= np.maximum(most[size][:places], most[size][back : back + places]) <= np.uint8(BITS[s])
+    choice[choice == 15] = 0
+    span = SLOTS.astype(np.int32)[choice]
+    stops = np.full((blocks, wide), True)
+    np.not_equal(rows[:, 1:block], rows[:, : block - 1], out=stops[:, : block - 1])
+    ends = np.flatnonzero(stops)
+    length = np.diff(ends, prepend=-1)
+    long = np.flatnonzero((length >= LEAST_REPEAT) & (flat[ends] < np.uint64(1 << 40)))
+    if len(long):
+        inside = length[long] - LEAST_REPEAT + 1  # places of a run from which enough of it follows
+        runs = np.arange(inside.sum()) + np.repeat(ends[long] + 1 - length[long] - np.cumsum(inside) + inside, inside)
+        choice[runs], span[runs] = REPEAT, np.repeat(ends[long] + 1, inside) - runs
     at = np.arange(blocks) * wide
     stop = at + block
     stop[-1] = at[-1] + n - (blocks - 1) * block
-    found = []
+    taken = np.zeros(places, dtype=np.int32)  # ids of the word that begins at a position
     while len(at):
-        sel = choice[at]
-        step = np.minimum(np.where(sel == REPEAT, same[at], SLOTS[sel]), stop - at)
-        found.append((at, sel, step))
+        step = np.minimum(span[at], stop - at)
+        taken[at] = step
         at = at + step
         live = at < stop
-        at, stop = at[live], stop[live]
-    starts, sel, count = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(starts)
-    starts, sel, count = starts[order], sel[order], count[order]
-    words = sel.astype(np.uint64) << np.uint64(60)
-    flat = np.r_[rows.ravel(), np.zeros(64, dtype=np.uint64)]
-    for s in range(1, 15):
-        own = np.flatnonzero(sel == s)
-        if len(own):
-            for k in range(SLOTS[s]):
-                words[own] |= flat[starts[own] + k] << np.uint64(k * BITS[s])
+        if not live.all():
+            at, stop = at[live], stop[live]
+    starts = np.flatnonzero(taken)
+    sel, count = choice[starts], taken[starts]
+    first = np.cumsum(count) - count
+    words = np.bitwise_or.reduceat(ids << _shifts(sel, first, count, n), first)
     runs, escaped = sel == REPEAT, sel == 0
-    words[runs] |= flat[starts[runs]] | (count[runs].astype(np.uint64) << np.uint64(40))
-    words[escaped] |= np.arange(escaped.sum(), dtype=np.uint64)
+    words[runs] = flat[starts[runs]] | (count[runs].astype(np.uint64) << np.uint64(40))
+    words[escaped] = np.arange(escaped.sum(), dtype=np.uint64)
+    words |= sel.astype(np.uint64) << np.uint64(60)
     return words, np.searchsorted(starts, np.arange(blocks) * wide), flat[starts[escaped]]
 
 
@@ -118,58 +127,113 @@ def unpack(words: np.ndarray, block_words: np.ndarray, escapes: np.ndarray, n: i
     before = np.cumsum(count) - count
     before -= before[block_words][owner]
     count = np.minimum(count, np.minimum((owner + 1) * block, n) - owner * block - before)
-    word = np.repeat(np.arange(len(words)), count)
-    slot = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
-    bits = BITS[sel][word]
-    shift = np.where(sel[word] == REPEAT, 0, slot * bits).astype(np.uint64)
-    ids = (payload[word] >> shift) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))
-    from_escape = sel[word] == 0
-    ids[from_escape] = escapes[payload[word[from_escape]].astype(np.int64)]
+    first = np.cumsum(count) - count
+    ids = (np.repeat(payload, count) >> _shifts(sel, first, count, n)) & np.repeat((np.uint64(1) << BITS[sel].astype(np.uint64)) - np.uint64(1), count)
+    escaped = sel == 0
+    ids[first[escaped]] = escapes[payload[escaped].astype(np.int64)]
     return ids
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """flat[starts[k] : starts[k] + counts[k]] for all k, one after another."""
+    total = int(counts.sum())
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((starts - np.cumsum(counts) + counts).astype(kind), counts) + np.arange(total, dtype=kind)]
+
+
 class Encoder:
     """A byte-level BPE of the tokenizers library over whole texts.
 
     The pre-tokenizer of such a vocabulary always ends a piece before white space that follows
-    something else, and behind letters that anything but a letter follows. So a text's ids are those
-    of its units, cut at such places; units are remembered. Texts with a special token of the vocabulary, or with control
-    letters on which notions of white space differ, are encoded at once.
+    something else, and behind letters that another ASCII sign follows. So a text's ids are those of
+    its units, cut at such places by Arrow; distinct units come to Python and are remembered. Texts with
+    a special token of the vocabulary, or with control letters on which notions of white space differ,
+    are encoded at once.
     """
 
-    units = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\s!-@\[-`{-~]|$)|\s*\S+|\s+$")
+    piece = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join(["[\x1c-\x1f]", *special]))
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        """The ids of units that begin and end where pieces do: all of them as one sequence."""
-        made = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
-        bounds = (4 * np.searchsorted(np.array(made.word_ids, dtype=np.int64), np.arange(len(units) + 1))).tolist()
-        raw = array("I", made.ids).tobytes()
-        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.merges = Tokenizer(self.tokenizer.model)  # takes one piece, byte-level letters for bytes
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.letters = np.arange(256, dtype="<u2")
+        self.letters[hidden] = 256 + np.arange(len(hidden))
+        self.letters[10] = 10  # between pieces
+        self.odd = "|".join([r"[\x1c-\x1f]", *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
+        space = r"\pZ\x09-\x0d\x{85}"
+        self.cuts = [
+            (r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-@\[-`{-~])", rf"\1{CUT}\2"),
+            (rf"([^{space}])([\x09-\x0d])", rf"\1{CUT}\2"),
+            (" ", f"{CUT} "),
+            (rf"([{space}]){CUT}", r"\1"),  # not within white space
+        ]
+        # The ids of unit k are those of `ids` behind the first sum(sizes[:k]).
+        self.number: dict[str, int] = {}
+        self.ids, self.sizes = np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
+
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(an order of the units, their ids in it, how many each has) of units that begin and end where pieces do.
+
+        All are encoded as one sequence, but what plainly is one piece goes to the merges directly.
+        """
+        plain = np.fromiter((self.piece.fullmatch(u) is not None for u in units), bool, len(units))
+        made = []
+        for own, tokenizer in ((np.flatnonzero(plain), self.merges), (np.flatnonzero(~plain), self.tokenizer)):
+            words = [units[k] for k in own.tolist()]
+            if words and tokenizer is self.merges:
+                words = self.letters[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\n")
+            seq = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+            made.append((own, np.array(seq.ids, dtype="<u4"), np.bincount(np.array(seq.word_ids, dtype=np.int64), minlength=len(own))))
+        return tuple(np.concatenate(x) for x in zip(*made))
+
+    def _known(self, units: list[str]) -> np.ndarray:
+        """The numbers of distinct units, remembered or new; when there are too many, only those of this call stay."""
+        number = np.fromiter(map(self.number.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            if len(self.number) + len(new) > CACHE_UNITS:
+                kept = np.flatnonzero(number >= 0)
+                self.ids, self.sizes = gather(self.ids, (np.cumsum(self.sizes) - self.sizes)[number[kept]], self.sizes[number[kept]]), self.sizes[number[kept]]
+                number[kept] = np.arange(len(kept))
+                self.number = dict(zip([units[k] for k in kept.tolist()], range(len(kept))))
+            order, ids, sizes = self._encode([units[k] for k in new.tolist()])
+            number[new[order]] = np.arange(len(new)) + len(self.number)
+            self.number.update(zip([units[k] for k in new.tolist()], number[new].tolist()))
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        return number
+
+    def _units(self, texts: pa.Array) -> pa.Array:
+        """Each text's units, in order."""
+        for pattern, by in self.cuts:
+            texts = (pc.replace_substring if pattern == " " else pc.replace_substring_regex)(texts, pattern, by)
+        return pc.split_pattern(texts, CUT)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each has) of strings without nulls."""
+        odd = pc.match_substring_regex(texts, self.odd)
+        cut = self._units(pc.if_else(odd, "", texts))
+        units = cut.values.dictionary_encode()
+        number = self._known(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat, sizes, starts = self.ids, self.sizes[number], (np.cumsum(self.sizes) - self.sizes)[number]
+        unit, offsets = np.array(units.indices), np.asarray(cut.offsets)
+        whole = np.flatnonzero(odd)
+        if len(whole):
+            made = [np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype="<u4") for k in whole.tolist()]
+            more = np.array([len(ids) for ids in made])
+            unit[offsets[whole]] = len(sizes) + np.arange(len(whole))
+            flat, sizes, starts = np.concatenate([flat, *made]), np.r_[sizes, more], np.r_[starts, len(flat) + np.cumsum(more) - more]
+        count = sizes[unit]
+        return gather(flat, starts[unit], count), np.diff(np.r_[0, np.cumsum(count)][offsets])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        rows = [None if t and self.odd.search(t) else self.units.findall(t or "") for t in texts]
-        known = self.cache
-        new = [u for u in set(chain.from_iterable(r for r in rows if r)) if u not in known]
-        if len(known) + len(new) > CACHE_UNITS:
-            known.clear()
-            new = list(set(chain.from_iterable(r for r in rows if r)))
-        if new:
-            known.update(zip(new, self._encode(new)))
-        ids = known.__getitem__
-        return [self._whole(t) if row is None else b"".join(map(ids, row)) for t, row in zip(texts, rows)]
+        ids, sizes = self.column(pa.array(texts, pa.string()).fill_null(""))
+        ends = np.cumsum(sizes)
+        return [ids[a:b].tobytes() for a, b in zip(ends - sizes, ends)]
 
 
 @lru_cache(maxsize=2)
@@ -180,6 +244,14 @@ def encoder(path: str) -> Encoder:
 FILE_SCHEMA = "shard int, chunk int, first_id long, n_ids long, doc_ids array<bigint>, doc_sizes array<bigint>, words binary, block_words binary, escapes binary"
 
 
+def groups(batch: pa.RecordBatch):
+    """The rows of a batch in slices of about GROUP_BYTES of text (column 2), a row at least."""
+    if batch.num_rows:
+        group = np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64)) // GROUP_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))
+
+
 def write_token_file(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, shards: int | None = None, end_id: int = END_ID, chunk_ids: int = CHUNK_IDS) -> None:
     """Encode every whole text and write the ids in ascending doc_id order to the Parquet folder out.
 
@@ -195,7 +267,7 @@ def write_token_file(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, shar
     schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("block_words", pa.binary()), ("escapes", pa.binary())])
 
     def run(batches):
-        encode, chunk, first, shard = encoder(tokenizer), 0, 0, 0
+        encode, chunk, first, shard = encoder(tokenizer).column, 0, 0, 0
         keys, arrays, held = [], [], 0
 
         def close():
@@ -205,17 +277,17 @@ def write_token_file(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, shar
             chunk, first, keys, arrays, held = chunk + 1, first + held, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-        end = end_id.to_bytes(4, "little")
         for batch in batches:
-            for a in range(0, batch.num_rows, GROUP):
-                part = batch.slice(a, GROUP)
-                for shard, key, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encode(part.column(2).to_pylist())):
-                    ids = np.frombuffer(raw + end, dtype="<u4")
-                    if held and held + len(ids) > chunk_ids:
+            for part in groups(batch):
+                ids, sizes = encode(part.column(2))
+                ends = np.cumsum(sizes)
+                ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                for shard, key, a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                    if held and held + b - a > chunk_ids:
                         yield close()
                     keys.append(key)
-                    arrays.append(ids)
-                    held += len(ids)
+                    arrays.append(ids[a:b])
+                    held += b - a
         if held:
             yield close()
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +273,38 @@ def test_token_file(spark, odd, tmp_path):
     assert coder(some) == [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in some]
 
 
+def test_token_column(monkeypatch):
+    """A column gives the library's ids, and only units that aren't known are encoded, also when the memory is full."""
+    from tokenizers import Tokenizer
+
+    plain, coder, encoded = Tokenizer.from_file(tokenfile.TOKENIZER), tokenfile.Encoder(tokenfile.TOKENIZER), []
+    encode = coder._encode
+    monkeypatch.setattr(coder, "_encode", lambda units: (encoded.extend(units), encode(units))[1])
+
+    def same(texts):
+        ids, sizes = coder.column(pa.array(texts, pa.string()))
+        made = [x.tolist() for x in np.split(ids, np.cumsum(sizes))[: len(texts)]]
+        return made == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+    assert same([]) and same([""]) and same(["", "one two, two. one!", "", " two", "Über's ende\n one  two"])
+    assert sorted(encoded) == sorted({"", "one", " two", ",", ".", " one", "!", "Über", "'s", " ende", "\n one", "  two"})
+    rnd = random.Random(5)
+    for signs in (["a", "B", " ", "  ", "\n", ",", "é", "'s"], ["a", " ", " ", "z.", "'", "\n", "\t", "é", "1", "½", "ł", "_", "<|endoftext|>", "\x1c", "\x1f", "\x85", "\xa0", "\u3000", "\u180e", "\u200b", "\x00", "ſ", "😀", "e\u0301"]):
+        some = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 20))) for _ in range(6000)]
+        monkeypatch.setattr(tokenfile, "CACHE_UNITS", 800_000)
+        assert same(some)
+        monkeypatch.setattr(tokenfile, "CACHE_UNITS", 200)
+        assert all(same(some[a : a + 300]) for a in range(0, 3000, 300))
+    assert same(["known words stay"])
+    encoded.clear()
+    monkeypatch.setattr(tokenfile, "CACHE_UNITS", 3)
+    assert same(["known words go"]) and encoded == [" go"] and len(coder.number) == 3
+    batch = pa.record_batch([pa.array(range(5)), pa.array(range(5)), pa.array(["x" * 10, "", None, "y" * 30, "z"])], ["shard", "doc_id", "text"])
+    monkeypatch.setattr(tokenfile, "GROUP_BYTES", 20)
+    parts = list(tokenfile.groups(batch.set_column(2, "text", batch.column(2).fill_null(""))))
+    assert [p.num_rows for p in parts] == [3, 2] and sum((p.column(1).to_pylist() for p in parts), []) == list(range(5))
+
+
 # 6 --------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body class="x"><nav><ul><li><a href="/a">A</a></ul></nav>
