@@ -74,10 +74,14 @@ def frame_counts(windows: DataFrame, step: int) -> DataFrame:
     return rows.groupBy("meeting_id", "frame").agg(F.expr("cast(bround(sum(on) / count(*)) AS bigint)").alias("speakers"))
 
 
+def active_vectors(windows: DataFrame) -> DataFrame:
+    """All vectors (meeting_id, chunk, local, vector), scaled to length 1, of the local speakers that are active."""
+    return windows.where("embedding IS NOT NULL AND exists(frames, f -> f > 0)").select("meeting_id", "chunk", "local", unit("embedding").alias("vector"))
+
+
 def trainable_vectors(windows: DataFrame, most: int = MOST_VECTORS) -> DataFrame:
     """D3. Vectors, scaled to length 1, of the local speakers that are active; of over `most` in a meeting, `most` evenly spaced."""
-    rows = windows.where("embedding IS NOT NULL AND exists(frames, f -> f > 0)").select("meeting_id", "chunk", "local", unit("embedding").alias("vector"))
-    rows = rows.selectExpr("*", "row_number() OVER (PARTITION BY meeting_id ORDER BY chunk, local) - 1 AS place", "count(*) OVER (PARTITION BY meeting_id) AS n")
+    rows = active_vectors(windows).selectExpr("*", "row_number() OVER (PARTITION BY meeting_id ORDER BY chunk, local) - 1 AS place", "count(*) OVER (PARTITION BY meeting_id) AS n")
     # Place p is picked if a step of the even spacing rounds to it.
     near = f"cast(round(place * ({most} - 1D) / greatest(1, n - 1)) AS bigint)"
     hit = f"exists(array(-1, 0, 1), o -> {near} + o BETWEEN 0 AND {most} - 1 AND bround(({near} + o) * (n - 1) / ({most} - 1D)) = place)"

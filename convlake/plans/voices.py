@@ -49,7 +49,7 @@ def d4(windows):
   SELECT meeting_id, cluster, unnest(range(1, 65)) AS dim, unnest(list_transform(t, lambda x: x / sqrt(list_dot_product(t, t)))) AS x FROM lf) GROUP BY 1, 2, 3) GROUP BY 1, 2)
 SELECT meeting_id, cluster, round(t[1] / sqrt(list_dot_product(t, t)), 6) AS first FROM mg""")
 def d6(windows, samples):
-    vectors = diarize.trainable_vectors(windows)
+    vectors = diarize.active_vectors(windows)  # sums of all of them: only clustering (D4) needs a limit
     cents = diarize.centroids(vectors, vectors.selectExpr("meeting_id", "chunk", "local", "chunk % 4 AS cluster"))
     anchors = speakers.profiles(samples).selectExpr("speaker_id", "'cur' AS model", "centroid AS embedding")
     best = speakers.match_scores(cents.selectExpr("meeting_id", "cluster AS key", "centroid AS embedding"), anchors, keep=1).withColumnRenamed("key", "cluster")
