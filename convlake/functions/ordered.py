@@ -7,6 +7,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -20,7 +21,9 @@ def in_order(df: DataFrame, keys: list[str], order: list, step: Callable[[Iterat
     so a long meeting costs time but no memory. `step` keeps what state it needs; rows_out of what it makes are held at once.
     """
     names, made = df.columns, T._parse_datatype_string(schema)
-    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # By a hash of the keys: a shuffle by the keys themselves is left out after a join by them, and Spark may then turn
+    # that join into a broadcast one as it runs, which leaves a key's rows spread over tasks.
+    rows = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
     out_schema, width = to_arrow_schema(made), len(keys)
 
     def run(batches):

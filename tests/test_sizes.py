@@ -33,3 +33,18 @@ def test_anchors_meet_all_vectors_of_a_meeting(spark, tmp_path):
     rows = voices(5000, 5, step=10)  # one meeting; six of seven have a vector, more than D4 clusters at once
     got, want = both(spark, tmp_path, "d6_merge_by_anchors", embeddings=rows)
     assert sum(got.values()) > 1 and got == want
+
+
+def test_recordings_stay_whole_when_their_join_becomes_a_broadcast(spark, tmp_path):
+    rows = [(i, i * 7 % 20, '{"k": %d}' % (i * i % 101)) for i in range(30_000)]  # 20 recordings of about 9 parts each
+    # The files are larger than 10k, what is joined of them is not: Spark finds that out as it runs. Small shuffles keep several tasks.
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k in conf:
+            spark.conf.set(k, conf[k])
+        got, want = both(spark, tmp_path, "s7_assemble_recordings", events=(rows, "event_id long, user_id long, props string"))
+    finally:
+        for k in conf:
+            spark.conf.set(k, before[k])
+    assert len(got) == 20 and got == want
