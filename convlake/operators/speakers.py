@@ -6,8 +6,11 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from convlake.functions.assign import best_assignment
 from convlake.functions.columns import dot, unit
@@ -137,12 +140,75 @@ def voiceprints(turn_vectors: DataFrame, most: int = 8, least_ms: int = 1500) ->
     return total.select("meeting_id", "key", unit("total").alias("voiceprint"))
 
 
-def carry_decisions(new: DataFrame, old: DataFrame, least: float = 0.85) -> DataFrame:
+FEW_PAIRS, CARRY_BLOCK = 4096, 8192
+NEAR = 1e-9  # of products of matrices to sums in order, for rounding
+
+
+def _columns(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as doubles, a row of the result for each place in them."""
+    values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks])
+    return np.ascontiguousarray(values.astype(np.float64).reshape(len(lists), -1).T)
+
+
+def _summed(a: np.ndarray, b: np.ndarray, i=slice(None), j=slice(None)) -> np.ndarray:
+    """Inner products of the pairs (i, j) of two results of _columns, in order of the places, so that equal vectors give equal ones."""
+    return sum((x[i] * y[j] for x, y in zip(a, b)), 0.0)
+
+
+def _most_alike(own: np.ndarray, held: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, held vector, cosine) of the held vector most like each of the own ones, above least; the first on ties. Products of matrices
+    leave those that may be best, of which the sums decide. Of equal held vectors only the first is met."""
+    rows = np.ascontiguousarray(held.T)
+    first = np.sort(np.unique(rows.view(f"V{rows.itemsize * rows.shape[1]}").ravel(), return_index=True)[1])
+    held = held[:, first]
+    size, sizes = (np.maximum(1e-12, np.sqrt(_summed(x, x))) for x in (own, held))
+    units, others = np.ascontiguousarray((own / size).T), held / sizes
+    found = []
+    for at in range(0, own.shape[1], PROBES_AT_ONCE):
+        sims = units[at : at + PROBES_AT_ONCE] @ others
+        row, col = np.nonzero(sims >= np.maximum(sims.max(axis=1), least)[:, None] - NEAR)
+        alike = _summed(own, held, at + row, col) / size[at + row] / sizes[col]
+        order = np.lexsort((col, -alike, row))
+        order = order[np.unique(row[order], return_index=True)[1]]
+        order = order[alike[order] > least]
+        found.append((at + row[order], first[col[order]], alike[order]))
+    row, col, alike = (np.concatenate(c) for c in zip(*found))
+    return row, col, alike
+
+
+def carry_decisions(new: DataFrame, old: DataFrame, least: float = 0.85, few: int = FEW_PAIRS, block: int = CARRY_BLOCK) -> DataFrame:
     """L10. For each new voice (meeting_id, key, embedding) the old one of its meeting that a user decided on and that is
-    most alike, above `least`; the smaller old key on ties. Pairs stay within the few voices of a meeting."""
-    decided = old.where("status IN ('confirmed', 'named') AND embedding IS NOT NULL")
-    decided = decided.select("meeting_id", F.col("key").alias("old_key"), "status", unit("embedding").alias("w"))
-    met = new.select("meeting_id", "key", unit("embedding").alias("v")).join(decided, "meeting_id").withColumn("likeness", dot("v", "w")).where(F.col("likeness") > least)
+    most alike, above `least`; the smaller old key on ties. Vectors with nulls or other than finite components are like none.
+
+    Exact, over all pairs of a meeting. Where these are over `few`, both sides are dealt into blocks of about `block` voices and a task
+    meets a pair of blocks by products of matrices, so a meeting may have any size; the work still grows with its pairs."""
+    sound = "meeting_id IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('infinity'))"
+    voices = new.where(sound).selectExpr("meeting_id", "key", "embedding AS v", "size(embedding) AS dims")
+    decided = old.where(f"status IN ('confirmed', 'named') AND {sound}").selectExpr("meeting_id", "key AS old_key", "status", "embedding AS w", "size(embedding) AS dims")
+    by = ["meeting_id", "dims"]
+    sizes = voices.groupBy(by).agg(F.count("*").alias("n")).join(decided.groupBy(by).agg(F.count("*").alias("m")), by)
+    sizes = written(sizes.selectExpr(*by, f"n * m <= {few} AS small", f"n div {block} + 1 AS own", f"m div {block} + 1 AS held"), "voice-sizes")
+
+    met = voices.join(sizes.where("small").select(*by), by).join(decided, by)
+    length = lambda v: F.greatest(F.lit(1e-12), F.sqrt(dot(v, v)))
+    met = met.select("meeting_id", "key", "old_key", "status", (dot("v", "w") / length("v") / length("w")).alias("likeness")).where(F.col("likeness") > least)
+
+    many = sizes.where("NOT small").drop("small")
+    asked = voices.join(many, by).selectExpr("*", "pmod(xxhash64(key, v), own) AS i", "explode(sequence(0L, held - 1L)) AS j").select(*by, "i", "j", "key", "v")
+    known = decided.join(many, by).selectExpr("*", "pmod(xxhash64(old_key, w), held) AS j", "explode(sequence(0L, own - 1L)) AS i").select(*by, "i", "j", "old_key", "status", "w")
+    known = known.toDF(*known.columns)  # new names to Spark, where both sides come from one table
+    schema = to_arrow_schema(met.schema)
+
+    def meet(own: pa.Table, held: pa.Table) -> pa.Table:
+        if not len(own) or not len(held):
+            return schema.empty_table()
+        held = held.take(pc.sort_indices(held, sort_keys=[("old_key", "ascending")], null_placement="at_start"))
+        row, col, alike = _most_alike(_columns(own["v"]), _columns(held["w"]), least)
+        own, held = own.select(["meeting_id", "key"]).take(row), held.select(["old_key", "status"]).take(col)
+        return pa.table([*own.columns, *held.columns, alike], names=schema.names).cast(schema)
+
+    pairs = asked.groupBy(*by, "i", "j").cogroup(known.groupBy(*by, "i", "j"))
+    met = met.unionByName(pairs.applyInArrow(meet, met.schema))
     best = met.groupBy("meeting_id", "key").agg(F.expr("min_by(struct(old_key, status, likeness), struct(-likeness, old_key))").alias("b"))
     return best.select("meeting_id", "key", "b.*")
 

@@ -1,11 +1,13 @@
 """Queries against their SQL on made tables with groups larger than those of the given ones."""
 
+import time
 from collections import Counter
 
 import duckdb
 import numpy as np
 
 import __spark_entry__ as entry
+from convlake.operators import speakers
 
 
 def both(spark, folder, name, **tables):
@@ -48,3 +50,31 @@ def test_recordings_stay_whole_when_their_join_becomes_a_broadcast(spark, tmp_pa
         for k in conf:
             spark.conf.set(k, before[k])
     assert len(got) == 20 and got == want
+
+
+def test_decisions_are_carried_within_a_large_meeting_in_time(spark, tmp_path):
+    (rows, kind), began = voices(12_000, 7, step=25, near=0.7), time.time()
+    rows = [(i, rows[k % 11_000][1], p) for k, (i, _, p) in enumerate(rows)]  # the last thousand repeat vectors
+    got, want = both(spark, tmp_path, "l10_carry_decisions", embeddings=(rows, kind))
+    assert len(got) > 6000 and got == want
+    assert time.time() - began < 60  # 72 million pairs: a join row by row takes minutes
+
+
+def test_carried_decisions_by_blocks_and_by_join(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(90, 4)), 1)
+    x[60:] = x[:30]
+    odd = [None, [], [0.0] * 4, [1.0, None, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [float("inf"), 1.0, 0.0, 0.0], [1.0, 0.5], [1.0, 0.6, 0.1]]
+    rows = [(f"m{k % 4}", f"k{k}", ("named", "confirmed", "auto")[k % 3], v) for k, v in enumerate([*x.tolist(), *odd, *odd, *odd])] + [(None, "k", "named", [1.0] * 4), ("m0", None, "named", x[4].tolist())]
+    old = spark.createDataFrame(rows, "meeting_id string, key string, status string, embedding array<double>")
+    new = spark.createDataFrame([r for r in rows if r[1] != "k7"], old.schema).drop("status")
+    by_join = speakers.carry_decisions(new, old, 0.8, few=10**9).collect()
+    assert len(by_join) > 40 and sorted(by_join, key=repr) == sorted(speakers.carry_decisions(new, old, 0.8, few=0, block=5).collect(), key=repr)
+    sound = {(m, k): v for m, k, _, v in rows if m and v and None not in v and np.isfinite(v).all()}
+    told = {(m, k) for m, k, s, _ in rows if s != "auto"}
+    for m, k, old_key, status, likeness in by_join:
+        v = np.array(sound[m, k])
+        alike = {o: v @ sound[m, o] / np.linalg.norm(v) / max(1e-12, np.linalg.norm(sound[m, o])) for n, o in sound if n == m and (m, o) in told and len(sound[m, o]) == len(v)}
+        best = max(alike.values())
+        assert abs(likeness - best) < 1e-12 and old_key == min((o for o in alike if best - alike[o] < 1e-12), key=lambda o: (o is not None, o or ""))
+        assert (m, old_key, status) in {r[:3] for r in rows}
